@@ -1,0 +1 @@
+"""Intentionally empty: the reports this package covers are all batch queries."""
