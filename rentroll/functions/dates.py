@@ -1,6 +1,6 @@
 """Calendar arithmetic with an explicit as-of day; nothing here reads the wall clock."""
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -14,6 +14,15 @@ def day(col):
     return F.to_date(col)
 
 
+def on_or_before(col, as_of):
+    """Timestamp up to the end of a day, as a bound on the bare column that the scan can use."""
+    return col < F.lit(as_of + timedelta(days=1))
+
+
+def on_or_after(col, as_of):
+    return col >= F.lit(as_of)
+
+
 def days_between(start, end):
     """Midnights crossed from ``start`` to ``end``."""
     return F.datediff(F.to_date(end), F.to_date(start))

@@ -12,9 +12,8 @@ def calendar(spark, start, end, day="day"):
 
 def calendar_of(df, *dates, day="day"):
     """Whole years that span every date in the given columns: one grouped row, then its days."""
-    low = F.least(*[F.min(F.to_date(d)) for d in dates])
-    high = F.greatest(*[F.max(F.to_date(d)) for d in dates])
-    span = df.agg(low.alias("low"), high.alias("high"))
+    ends = F.array(*[F.min(F.to_date(d)) for d in dates], *[F.max(F.to_date(d)) for d in dates])
+    span = df.agg(F.array_min(ends).alias("low"), F.array_max(ends).alias("high"))
     until = F.date_sub(F.add_months(F.trunc("high", "year"), 12), 1)
     return span.select(F.explode(F.sequence(F.trunc("low", "year"), until)).alias(day))
 

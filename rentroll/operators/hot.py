@@ -48,16 +48,18 @@ def spread_join(rows, per_key, keys, how="left", share=SHARE, floor=FLOOR):
     """Join ``rows`` to ``per_key`` (one row per key, row count in ``n``) without a hot task."""
     hot = hot_keys(per_key, keys, share, floor)
     salt = F.when(
-        F.col("_pieces").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_pieces"))
-    ).otherwise(F.lit(0).cast("bigint"))
+        F.col("_pieces").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_pieces")).cast("int")
+    ).otherwise(F.lit(0))
     left = mark_hot(rows, hot, keys).withColumn("_salt", salt).drop("_pieces")
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     right = (
         mark_hot(per_key, hot, keys)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)).cast("bigint"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .drop("_pieces")
     )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    renamed = right.withColumnsRenamed({k: f"_hot_{k}" for k in keys} | {"_salt": "_right_salt"})
+    on = _null_safe(left, renamed, keys) & (F.col("_salt") == F.col("_right_salt"))
+    return left.join(renamed, on, how).drop("_salt", "_right_salt", *[f"_hot_{k}" for k in keys])
 
 
 def count_per_key(df, keys, out="n_in_key"):
@@ -73,6 +75,18 @@ def distinct_per_key(df, keys, value, out="n_distinct"):
     return spread_join(df, per_key, keys).drop("n")
 
 
+def in_groups(df, keys, slot, share=SHARE, floor=FLOOR):
+    """Add ``_group``: the key itself, or key and slot where the key is hot (``_pieces`` not null)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    tagged = mark_hot(df, hot_keys(counts, keys, share, floor), keys)
+    return tagged.withColumn("_group", F.struct(*keys, F.when(F.col("_pieces").isNotNull(), slot).alias("_slot")))
+
+
+def along_slots(keys):
+    """Window over the slots of one key, in order; one row per slot."""
+    return Window.partitionBy(*[F.col(f"_group.{k}") for k in keys]).orderBy(F.col("_group._slot"))
+
+
 def ordered_columns(
     df,
     keys,
@@ -97,10 +111,7 @@ def ordered_columns(
     """
     running, previous, following = running or {}, previous or {}, following or {}
     first, last = first or {}, last or {}
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(counts, keys, share, floor)
-    tagged = mark_hot(df, hot, keys).withColumn("_slot", F.when(F.col("_pieces").isNotNull(), slot))
-    tagged = tagged.withColumn("_group", F.struct(*keys, "_slot"))
+    tagged = in_groups(df, keys, slot, share, floor)
 
     # Inside one slot (for an ordinary key: the whole key).
     asc = Window.partitionBy("_group").orderBy(*order)
@@ -127,7 +138,7 @@ def ordered_columns(
     slots = tagged.filter(F.col("_pieces").isNotNull()).groupBy("_group").agg(
         *[e.alias(n) for n, e in edges.items()]
     )
-    along = Window.partitionBy(*[F.col(f"_group.{k}") for k in keys]).orderBy(F.col("_group._slot"))
+    along = along_slots(keys)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     later = along.rowsBetween(1, Window.unboundedFollowing)
     every = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

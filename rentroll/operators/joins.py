@@ -42,12 +42,12 @@ def day_join(rows, calendar, at, day="day", how="inner"):
     return rows.withColumn(day, F.to_date(at)).join(calendar, day, how)
 
 
-def interval_join(rows, intervals, keys, at, low, high, horizon, closed=False, how="inner"):
+def interval_join(rows, intervals, keys, at, low, high, horizon, closed=False):
     """Rows to the intervals of the same key that hold ``at``.
 
     Each interval is listed once per month it touches, so the join runs on (key, month) as a hash
-    join and a hot key is spread over its months. ``horizon`` is a day on or after every ``at``
-    (or its expression); open intervals stop there.
+    join and a hot key is spread over its months. ``low``, ``high`` and ``horizon`` are expressions;
+    open intervals stop at ``horizon``, a day on or after every ``at``.
     """
     if isinstance(horizon, date):
         horizon = F.lit(horizon)
@@ -58,16 +58,9 @@ def interval_join(rows, intervals, keys, at, low, high, horizon, closed=False, h
     )
     live = intervals.filter((F.to_date(low) <= F.to_date(high)) & (F.to_date(low) <= F.to_date(horizon)))
     live = live.withColumn("_month", F.explode(months))
-    upper = F.col(at) <= F.col(high) if closed else F.col(at) < F.col(high)
-    inside = (F.col(at) >= F.col(low)) & upper
+    inside = (F.col(at) >= low) & (F.col(at) <= high if closed else F.col(at) < high)
     marked = rows.withColumn("_month", F.trunc(F.to_date(at), "month"))
-    if how == "inner":
-        return marked.join(live, [*keys, "_month"]).filter(inside).drop("_month")
-    on = [marked[k] == live[k] for k in [*keys, "_month"]] + [inside]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return marked.join(live, cond, how).drop(*[live[k] for k in [*keys, "_month"]]).drop("_month")
+    return marked.join(live, [*keys, "_month"]).filter(inside).drop("_month")
 
 
 def open_end_if_null(col):

@@ -1,13 +1,11 @@
 """From version history to change points, weekly snapshots and carried balances."""
 
-from datetime import datetime, time, timedelta
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rentroll.functions.dates import OPEN_END, friday_on_or_after
+from rentroll.functions.dates import OPEN_END, friday_on_or_after, on_or_before
 from rentroll.functions.nulls import changed
-from rentroll.operators.hot import ordered_columns
+from rentroll.operators.hot import along_slots, in_groups, ordered_columns
 
 
 def change_points(versions, keys, order, state, slot, **hot):
@@ -18,21 +16,54 @@ def change_points(versions, keys, order, state, slot, **hot):
     return kept.drop(first_of_key, "_before")
 
 
-def state_intervals(versions, keys, order, state, slot, at, ends, **hot):
-    """Change points as closed intervals ``valid_from``..``valid_to``.
+def state_intervals(versions, keys, order, state, at, ends, slot, **hot):
+    """Change points as closed intervals ``valid_from``..``valid_to``, in one shuffle of the history.
 
-    A state ends where the next one starts, and never later than the key's own last end ``ends``.
+    A state ends where the next one starts, and never later than the end ``ends`` of the key's last
+    version. A hot key is cut into slots; the first row of a slot is a change only if the slot before
+    ended in another state, which one row per slot is enough to tell.
     """
-    tail = ordered_columns(versions, keys, order, slot, last={"_last_end": ends}, **hot)
-    points = change_points(tail, keys, order, state, slot, **hot)
-    chained = ordered_columns(points, keys, order, slot, following={"_next_at": at}, **hot)
-    return chained.select(
+    asc = Window.partitionBy("_group").orderBy(*order)
+    whole = asc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    now, opens = F.struct(state), F.col("_rn") == 1
+    seen = in_groups(versions, keys, slot, **hot).withColumns(
+        {
+            "_rn": F.row_number().over(asc),
+            "_before": F.lag(now).over(asc),
+            "_last_end": F.last(F.struct(ends)).over(whole),
+        }
+    )
+    # A candidate opens a group or differs from the row before it.
+    steps = seen.filter(opens | changed(now, F.col("_before"))).withColumn("_next", F.lead(at).over(asc))
+
+    rank = F.struct(*order)
+    slots = steps.filter(F.col("_pieces").isNotNull()).groupBy("_group").agg(
+        F.min_by(now, rank).alias("_opening"),
+        F.min(at).alias("_opening_at"),
+        F.min(F.when(~opens, F.col(at))).alias("_inner_at"),
+        F.max_by(now, rank).alias("_closing"),
+        F.first("_last_end").alias("_slot_end"),
+    )
+    along = along_slots(keys)
+    back = Window.partitionBy(*[F.col(f"_group.{k}") for k in keys]).orderBy(F.col("_group._slot").desc())
+    every = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = slots.withColumn("_prior", F.lag("_closing").over(along)).withColumn(
+        "_first_change", F.when(changed(F.col("_opening"), F.col("_prior")), F.col("_opening_at")).otherwise(F.col("_inner_at"))
+    )
+    edges = edges.select(
+        "_group",
+        "_prior",
+        F.last("_first_change", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_later"),
+        F.last("_slot_end").over(every).alias("_key_end"),
+    )
+    points = steps.join(edges, "_group", "left").filter(~opens | changed(now, F.col("_prior")))
+    next_at = F.coalesce(F.to_date("_next"), F.to_date("_later"), F.lit(OPEN_END))
+    last_end = F.to_date(F.coalesce("_key_end", "_last_end")[ends])
+    return points.select(
         *keys,
         state,
         F.col(at).alias("valid_from"),
-        F.least(
-            F.coalesce(F.to_date("_next_at"), F.lit(OPEN_END)), F.coalesce(F.to_date("_last_end"), F.lit(OPEN_END))
-        ).alias("valid_to"),
+        F.least(next_at, F.coalesce(last_end, F.lit(OPEN_END))).alias("valid_to"),
     )
 
 
@@ -54,9 +85,7 @@ def weekly_balance(events, keys, at, value, as_of, out="balance"):
     window than there are weeks.
     """
     week = friday_on_or_after(at)
-    # A plain bound on the column itself, so that the scan can use it.
-    until = datetime.combine(as_of + timedelta(days=1), time())
-    moves = events.filter(F.col(at) < F.lit(until)).groupBy(*keys, week.alias("week_end")).agg(
+    moves = events.filter(on_or_before(F.col(at), as_of)).groupBy(*keys, week.alias("week_end")).agg(
         F.sum(value).alias("moved")
     )
     along = Window.partitionBy(*keys).orderBy("week_end")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rentroll.functions.dates import on_or_before
 from rentroll.functions.money import amount
 from rentroll.functions.text import initial_in
 from rentroll.operators import ageing as ag
@@ -75,7 +76,7 @@ def ageing_by_customer(t):
 )
 def ageing_overdue_only(t):
     """Only items due on or before the as-of day; the filter reaches the scan as a bound on the timestamp."""
-    return ag.ageing_report(by_customer(t, open_items(t).filter(F.col("due") <= F.lit(AS_OF))))
+    return ag.ageing_report(by_customer(t, open_items(t, on_or_before(F.col("l_shipdate"), AS_OF))))
 
 
 @query(

@@ -27,9 +27,9 @@ DAY = "DATE '2001-06-30'"
 EVENT_DAY = "DATE '2024-01-31'"
 
 
-def open_items(t):
+def open_items(t, where=F.lit(True)):
     """Order lines as receivables: due on the ship day, open with tax."""
-    return t("lineitem").select(
+    return t("lineitem").filter(where).select(
         "l_orderkey", F.to_date("l_shipdate").alias("due"), gross().alias("open"), "l_returnflag"
     )
 
