@@ -9,10 +9,19 @@ from rentroll.functions.nulls import first_match
 
 # Band labels and the widest day of each band.
 CURRENT = "Current"
-OLDEST = "120+"
-BANDS = [("1-30", 30), ("31-60", 60), ("61-90", 90), ("91-120", 120)]
-LADDER = [("Matured", 0), ("0-30", 30), ("31-60", 60), ("61-90", 90), ("91-180", 180), ("181-365", 365)]
-BEYOND = "365+"
+OLDEST = "120+ Days"
+BANDS = [("1-30 Days", 30), ("31-60 Days", 60), ("61-90 Days", 90), ("91-120 Days", 120)]
+CHASE_BANDS = [("1-30 Days", 1, 30), ("31-60 Days", 31, 60), ("61-90 Days", 61, 90)]
+CHASE_OLDEST = "91+ Days"
+LADDER = [
+    ("Already Matured", 0),
+    ("1 Month or Less", 30),
+    ("1-2 Months", 60),
+    ("2-3 Months", 90),
+    ("3-6 Months", 180),
+    ("6-12 Months", 365),
+]
+BEYOND = "More than 1 Year"
 
 
 def age_band(due, as_of):
@@ -22,31 +31,32 @@ def age_band(due, as_of):
     return first_match(*bounds, otherwise=F.lit(OLDEST))
 
 
-def age_band_from_day_one(due, as_of):
+def chase_band(due, as_of):
     """Variant for chasing cash: bands start the day after the due day, due today has no band."""
     late = F.datediff(F.lit(as_of), due)
-    steps = [0] + [n for _, n in BANDS]
-    rules = [(late.between(low + 1, high), F.lit(label)) for low, (label, high) in zip(steps, BANDS)]
-    return first_match(*rules, (late > steps[-1], F.lit(OLDEST)))
+    rules = [(late.between(low, high), F.lit(label)) for label, low, high in CHASE_BANDS]
+    return first_match(*rules, (late > CHASE_BANDS[-1][2], F.lit(CHASE_OLDEST)))
 
 
 def _name(label):
-    return "days_" + label.replace("-", "_").replace("+", "_plus") if label != CURRENT else "current_due"
+    if label == CURRENT:
+        return "current_due"
+    return "days_" + label.split()[0].replace("-", "_").replace("+", "_plus")
 
 
 BAND_COLUMNS = [_name(label) for label in [CURRENT, *[b for b, _ in BANDS], OLDEST]]
 
 
-def ageing(open_items, keys, due, value, as_of, band=age_band):
+def ageing(open_items, keys, due, value, as_of):
     """One row per key with an exact sum per band, in a single grouped pass.
 
-    ``open_items`` holds balances with tax; zero balances are left out.
+    ``open_items`` holds balances with tax; zero balances are left out. A band without items is null.
     """
-    items = open_items.filter(value != 0).withColumn("_band", band(due, as_of)).withColumn("_value", value)
+    items = open_items.filter(value != 0).withColumn("_band", age_band(due, as_of)).withColumn("_value", value)
     labels = [CURRENT, *[b for b, _ in BANDS], OLDEST]
 
     def of(cond):
-        return F.coalesce(F.sum(F.when(cond, F.col("_value"))), F.lit(0))
+        return F.sum(F.when(cond, F.col("_value")))
 
     return items.groupBy(*keys).agg(
         *[of(F.col("_band") == label).alias(_name(label)) for label in labels],
@@ -68,6 +78,15 @@ def ageing_report(aged):
     return aged.withColumns({c: amount(F.col(c)) for c in SUM_COLUMNS})
 
 
+CHASE_COLUMNS = {_name(label): label for label in [*[b for b, _, _ in CHASE_BANDS], CHASE_OLDEST]}
+
+
+def chase_columns(due, value, as_of):
+    """Columns of an item's value by chase band, zero in the bands it is not in."""
+    band = chase_band(due, as_of)
+    return {c: F.when(band == label, value).otherwise(F.lit(0)) for c, label in CHASE_COLUMNS.items()}
+
+
 def terms_due(due, credit_days, gets_terms):
     """Due day moved by the credit terms where the item earns them; an unknown kind stays null."""
     return F.when(gets_terms, F.date_add(due, credit_days)).when(~gets_terms, due)

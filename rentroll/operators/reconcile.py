@@ -28,10 +28,10 @@ def compare_feeds(ours, theirs, key, our_amount, their_amount):
 
 
 def keep_or_remove(df, keys, system, trusted):
-    """Among duplicates keep the trusted system's rows; rows without a duplicate always stay."""
+    """Rows that exist in several copies stay; a single copy stays only if the trusted system has it."""
     counted = count_per_key(df, keys, "copies")
     return counted.withColumn(
-        "verdict", F.when((F.col("copies") == 1) | (F.col(system) == trusted), "Keep").otherwise("Remove")
+        "verdict", F.when((F.col("copies") > 1) | (F.col(system) == trusted), "keep").otherwise("remove")
     )
 
 

@@ -13,11 +13,15 @@ def furthest_stage(*stages, otherwise="None"):
     return first_match(*[(c, F.lit(label)) for c, label in stages], otherwise=F.lit(otherwise))
 
 
-def utilisation(charge, leased, in_application):
+def is_free(charge):
+    return charge == F.lit(FREE_OF_CHARGE).cast("decimal(4,2)")
+
+
+def utilisation(free, leased, in_application):
     """Free of charge > leased > in application > no."""
     return F.coalesce(
-        F.when(charge == F.lit(FREE_OF_CHARGE).cast("decimal(4,2)"), F.lit("FoC")),
-        F.when(leased, F.lit("Leased")),
+        F.when(free, F.lit("Yes (FoC)")),
+        F.when(leased, F.lit("Yes")),
         F.when(in_application, F.lit("In Application")),
         F.lit("No"),
     )

@@ -10,27 +10,27 @@ from rentroll.plans.base import AS_OF, DAY, GROSS, customer_place, open_items, o
 from rentroll.plans.registry import query
 
 BAND_SQL = f"""CASE WHEN due >= {DAY} THEN 'Current'
-            WHEN due >= {DAY} - 30 THEN '1-30'
-            WHEN due >= {DAY} - 60 THEN '31-60'
-            WHEN due >= {DAY} - 90 THEN '61-90'
-            WHEN due >= {DAY} - 120 THEN '91-120'
-            ELSE '120+' END"""
+            WHEN due >= {DAY} - 30 THEN '1-30 Days'
+            WHEN due >= {DAY} - 60 THEN '31-60 Days'
+            WHEN due >= {DAY} - 90 THEN '61-90 Days'
+            WHEN due >= {DAY} - 120 THEN '91-120 Days'
+            ELSE '120+ Days' END"""
 
 
 def sums_sql(value="open"):
     bands = [
         ("Current", "current_due"),
-        ("1-30", "days_1_30"),
-        ("31-60", "days_31_60"),
-        ("61-90", "days_61_90"),
-        ("91-120", "days_91_120"),
-        ("120+", "days_120_plus"),
+        ("1-30 Days", "days_1_30"),
+        ("31-60 Days", "days_31_60"),
+        ("61-90 Days", "days_61_90"),
+        ("91-120 Days", "days_91_120"),
+        ("120+ Days", "days_120_plus"),
     ]
     cols = [
-        f"CAST(ROUND(COALESCE(SUM({value}) FILTER (WHERE band = '{b}'), 0), 2) AS DOUBLE) AS {c}" for b, c in bands
+        f"CAST(ROUND(SUM({value}) FILTER (WHERE band = '{b}'), 2) AS DOUBLE) AS {c}" for b, c in bands
     ]
     cols.append(
-        f"CAST(ROUND(COALESCE(SUM({value}) FILTER (WHERE band <> 'Current'), 0), 2) AS DOUBLE) AS overdue"
+        f"CAST(ROUND(SUM({value}) FILTER (WHERE band <> 'Current'), 2) AS DOUBLE) AS overdue"
     )
     cols.append(f"CAST(ROUND(SUM({value}), 2) AS DOUBLE) AS outstanding")
     return ",\n".join(cols)
@@ -41,9 +41,9 @@ ITEMS_SQL = f"""
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
 
-def by_customer(t, items, band=ag.age_band):
+def by_customer(t, items):
     """Lines to orders to customers, so that only one row per order meets the join."""
-    per_order = ag.ageing(items, ["l_orderkey"], F.col("due"), F.col("open"), AS_OF, band)
+    per_order = ag.ageing(items, ["l_orderkey"], F.col("due"), F.col("open"), AS_OF)
     return ag.ageing_up(per_order.join(order_owner(t), "l_orderkey"), ["c_custkey"])
 
 
@@ -121,11 +121,12 @@ def ageing_with_credits(t):
                      CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 30 WHEN 'BUILDING' THEN 45 WHEN 'MACHINERY' THEN 60
                           ELSE 14 END AS terms
               FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)),
-    late AS (SELECT *, date_diff('day', due, {DAY}) AS n FROM items WHERE due <= {DAY} AND open <> 0),
-    banded AS (SELECT *, CASE WHEN n BETWEEN 1 AND 30 THEN '1-30' WHEN n BETWEEN 31 AND 60 THEN '31-60'
-                  WHEN n BETWEEN 61 AND 90 THEN '61-90' WHEN n BETWEEN 91 AND 120 THEN '91-120'
-                  WHEN n > 120 THEN '120+' END AS band FROM late)
-    SELECT c_custkey, c_name, owner, {sums_sql()} FROM banded GROUP BY c_custkey, c_name, owner
+    late AS (SELECT *, date_diff('day', due, {DAY}) AS n FROM items WHERE due <= {DAY} AND open <> 0)
+    SELECT c_custkey, c_name, owner, CAST(ROUND(SUM(CASE WHEN n BETWEEN 1 AND 30 THEN open ELSE 0 END), 2) AS DOUBLE) AS days_1_30,
+           CAST(ROUND(SUM(CASE WHEN n BETWEEN 31 AND 60 THEN open ELSE 0 END), 2) AS DOUBLE) AS days_31_60,
+           CAST(ROUND(SUM(CASE WHEN n BETWEEN 61 AND 90 THEN open ELSE 0 END), 2) AS DOUBLE) AS days_61_90,
+           CAST(ROUND(SUM(CASE WHEN n > 90 THEN open ELSE 0 END), 2) AS DOUBLE) AS days_91_plus
+    FROM late GROUP BY c_custkey, c_name, owner
     """,
 )
 def terms_adjusted_ageing(t):
@@ -153,12 +154,11 @@ def terms_adjusted_ageing(t):
     items = lines.join(orders, "l_orderkey").join(customer, "c_custkey").withColumn(
         "due", ag.terms_due(F.col("due"), F.col("terms"), F.col("gets_terms"))
     )
-    late = items.filter(F.col("due") <= F.lit(AS_OF))
-    return ag.ageing_report(
-        ag.ageing(
-            late, ["c_custkey", "c_name", "owner"], F.col("due"), F.col("open"), AS_OF, ag.age_band_from_day_one
-        )
+    late = items.filter(F.col("due") <= F.lit(AS_OF)).withColumns(
+        ag.chase_columns(F.col("due"), F.col("open"), AS_OF)
     )
+    sums = [amount(F.sum(c)).alias(c) for c in ag.CHASE_COLUMNS]
+    return late.groupBy("c_custkey", "c_name", "owner").agg(*sums)
 
 
 @query(
@@ -186,9 +186,9 @@ def ageing_sorted_report(t):
     WITH m AS (SELECT o_orderkey, o_custkey, date_diff('day', {DAY}, CAST(o_orderdate AS DATE) + 730) AS days_left
                FROM orders)
     SELECT o_orderkey, o_custkey, days_left,
-           CASE WHEN days_left <= 0 THEN 'Matured' WHEN days_left <= 30 THEN '0-30' WHEN days_left <= 60 THEN '31-60'
-                WHEN days_left <= 90 THEN '61-90' WHEN days_left <= 180 THEN '91-180'
-                WHEN days_left <= 365 THEN '181-365' WHEN days_left > 365 THEN '365+' END AS ladder
+           CASE WHEN days_left <= 0 THEN 'Already Matured' WHEN days_left <= 30 THEN '1 Month or Less'
+                WHEN days_left <= 60 THEN '1-2 Months' WHEN days_left <= 90 THEN '2-3 Months' WHEN days_left <= 180 THEN '3-6 Months'
+                WHEN days_left <= 365 THEN '6-12 Months' WHEN days_left > 365 THEN 'More than 1 Year' END AS ladder
     FROM m
     """,
 )

@@ -27,9 +27,10 @@ DAY = "DATE '2001-06-30'"
 EVENT_DAY = "DATE '2024-01-31'"
 
 
-def open_items(t, where=F.lit(True)):
+def open_items(t, where=None):
     """Order lines as receivables: due on the ship day, open with tax."""
-    return t("lineitem").filter(where).select(
+    lines = t("lineitem") if where is None else t("lineitem").filter(where)
+    return lines.select(
         "l_orderkey", F.to_date("l_shipdate").alias("due"), gross().alias("open"), "l_returnflag"
     )
 

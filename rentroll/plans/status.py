@@ -39,7 +39,7 @@ def pipeline_stage(t):
     "utilisation_flag",
     "D14 C02 V019 V116",
     f"""
-    SELECT p_partkey, COALESCE(CASE WHEN charge = 0.01 THEN 'FoC' END, CASE WHEN n_open > 0 THEN 'Leased' END,
+    SELECT p_partkey, COALESCE(CASE WHEN charge = 0.01 THEN 'Yes (FoC)' END, CASE WHEN n_open > 0 THEN 'Yes' END,
         CASE WHEN n_any > 0 THEN 'In Application' END, 'No') AS utilised
     FROM part LEFT JOIN (SELECT l_partkey, COUNT(*) AS n_any, COUNT(*) FILTER (WHERE l_linestatus = 'O' AND l_quantity > 45) AS n_open,
         CASE WHEN MIN(l_quantity) > 2 THEN CAST(0.01 AS DECIMAL(4,2)) ELSE CAST(1 AS DECIMAL(4,2)) END AS charge
@@ -53,7 +53,7 @@ def utilisation_flag(t):
         F.count_if((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 45)).alias("n_open"),
         F.when(F.min("l_quantity") > 2, F.lit("0.01")).otherwise("1").cast("decimal(4,2)").alias("charge"),
     )
-    flag = status.utilisation(F.col("charge"), F.col("n_open") > 0, F.col("n_any") > 0)
+    flag = status.utilisation(status.is_free(F.col("charge")), F.col("n_open") > 0, F.col("n_any") > 0)
     return t("part").select("p_partkey").join(use, "p_partkey", "left").select("p_partkey", flag.alias("utilised"))
 
 
@@ -147,7 +147,7 @@ def profit_loss_split(t):
     "D12 W09 V105",
     """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, copies,
-           CASE WHEN copies = 1 OR l_linestatus = 'O' THEN 'Keep' ELSE 'Remove' END AS verdict
+           CASE WHEN copies > 1 OR l_linestatus = 'O' THEN 'keep' ELSE 'remove' END AS verdict
     FROM (SELECT *, COUNT(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS copies FROM lineitem)
     """,
 )
