@@ -75,9 +75,12 @@ def distinct_per_key(df, keys, value, out="n_distinct"):
     return spread_join(df, per_key, keys).drop("n")
 
 
-def in_groups(df, keys, slot, share=SHARE, floor=FLOOR):
-    """Add ``_group``: the key itself, or key and slot where the key is hot (``_pieces`` not null)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+def in_groups(df, keys, slot, share=SHARE, floor=FLOOR, source=None):
+    """Add ``_group``: the key itself, or key and slot where the key is hot (``_pieces`` not null).
+
+    ``source``: rows to count keys on, where counting them in ``df`` would repeat costly work.
+    """
+    counts = (df if source is None else source).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     tagged = mark_hot(df, hot_keys(counts, keys, share, floor), keys)
     return tagged.withColumn("_group", F.struct(*keys, F.when(F.col("_pieces").isNotNull(), slot).alias("_slot")))
 
@@ -101,6 +104,7 @@ def ordered_columns(
     last=None,
     share=SHARE,
     floor=FLOOR,
+    source=None,
 ):
     """Add columns that depend on the order of rows inside each key.
 
@@ -108,10 +112,13 @@ def ordered_columns(
     ``slot``: expression that never falls along ``order``; it cuts hot keys, e.g. the day of an event.
     ``running``/``previous``/``following``/``first``/``last``: ``{new name: column name}``.
     Running sums expect exact types (integer or decimal).
+    ``source``: a cheaper frame of the same rows (before joins or earlier ordinals); hot keys and the
+    totals of their slots are then taken from it, and ``df`` itself is read once.
     """
     running, previous, following = running or {}, previous or {}, following or {}
     first, last = first or {}, last or {}
-    tagged = in_groups(df, keys, slot, share, floor)
+    tagged = in_groups(df, keys, slot, share, floor, source)
+    origin = tagged if source is None else in_groups(source, keys, slot, share, floor)
 
     # Inside one slot (for an ordinary key: the whole key).
     asc = Window.partitionBy("_group").orderBy(*order)
@@ -135,7 +142,7 @@ def ordered_columns(
     edges |= {f"_slot_sum_{o}": F.sum(c) for o, c in running.items()}
     edges |= {f"_slot_last_{o}": F.max_by(F.struct(c), rank) for o, c in (previous | last).items()}
     edges |= {f"_slot_first_{o}": F.min_by(F.struct(c), rank) for o, c in (following | first).items()}
-    slots = tagged.filter(F.col("_pieces").isNotNull()).groupBy("_group").agg(
+    slots = origin.filter(F.col("_pieces").isNotNull()).groupBy("_group").agg(
         *[e.alias(n) for n, e in edges.items()]
     )
     along = along_slots(keys)

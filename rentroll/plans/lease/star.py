@@ -19,7 +19,7 @@ NOW_SK = """CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 1 THEN o_orderkey
         WHEN o_orderstatus = 'P' THEN o_orderkey * 4 + 2
         WHEN o_orderstatus = 'F' AND o_orderkey % 4 = 0 THEN o_orderkey * 4 + 4 ELSE o_orderkey * 4 + 3 END"""
 LINE = "(l_orderkey * 10 + l_linenumber)"
-LINE_ID = "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey"
+LINE_ID = "((((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT))"
 NET = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"
 
 
