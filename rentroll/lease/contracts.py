@@ -377,22 +377,17 @@ APPLIED = ("pending", "datagathering", "creditanalysis", "amendment", "approved"
 
 
 @view
-def assets_in_application(w):
-    """Assets of open applications with their stage, numbered from the latest application."""
-    apps = credit_applications(w).select(
-        "opportunity_id", "opportunity_number", "credit_profile_id", "credit_profile_number", "loc_status", "application_status",
-        "application_created", "product_name", "company_name", "legal_entity", "application_created_by",
-    )
-    by_profile = apps.filter(F.lower("loc_status").isin(*APPLIED)).join(
-        w.current("dim_profile_asset").select("credit_profile_id", "asset_id"), "credit_profile_id"
+def application_states(w):
+    """Applications that are still on their way, with what decides it: three statuses, a stage and a day."""
+    profile = w.current("dim_credit_profile").select(
+        "opportunity_id", F.col("bk_credit_profile_id").alias("credit_profile_id"), F.col("status").alias("loc_status")
     )
-    by_application = apps.filter(F.lower("application_status") == "pending").join(
-        w.current("dim_application_asset").select(F.col("credit_application_id").alias("opportunity_id"), "asset_id"), "opportunity_id"
+    application = w.current("dim_credit_application").select(
+        F.col("bk_credit_application_id").alias("opportunity_id"), F.col("status").alias("application_status"), F.col("created_time").alias("application_created")
     )
-    both = by_profile.unionByName(by_application).distinct()
+    opportunity = w.current("dim_opportunity").select(F.col("bk_opportunity_id").alias("opportunity_id"), F.col("number").alias("opportunity_number"))
     lease = contract_core(w).filter(F.col("opportunity_number").isNotNull()).select("opportunity_number", F.col("status").alias("lease_status"))
-    sheet = asset_sheet(w).select("asset_id", "alias", "asset_status", "make_name", "model_name", "asset_sub_type")
-    rows = both.join(lease, "opportunity_number", "left").join(sheet, "asset_id", "left").distinct()
+    rows = opportunity.join(profile, "opportunity_id", "left").join(application, "opportunity_id", "left").join(lease, "opportunity_number", "left")
     app, loc, booked = F.lower("application_status"), F.lower("loc_status"), F.lower("lease_status")
     keep = (
         (app == "pending")
@@ -405,10 +400,43 @@ def assets_in_application(w):
         F.when(F.col("application_status").isNotNull(), F.lit("Credit App")),
         F.lit("Unknown"),
     )
-    staged = rows.filter(keep).withColumn("application_stage", stage)
-    return ordered_columns(
-        staged, ["asset_id"], ["application_created", "opportunity_id"], F.col("application_created"), reverse_ordinal="latest_application"
+    return rows.filter(keep).withColumn("application_stage", stage)
+
+
+@view
+def applied_assets(w):
+    """Assets of those applications, each pair once, from the credit profile or from the application."""
+    states = application_states(w)
+    by_profile = states.filter(F.lower("loc_status").isin(*APPLIED)).join(
+        w.current("dim_profile_asset").select("credit_profile_id", "asset_id"), "credit_profile_id"
+    )
+    by_application = states.filter(F.lower("application_status") == "pending").join(
+        w.current("dim_application_asset").select(F.col("credit_application_id").alias("opportunity_id"), "asset_id"), "opportunity_id"
+    )
+    return by_profile.unionByName(by_application).distinct()
+
+
+@view
+def assets_in_application(w):
+    """Assets of open applications with their stage, numbered from the latest application.
+
+    The pairs are numbered first, the wide columns are joined afterwards.
+    """
+    numbered = ordered_columns(
+        applied_assets(w), ["asset_id"], ["application_created", "opportunity_id"], F.col("application_created"), reverse_ordinal="latest_application"
+    )
+    wide = credit_applications(w).select(
+        "opportunity_id", "credit_profile_number", "product_name", "company_name", "legal_entity", "application_created_by"
     )
+    sheet = asset_sheet(w).select("asset_id", "alias", "asset_status", "make_name", "model_name", "asset_sub_type")
+    return numbered.join(wide, "opportunity_id", "left").join(sheet, "asset_id", "left")
+
+
+@view
+def assets_in_application_latest(w):
+    """Only the latest application of each asset."""
+    order = F.col("application_created").desc(), F.col("opportunity_id").desc()
+    return versions.first_per_key(applied_assets(w), ["asset_id"], *order)
 
 
 @view

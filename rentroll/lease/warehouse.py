@@ -35,6 +35,7 @@ class Warehouse:
         self._table = table
         self.settings = settings
         self.as_of = settings.as_of
+        self._tables = {}
         self._views = {}
 
     @classmethod
@@ -44,7 +45,9 @@ class Warehouse:
         return cls(spark, lambda name: files(prefix + name).withColumnsRenamed(renamed or {}), settings)
 
     def __call__(self, name):
-        return self._table(name)
+        if name not in self._tables:
+            self._tables[name] = self._table(name)
+        return self._tables[name]
 
     def current(self, name):
         """Current versions only."""

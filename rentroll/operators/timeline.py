@@ -16,54 +16,63 @@ def change_points(versions, keys, order, state, slot, **hot):
     return kept.drop(first_of_key, "_before")
 
 
-def state_intervals(versions, keys, order, state, at, ends, slot, **hot):
+def state_intervals(versions, keys, order, state, at, ends, slot, last=None, unset=None, **hot):
     """Change points as closed intervals ``valid_from``..``valid_to``, in one shuffle of the history.
 
     A state ends where the next one starts, and never later than the end ``ends`` of the key's last
-    version. A hot key is cut into slots; the first row of a slot is a change only if the slot before
-    ended in another state, which one row per slot is enough to tell.
+    version. ``last`` adds other values of the key's last version: ``{new name: column}``. ``unset``
+    tells, from a state, that nothing was known before; the row after such a state opens a new one.
+
+    A hot key is cut into slots; the first row of a slot is a change only if the slot before ended in
+    another state, which one row per slot is enough to tell.
     """
+    last = last or {}
+    tail = F.struct(ends, *dict.fromkeys(c for c in last.values() if c != ends))
     asc = Window.partitionBy("_group").orderBy(*order)
     whole = asc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     now, opens = F.struct(state), F.col("_rn") == 1
+
+    def is_new(value, before):
+        differs = changed(value, before)
+        return differs if unset is None else differs | unset(before[state])
+
     seen = in_groups(versions, keys, slot, **hot).withColumns(
-        {
-            "_rn": F.row_number().over(asc),
-            "_before": F.lag(now).over(asc),
-            "_last_end": F.last(F.struct(ends)).over(whole),
-        }
+        {"_rn": F.row_number().over(asc), "_before": F.lag(now).over(asc), "_tail": F.last(tail).over(whole)}
     )
     # A candidate opens a group or differs from the row before it.
-    steps = seen.filter(opens | changed(now, F.col("_before"))).withColumn("_next", F.lead(at).over(asc))
+    steps = seen.filter(opens | is_new(now, F.col("_before"))).withColumn("_next", F.lead(at).over(asc))
 
     rank = F.struct(*order)
-    slots = steps.filter(F.col("_pieces").isNotNull()).groupBy("_group").agg(
+    slots = seen.filter(F.col("_pieces").isNotNull()).groupBy("_group").agg(
         F.min_by(now, rank).alias("_opening"),
         F.min(at).alias("_opening_at"),
-        F.min(F.when(~opens, F.col(at))).alias("_inner_at"),
+        F.min(F.when(~opens & is_new(now, F.col("_before")), F.col(at))).alias("_inner_at"),
         F.max_by(now, rank).alias("_closing"),
-        F.first("_last_end").alias("_slot_end"),
+        F.first("_tail").alias("_slot_tail"),
     )
     along = along_slots(keys)
     back = Window.partitionBy(*[F.col(f"_group.{k}") for k in keys]).orderBy(F.col("_group._slot").desc())
     every = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = slots.withColumn("_prior", F.lag("_closing").over(along)).withColumn(
-        "_first_change", F.when(changed(F.col("_opening"), F.col("_prior")), F.col("_opening_at")).otherwise(F.col("_inner_at"))
+        "_first_change",
+        F.when(F.col("_prior").isNull() | is_new(F.col("_opening"), F.col("_prior")), F.col("_opening_at")).otherwise(F.col("_inner_at")),
     )
     edges = edges.select(
         "_group",
         "_prior",
         F.last("_first_change", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_later"),
-        F.last("_slot_end").over(every).alias("_key_end"),
+        F.last("_slot_tail").over(every).alias("_key_tail"),
     )
-    points = steps.join(edges, "_group", "left").filter(~opens | changed(now, F.col("_prior")))
+    first_of_key = opens & F.col("_prior").isNull()
+    points = steps.join(edges, "_group", "left").filter(~opens | first_of_key | is_new(now, F.col("_prior")))
     next_at = F.coalesce(F.to_date("_next"), F.to_date("_later"), F.lit(OPEN_END))
-    last_end = F.to_date(F.coalesce("_key_end", "_last_end")[ends])
+    at_last = F.coalesce("_key_tail", "_tail")
     return points.select(
         *keys,
         state,
         F.col(at).alias("valid_from"),
-        F.least(next_at, F.coalesce(last_end, F.lit(OPEN_END))).alias("valid_to"),
+        F.least(next_at, F.coalesce(F.to_date(at_last[ends]), F.lit(OPEN_END))).alias("valid_to"),
+        *[at_last[c].alias(out) for out, c in last.items()],
     )
 
 
@@ -78,6 +87,28 @@ def friday_snapshots(intervals, start, end, as_of, out="snapshot"):
     return intervals.withColumn(out, F.explode(weeks))
 
 
+def balance_at(snapshots, moves, keys, day, moved_on, value, out, facts=None):
+    """What had been moved before each snapshot day, with other facts carried forward to it.
+
+    ``moves`` are summed per key and day, ``facts`` (one row per key and day, ``{new name: column}``)
+    are as few, so a window holds at most the days of the calendar per key. A move on the snapshot
+    day counts from the next snapshot on.
+    """
+    daily = moves.groupBy(*keys, F.to_date(moved_on).alias("_day")).agg(F.sum(value).alias("_moved"))
+    rows = snapshots.withColumns({"_day": F.to_date(day), "_is_snapshot": F.lit(0)})
+    rows = rows.unionByName(daily.withColumn("_is_snapshot", F.lit(1)), allowMissingColumns=True)
+    named = {}
+    if facts:
+        frame, fact_day, named = facts
+        told = frame.select(*keys, F.to_date(fact_day).alias("_day"), *[F.col(c).alias(f"_fact_{o}") for o, c in named.items()])
+        rows = rows.unionByName(told.withColumn("_is_snapshot", F.lit(1)), allowMissingColumns=True)
+    along = Window.partitionBy(*keys).orderBy("_day", "_is_snapshot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = {out: F.coalesce(F.sum("_moved").over(along), F.lit(0))}
+    carried |= {o: F.last(f"_fact_{o}", ignorenulls=True).over(along) for o in named}
+    told = rows.withColumns(carried).filter(F.col("_is_snapshot") == 0)
+    return told.select(*snapshots.columns, *carried)
+
+
 def weekly_balance(events, keys, at, value, as_of, out="balance"):
     """Balance of each key at every Friday from its first event on, quiet weeks carried forward.
 

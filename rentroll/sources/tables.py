@@ -11,9 +11,12 @@ class Tables:
     def __init__(self, spark, root):
         self.spark = spark
         self.root = str(root).rstrip("/")
+        self._read = {}
 
     def __call__(self, name):
-        return self.spark.read.parquet(self.path(name))
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(self.path(name))
+        return self._read[name]
 
     def path(self, name):
         return f"{self.root}/{name.split('.')[-1]}.parquet"
