@@ -181,8 +181,8 @@ def finance_detail(w):
 
 
 @view
-def finance_latest(w):
-    """Latest finance record of each current contract by record day, with terms, product and days."""
+def finance_records(w):
+    """Latest finance record of each current contract by record day, with terms and customer."""
     contract = current_contracts(w).select(
         "sk_contract", "contract_id", "sequence_number", "contract_number", "status", "report_status", "deal_product_type_id",
         "created_time", "previous_schedule_number", "grace_delinquency_days",
@@ -196,15 +196,20 @@ def finance_latest(w):
         "external_reference_id", "organization_id", "creation_date", "sic_code_id", "business_type_id",
         F.col("current_flag").alias("customer_is_current"),
     )
-    center = lookup(w, "dim_cost_center", "sk_cost_center", "sk_cost_center", cost_center="description")
-    lob = lookup(w, "dim_line_of_business", "sk_line_of_business", "sk_line_of_business", line_of_business="name")
     rows = w("fact_lease_finance_detail").join(contract, "sk_contract").join(finance, "sk_lease_finance").join(customer, "sk_customer")
     order = F.col("sk_contract").desc(), F.col("sk_date_record").desc(), F.col("sk_time_record").desc()
-    latest = versions.first_per_key(rows, ["contract_id"], *order)
-    latest = latest.join(products(w), "deal_product_type_id", "left").join(center, "sk_cost_center", "left").join(lob, "sk_line_of_business", "left")
-    latest = with_day(w, latest, "sk_date_commencement_date", "commencement_date")
-    latest = with_day(w, latest, "sk_date_maturity_date", "maturity_date")
-    return latest.withColumn("payment_method", F.when(F.col("is_advance") == 1, "ADVANCE").otherwise("ARREARS"))
+    return versions.first_per_key(rows, ["contract_id"], *order)
+
+
+@view
+def finance_latest(w):
+    """The finance records with product, cost center, business line and days."""
+    center = lookup(w, "dim_cost_center", "sk_cost_center", "sk_cost_center", cost_center="description")
+    lob = lookup(w, "dim_line_of_business", "sk_line_of_business", "sk_line_of_business", line_of_business="name")
+    wide = finance_records(w).join(products(w), "deal_product_type_id", "left").join(center, "sk_cost_center", "left").join(lob, "sk_line_of_business", "left")
+    wide = with_day(w, wide, "sk_date_commencement_date", "commencement_date")
+    wide = with_day(w, wide, "sk_date_maturity_date", "maturity_date")
+    return wide.withColumn("payment_method", F.when(F.col("is_advance") == 1, "ADVANCE").otherwise("ARREARS"))
 
 
 @view

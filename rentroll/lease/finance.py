@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rentroll.functions.dates import NOT_TERMINATED, month_key, same_month
+from rentroll.functions.dates import NOT_TERMINATED, month_key, on_or_before, same_month
 from rentroll.functions.money import amount, floor_zero
 from rentroll.functions.text import concat_blank, concat_strict
 from rentroll.lease.assets import asset_sheet, asset_status_latest, asset_value, latest_depreciation
@@ -221,10 +221,9 @@ def loan_agreements(w):
     )
 
 
-@view
-def latest_leases(w):
-    """Each asset's lease that ends last, inactive contracts left out, approved or not."""
-    rows = with_day(w, leased_now(w, approved=False, inactive=False), "sk_date_termination_date", "terminated_on")
+def last_lease(w, approved):
+    """Each asset's lease that ends last, inactive contracts left out."""
+    rows = with_day(w, leased_now(w, approved=approved, inactive=False), "sk_date_termination_date", "terminated_on")
     branch = lookup(w, "dim_branch", "sk_branch", "sk_branch", branch_name="branch_name")
     latest = versions.first_per_key(rows, ["asset_id"], F.col("terminated_on").desc(), F.col("contract_id").desc())
     return latest.join(branch, "sk_branch", "left").select(
@@ -232,6 +231,16 @@ def latest_leases(w):
     )
 
 
+@view
+def latest_leases(w):
+    return last_lease(w, approved=False)
+
+
+@view
+def latest_approved_leases(w):
+    return last_lease(w, approved=True)
+
+
 @view
 def contract_sheet(w):
     """Latest finance of each contract with its sales rep."""
@@ -322,7 +331,7 @@ def latest_fact_of_asset(w):
 @view
 def maintenance_moves(w):
     """Budget, recharge and expense amounts per asset and day."""
-    due = w.active("dim_recurring_schedule").filter(F.col("due_date") < F.lit(w.as_of)).select("sundry_recurring_id", "due_date").distinct()
+    due = w.active("dim_recurring_schedule").filter(on_or_before(F.col("due_date"), w.as_of)).select("sundry_recurring_id", "due_date").distinct()
     head = w.current("dim_sundry_recurring").select(F.col("bk_sundry_recurring_id").alias("sundry_recurring_id"), "receivable_code_id")
     head = head.join(lookup(w, "dim_receivable_code", "bk_receivable_code_id", "receivable_code_id"), "receivable_code_id", "left_semi")
     lines = w.current("dim_recurring_detail").groupBy("sundry_recurring_id", "asset_id").agg(F.sum("amount").alias("amount"))

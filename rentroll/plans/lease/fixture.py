@@ -47,8 +47,12 @@ def whole_sql(body):
             order.append(name)
 
     visit(body)
+    if not order:
+        return body
     parts = [f"{name} AS (\n{needed[name]}\n)" for name in order]
-    return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
+    body = body.strip()
+    joint = ",\n" + body[len("WITH "):] if body.startswith("WITH ") else "\n" + body
+    return "WITH " + ",\n".join(parts) + joint
 
 
 def lease_query(name, covers, build, sql):

@@ -173,7 +173,7 @@ STAR = {
         CASE WHEN p_partkey % 5 = 0 THEN 'ann' END AS reserved_by, CASE WHEN p_partkey % 5 = 0 THEN DATE '2001-04-01' + CAST(p_size AS INT) END AS reserve_date,
         DATE '1999-01-01' + CAST(p_partkey % 500 AS INT) AS acquisition_date, CASE WHEN p_partkey % 4 = 1 THEN NULL ELSE DATE '2001-03-01' + CAST(p_partkey % 200 AS INT) END AS available_from,
         CASE WHEN p_partkey % 25 % 8 = 7 THEN NULL WHEN p_partkey % 3 = 0 THEN 'VOF Signed' WHEN p_partkey % 3 = 1 THEN 'Soft' ELSE 'Reserved' END AS allocated_status,
-        DATE '2002-06-30' + CAST(p_partkey % 300 AS INT) AS rv_maturity_date, DATE '2001-05-01' - CAST(p_partkey % 300 AS INT) AS mot_passed_date, CAST(p_partkey % 2 AS INT) AS procurement_program,
+        DATE '2002-06-30' + CAST(p_partkey % 300 AS INT) AS rv_maturity_date, DATE '2001-05-01' - CAST(p_partkey % 300 AS INT) AS mot_passed_date, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS procurement_program,
         CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE 'PRJ' || CAST(p_size AS STRING) END AS project_number, CAST(CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS INT) AS is_migrated,
         CASE WHEN p_partkey % 3 = 0 THEN 'Trailers' ELSE 'Commercial Vehicles' END AS category_name, CAST(p_partkey % 100 AS INT) AS service_intervals_vehicle,
         CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE DATE '2001-05-20' + CAST(p_size AS INT) END AS delivered_on, DATE '2001-06-20' + CAST(p_size AS INT) AS planned_delivery, CAST(12 + p_size AS INT) AS term
