@@ -72,7 +72,7 @@ def compare(spark, con, q, sf_dir):
 
 def main(argv):
     sf = argv[0] if argv else "0.01"
-    chosen = argv[1:]
+    chosen = [a for a in argv[1:] if a != "-v"]
     sf_dir = f"/root/testdata/sf{sf}"
     spark = spark_session(8)
     spark.sparkContext.setLogLevel("ERROR")
@@ -87,7 +87,7 @@ def main(argv):
         except Exception as e:  # report and go on to the next query
             problems = [f"{type(e).__name__}: {str(e)[:600]}"]
         bad += bool(problems)
-        if problems or chosen:
+        if problems or chosen or "-v" in sys.argv:
             print(f"{'FAIL' if problems else 'ok'} {q.name} {time.time() - start:.2f}s", *problems, sep="\n  ")
     print(f"{len(todo) - bad} of {len(todo)} equal at sf{sf}")
     return bad

@@ -6,6 +6,7 @@ from rentroll.lease.warehouse import Settings, Warehouse
 from rentroll.plans.base import AS_OF
 from rentroll.plans.lease.star import DAY_LIST, STAR
 from rentroll.plans.registry import query
+from rentroll.sources.tables import scratch_path
 
 SETTINGS = Settings(
     as_of=AS_OF,
@@ -20,14 +21,38 @@ SETTINGS = Settings(
 )
 
 
-def warehouse(t):
-    def table(name):
-        text = STAR[name].replace("day_expansion", DAY_LIST["spark"])
-        used = set(re.findall(r"\b(?:FROM|JOIN)\s+(region|nation|customer|supplier|part|orders|lineitem|events)\b", text))
-        marked = re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(used) + r")\b", r"\1 {\2}", text)
-        return t.spark.sql(marked, **{name: t(name) for name in used})
+STORED = {}
+"""Where each star table of a session has been written: (application, root, table) -> (path, schema)."""
+
+SOURCES = "region|nation|customer|supplier|part|orders|lineitem|events"
+
+
+def derived(t, name):
+    """A star table as a query on the fixture tables."""
+    text = STAR[name].replace("day_expansion", DAY_LIST["spark"])
+    used = set(re.findall(rf"\b(?:FROM|JOIN)\s+({SOURCES})\b", text))
+    marked = re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(used) + r")\b", r"\1 {\2}", text)
+    return t.spark.sql(marked, **{source: t(source) for source in used})
+
 
-    return Warehouse(t.spark, table, SETTINGS)
+def stored(t, name):
+    """The table as files in the shared folder, written by the first query of a session that needs it.
+
+    A warehouse has tables, not queries: written once, reports scan each of them with column pruning
+    and known sizes instead of deriving it again for every join.
+    """
+    key = (t.spark.sparkContext.applicationId, t.root, name)
+    if key not in STORED:
+        rows = derived(t, name)
+        path = scratch_path(t.spark, name)
+        rows.write.parquet(path)
+        STORED[key] = (path, rows.schema)
+    path, schema = STORED[key]
+    return t.spark.read.schema(schema).parquet(path)
+
+
+def warehouse(t):
+    return Warehouse(t.spark, lambda name: stored(t, name), SETTINGS)
 
 
 VIEWS = {}
