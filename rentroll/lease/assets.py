@@ -7,7 +7,7 @@ from rentroll.functions.text import blank_if, join_parts
 from rentroll.lease.parts import current_assets, current_contracts, lookup, products
 from rentroll.lease.warehouse import view
 from rentroll.operators import versions
-from rentroll.operators.hot import ordered_columns
+from rentroll.operators.hot import attach_many, ordered_columns
 from rentroll.operators.status import furthest_stage
 
 
@@ -248,13 +248,8 @@ def in_application(w):
         "sequence_number",
         "booking_status",
     )
-    rows = (
-        current_assets(w)
-        .select("asset_id", "alias")
-        .join(app, "asset_id", "left")
-        .join(structure, "asset_id", "left")
-        .join(line, "asset_id", "left")
-    )
+    base = current_assets(w).select("asset_id", "alias").join(app, "asset_id", "left").join(structure, "asset_id", "left")
+    rows = attach_many(base, line, ["asset_id"])
     booked = F.col("sequence_number").isNotNull()
     stage = furthest_stage(
         (booked & (F.col("booking_status") == "InstallingAssets"), "contract installing assets"),

@@ -16,7 +16,7 @@ from rentroll.lease.parts import (
 )
 from rentroll.lease.warehouse import view
 from rentroll.operators import versions
-from rentroll.operators.hot import ordered_columns
+from rentroll.operators.hot import attach_many, ordered_columns, split_join
 from rentroll.operators.status import is_free, utilisation
 
 
@@ -458,7 +458,8 @@ def asset_rentals(w):
         F.col("status").alias("lease_status"), "commencement_date", "maturity_date", "customer_term_in_months", "cost_center",
     )
     app = in_application_once(w).select("asset_id", F.col("stage").alias("application_stage"), F.col("opp_number").alias("application_id"))
-    rows = sheet.join(lease, "asset_id", "left").join(contract, "contract_id", "left").join(app, "asset_id", "left")
+    rows = attach_many(sheet.join(app, "asset_id", "left"), lease, ["asset_id"])
+    rows = split_join(rows, contract, ["contract_id"], "left")
     leased = (F.col("asset_status") == "Leased") & (F.lower("lease_status") == "commenced")
     free = leased & (F.col("lease_product") == "Rental") & is_free(F.col("total_charge"))
     return rows.withColumn("utilised", utilisation(free, leased, F.col("application_stage").isNotNull()))

@@ -21,7 +21,7 @@ from rentroll.lease.parts import as_amounts, config, current_assets, lookup, pro
 from rentroll.lease.receivables import customers, sundry_details
 from rentroll.lease.warehouse import view
 from rentroll.operators import versions
-from rentroll.operators.hot import distinct_per_key
+from rentroll.operators.hot import distinct_per_key, split_join
 from rentroll.operators.joins import interval_join
 from rentroll.operators.rollup import pivot_sum
 from rentroll.operators.status import arrears, next_due
@@ -140,10 +140,9 @@ def leased_assets_open(w):
         .join(marks, "sk_lease_asset", "left_semi")
         .join(asset, "sk_asset")
         .join(customer, "sk_customer", "left_semi")
-        .join(status, "asset_id", "left")
-        .join(names, "sk_asset_status", "left")
-        .join(registrations(w).select("asset_id", "registration_number"), "asset_id", "left")
     )
+    facts = status.join(names, "sk_asset_status", "left").join(registrations(w).select("asset_id", "registration_number"), "asset_id", "full")
+    rows = split_join(rows, facts, ["asset_id"], "left")
     return rows.filter(F.col("asset_status").isNull() | (F.col("asset_status") == "Leased"))
 
 
@@ -197,7 +196,7 @@ def regulatory_loans(w):
     assets = assets.filter(F.col("asset_sub_type").isNull() | ~F.col("asset_sub_type").isin(*NOT_REPORTED)).join(
         asset_value(w).select("asset_id", F.col("cost").alias("net_value")), "asset_id", "left"
     )
-    rows = assets.join(heads, "contract_id").join(month_charges(w), ["contract_id", "asset_id"], "left")
+    rows = split_join(assets, heads, ["contract_id"]).join(month_charges(w), ["contract_id", "asset_id"], "left")
     charge = F.coalesce("rent_amount", F.lit(0)) + F.coalesce("month_charge", F.lit(0))
     return rows.withColumn("charge_to_customer", charge)
 
@@ -255,7 +254,7 @@ def accruals_pivot(w):
     heads = contract_sheet(w).filter(~F.coalesce("status", F.lit("")).isin("Inactive", "Pending", "InstallingAssets"))
     names = ["charge_" + c.lower().replace(" ", "_") for c in CHARGE_NAMES]
     wide = pivot_sum(charges_detail(w), ["contract_id", "asset_id"], "charge_name", CHARGE_NAMES, "charges", names)
-    rows = latest_leases(w).drop("branch_name").join(heads.drop("rent_amount"), "contract_id").join(wide, ["contract_id", "asset_id"], "left")
+    rows = split_join(latest_leases(w).drop("branch_name"), heads.drop("rent_amount"), ["contract_id"]).join(wide, ["contract_id", "asset_id"], "left")
     return as_amounts(
         rows.select(
             "contract_id", "asset_id", "sequence_number", "status", "product_name", "payment_method", "sales_rep", F.round(F.col("total_yield"), 2).cast("double").alias("interest_rate"),
@@ -276,7 +275,7 @@ def residual_receivables(w):
         "contract_id", "sequence_number", "commencement_date", "maturity_date", "party_name", "product_name", "payment_method", "sales_rep", "lease_contract_type"
     )
     charges = charges_by_asset(w).select("contract_id", "asset_id", "charges")
-    joined = sheet.join(live, "asset_id").join(heads, "contract_id").join(charges, ["contract_id", "asset_id"], "left")
+    joined = split_join(sheet.join(live, "asset_id"), heads, ["contract_id"]).join(charges, ["contract_id", "asset_id"], "left")
     budget = F.coalesce("charges", F.lit(0))
     return as_amounts(
         joined.withColumns({"asset_budget_value": budget, "total_charge": budget + F.coalesce("rent", F.lit(0))}).drop("charges").distinct(),
@@ -304,7 +303,7 @@ def maintenance_budgets(w):
     heads = finance_latest(w).filter(F.col("status") == "Commenced").select(
         "contract_id", "lease_finance_id", "company_name", "sequence_number", "payment_method", "commencement_date", "maturity_date", "product_name"
     )
-    joined = rows.join(asset, "asset_id").join(heads, ["contract_id", "lease_finance_id"]).join(charged, ["lease_finance_id", "asset_id"], "left")
+    joined = split_join(split_join(rows, asset, ["asset_id"]), heads, ["contract_id", "lease_finance_id"]).join(charged, ["lease_finance_id", "asset_id"], "left")
     return as_amounts(
         joined.select(
             "contract_id", "asset_id", "company_name", "sequence_number", "payment_method", "commencement_date", "maturity_date", "product_name", "terminated_on", "alias", "serial_number",
@@ -329,24 +328,44 @@ def latest_fact_of_asset(w):
 
 
 @view
-def maintenance_moves(w):
-    """Budget, recharge and expense amounts per asset and day."""
-    due = w.active("dim_recurring_schedule").filter(on_or_before(F.col("due_date"), w.as_of)).select("sundry_recurring_id", "due_date").distinct()
+def budget_lines(w):
+    """Recurring amount per charge and asset."""
     head = w.current("dim_sundry_recurring").select(F.col("bk_sundry_recurring_id").alias("sundry_recurring_id"), "receivable_code_id")
     head = head.join(lookup(w, "dim_receivable_code", "bk_receivable_code_id", "receivable_code_id"), "receivable_code_id", "left_semi")
     lines = w.current("dim_recurring_detail").groupBy("sundry_recurring_id", "asset_id").agg(F.sum("amount").alias("amount"))
-    budgets = lines.join(head, "sundry_recurring_id", "left_semi").join(due, "sundry_recurring_id").select(
-        "asset_id", F.col("due_date").alias("day"), F.lit("budget").alias("kind"), "amount"
-    )
+    return lines.join(head, "sundry_recurring_id", "left_semi")
+
+
+@view
+def budget_days(w):
+    """Days a recurring charge has fallen due on so far."""
+    due = w.active("dim_recurring_schedule").filter(on_or_before(F.col("due_date"), w.as_of))
+    return due.select("sundry_recurring_id", F.col("due_date").alias("day")).distinct()
+
+
+@view
+def one_off_moves(w):
+    """One-off charges of an asset as recharge or expense on their day."""
     once = sundry_details(w).filter(F.col("asset_id").isNotNull())
     paid = F.col("sundry_type") == "PayableOnly"
-    one_off = once.select(
+    billed = F.col("sundry_type") == "ReceivableOnly"
+    return once.select(
         "asset_id",
-        F.when(paid, F.col("payable_due_date")).when(F.col("sundry_type") == "ReceivableOnly", F.col("receivable_due_date")).alias("day"),
-        F.when(paid, "expense").when(F.col("sundry_type") == "ReceivableOnly", "recharge").alias("kind"),
+        F.when(paid, F.col("payable_due_date")).when(billed, F.col("receivable_due_date")).alias("day"),
+        F.when(paid, "expense").when(billed, "recharge").alias("kind"),
         "amount",
     )
-    return budgets.unionByName(one_off).join(current_assets(w).select("asset_id"), "asset_id", "left_semi")
+
+
+def _known(w, moves):
+    return moves.join(current_assets(w).select("asset_id"), "asset_id", "left_semi")
+
+
+@view
+def maintenance_moves(w):
+    """Budget, recharge and expense amounts per asset and day."""
+    budgets = budget_lines(w).join(budget_days(w), "sundry_recurring_id").select("asset_id", "day", F.lit("budget").alias("kind"), "amount")
+    return _known(w, budgets.unionByName(one_off_moves(w)))
 
 
 def _running_profit(monthly, keys, owner, month="month_key"):
@@ -363,12 +382,21 @@ def _by_month(moves, keys):
     def of(kind):
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("amount"))), F.lit(0)).alias(kind)
 
-    return moves.groupBy(*keys, month_key(F.col("day")).alias("month_key")).agg(of("budget"), of("recharge"), of("expense"))
+    return moves.groupBy(*keys, "month_key").agg(of("budget"), of("recharge"), of("expense"))
 
 
 def maintenance_costs(w):
-    """Monthly maintenance income and expense per registration with running totals."""
-    monthly = _by_month(maintenance_moves(w), ["asset_id"])
+    """Monthly maintenance income and expense per registration with running totals.
+
+    Due days are counted per charge and month before they meet the charge's assets, so the join makes
+    no more rows than the report has months.
+    """
+    months = budget_days(w).groupBy("sundry_recurring_id", month_key(F.col("day")).alias("month_key")).agg(F.count("day").alias("days"))
+    budgets = budget_lines(w).join(months, "sundry_recurring_id").select(
+        "asset_id", "month_key", F.lit("budget").alias("kind"), (F.col("amount") * F.col("days")).alias("amount")
+    )
+    once = one_off_moves(w).withColumn("month_key", month_key(F.col("day"))).drop("day")
+    monthly = _by_month(_known(w, budgets.unionByName(once)), ["asset_id"])
     named = monthly.join(registrations(w).filter(F.col("is_active") == 1).select("asset_id", "registration_number"), "asset_id")
     return _running_profit(named, ["registration_number", "asset_id"], "registration_number")
 
@@ -388,7 +416,8 @@ def hire_maintenance_provision(w):
     moves = maintenance_moves(w).groupBy("asset_id", "day", "kind").agg(F.sum("amount").alias("amount"))
     inside = interval_join(moves, spans, ["asset_id"], "day", F.col("commencement_date"), F.col("contract_end"), F.col("contract_end"), closed=True)
     keys = ["asset_id", "sequence_number", "status", "company_name", "cost_center", "commencement_date", "contract_end"]
-    named = _by_month(inside, keys).join(registrations(w).filter(F.col("is_active") == 1).select("asset_id", "registration_number"), "asset_id")
+    dated = inside.withColumn("month_key", month_key(F.col("day")))
+    named = _by_month(dated, keys).join(registrations(w).filter(F.col("is_active") == 1).select("asset_id", "registration_number"), "asset_id")
     return _running_profit(named, ["registration_number", *keys], "registration_number")
 
 
@@ -403,7 +432,8 @@ def residual_analysis(w):
     rows = w("fact_lease_asset").join(asset, "sk_asset").join(customer, "sk_customer").join(contract, "sk_contract").join(branch, "sk_branch")
     counted = distinct_per_key(rows, ["contract_id"], "asset_id", "equipment_count")
     charges = charges_by_asset(w).select("contract_id", "asset_id", "charges")
-    wide = counted.join(charges, ["contract_id", "asset_id"], "left").join(latest_depreciation(w), "asset_id", "left")
+    wide = counted.join(charges, ["contract_id", "asset_id"], "left")
+    wide = split_join(wide, latest_depreciation(w), ["asset_id"], "left")
     ended = F.when(F.col("sk_date_termination_date") > 0, F.col("sk_date_termination_date"))
     budget = F.coalesce("charges", F.lit(0))
     return as_amounts(

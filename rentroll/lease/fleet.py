@@ -18,6 +18,7 @@ from rentroll.lease.contracts import (
 from rentroll.lease.parts import as_amounts
 from rentroll.lease.receivables import customers
 from rentroll.operators.ageing import days_ladder, days_to_go
+from rentroll.operators.hot import attach_many, split_join
 
 
 def dash(column):
@@ -135,7 +136,7 @@ def asset_nbv(w):
 def sale_stock(w):
     """Stock with the days since termination; open-ended leases give a negative count."""
     lease = lease_assets_live(w).select("asset_id", "termination_date")
-    rows = asset_sheet(w).join(lease, "asset_id", "left")
+    rows = attach_many(asset_sheet(w), lease, ["asset_id"])
     return rows.select(
         "asset_id", "registration_number", F.col("equipment_nbv").cast("double").alias("stock_nbv"), "asset_status",
         F.col("gvw").cast("int").alias("gvw"), "termination_date",
@@ -157,7 +158,7 @@ def _leases(w, assets, *parts):
     """Leased assets with the asset sheet and the contract parts of a report."""
     sheet = asset_sheet(w).drop("current_flag").withColumnsRenamed({"product_name": "vehicle_category", "is_migrated": "asset_is_migrated"})
     contract = contracts_with(w, *parts).drop("sequence_number", "customer_id", "rent_amount", "asset_budget_value", "total_charge")
-    return assets.join(sheet, "asset_id").join(contract, "contract_id")
+    return split_join(assets.join(sheet, "asset_id"), contract, ["contract_id"])
 
 
 def terminated_assets(w):
@@ -308,9 +309,10 @@ def accruals_by_charge(w):
 
 def maturity_timeframes(w):
     """Leased assets by time left to maturity."""
-    rows = lease_assets_live(w).drop("sequence_number", "customer_id").join(
-        contracts_with(w, "product", "terms", "sales_rep", "maturity", "commencement").drop("lease_rent_amount"), "contract_id", "left"
-    ).join(asset_sheet(w).select("asset_id", "registration_number", "term"), "asset_id", "left")
+    contract = contracts_with(w, "product", "terms", "sales_rep", "maturity", "commencement").select(
+        "contract_id", "sequence_number", "product_name", "sales_rep", "maturity_date"
+    )
+    rows = split_join(lease_assets_live(w).select("contract_id", "asset_id", "total_charge"), contract, ["contract_id"], "left").join(asset_sheet(w).select("asset_id", "registration_number", "term"), "asset_id", "left")
     left = days_to_go(F.col("maturity_date"), w.as_of)
     return as_amounts(
         rows.select(

@@ -18,7 +18,7 @@ from rentroll.lease.pipeline import contract_events
 from rentroll.lease.receivables import sundry_details
 from rentroll.lease.warehouse import view
 from rentroll.operators import versions
-from rentroll.operators.hot import ordered_columns
+from rentroll.operators.hot import attach_many, ordered_columns, split_join
 from rentroll.operators.joins import either_key_join, text_key_join
 from rentroll.operators.reconcile import keep_or_remove
 from rentroll.operators.status import is_free
@@ -286,7 +286,7 @@ def leases_of_assets(w):
     terms = finance_records(w).select(
         "contract_id", "company_name", "contract_number", "sequence_number", "status", "sk_date_maturity_date", "customer_term_in_months", "payment_frequency"
     )
-    rows = with_day(w, numbered.join(terms, "contract_id"), "sk_date_maturity_date", "maturity_date")
+    rows = with_day(w, split_join(numbered, terms, ["contract_id"]), "sk_date_maturity_date", "maturity_date")
     return with_day(w, rows, "sk_date_commencement_date", "commencement_date")
 
 
@@ -307,7 +307,7 @@ def fleet_with_leases(w):
     assets = _registered(w, _located(w, assets)).join(serials(w), "asset_id", "left")
     flag = in_application_once(w).select("asset_id", F.lit(1).alias("applied"))
     lease = leases_of_assets(w).withColumnRenamed("status", "contract_status")
-    rows = assets.join(lease, "asset_id", "left").join(flag, "asset_id", "left")
+    rows = attach_many(assets.join(flag, "asset_id", "left"), lease, ["asset_id"])
     return as_amounts(
         rows.select(
             "asset_id", "registration_number", "alias", "product_name", "gvw", "body_type", "body_builder", "serial_number", "asset_status", "asset_sub_type", "city", "contract_id", "sequence_number",
@@ -321,7 +321,7 @@ def fleet_in_application(w):
     """Assets in application with registration and status."""
     status = lookup(w, "dim_asset_status", "sk_asset_status", "sk_asset_status", asset_status="asset_status")
     assets = current_assets(w).select("asset_id", "sk_asset", "fleet_number").join(w("fact_asset_status").select("sk_asset", "sk_asset_status"), "sk_asset", "left").join(status, "sk_asset_status", "left")
-    return _registered(w, assets).join(in_application(w), "asset_id").select(
+    return split_join(in_application(w), _registered(w, assets), ["asset_id"]).select(
         "asset_id", "registration_number", "fleet_number", "asset_status", "stage", "opp_number", "credit_number", "company", "product"
     )
 
@@ -342,7 +342,8 @@ def fleet_in_inventory(w):
     )
     rows = asset_details(w).filter(F.col("asset_status") == "Inventory").join(config(w, "asset_sub_type_id", "asset_sub_type"), "asset_sub_type_id", "left")
     app = in_application(w).select("asset_id", "stage", "opp_number", "credit_number", "company")
-    return _registered(w, _located(w, rows)).join(last, "asset_id", "left").join(app, "asset_id", "left").select(
+    base = _registered(w, _located(w, rows)).join(last, "asset_id", "left")
+    return attach_many(base, app, ["asset_id"]).select(
         "asset_id", "registration_number", "fleet_number", "asset_contract_type", "asset_sub_type", "city", "sequence_number", "contract_status", "last_customer", "termination_date",
         "stage", "opp_number", "credit_number", "company",
     ).distinct()
@@ -361,7 +362,7 @@ def service_schedule(w):
         F.col("bk_contract_id").alias("contract_id"), day.alias("origination_date")
     )
     lease = latest_approved_leases(w).select("asset_id", "contract_id")
-    rows = sheet.join(lease, "asset_id", "left").join(heads, "contract_id", "left").join(origin, "contract_id", "left")
+    rows = split_join(sheet.join(lease, "asset_id", "left"), heads.join(origin, "contract_id", "left"), ["contract_id"], "left")
     return rows.filter(F.col("previous_schedule_number").isNull()).drop("previous_schedule_number").distinct()
 
 
@@ -412,7 +413,7 @@ def test_tracker(w):
     held = held.select("asset_id", "sequence_number", "company_name", F.col("product_name").alias("deal_type")).distinct()
     app = in_application_once(w).select("asset_id", "stage", "app_company", "structure_company", "line_company", "structure_product", "line_product")
     rows = asset_details(w).join(config(w, "mot_booking_status_id", "booking_status"), "mot_booking_status_id", "left")
-    rows = _registered(w, _located(w, rows)).join(held, "asset_id", "left").join(app, "asset_id", "left")
+    rows = attach_many(_registered(w, _located(w, rows)).join(app, "asset_id", "left"), held, ["asset_id"])
     stage = F.col("stage")
     company = first_match((stage == "app", F.col("app_company")), (stage == "app structure", F.col("structure_company")), (stage == "line of credit", F.col("line_company")))
     product = first_match((stage == "app structure", F.col("structure_product")), (stage == "line of credit", F.col("line_product")))
@@ -467,7 +468,8 @@ def rental_utilisation(w):
     app = in_application_once(w).select("asset_id", F.col("stage").alias("application_stage"), "opp_number")
     charges = charges_by_asset(w).select("contract_id", "asset_id", "charges")
     value = asset_value(w).select("asset_id", F.col("last_book_value").alias("equipment_nbv"))
-    rows = sheet.join(latest_leases(w), "asset_id", "left").join(heads, "contract_id", "left").join(app, "asset_id", "left").join(charges, ["contract_id", "asset_id"], "left").join(value, "asset_id", "left")
+    rows = sheet.join(latest_leases(w), "asset_id", "left").join(app, "asset_id", "left").join(value, "asset_id", "left")
+    rows = split_join(rows, heads, ["contract_id"], "left").join(charges, ["contract_id", "asset_id"], "left")
     charge = F.coalesce("charges", F.lit(0)) + F.coalesce("rent_amount", F.lit(0))
     status = F.col("asset_status")
     used = first_match(
@@ -496,8 +498,8 @@ def tyre_contracts(w):
         details = details.join(config(w, key, out), key, "left")
     axle = lookup(w, "dim_vehicle_detail", "bk_vehicle_detail_id", "asset_id", axle_index="axle_index")
     assets = leased_assets_open(w).select("contract_id", "asset_id", "sk_lease_asset", "sk_time_record", "registration_number", "asset_status", "model_year", "tyres_fair_wear_tear")
-    rows = _located(w, assets.join(details, "asset_id", "left").join(axle, "asset_id", "left"))
-    return heads.join(rows, "contract_id").select(
+    rows = split_join(assets, _located(w, details.join(axle, "asset_id", "left")), ["asset_id"], "left")
+    return split_join(rows, heads, ["contract_id"]).select(
         "contract_id", "asset_id", "sk_lease_asset", "sk_time_record", "sequence_number", "party_name", "account_legal_entity", "commencement_date", "product_name", "registration_number", "asset_status", "model_year", "tyres_fair_wear_tear",
         "tyre_configuration", "axle_index", *roles.values(), "depot_code", "city",
     )

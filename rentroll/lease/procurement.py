@@ -9,6 +9,7 @@ from rentroll.lease.contracts import finance_latest, leased_now
 from rentroll.lease.parts import as_amounts, config, current_assets, current_customers, lookup, registrations, serials, with_day
 from rentroll.lease.warehouse import view
 from rentroll.operators import timeline, versions
+from rentroll.operators.hot import split_join
 from rentroll.operators.status import funding_status
 
 # Allocation texts that decide the kind of an order.
@@ -142,7 +143,7 @@ def funding_over_time(w):
     at = timeline.balance_at(
         snapshots, moves, ["asset_id"], "snapshot", "invoice_date", "funded", "invoiced", facts=(daily, "income_date", {"adjusted_book_value": "net_value"})
     )
-    rows = at.join(migrated_assets(w), "asset_id", "left").join(first_credit_line(w), "asset_id", "left")
+    rows = at.join(migrated_assets(w).join(first_credit_line(w), "asset_id", "full"), "asset_id", "left")
     known = F.col("line_created") <= F.col("snapshot")
     return as_amounts(
         rows.select(
@@ -159,7 +160,7 @@ def first_contracts(w):
     sheet = procured(w).select("asset_id", "alias", "description", "manufacturer_name", "model_name", "asset_contract_type", "equipment_id", F.floor(F.col("gvw") / 1000).alias("gvw_tonnes"))
     contract = finance_latest(w).filter(F.coalesce("status", F.lit("")) != "Inactive").select("contract_id", "sequence_number", "commencement_date")
     lease = leased_now(w).select("asset_id", "contract_id", "contract_status")
-    rows = sheet.join(lease, "asset_id").join(contract, "contract_id").join(orders_over_time(w).select("asset_id"), "asset_id", "left_semi")
+    rows = split_join(lease.join(sheet, "asset_id"), contract, ["contract_id"]).join(orders_over_time(w).select("asset_id"), "asset_id", "left_semi")
     first = versions.first_per_key(rows, ["asset_id"], F.col("commencement_date"), F.col("contract_id"))
     return (
         first.join(registrations(w).select("asset_id", "registration_number"), "asset_id", "left")

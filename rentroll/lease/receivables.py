@@ -7,6 +7,7 @@ from rentroll.lease.contracts import contract_totals, customer_assignments, fina
 from rentroll.lease.parts import current_contracts, current_customers, lookup, products, with_day
 from rentroll.lease.warehouse import view
 from rentroll.operators import versions
+from rentroll.operators.hot import split_join
 from rentroll.operators.status import next_due
 
 
@@ -53,8 +54,7 @@ def invoice_details(w):
     latest = versions.first_per_key(rows, ["bk_receivable_invoice_id"], *order).drop("sk_customer")
     customer = current_customers(w).select("customer_id", F.col("company_name").alias("customer_name"), F.col("external_reference_id").alias("customer_number"))
     return (
-        latest.join(now, "bk_receivable_invoice_id")
-        .join(lease, "contract_id", "left")
+        split_join(latest.join(now, "bk_receivable_invoice_id"), lease, ["contract_id"], "left")
         .join(lookup(w, "dim_branch", "sk_branch", "sk_branch", branch_name="branch_name"), "sk_branch", "left")
         .join(customer, "customer_id", "left")
         .withColumn("days_since_due", F.datediff(F.lit(w.as_of), F.col("due_date")))

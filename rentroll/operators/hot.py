@@ -1,12 +1,16 @@
 """Groups too large for one task.
 
-A group that holds a large share of all rows must not reach a single task. Two tools:
+A group that holds a large share of all rows must not reach a single task. The tools:
 
 * ``ordered_columns`` - ordinals, running sums and neighbours inside a group. Hot groups are cut
   along their order into slots, each slot is worked on alone, and slot totals supply the offsets.
 * ``spread_join`` - join rows to one row per key. Hot keys get as many salts as they have rows to
   spare, other keys stay as they are.
 
+* ``split_join`` - the same without a list of keys, for a right side that was grouped or ranked by the
+  key; it leaves the splitting to adaptive execution.
+* ``attach_many`` - left join of one row per key to many, where the many may be hot.
+
 The list of hot keys is the only broadcast. A key is hot from ``share`` of all rows on, so the list
 cannot exceed ``1 / share`` entries, whatever the data volume.
 """
@@ -62,6 +66,25 @@ def spread_join(rows, per_key, keys, how="left", share=SHARE, floor=FLOOR):
     return left.join(renamed, on, how).drop("_salt", "_right_salt", *[f"_hot_{k}" for k in keys])
 
 
+def split_join(rows, per_key, keys, how="inner"):
+    """Join ``rows`` to one row per key so that adaptive execution can split a hot key.
+
+    A right side that was just grouped by the key keeps its partitioning, and a join without a fresh
+    shuffle on both sides is never split. A second key column, a hash of the first, asks for that shuffle.
+    """
+    extra = F.xxhash64(*keys)
+    return rows.withColumn("_split", extra).join(per_key.withColumn("_split", extra), [*keys, "_split"], how).drop("_split")
+
+
+def attach_many(base, many, keys):
+    """Left join from one row per key to many: the many side leads the join, keys without any are added.
+
+    A left join cannot split a hot key of its right side; the inner join with the many on the left can.
+    """
+    alone = base.join(many.select(*keys).distinct(), keys, "left_anti")
+    return split_join(many, base, keys).unionByName(alone, allowMissingColumns=True)
+
+
 def count_per_key(df, keys, out="n_in_key"):
     """``count(*)`` of each key on every row, by aggregate and join instead of a window."""
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rentroll.operators.hot import split_join
+
 
 def current(df, flag="is_current"):
     """Only the current version of each dimension row."""
@@ -28,7 +30,7 @@ def to_current(fact, versions, sk, bk, flag="is_current"):
     """Swap a fact's link to an old version for the current version of the same business key."""
     old = versions.select(F.col(sk), F.col(bk))
     now = versions.filter(F.col(flag) == 1).withColumnRenamed(sk, f"current_{sk}")
-    return fact.join(old, sk).join(now, bk)
+    return split_join(fact.join(old, sk), now, [bk])
 
 
 def opening_and_closing(df, keys, value, *order):

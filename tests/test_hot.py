@@ -96,3 +96,12 @@ def test_state_intervals_with_and_without_hot_keys(rows):
     for cut in (CUT, {}):
         got = timeline.state_intervals(ended, ["k"], ["at", "id"], "s", "at", "ends", F.to_date("at"), **cut)
         assert sorted(repr(tuple(r)) for r in got.collect()) == want
+
+
+def test_split_and_attach_joins(rows):
+    per_key = rows.groupBy("k").agg(F.max("v").alias("top"))
+    known = rows.filter("k is not null")
+    same(hot.split_join(known, per_key, ["k"]).select("k", "id", "top"), known.join(per_key, "k").select("k", "id", "top"))
+    base = rows.sparkSession.range(0, 70).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("twice"))
+    want = base.join(known, "k", "left").select("k", "twice", "id")
+    same(hot.attach_many(base, known, ["k"]).select("k", "twice", "id"), want)
