@@ -1,9 +1,21 @@
 """Money: exact decimals inside, rounded doubles at the edge of a report."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 
 def money(col, scale=4):
+    """Exact amount from a double that stands for a decimal.
+
+    Scaled to whole units first: a cast from double to decimal goes through text for every row.
+    """
+    units = F.rint(col * 10**scale).cast("bigint").cast("decimal(18,0)")
+    return (units * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(18,{scale})")
+
+
+def rounded(col, scale=4):
+    """Amount from a quotient, which may have more digits than are kept; halves go up."""
     return col.cast(f"decimal(18,{scale})")
 
 

@@ -47,30 +47,41 @@ def _name(label):
 BAND_COLUMNS = [_name(label) for label in [CURRENT, *[b for b, _ in BANDS], OLDEST]]
 
 
-def ageing(open_items, keys, due, value, as_of):
-    """One row per key with an exact sum per band, in a single grouped pass.
+def _banded(open_items, due, value, as_of):
+    """Items with their band in ``_band`` and their value, null for none, in ``_value``.
 
-    ``open_items`` holds balances with tax; zero balances are left out. A band without items is null.
+    Zero balances become null instead of being filtered: a filter would compute the value twice.
     """
-    items = open_items.filter(value != 0).withColumn("_band", age_band(due, as_of)).withColumn("_value", value)
-    labels = [CURRENT, *[b for b, _ in BANDS], OLDEST]
+    return open_items.withColumns({"_band": age_band(due, as_of), "_value": F.nullif(value, F.lit(0))})
+
+
+def band_sums(open_items, keys, due, value, as_of):
+    """One row per key and band: a single sum per item, for joins before the bands are spread."""
+    sums = _banded(open_items, due, value, as_of).groupBy(*keys, "_band").agg(F.sum("_value").alias("_value"))
+    return sums.filter(F.col("_value").isNotNull())
+
+
+def spread_bands(banded, keys):
+    """One row per key with an exact sum per band; a band without items is null, a key without any is left out."""
 
     def of(cond):
         return F.sum(F.when(cond, F.col("_value")))
 
-    return items.groupBy(*keys).agg(
+    labels = [CURRENT, *[b for b, _ in BANDS], OLDEST]
+    sums = banded.groupBy(*keys).agg(
         *[of(F.col("_band") == label).alias(_name(label)) for label in labels],
         of(F.col("_band") != CURRENT).alias("overdue"),
         F.sum("_value").alias("outstanding"),
     )
+    return sums.filter(F.col("outstanding").isNotNull())
 
 
-SUM_COLUMNS = [*BAND_COLUMNS, "overdue", "outstanding"]
+def ageing(open_items, keys, due, value, as_of):
+    """Ageing in a single grouped pass. ``open_items`` holds balances with tax; zero balances are left out."""
+    return spread_bands(_banded(open_items, due, value, as_of), keys)
 
 
-def ageing_up(aged, keys):
-    """Re-sum an ageing to coarser keys."""
-    return aged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUM_COLUMNS])
+SUM_COLUMNS = [*BAND_COLUMNS, "overdue", "outstanding"]
 
 
 def ageing_report(aged):

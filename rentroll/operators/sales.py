@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rentroll.functions.dates import plus_years
-from rentroll.functions.money import amount, mean, money
+from rentroll.functions.money import amount, mean, money, rounded
 from rentroll.operators.reconcile import quality_report
 
 RAW_SCHEMA = "date string, amount double, quantity int, region string, category string"
@@ -31,7 +31,7 @@ def by_category(cleaned):
     per_category = cleaned.groupBy("category").agg(
         amount(F.sum(money(F.col("amount")))).alias("total_sales"),
         F.sum("quantity").alias("total_quantity"),
-        mean(money(F.col("unit_price"))).alias("avg_unit_price"),
+        mean(rounded(F.col("unit_price"))).alias("avg_unit_price"),
     )
     return per_category.orderBy(F.col("total_sales").desc())
 
@@ -58,7 +58,7 @@ def product_performance(daily, product):
     per_pair = daily.groupBy("product_id", "region").agg(
         F.sum("total_quantity").alias("units_sold"),
         F.sum("total_amount").alias("revenue"),
-        mean(money(F.col("avg_amount"))).alias("avg_order_value"),
+        mean(rounded(F.col("avg_amount"))).alias("avg_order_value"),
         F.count("sale_date").alias("days_with_sales"),
     )
     return product.join(per_pair, "product_id")
@@ -70,7 +70,7 @@ def region_performance(daily):
         F.countDistinct("product_id").alias("unique_products"),
         F.sum("total_quantity").alias("units_sold"),
         amount(F.sum("total_amount")).alias("revenue"),
-        mean(money(F.col("avg_amount"))).alias("avg_transaction_value"),
+        mean(rounded(F.col("avg_amount"))).alias("avg_transaction_value"),
         amount(F.max("total_amount")).alias("best_day"),
         amount(F.min("total_amount")).alias("worst_day"),
     )

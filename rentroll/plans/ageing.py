@@ -41,10 +41,14 @@ ITEMS_SQL = f"""
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
 
+def owned_bands(t, items):
+    """Lines to orders to their customer: one sum per line, and one row per order and band meets the join."""
+    per_order = ag.band_sums(items, ["l_orderkey"], F.col("due"), F.col("open"), AS_OF)
+    return per_order.join(order_owner(t), "l_orderkey")
+
+
 def by_customer(t, items):
-    """Lines to orders to customers, so that only one row per order meets the join."""
-    per_order = ag.ageing(items, ["l_orderkey"], F.col("due"), F.col("open"), AS_OF)
-    return ag.ageing_up(per_order.join(order_owner(t), "l_orderkey"), ["c_custkey"])
+    return ag.spread_bands(owned_bands(t, items), ["c_custkey"])
 
 
 @query(
@@ -175,8 +179,8 @@ def terms_adjusted_ageing(t):
 )
 def ageing_sorted_report(t):
     place = customer_place(t).select("c_custkey", F.col("r_name").alias("Region"), F.col("n_name").alias("Nation"))
-    aged = by_customer(t, open_items(t)).join(place, "c_custkey")
-    return ag.ageing_report(ag.ageing_up(aged, ["Region", "Nation"])).orderBy("Region", "Nation")
+    owned = owned_bands(t, open_items(t)).groupBy("c_custkey", "_band").agg(F.sum("_value").alias("_value"))
+    return ag.ageing_report(ag.spread_bands(owned.join(place, "c_custkey"), ["Region", "Nation"])).orderBy("Region", "Nation")
 
 
 @query(
