@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rentroll.llm import url_filters
+from rentroll.llm import exact_dedup, url_filters
 from rentroll.llm.shared import table
 
 URL_RULES = [
@@ -43,9 +43,28 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+def op3_exact_dedup(spark, sf_dir):
+    """Every document with the copy of its text that stays."""
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP3_SQL = r"""
+WITH rows AS (
+    SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+    FROM documents
+), sized AS (
+    SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY text_sha256
+)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
+FROM rows JOIN sized USING (text_sha256)
+"""
+
+
 QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
     "op7_url_filters": op7_url_filters,
 }
 ORACLES = {
+    "op3_exact_dedup": OP3_SQL,
     "op7_url_filters": OP7_SQL,
 }
