@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rentroll.llm import exact_dedup, url_filters
+from rentroll.llm import exact_dedup, license_scan, url_filters
 from rentroll.llm.shared import table
 
 URL_RULES = [
@@ -60,8 +60,14 @@ FROM rows JOIN sized USING (text_sha256)
 """
 
 
+def op4_license_scan(spark, sf_dir):
+    """License phrases and template spans of every document."""
+    return license_scan.label(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_license_scan": op4_license_scan,
     "op7_url_filters": op7_url_filters,
 }
 ORACLES = {
