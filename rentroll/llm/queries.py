@@ -1,8 +1,8 @@
 """The numbered corpus queries on the fixture tables, and the SQL of those that SQL can express."""
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from rentroll.llm import exact_dedup, license_scan, url_filters
+from rentroll.llm import exact_dedup, license_scan, token_files, url_filters
 from rentroll.llm.shared import table
 
 URL_RULES = [
@@ -65,9 +65,16 @@ def op4_license_scan(spark, sf_dir):
     return license_scan.label(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_token_files(spark, sf_dir):
+    """Boundaries and checksums of every document, read back from the token files."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.round_trip(documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_license_scan": op4_license_scan,
+    "op5_token_files": op5_token_files,
     "op7_url_filters": op7_url_filters,
 }
 ORACLES = {
