@@ -2,8 +2,14 @@
 
 import public_tokenizers
 
-from rentroll.llm import exact_dedup, license_scan, token_files, url_filters
-from rentroll.llm.shared import table
+from rentroll.llm import exact_dedup, license_scan, near_dedup, token_files, url_filters
+from rentroll.llm import shared
+
+
+def table(spark, sf_dir, name):
+    shared.reachable(spark)
+    return shared.table(spark, sf_dir, name)
+
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -71,11 +77,18 @@ def op5_token_files(spark, sf_dir):
     return token_files.round_trip(documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op8_near_dedup(spark, sf_dir):
+    """Class of near-duplicates of every document, and the one document of each class that stays."""
+    found = near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_token_files": op5_token_files,
     "op7_url_filters": op7_url_filters,
+    "op8_near_dedup": op8_near_dedup,
 }
 ORACLES = {
     "op3_exact_dedup": OP3_SQL,

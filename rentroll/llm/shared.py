@@ -1,5 +1,6 @@
 """What the corpus operators share: intermediate tables in the folder the cluster names, and words."""
 
+import os
 import tempfile
 import uuid
 
@@ -39,6 +40,14 @@ def clear(spark):
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def reachable(spark):
+    """Let Python workers import this package from where the driver has it (a cluster installs it or uses --py-files)."""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (here, path) if p)
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
