@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from rentroll.llm import exact_dedup, license_scan, near_dedup, token_files, url_filters
+from rentroll.llm import decontaminate, exact_dedup, license_scan, near_dedup, token_files, url_filters
 from rentroll.llm import shared
 
 
@@ -83,14 +83,47 @@ def op8_near_dedup(spark, sf_dir):
     return found.select("doc_id", "class_id", "class_size", "kept")
 
 
+def op10_decontaminate(spark, sf_dir):
+    """Benchmark items that documents hold, with how much of each."""
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.find(documents.select("doc_id", "text"), items.select("item_id", "text"))
+
+
+OP10_SQL = r"""
+WITH doc_words AS (
+    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+    SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_shingles AS (
+    SELECT DISTINCT item_id, least(len(w), 5) AS width,
+        unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS shingle
+    FROM item_words WHERE len(w) > 0
+), widths AS (
+    SELECT DISTINCT width FROM item_shingles
+), doc_shingles AS (
+    SELECT DISTINCT doc_id, width,
+        unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS shingle
+    FROM doc_words, widths WHERE len(w) >= width
+), sizes AS (
+    SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id
+), held AS (
+    SELECT doc_id, item_id, count(*) AS n_found FROM doc_shingles JOIN item_shingles USING (width, shingle) GROUP BY ALL
+)
+SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
+FROM held JOIN sizes USING (item_id) WHERE n_found >= 0.8 * n_shingles
+"""
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_token_files": op5_token_files,
     "op7_url_filters": op7_url_filters,
     "op8_near_dedup": op8_near_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {
     "op3_exact_dedup": OP3_SQL,
     "op7_url_filters": OP7_SQL,
+    "op10_decontaminate": OP10_SQL,
 }
