@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from rentroll.llm import decontaminate, exact_dedup, license_scan, near_dedup, token_files, url_filters
+from rentroll.llm import decontaminate, exact_dedup, license_scan, mixing, near_dedup, token_files, url_filters
 from rentroll.llm import shared
 
 
@@ -114,7 +114,13 @@ FROM held JOIN sizes USING (item_id) WHERE n_found >= 0.8 * n_shingles
 """
 
 
+def op2_mixing(spark, sf_dir):
+    """Raked weight, probability and fate of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_token_files": op5_token_files,
