@@ -18,6 +18,7 @@ gives, and the library encodes those not met before; the ids are those of the wh
 import re
 import struct
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,9 @@ CUT = re.compile(r"(?<=\S)(?= )")
 
 
 class Encoder:
-    """Ids of texts as packed bytes, with bounded stores of pieces and of the words in them seen before."""
+    """Ids of texts as packed bytes, with a bounded store of the pieces seen before."""
 
-    def __init__(self, path, keep=600_000):
+    def __init__(self, path, keep=1_000_000):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -50,50 +51,61 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words_of = regex.compile(public_tokenizers.PATTERN).findall
         self.keep = keep
-        self.inner, self.pieces, self.words = {}, {}, {}
+        self.store = {}
 
     def packed(self, texts):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(x.ids)}{self.form}", *x.ids) for x in found]
 
-    def bounded(self, store, wanted):
-        """What ``wanted`` lacks in a store, which is emptied when it would outgrow its bound."""
+    def learn(self, wanted):
+        """Make sure that every piece is in the store; an overfull store loses the pieces it met last."""
+        store = self.store
+        if len(store) > self.keep:
+            for piece in list(islice(reversed(store), self.keep // 4)):
+                del store[piece]
         new = wanted.difference(store)
-        if len(store) + len(new) > self.keep:
-            store.clear()
-            new = wanted
-        return new
-
-    def learn(self, store, wanted, before=""):
-        new = {p: self.words_of(before + p) for p in self.bounded(store, wanted)}
-        words = list(self.bounded(self.words, {w for ws in new.values() for w in ws}))
-        self.words.update(zip(words, self.packed(words)))
-        known = self.words
-        store.update({p: b"".join([known[w] for w in ws]) for p, ws in new.items()})
+        words, cut = set(), {}
+        for piece in new:
+            if piece.isalpha() or piece[1:].isalpha() and piece[0] == " ":
+                words.add(piece)
+            else:
+                cut[piece] = self.words_of(piece)
+        words.update(*cut.values())
+        words = list(words.difference(store))
+        store.update(zip(words, self.packed(words)))
+        for piece, parts in cut.items():
+            store[piece] = b"".join([store[w] for w in parts])
 
     def encode(self, texts):
         """Packed ids of each text."""
         out = [None] * len(texts)
-        plain, odd, whole = [], [], []
+        cut, whole = [], []
         for i, t in enumerate(texts):
             if any(s in t for s in self.special):
                 whole.append(i)
-            elif any(s + " " in t for s in SPACES):
-                odd.append((i, CUT.split(t)))
+            elif "\0" in t or any(s + " " in t for s in SPACES):
+                cut.append((i, CUT.split(t)))
             else:
-                plain.append((i, t.split(" ")))
+                cut.append((i, t.replace(" ", "\0 ").split("\0")))
         for i, ids in zip(whole, self.packed([texts[i] for i in whole])):
             out[i] = ids
-        self.learn(self.pieces, {p for _, ps in odd for p in ps} | {ps[0] for _, ps in plain})
-        self.learn(self.inner, {p for _, ps in plain for p in ps[1:]}, " ")
-        for i, ps in odd:
-            out[i] = b"".join([self.pieces[p] for p in ps])
-        inner = self.inner
-        for i, ps in plain:
-            out[i] = self.pieces[ps[0]] + b"".join([inner[p] for p in ps[1:]])
+        self.learn(set().union(*[pieces for _, pieces in cut]))
+        known = self.store.__getitem__
+        for i, pieces in cut:
+            out[i] = b"".join(map(known, pieces))
         return out
 
 
+ENCODERS = {}
+
+
+def encoder(path, keep):
+    """This worker's encoder: its stores last from task to task."""
+    if (path, keep) not in ENCODERS:
+        ENCODERS[path, keep] = Encoder(path, keep)
+    return ENCODERS[path, keep]
+
+
 def pack(kind, doc_ids, packed):
     """One segment from doc_ids (ascending, None first) and the packed ids of their documents."""
     sizes = np.array([len(p) for p in packed], np.int64) // kind.itemsize
@@ -123,33 +135,33 @@ class Segment:
         return self.array[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
-def write(documents, path, tokenizer, end_id=2, segment_ids=2_000_000, keep=600_000):
+def write(documents, path, tokenizer, end_id=2, segment_ids=2_000_000, keep=1_000_000):
     """Write ``documents`` (doc_id, text) as segments below ``path``, in ascending doc_id, those without one first."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     end = {"<u2": struct.pack("<H", end_id), "<u4": struct.pack("<I", end_id)}
 
     def run(batches):
-        encoder = Encoder(tokenizer, keep)
+        coder = encoder(tokenizer, keep)
         part, segment = TaskContext.get().partitionId(), 0
-        stop = end[encoder.kind.str]
+        stop = end[coder.kind.str]
         names, packed, size = [], [], 0
 
         def flush():
-            data = pack(encoder.kind, names, packed)
-            columns = ([part], [segment], [len(names)], [size // encoder.kind.itemsize], [data])
+            data = pack(coder.kind, names, packed)
+            columns = ([part], [segment], [len(names)], [size // coder.kind.itemsize], [data])
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             fields = ["part", "segment", "n_docs", "n_ids", "data"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], fields)
 
         for batch in batches:
-            for row in range(0, batch.num_rows, 500):
-                some = batch.slice(row, 500)
+            for row in range(0, batch.num_rows, 200):
+                some = batch.slice(row, 200)
                 texts = some.column("text").fill_null("").to_pylist()
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(texts)):
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), coder.encode(texts)):
                     names.append(doc_id)
                     packed.append(ids + stop)
                     size += len(ids) + len(stop)
-                    if size >= segment_ids * encoder.kind.itemsize:
+                    if size >= segment_ids * coder.kind.itemsize:
                         yield flush()
                         names, packed, size, segment = [], [], 0, segment + 1
         if names:
