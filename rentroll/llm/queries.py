@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from rentroll.llm import decontaminate, exact_dedup, license_scan, mixing, near_dedup, token_files, url_filters
+from rentroll.llm import decontaminate, exact_dedup, license_scan, mixing, near_dedup, token_files, toxicity, url_filters
 from rentroll.llm import shared
 
 
@@ -119,6 +119,11 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    """Toxicity score of every document, learned from the labels that aren't held out."""
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
@@ -126,6 +131,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op7_url_filters": op7_url_filters,
     "op8_near_dedup": op8_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {
