@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from rentroll.llm import decontaminate, exact_dedup, license_scan, mixing, near_dedup, token_files, toxicity, url_filters
+from rentroll.llm import decontaminate, exact_dedup, license_scan, mixing, near_dedup, pii, token_files, toxicity, url_filters
 from rentroll.llm import shared
 
 
@@ -124,11 +124,17 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark, sf_dir):
+    """Every document with its personal data replaced by surrogates."""
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key="rotate me")
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_token_files": op5_token_files,
+    "op6_pii": op6_pii,
     "op7_url_filters": op7_url_filters,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
