@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from rentroll.llm import decontaminate, exact_dedup, license_scan, mixing, near_dedup, pii, token_files, toxicity, url_filters
+from rentroll.llm import decontaminate, exact_dedup, html_extract, license_scan, mixing, near_dedup, pii, token_files, toxicity, url_filters
 from rentroll.llm import shared
 
 
@@ -129,7 +129,13 @@ def op6_pii(spark, sf_dir):
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key="rotate me")
 
 
+def op1_html_extract(spark, sf_dir):
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_license_scan": op4_license_scan,
