@@ -26,6 +26,7 @@ TOPICS = [
 ]
 OTHER = "prose"
 UNKNOWN = "unknown"
+FEATURES = ["mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_draw"]
 
 
 def topic_of(text, topics=TOPICS):
@@ -161,7 +162,7 @@ def mix(documents, budget=0.5, **targets):
     empty table gives an empty result.
     """
     features = featured(documents.select("doc_id", "text", "lang", "source"))
-    features = save(features.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_draw"), "features")
+    features = save(features.select("doc_id", *FEATURES), "features")
     found = with_weights(features, weigh(features, budget, **targets))
     return found.select(
         "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
@@ -171,6 +172,7 @@ def mix(documents, budget=0.5, **targets):
 
 def sample(documents, budget=0.5, **targets):
     """The rows of ``documents`` that the mix keeps, with their columns as they are."""
-    features = featured(documents)
+    row = F.struct(*[documents[c] for c in documents.columns]).alias("row")  # its columns may have names used here
+    features = featured(documents.select("doc_id", "text", "lang", "source", row)).select("row", *FEATURES)
     found = with_weights(features, weigh(features, budget, **targets))
-    return found.filter("kept").select(*documents.columns)
+    return found.filter("kept").select(*[F.col(f"row.{c}") for c in documents.columns])

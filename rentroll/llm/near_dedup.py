@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from rentroll.llm import words
 from rentroll.llm.components import components
@@ -33,7 +34,12 @@ from rentroll.llm.shared import save
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
-SKETCHED = "doc_id bigint, node binary, bands array<bigint>, words string"
+SKETCHED = [
+    StructField("doc_id", LongType()),
+    StructField("node", BinaryType()),
+    StructField("bands", ArrayType(LongType())),
+    StructField("words", StringType()),
+]
 
 
 def uniform(x):
@@ -172,8 +178,11 @@ def joined(w):
     return [raw[a : max(a, b - 1)].decode() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
-def sketched(documents, bands, rows):
-    """doc_id, node (digest of the words), bands (empty without words) and the words joined by a space."""
+def sketched(documents, bands, rows, keep=()):
+    """doc_id, node (digest of the words), bands (empty without words) and the words joined by a space.
+
+    ``as_is`` holds the columns ``keep`` of the row.
+    """
 
     def run(batches):
         for batch in batches:
@@ -186,10 +195,19 @@ def sketched(documents, bands, rows):
                 nodes = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found[filled].ravel(), pa.int64()))
                 columns = [ids.slice(row, to - row), pa.array(nodes, pa.binary()), lists, pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "bands", "words"])
+                names = ["doc_id", "node", "bands", "words"]
+                if keep:
+                    columns.append(batch.column("as_is").slice(row, to - row))
+                    names.append("as_is")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    plain = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *as_is(documents, keep))
+    made = StructType([*SKETCHED, *[f for f in plain.schema.fields if f.name == "as_is"]])
+    return plain.mapInArrow(run, made)
 
-    plain = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return plain.mapInArrow(run, SKETCHED)
+
+def as_is(documents, keep):
+    return [F.struct(*[documents[c] for c in keep]).alias("as_is")] if keep else []
 
 
 def similarities(a_texts, b_texts):
@@ -322,9 +340,24 @@ def classes(documents, least=0.8, bands=BANDS, rows=ROWS, rounds=3):
     of its own and kept. Repeated rows are copies of each other: one is kept. ``row`` identifies rows that repeat a
     doc_id. An empty table gives an empty result; further columns are ignored.
     """
-    sketches = save(
-        sketched(documents, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketches"
-    )
+    return members_of(sketches_of(documents, bands, rows), least, rounds)
+
+
+def sketches_of(documents, bands=BANDS, rows=ROWS, keep=()):
+    """Sketches of all rows, stored, with the columns ``keep`` beside them."""
+    made = sketched(documents, bands, rows, keep).withColumn("row", F.monotonically_increasing_id())
+    return save(made, "sketches")
+
+
+def one_per_class(documents, **options):
+    """The rows of ``documents`` that are kept, with their columns as they are."""
+    sketches = sketches_of(documents, keep=documents.columns)
+    kept = members_of(sketches, **options).filter("kept").select("row")
+    return sketches.join(kept, "row", "left_semi").select(*[F.col(f"as_is.{c}") for c in documents.columns])
+
+
+def members_of(sketches, least=0.8, rounds=3):
+    """Class of every sketched row."""
     nodes = save(nodes_of(sketches), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     pairs = save(stars(buckets), "pairs")

@@ -2,8 +2,20 @@
 
 import public_tokenizers
 
-from rentroll.llm import decontaminate, exact_dedup, html_extract, license_scan, mixing, near_dedup, pii, token_files, toxicity, url_filters
-from rentroll.llm import shared
+import corpus_pipeline
+from rentroll.llm import (
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    license_scan,
+    mixing,
+    near_dedup,
+    pii,
+    shared,
+    token_files,
+    toxicity,
+    url_filters,
+)
 
 
 def table(spark, sf_dir, name):
@@ -145,6 +157,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op3_exact_dedup": OP3_SQL,

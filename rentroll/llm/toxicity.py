@@ -254,4 +254,4 @@ def judged(documents, labels, **options):
 
 def without_toxic(documents, labels, **options):
     """The rows that aren't predicted toxic, with their columns."""
-    return scored(documents, labels, **options).filter("toxic_score < 0.5").select(*documents.columns)
+    return documents.filter(scorer(learn(documents, labels, **options))(whole("text")) < 0.5)
