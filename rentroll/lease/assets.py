@@ -7,7 +7,7 @@ from rentroll.functions.text import blank_if, join_parts
 from rentroll.lease.parts import current_assets, current_contracts, lookup, products
 from rentroll.lease.warehouse import view
 from rentroll.operators import versions
-from rentroll.operators.hot import attach_many, ordered_columns
+from rentroll.operators.hot import ordered_columns, split_join
 from rentroll.operators.status import furthest_stage
 
 
@@ -56,16 +56,15 @@ def book_depreciation(w):
         }
     )
     by_asset, by_contract, sk = ["asset_id"], ["asset_id", "contract_id"], "sk_book_depreciation"
-    month = F.trunc("begin_date", "month")
     places = [
-        (by_asset, ["_ends", "begin_date", sk], F.trunc("_ends", "month"), {"reverse_ordinal": "current_asset_value"}),
-        (by_asset, ["_contract", "begin_date", sk], F.col("_contract"), {"reverse_ordinal": "current_contract_value"}),
-        (by_asset, ["begin_date", sk], month, {"ordinal": "initial_asset_value"}),
-        (by_contract, ["begin_date", sk], month, {"ordinal": "initial_contract_value"}),
+        (by_asset, ["_ends", "begin_date", sk], {"reverse_ordinal": "current_asset_value"}),
+        (by_asset, ["_contract", "begin_date", sk], {"reverse_ordinal": "current_contract_value"}),
+        (by_asset, ["begin_date", sk], {"ordinal": "initial_asset_value"}),
+        (by_contract, ["begin_date", sk], {"ordinal": "initial_contract_value"}),
     ]
     plain = rows
-    for keys, order, slot, named in places:
-        rows = ordered_columns(rows, keys, order, slot, source=plain, **named)
+    for keys, order, named in places:
+        rows = ordered_columns(rows, keys, order, source=plain, **named)
     return rows.drop("_ends", "_contract")
 
 
@@ -204,18 +203,18 @@ def credit_lines(w):
 def in_application(w):
     """Assets on their way to a contract: contract > line of credit > structure > application.
 
-    Every credit line of an asset is a row. Where an asset sits on several applications or structures,
-    its latest one counts, so that no pairs of applications and credit lines are made.
+    One row for each application of an asset, with its structure there, and one for each of its credit lines: an open
+    application has no credit line yet, so the two never describe the same opportunity and no pairs are made of them.
     """
+    pair = ["asset_id", "opportunity_id"]
     app = versions.first_per_key(
         w.current("dim_application_asset").join(
             open_applications(w), F.col("credit_application_id") == F.col("opportunity_id")
         ),
-        ["asset_id"],
-        F.col("opportunity_id").desc(),
+        pair,
         F.col("bk_application_asset_id").desc(),
     ).select(
-        "asset_id",
+        *pair,
         F.col("opp_number").alias("app_opp"),
         F.col("party_name").alias("app_company"),
         F.col("status").alias("app_status"),
@@ -228,10 +227,8 @@ def in_application(w):
         .join(open_applications(w), F.col("credit_application_id") == F.col("opportunity_id"))
         .join(products(w), F.col("transaction_type_id") == F.col("deal_product_type_id"))
     )
-    structure = versions.first_per_key(
-        structure, ["asset_id"], F.col("opportunity_id").desc(), F.col("bk_application_structure_asset_id").desc()
-    ).select(
-        "asset_id",
+    structure = versions.first_per_key(structure, pair, F.col("bk_application_structure_asset_id").desc()).select(
+        *pair,
         F.col("opp_number").alias("structure_opp"),
         F.col("party_name").alias("structure_company"),
         F.col("product_name").alias("structure_product"),
@@ -248,8 +245,8 @@ def in_application(w):
         "sequence_number",
         "booking_status",
     )
-    base = current_assets(w).select("asset_id", "alias").join(app, "asset_id", "left").join(structure, "asset_id", "left")
-    rows = attach_many(base, line, ["asset_id"])
+    opportunities_ = app.join(structure, pair, "full").drop("opportunity_id").unionByName(line, allowMissingColumns=True)
+    rows = split_join(opportunities_, current_assets(w).select("asset_id", "alias"), ["asset_id"])
     booked = F.col("sequence_number").isNotNull()
     stage = furthest_stage(
         (booked & (F.col("booking_status") == "InstallingAssets"), "contract installing assets"),

@@ -152,8 +152,8 @@ def customer_assignments(w):
 
 
 @view
-def finance_detail(w):
-    """Current finance version of each contract, with the customer's current version and its rate."""
+def finance_rows(w):
+    """Finance records of the current contract versions, with the customer's version and the rate."""
     finance = w.current("dim_lease_finance").filter(F.col("is_current") == 1).select(
         "sk_lease_finance", F.col("bk_lease_finance_id").alias("lease_finance_id"), "is_over_term_lease"
     )
@@ -176,8 +176,20 @@ def finance_detail(w):
         .join(w.current("dim_line_of_business").select("sk_line_of_business"), "sk_line_of_business", "left_semi")
         .join(w.current("dim_cost_center").select("sk_cost_center"), "sk_cost_center", "left_semi")
     )
-    keys = "sk_contract", "sk_customer", "sk_lease_interest_rate", "sk_date_record", "sk_time_record"
-    return versions.first_per_key(rows, ["contract_id"], *[F.col(k).desc() for k in keys])
+    return rows
+
+
+@view
+def finance_detail(w):
+    """Current finance version of each contract, with the customer's current version and its rate."""
+    keys = "sk_contract", "sk_customer", "sk_lease_interest_rate", "sk_date_record", "sk_time_record", "sk_lease_finance"
+    return versions.first_per_key(finance_rows(w), ["contract_id"], *[F.col(k).desc() for k in keys])
+
+
+@view
+def first_records(w):
+    """Day of the first finance record of each contract."""
+    return finance_rows(w).groupBy("contract_id").agg(F.min("sk_date_record").alias("sk_created_date"))
 
 
 @view
@@ -271,11 +283,17 @@ def credit_applications(w):
 
 @view
 def origin_dates(w):
-    """First commenced start of each contract; an unknown start is replaced by the first processed day."""
+    """First commenced start among the contracts of a sequence number, on each of them.
+
+    An unknown start is replaced by the contract's own first processed day.
+    """
     started = w("dim_contract").filter(F.col("status") == "Commenced")
-    first = started.groupBy(F.col("bk_contract_id").alias("contract_id")).agg(
-        F.min("start_date").alias("start"), F.min("dp_process_date").alias("processed")
+    per_sequence = started.groupBy(F.col("sequence_number").alias("_sequence")).agg(F.min("start_date").alias("start"))
+    per_contract = started.groupBy(F.col("bk_contract_id").alias("contract_id"), "sequence_number").agg(
+        F.min("dp_process_date").alias("processed")
     )
+    both = per_contract.join(per_sequence, F.col("sequence_number").eqNullSafe(F.col("_sequence")))
+    first = both.groupBy("contract_id").agg(F.min("start").alias("start"), F.min("processed").alias("processed"))
     return first.select(
         "contract_id", F.when(F.col("start") == F.lit(UNKNOWN_START), F.col("processed")).otherwise(F.col("start")).alias("lease_start_date")
     )
@@ -354,7 +372,7 @@ PARTS = {
 DAYS = {
     "commencement": ("sk_date_commencement_date", "commencement_date"),
     "maturity": ("sk_date_maturity_date", "maturity_date"),
-    "created": ("sk_date_post_date", "created_date"),
+    "created": ("sk_created_date", "created_date"),
 }
 
 
@@ -362,6 +380,8 @@ def contracts_with(w, *parts):
     """Contracts with the parts a report needs; parts it does not name cost no join."""
     rows = contract_core(w)
     for part in parts:
+        if part == "created":
+            rows = rows.join(first_records(w), "contract_id", "left")
         if part in DAYS:
             rows = with_day(w, rows, *DAYS[part])
         else:
@@ -428,7 +448,7 @@ def assets_in_application(w):
     The pairs are numbered first, the wide columns are joined afterwards.
     """
     numbered = ordered_columns(
-        applied_assets(w), ["asset_id"], ["application_created", "opportunity_id"], F.col("application_created"), reverse_ordinal="latest_application"
+        applied_assets(w), ["asset_id"], ["application_created", "opportunity_id"], reverse_ordinal="latest_application"
     )
     wide = credit_applications(w).select(
         "opportunity_id", "credit_profile_number", "product_name", "company_name", "legal_entity", "application_created_by"
@@ -470,11 +490,6 @@ def payment_schedule(w):
     return w.active("dim_payment_schedule").withColumnRenamed("lease_finance_detail_id", "lease_finance_id")
 
 
-def schedule_slot():
-    """Cuts a very long schedule along its key."""
-    return F.floor(F.col("sk_payment_schedule") / 1_000_000_000_000)
-
-
 @view
 def payment_heads(w):
     """Contract data that every payment of a schedule carries; contracts without all three days have none."""
@@ -501,7 +516,7 @@ def lease_payments(w):
     A contract has one current finance version, so rows are numbered per finance version before the join.
     """
     numbered = ordered_columns(
-        payment_schedule(w), ["lease_finance_id"], ["sk_payment_schedule"], schedule_slot(), ordinal="schedule_number"
+        payment_schedule(w), ["lease_finance_id"], ["sk_payment_schedule"], ordinal="schedule_number"
     )
     return numbered.join(payment_heads(w), "lease_finance_id")
 
@@ -530,7 +545,7 @@ def payment_vat_deferrals(w):
     taxed = payments.filter(F.col("deferred_tax_amount") != 0)
     later = taxed.join(first, "lease_finance_id").filter(F.col("due_date") != F.col("first_due")).drop("first_due")
     numbered = ordered_columns(
-        later, ["lease_finance_id"], ["due_date", "sk_payment_schedule"], F.trunc("due_date", "month"), reverse_ordinal="latest_due_date"
+        later, ["lease_finance_id"], ["due_date", "sk_payment_schedule"], reverse_ordinal="latest_due_date"
     )
     return numbered.join(payment_heads(w).select("lease_finance_id", "contract_id"), "lease_finance_id")
 
@@ -540,6 +555,6 @@ def payments_to_date(w):
     """Payments due by the as-of day, numbered from both ends."""
     due = payment_schedule(w).filter(on_or_before(F.col("due_date"), w.as_of))
     numbered = ordered_columns(
-        due, ["lease_finance_id"], ["sk_payment_schedule"], schedule_slot(), ordinal="initial_schedule", reverse_ordinal="latest_schedule"
+        due, ["lease_finance_id"], ["sk_payment_schedule"], ordinal="initial_schedule", reverse_ordinal="latest_schedule"
     )
     return numbered.join(payment_heads(w), "lease_finance_id")

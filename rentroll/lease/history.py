@@ -51,7 +51,7 @@ NO_FLEET_SPEND = [
     "Insufficient Funds to meet a Direct Debit",
     "Hire Purchase Income - Credit",
     "Late Payment Interest",
-    "Operating Lease Income - Credit",
+    "Operating Lease  Income - Credit",
     "Option to Purchase",
     "Overdue Payment",
     "Refurb Cost Charge",
@@ -152,9 +152,9 @@ def spend_with_history(w):
 def maintenance_provision(w):
     """Maintenance charges with the day they are reported on; end-of-life work and other fees left out."""
     one_off = w.active("dim_sundry").select("bk_sundry_id", "created_time")
-    fee = F.trim("fee_name")
+    fee = F.trim("fee_name")  # trailing blanks never tell two fees apart, so the list is read without them too
     rows = charge_history(w).filter(
-        (F.col("fee_name").isNull() | ~fee.isin(*NO_MAINTENANCE))
+        (F.col("fee_name").isNull() | ~fee.isin(*[n.rstrip() for n in NO_MAINTENANCE]))
         & (F.col("description").isNull() | ~F.lower("description").like("%eol%"))
         & F.col("asset_id").isNotNull()
     )
@@ -241,7 +241,9 @@ def retention_and_growth(w):
     per_pair = rows.groupBy("account_number", "org", "customer_name", "line_of_business", "bdm", "product", "equipment_id").agg(
         F.min("commencement_date").alias("first_start"), F.max("ended").alias("last_end")
     )
-    wide = per_pair.join(named, ["account_number", "org"], "left").withColumn("customer", F.coalesce("party_name", "customer_name"))
+    named = named.withColumnsRenamed({"account_number": "_account", "org": "_org"})  # either key may be null
+    same = F.col("account_number").eqNullSafe(F.col("_account")) & F.col("org").eqNullSafe(F.col("_org"))
+    wide = per_pair.join(named, same, "left").withColumn("customer", F.coalesce("party_name", "customer_name"))
     return wide.groupBy("customer", "line_of_business", "bdm", "product").agg(
         F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"), F.countDistinct("equipment_id").alias("assets")
     )
@@ -281,7 +283,7 @@ def leases_of_assets(w):
     started = finance_records(w).filter(F.col("customer_is_current") == 1).select("contract_id", "lease_finance_id", "sk_date_commencement_date")
     keys = latest_fact_of_asset(w).join(started, ["contract_id", "lease_finance_id"])
     numbered = ordered_columns(
-        keys, ["asset_id"], ["sk_date_commencement_date", "contract_id"], F.col("sk_date_commencement_date"), reverse_ordinal="current_lease"
+        keys, ["asset_id"], ["sk_date_commencement_date", "contract_id"], reverse_ordinal="current_lease"
     )
     terms = finance_records(w).select(
         "contract_id", "company_name", "contract_number", "sequence_number", "status", "sk_date_maturity_date", "customer_term_in_months", "payment_frequency"

@@ -61,7 +61,7 @@ def order_versions(w):
 def orders_over_time(w):
     """Order status at every Friday, rebuilt from the change points of the versions."""
     spans = timeline.state_intervals(
-        order_versions(w), ["asset_id"], ["changed_on", "sk_asset"], "state", "changed_on", "ended_on", F.trunc("changed_on", "month"),
+        order_versions(w), ["asset_id"], ["changed_on", "sk_asset"], "state", "changed_on", "ended_on",
         last={"last_available": "available_from", "vehicle_category": "product_name"},
         unset=lambda s: s["allocated_status"].isNull() & s["asset_funding_status"].isNull(),
     )

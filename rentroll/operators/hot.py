@@ -2,17 +2,16 @@
 
 A group that holds a large share of all rows must not reach a single task. The tools:
 
-* ``ordered_columns`` - ordinals, running sums and neighbours inside a group. Hot groups are cut
-  along their order into slots, each slot is worked on alone, and slot totals supply the offsets.
-* ``spread_join`` - join rows to one row per key. Hot keys get as many salts as they have rows to
-  spare, other keys stay as they are.
-
-* ``split_join`` - the same without a list of keys, for a right side that was grouped or ranked by the
-  key; it leaves the splitting to adaptive execution.
+* ``ordered_columns`` - ordinals, running sums and neighbours inside a group. Groups are cut along their order into
+  pieces of about ``ROWS`` rows, each piece is worked on alone, and the totals of pieces supply the offsets.
+* ``spread_join`` - join rows to one row per key. A key gets one salt for every ``ROWS`` rows.
+* ``split_join`` - the same without counts, for a right side that was grouped or ranked by the key; it leaves the
+  splitting to adaptive execution.
 * ``attach_many`` - left join of one row per key to many, where the many may be hot.
 
-The list of hot keys is the only broadcast. A key is hot from ``share`` of all rows on, so the list
-cannot exceed ``1 / share`` entries, whatever the data volume.
+The number of pieces of a key is its rows over ``ROWS``, whatever the data volume: a piece never grows with the data.
+Keys of more than one piece and their cut points are broadcast; there is at most one cut point for every ``ROWS`` rows of
+the table, so a table of 10^9 rows sends about a thousand.
 """
 
 from functools import reduce
@@ -21,21 +20,14 @@ from operator import and_
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-SHARE = 1 / 2000
-FLOOR = 1_000_000
-
+ROWS = 1_000_000  # per piece
+SAMPLES = 16  # per piece, to find its cut point
 
-def hot_keys(counts, keys, share=SHARE, floor=FLOOR):
-    """Keys with more rows than one task should hold, and how many pieces to cut each into.
 
-    ``counts`` has one row per key and its row count in ``n``.
-    """
-    limit = F.greatest(F.lit(floor), F.ceil(counts.agg(F.sum("n")).scalar() * share))
-    return (
-        counts.select(*keys, "n", limit.alias("_limit"))
-        .filter(F.col("n") > F.col("_limit"))
-        .select(*keys, F.ceil(F.col("n") / F.col("_limit")).cast("int").alias("_pieces"))
-    )
+def pieces_of(counts, keys, rows=ROWS):
+    """Keys with more than one piece, and how many; ``counts`` has one row per key and its row count in ``n``."""
+    pieces = F.ceil(F.col("n") / rows).cast("int")
+    return counts.filter(F.col("n") > rows).select(*keys, pieces.alias("_pieces"))
 
 
 def _null_safe(left, right, keys):
@@ -43,17 +35,17 @@ def _null_safe(left, right, keys):
 
 
 def mark_hot(df, hot, keys):
-    """Left-join the bounded hot-key list; ``_pieces`` is null for ordinary keys."""
-    small = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_pieces")
+    """Left-join the columns of the bounded list of hot keys; they are null for ordinary keys."""
+    added = [c for c in hot.columns if c not in keys]
+    small = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], *added)
     return df.join(F.broadcast(small), _null_safe(df, small, keys), "left").drop(*[f"_hot_{k}" for k in keys])
 
 
-def spread_join(rows, per_key, keys, how="left", share=SHARE, floor=FLOOR):
+def spread_join(rows, per_key, keys, how="left", per_piece=ROWS):
     """Join ``rows`` to ``per_key`` (one row per key, row count in ``n``) without a hot task."""
-    hot = hot_keys(per_key, keys, share, floor)
-    salt = F.when(
-        F.col("_pieces").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_pieces")).cast("int")
-    ).otherwise(F.lit(0))
+    hot = pieces_of(per_key, keys, per_piece)
+    # A running number: equal rows get different salts. Any salt finds its key, so a rerun may deal them otherwise.
+    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_pieces")).cast("int"), F.lit(0))
     left = mark_hot(rows, hot, keys).withColumn("_salt", salt).drop("_pieces")
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     right = (
@@ -98,18 +90,36 @@ def distinct_per_key(df, keys, value, out="n_distinct"):
     return spread_join(df, per_key, keys).drop("n")
 
 
-def in_groups(df, keys, slot, share=SHARE, floor=FLOOR, source=None):
-    """Add ``_group``: the key itself, or key and slot where the key is hot (``_pieces`` not null).
+def cut_points(df, keys, order, rows=ROWS):
+    """Hot keys with their cut points along ``order``: about one for every ``rows`` rows, from an even sample.
+
+    The sample is taken by a hash of the order columns, so every run finds the same points.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = pieces_of(counts, keys, rows)
+    step = max(1, rows // SAMPLES)
+    some = df.select(*keys, F.struct(*order).alias("_at")).filter(F.pmod(F.xxhash64(*[F.col(f"_at.{c}") for c in order]), F.lit(step)) == 0)
+    found = mark_hot(some, hot, keys).filter(F.col("_pieces").isNotNull())
+    sorted_ = found.groupBy(*keys, "_pieces").agg(F.sort_array(F.collect_list("_at")).alias("_sample"))
+    n, pieces = F.size("_sample"), F.col("_pieces")
+    points = F.transform(F.sequence(F.lit(1), pieces - 1), lambda i: F.get("_sample", F.floor(i * n / pieces).cast("int")))
+    return sorted_.select(*keys, F.array_distinct(points).alias("_points"))
+
+
+def in_groups(df, keys, order, rows=ROWS, source=None):
+    """Add ``_group``: the key and the number of the piece, null where the key is one piece.
 
-    ``source``: rows to count keys on, where counting them in ``df`` would repeat costly work.
+    ``source``: rows to count keys and find cut points on, where doing it on ``df`` would repeat costly work.
     """
-    counts = (df if source is None else source).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    tagged = mark_hot(df, hot_keys(counts, keys, share, floor), keys)
-    return tagged.withColumn("_group", F.struct(*keys, F.when(F.col("_pieces").isNotNull(), slot).alias("_slot")))
+    tagged = mark_hot(df, cut_points(df if source is None else source, keys, order, rows), keys)
+    here = F.struct(*order)
+    piece = F.size(F.filter("_points", lambda p: p <= here))
+    slot = F.when(F.col("_points").isNotNull(), piece)
+    return tagged.withColumn("_group", F.struct(*keys, slot.alias("_slot"))).drop("_points")
 
 
 def along_slots(keys):
-    """Window over the slots of one key, in order; one row per slot."""
+    """Window over the pieces of one key, in order; one row per piece."""
     return Window.partitionBy(*[F.col(f"_group.{k}") for k in keys]).orderBy(F.col("_group._slot"))
 
 
@@ -117,7 +127,6 @@ def ordered_columns(
     df,
     keys,
     order,
-    slot,
     ordinal=None,
     reverse_ordinal=None,
     running=None,
@@ -125,25 +134,23 @@ def ordered_columns(
     following=None,
     first=None,
     last=None,
-    share=SHARE,
-    floor=FLOOR,
+    per_piece=ROWS,
     source=None,
 ):
     """Add columns that depend on the order of rows inside each key.
 
     ``order``: ascending column names that identify a row within its key (nulls come first).
-    ``slot``: expression that never falls along ``order``; it cuts hot keys, e.g. the day of an event.
     ``running``/``previous``/``following``/``first``/``last``: ``{new name: column name}``.
     Running sums expect exact types (integer or decimal).
-    ``source``: a cheaper frame of the same rows (before joins or earlier ordinals); hot keys and the
-    totals of their slots are then taken from it, and ``df`` itself is read once.
+    ``source``: a cheaper frame of the same rows (before joins or earlier ordinals); cut points and the
+    totals of pieces are then taken from it, and ``df`` itself is read once.
     """
     running, previous, following = running or {}, previous or {}, following or {}
     first, last = first or {}, last or {}
-    tagged = in_groups(df, keys, slot, share, floor, source)
-    origin = tagged if source is None else in_groups(source, keys, slot, share, floor)
+    tagged = in_groups(df, keys, order, per_piece, source)
+    origin = tagged if source is None else in_groups(source, keys, order, per_piece)
 
-    # Inside one slot (for an ordinary key: the whole key).
+    # Inside one piece (for an ordinary key: the whole key).
     asc = Window.partitionBy("_group").orderBy(*order)
     so_far = asc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = asc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -159,13 +166,13 @@ def ordered_columns(
     near |= {f"_last_{o}": F.last(F.struct(c)).over(whole) for o, c in last.items()}
     local = tagged.withColumns(near)
 
-    # Across the slots of a hot key: one row per slot.
+    # Across the pieces of a hot key: one row per piece.
     rank = F.struct(*order)
     edges = {"_slot_n": F.count(F.lit(1))}
     edges |= {f"_slot_sum_{o}": F.sum(c) for o, c in running.items()}
     edges |= {f"_slot_last_{o}": F.max_by(F.struct(c), rank) for o, c in (previous | last).items()}
     edges |= {f"_slot_first_{o}": F.min_by(F.struct(c), rank) for o, c in (following | first).items()}
-    slots = origin.filter(F.col("_pieces").isNotNull()).groupBy("_group").agg(
+    slots = origin.filter(F.col("_group._slot").isNotNull()).groupBy("_group").agg(
         *[e.alias(n) for n, e in edges.items()]
     )
     along = along_slots(keys)

@@ -8,23 +8,23 @@ from rentroll.functions.nulls import changed
 from rentroll.operators.hot import along_slots, in_groups, ordered_columns
 
 
-def change_points(versions, keys, order, state, slot, **hot):
+def change_points(versions, keys, order, state, **hot):
     """Only the versions where ``state`` differs from the version before, closed by the next change."""
     first_of_key = "_is_first"
-    seen = ordered_columns(versions, keys, order, slot, ordinal=first_of_key, previous={"_before": state}, **hot)
+    seen = ordered_columns(versions, keys, order, ordinal=first_of_key, previous={"_before": state}, **hot)
     kept = seen.filter((F.col(first_of_key) == 1) | changed(F.col(state), F.col("_before")))
     return kept.drop(first_of_key, "_before")
 
 
-def state_intervals(versions, keys, order, state, at, ends, slot, last=None, unset=None, **hot):
+def state_intervals(versions, keys, order, state, at, ends, last=None, unset=None, **hot):
     """Change points as closed intervals ``valid_from``..``valid_to``, in one shuffle of the history.
 
     A state ends where the next one starts, and never later than the end ``ends`` of the key's last
     version. ``last`` adds other values of the key's last version: ``{new name: column}``. ``unset``
     tells, from a state, that nothing was known before; the row after such a state opens a new one.
 
-    A hot key is cut into slots; the first row of a slot is a change only if the slot before ended in
-    another state, which one row per slot is enough to tell.
+    A hot key is cut into pieces; the first row of a piece is a change only if the piece before ended in
+    another state, which one row per piece is enough to tell.
     """
     last = last or {}
     tail = F.struct(ends, *dict.fromkeys(c for c in last.values() if c != ends))
@@ -36,14 +36,14 @@ def state_intervals(versions, keys, order, state, at, ends, slot, last=None, uns
         differs = changed(value, before)
         return differs if unset is None else differs | unset(before[state])
 
-    seen = in_groups(versions, keys, slot, **hot).withColumns(
+    seen = in_groups(versions, keys, order, **hot).withColumns(
         {"_rn": F.row_number().over(asc), "_before": F.lag(now).over(asc), "_tail": F.last(tail).over(whole)}
     )
     # A candidate opens a group or differs from the row before it.
     steps = seen.filter(opens | is_new(now, F.col("_before"))).withColumn("_next", F.lead(at).over(asc))
 
     rank = F.struct(*order)
-    slots = seen.filter(F.col("_pieces").isNotNull()).groupBy("_group").agg(
+    slots = seen.filter(F.col("_group._slot").isNotNull()).groupBy("_group").agg(
         F.min_by(now, rank).alias("_opening"),
         F.min(at).alias("_opening_at"),
         F.min(F.when(~opens & is_new(now, F.col("_before")), F.col(at))).alias("_inner_at"),

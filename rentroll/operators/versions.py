@@ -41,6 +41,6 @@ def opening_and_closing(df, keys, value, *order):
     )
 
 
-def first_event(df, keys, when, at):
-    """Day of the earliest row per key that meets ``when``."""
-    return df.filter(when).groupBy(*keys).agg(F.min(at).alias("first_at"))
+def first_events(df, keys, whens, at):
+    """Day of the earliest row per key that meets each condition (``{new name: condition}``), in one pass."""
+    return df.groupBy(*keys).agg(*[F.min(F.when(when, F.col(at))).alias(name) for name, when in whens.items()])

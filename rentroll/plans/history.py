@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rentroll.functions.dates import OPEN_END, days_between, known_start, on_or_before
+from rentroll.functions.dates import OPEN_END, days_between, on_or_before
 from rentroll.functions.money import amount, money
 from rentroll.functions.nulls import changed
 from rentroll.operators import hot, timeline, versions
@@ -23,7 +23,7 @@ def status_versions(t):
         F.col("event_id").alias("sk"), F.col("user_id").alias("bk"), F.col("event_type").alias("status"), "ts"
     )
     closed = hot.ordered_columns(
-        seen, ["bk"], ["ts", "sk"], F.to_date("ts"), reverse_ordinal="_back", following={"valid_to": "ts"}
+        seen, ["bk"], ["ts", "sk"], reverse_ordinal="_back", following={"valid_to": "ts"}
     )
     return closed.withColumn("is_current", (F.col("_back") == 1).cast("int")).drop("_back")
 
@@ -187,7 +187,6 @@ def exposed_ordinals(t):
         orders,
         ["o_custkey"],
         ["o_orderdate", "o_orderkey"],
-        F.to_date("o_orderdate"),
         ordinal="from_first",
         reverse_ordinal="from_last",
     ).drop("o_orderdate")
@@ -204,7 +203,7 @@ def exposed_ordinals(t):
 def running_sum_rows(t):
     orders = t("orders").select("o_custkey", "o_orderkey", "o_orderdate", price().alias("price"))
     run = hot.ordered_columns(
-        orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.to_date("o_orderdate"), running={"run": "price"}
+        orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], running={"run": "price"}
     )
     return run.select("o_custkey", "o_orderkey", amount(F.col("run")).alias("running_price"))
 
@@ -225,7 +224,6 @@ def previous_and_next_order(t):
         orders,
         ["o_custkey"],
         ["o_orderdate", "o_orderkey"],
-        F.to_date("o_orderdate"),
         previous={"before": "o_orderdate"},
         following={"after": "o_orderdate"},
     )
@@ -252,7 +250,6 @@ def first_and_last_value(t):
         orders,
         ["o_custkey"],
         ["o_orderdate", "o_orderkey"],
-        F.to_date("o_orderdate"),
         first={"first_priority": "o_orderpriority"},
         last={"last_priority": "o_orderpriority"},
     )
@@ -298,7 +295,7 @@ def distinct_parts_in_order(t):
 def status_history(t):
     """Versions that change the status; repeats of the same status are dropped."""
     seen = t("events").select(F.col("event_id").alias("sk"), F.col("user_id").alias("bk"), F.col("event_type").alias("status"), "ts")
-    return timeline.change_points(seen, ["bk"], ["ts", "sk"], "status", F.to_date("ts"))
+    return timeline.change_points(seen, ["bk"], ["ts", "sk"], "status")
 
 
 @query(
@@ -321,7 +318,6 @@ def value_changed(t):
         orders,
         ["o_custkey"],
         ["o_orderdate", "o_orderkey"],
-        F.to_date("o_orderdate"),
         previous={"before_status": "o_orderstatus"},
     )
     return near.drop("o_orderdate").withColumn(
@@ -355,7 +351,7 @@ def weekly_snapshot(t):
         "ts",
         F.lit(OPEN_END).alias("ends"),
     )
-    spans = timeline.state_intervals(seen, ["bk"], ["ts", "sk"], "status", "ts", "ends", F.to_date("ts"))
+    spans = timeline.state_intervals(seen, ["bk"], ["ts", "sk"], "status", "ts", "ends")
     weeks = timeline.friday_snapshots(spans, F.to_date("valid_from"), F.col("valid_to"), EVENTS_AS_OF)
     return weeks.groupBy("snapshot", "status").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("bk").alias("n_users")
@@ -400,10 +396,8 @@ def carry_forward_balance(t):
     """,
 )
 def first_event_gap(t):
-    events = t("events").withColumn("ts", known_start(F.col("ts"), F.col("ts")))
-    signup = versions.first_event(events, ["user_id"], F.col("event_type") == "signup", "ts")
-    bought = versions.first_event(events, ["user_id"], F.col("event_type") == "purchase", "ts")
-    both = signup.withColumnRenamed("first_at", "s").join(bought.withColumnRenamed("first_at", "p"), "user_id")
+    kinds = {"s": F.col("event_type") == "signup", "p": F.col("event_type") == "purchase"}
+    both = versions.first_events(t("events"), ["user_id"], kinds, "ts").filter("s is not null and p is not null")
     return both.select(
         "user_id",
         F.to_date("s").alias("signup_day"),
@@ -430,10 +424,8 @@ def first_event_gap(t):
     """,
 )
 def monthly_pnl_running(t):
-    lines = t("lineitem").select("l_partkey", "l_shipdate", "l_returnflag", net().alias("value"))
+    kind = F.when(F.col("l_returnflag") == "R", "expense").otherwise("income").alias("kind")
+    lines = t("lineitem").select("l_partkey", "l_shipdate", net().alias("value"), kind)
     brand = t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     # Part and month first: brands are few, so joining before summing would only move more rows.
-    returned = F.col("l_returnflag") == "R"
-    income = lines.filter(~returned | returned.isNull()).select("l_partkey", "l_shipdate", "value", F.lit("income").alias("kind"))
-    expense = lines.filter(returned).select("l_partkey", "l_shipdate", "value", F.lit("expense").alias("kind"))
-    return monthly_profit(income.unionByName(expense), "l_partkey", brand, "p_brand", "l_shipdate", "value")
+    return monthly_profit(lines, "l_partkey", brand, "p_brand", "l_shipdate", "value")

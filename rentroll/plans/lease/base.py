@@ -57,17 +57,20 @@ VIEWS |= {
         LEFT JOIN dim_contract k ON k.credit_approved_structure_id = x.bk_approved_structure_id AND k.current_flag = 1 AND k.status <> 'Inactive' LEFT JOIN dim_user u ON u.bk_user_id = o.created_by_id""",
     "v_in_application": """
         WITH a AS (SELECT h.asset_id, v.* FROM dim_application_asset h JOIN v_open_apps v ON v.opp_id = h.credit_application_id
-            QUALIFY row_number() OVER (PARTITION BY h.asset_id ORDER BY v.opp_id DESC, h.bk_application_asset_id DESC) = 1),
+            QUALIFY row_number() OVER (PARTITION BY h.asset_id, v.opp_id ORDER BY h.bk_application_asset_id DESC) = 1),
         s AS (SELECT h.asset_id, v.*, d.transaction_type AS product FROM dim_application_structure t JOIN dim_application_structure_asset h ON h.application_structure_id = t.bk_application_structure_id
             JOIN v_open_apps v ON v.opp_id = t.credit_application_id JOIN dim_deal_product_type d ON d.bk_deal_product_type_id = t.transaction_type_id
-            QUALIFY row_number() OVER (PARTITION BY h.asset_id ORDER BY v.opp_id DESC, h.bk_application_structure_asset_id DESC) = 1),
-        j AS (SELECT x.bk_asset_id AS asset_id, x.alias, l.credit_number, l.profile_status, l.sequence_number, l.booking_status,
-            CASE WHEN l.sequence_number IS NOT NULL AND l.booking_status = 'InstallingAssets' THEN 'contract installing assets'
-                 WHEN l.sequence_number IS NOT NULL AND l.booking_status = 'Pending' THEN 'contract pending' WHEN l.sequence_number IS NOT NULL THEN 'converted to contract'
-                 WHEN l.credit_number IS NOT NULL THEN 'line of credit' WHEN s.status IS NOT NULL THEN 'app structure' WHEN a.status IS NOT NULL THEN 'app' ELSE 'not in application' END AS stage,
-            COALESCE(l.product_name, s.product) AS product, COALESCE(l.party_name, a.company) AS company, COALESCE(l.opp_number, s.opp, a.opp) AS opp_number, COALESCE(a.created_by, l.created_by) AS created_by,
-            a.company AS app_company, a.status AS app_status, s.company AS structure_company, s.product AS structure_product, l.party_name AS line_company, l.product_name AS line_product
-            FROM dim_asset x LEFT JOIN a ON a.asset_id = x.bk_asset_id LEFT JOIN s ON s.asset_id = x.bk_asset_id LEFT JOIN v_credit_lines l ON l.asset_id = x.bk_asset_id WHERE x.current_flag = 1)
+            QUALIFY row_number() OVER (PARTITION BY h.asset_id, v.opp_id ORDER BY h.bk_application_structure_asset_id DESC) = 1),
+        u AS (SELECT COALESCE(a.asset_id, s.asset_id) AS asset_id, a.opp AS app_opp, a.company AS app_company, a.status AS app_status, a.created_by AS app_by, s.opp AS s_opp, s.company AS structure_company, s.product AS structure_product, s.status AS s_status
+            FROM a FULL JOIN s ON s.asset_id = a.asset_id AND s.opp_id = a.opp_id
+            UNION ALL BY NAME SELECT asset_id, credit_number, profile_status, sequence_number, booking_status, party_name AS line_company, product_name AS line_product, opp_number AS line_opp, created_by AS line_by FROM v_credit_lines),
+        j AS (SELECT u.asset_id, x.alias, u.credit_number, u.profile_status, u.sequence_number, u.booking_status,
+            CASE WHEN u.sequence_number IS NOT NULL AND u.booking_status = 'InstallingAssets' THEN 'contract installing assets'
+                 WHEN u.sequence_number IS NOT NULL AND u.booking_status = 'Pending' THEN 'contract pending' WHEN u.sequence_number IS NOT NULL THEN 'converted to contract'
+                 WHEN u.credit_number IS NOT NULL THEN 'line of credit' WHEN u.s_status IS NOT NULL THEN 'app structure' WHEN u.app_status IS NOT NULL THEN 'app' ELSE 'not in application' END AS stage,
+            COALESCE(line_product, structure_product) AS product, COALESCE(line_company, app_company) AS company, COALESCE(line_opp, s_opp, app_opp) AS opp_number, COALESCE(app_by, line_by) AS created_by,
+            app_company, app_status, structure_company, structure_product, line_company, line_product
+            FROM u JOIN dim_asset x ON x.bk_asset_id = u.asset_id AND x.current_flag = 1)
         SELECT * FROM j WHERE stage NOT IN ('converted to contract', 'not in application')""",
     "v_in_application_once": "SELECT * FROM v_in_application QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY opp_number DESC, credit_number DESC NULLS LAST) = 1",
     "v_charges_detail": """SELECT c.bk_contract_id AS contract_id, c.sequence_number, d.asset_id, r.name AS charge_name, SUM(d.amount) AS charges, SUM(d.vat_amount) AS vat_amount
@@ -118,7 +121,11 @@ VIEWS |= {
         LEFT JOIN dim_user u1 ON u1.bk_user_id = o.created_by_id LEFT JOIN dim_user u2 ON u2.bk_user_id = p.assigned_to_user_id LEFT JOIN dim_user u3 ON u3.bk_user_id = a.created_by_id
         LEFT JOIN v_customer_people r ON r.customer_id = o.customer_id AND r.system_name = 'SalesRep'""",
     "v_contracts": """
-        WITH origin AS (SELECT bk_contract_id, CASE WHEN MIN(start_date) = DATE '1900-01-01' THEN MIN(dp_process_date) ELSE MIN(start_date) END AS lease_start_date FROM dim_contract WHERE status = 'Commenced' GROUP BY bk_contract_id),
+        WITH started AS (SELECT bk_contract_id, dp_process_date, MIN(start_date) OVER (PARTITION BY sequence_number) AS first_start FROM dim_contract WHERE status = 'Commenced'),
+        origin AS (SELECT bk_contract_id, MIN(CASE WHEN first_start = DATE '1900-01-01' THEN dp_process_date ELSE first_start END) AS lease_start_date FROM started GROUP BY bk_contract_id),
+        record AS (SELECT k.bk_contract_id, MIN(f.sk_date_record) AS sk_created_date FROM fact_lease_finance_detail f JOIN dim_lease_finance l ON l.sk_lease_finance = f.sk_lease_finance AND l.is_current = 1 AND l.current_flag = 1
+            JOIN dim_contract k ON k.sk_contract = f.sk_contract AND k.current_flag = 1 JOIN dim_customer c ON c.sk_customer = f.sk_customer JOIN dim_branch b ON b.sk_branch = f.sk_branch
+            JOIN dim_line_of_business o ON o.sk_line_of_business = f.sk_line_of_business JOIN dim_cost_center n ON n.sk_cost_center = f.sk_cost_center GROUP BY k.bk_contract_id),
         tot AS (SELECT contract_id, SUM(nbv_amount) AS total_nbv_amount, SUM(customer_cost_amount) AS customer_cost_amount, SUM(rent_amount) AS rent_amount, SUM(asset_budget_value) AS asset_budget_value, SUM(total_charge) AS total_charge,
             COUNT(*) AS number_of_assets FROM v_lease_assets GROUP BY contract_id)
         SELECT f.contract_id, f.sequence_number, k.contract_number, k.contract_type, k.status, k.report_status, k.opportunity_number, k.created_time, k.previous_schedule_number, k.grace_delinquency_days, origin.lease_start_date,
@@ -128,13 +135,13 @@ VIEWS |= {
             CASE WHEN l.is_advance = 1 THEN 'Advance' ELSE 'Arrears' END AS payment_method, l.is_over_term_lease, l.payment_frequency, l.customer_term_in_months, l.term_in_months, l.approval_status, l.lease_contract_type,
             f.base_rate, f.spread, f.total_yield, f.total_down_payment_amount, f.down_payment_amount, f.tax_deferral_amount, f.net_investment_amount, f.booked_residual_amount, f.rent_amount AS lease_rent_amount,
             f.sk_date_commencement_date, f.sk_date_maturity_date, f.sk_date_post_date, q.balloon_amount, dc.bk_date AS commencement_date, dm.bk_date AS maturity_date, dp.bk_date AS created_date
-        FROM v_finance f JOIN dim_contract k ON k.bk_contract_id = f.contract_id AND k.current_flag = 1 LEFT JOIN origin ON origin.bk_contract_id = f.contract_id LEFT JOIN tot ON tot.contract_id = f.contract_id
+        FROM v_finance f JOIN dim_contract k ON k.bk_contract_id = f.contract_id AND k.current_flag = 1 LEFT JOIN origin ON origin.bk_contract_id = f.contract_id LEFT JOIN record ON record.bk_contract_id = f.contract_id LEFT JOIN tot ON tot.contract_id = f.contract_id
         LEFT JOIN dim_customer c ON c.bk_customer_id = f.customer_id AND c.current_flag = 1 LEFT JOIN dim_opportunity o ON o.number = k.opportunity_number LEFT JOIN dim_user u ON u.bk_user_id = k.created_by_id
         LEFT JOIN v_assignments a ON a.contract_id = f.contract_id LEFT JOIN dim_deal_product_type p ON p.bk_deal_product_type_id = k.deal_product_type_id LEFT JOIN dim_cost_center n ON n.bk_cost_center_id = k.cost_center_id
         LEFT JOIN dim_legal_entity g ON g.sk_legal_entity = f.sk_legal_entity LEFT JOIN dim_line_of_business t ON t.sk_line_of_business = f.sk_line_of_business LEFT JOIN dim_branch b ON b.sk_branch = f.sk_branch
         LEFT JOIN dim_business_type bt ON bt.bk_business_type_id = c.business_type_id LEFT JOIN dim_classification_code s ON s.bk_classification_code_id = c.sic_code_id LEFT JOIN dim_lease_finance l ON l.sk_lease_finance = f.sk_lease_finance
         LEFT JOIN (SELECT opportunity_number, balloon_amount FROM v_credit_apps) q ON q.opportunity_number = k.opportunity_number
-        LEFT JOIN dim_date dc ON dc.sk_date = f.sk_date_commencement_date LEFT JOIN dim_date dm ON dm.sk_date = f.sk_date_maturity_date LEFT JOIN dim_date dp ON dp.sk_date = f.sk_date_post_date""",
+        LEFT JOIN dim_date dc ON dc.sk_date = f.sk_date_commencement_date LEFT JOIN dim_date dm ON dm.sk_date = f.sk_date_maturity_date LEFT JOIN dim_date dp ON dp.sk_date = record.sk_created_date""",
     "v_assets_in_app": """
         WITH u AS (SELECT c.opportunity_id, c.opportunity_number, c.credit_profile_id, c.credit_profile_number, c.loc_status, c.application_status, c.application_created, c.product_name, c.company_name, c.legal_entity, c.application_created_by, h.asset_id
               FROM v_credit_apps c JOIN dim_profile_asset h USING (credit_profile_id) WHERE lower(c.loc_status) IN ('pending', 'datagathering', 'creditanalysis', 'amendment', 'approved')

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rentroll.operators import hot, timeline
 
-CUT = {"share": 0.015, "floor": 3}
+CUT = {"per_piece": 3}
 
 
 @pytest.fixture(scope="module")
@@ -27,11 +27,19 @@ def same(a, b):
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
 
 
-def test_some_keys_are_hot_and_the_list_is_bounded(rows):
-    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
-    listed = hot.hot_keys(counts, ["k"], **CUT).collect()
-    assert 1 < len(listed) <= 1 / CUT["share"]
-    assert {r.k for r in listed} >= {0, 7, None}
+def test_pieces_are_bounded_whatever_a_key_holds(spark, rows):
+    for frame in (rows, rows.withColumn("at", F.lit(0))):  # also when all rows fall on one day
+        sizes = hot.in_groups(frame, ["k"], ["at", "id"], 8).groupBy("_group").count().collect()
+        assert max(r["count"] for r in sizes) <= 10
+        assert {r._group.k for r in sizes if r._group._slot is not None} >= {0, 7, None}
+    points = hot.cut_points(rows, ["k"], ["at", "id"], 8).select(F.explode("_points")).count()
+    assert 20 < points <= 600 / 8
+
+
+def test_equal_rows_get_many_salts(spark):
+    rows = spark.createDataFrame([(1, "same")] * 300, "k int, s string")
+    plan = hot.spread_join(rows, rows.groupBy("k").agg(F.count("*").alias("n")), ["k"], per_piece=30)
+    assert plan.count() == 300 and "monotonically_increasing_id" in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_ordered_columns_equal_plain_windows(rows):
@@ -55,7 +63,6 @@ def test_ordered_columns_equal_plain_windows(rows):
             rows,
             ["k"],
             ["at", "id"],
-            F.to_date("at"),
             ordinal="n",
             reverse_ordinal="back",
             running={"run": "v"},
@@ -94,7 +101,7 @@ def test_state_intervals_with_and_without_hot_keys(rows):
     ended = rows.withColumn("ends", F.date_add(F.to_date("at"), F.col("v")))
     want = brute_intervals(ended.collect())
     for cut in (CUT, {}):
-        got = timeline.state_intervals(ended, ["k"], ["at", "id"], "s", "at", "ends", F.to_date("at"), **cut)
+        got = timeline.state_intervals(ended, ["k"], ["at", "id"], "s", "at", "ends", **({"rows": 3} if cut else {}))
         assert sorted(repr(tuple(r)) for r in got.collect()) == want
 
 
