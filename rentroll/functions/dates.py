@@ -69,11 +69,6 @@ def friday_on_or_after(col):
     return F.date_add(d, F.pmod(F.lit(6) - F.dayofweek(d), F.lit(7)))
 
 
-def friday_on_or_before(col):
-    d = F.to_date(col)
-    return F.date_sub(d, F.pmod(F.dayofweek(d) - F.lit(6), F.lit(7)))
-
-
 def known_start(start, *fallbacks):
     """Start day, with the unknown-start sentinel replaced by the first fallback present."""
     return F.when(F.to_date(start) == F.lit(UNKNOWN_START), F.coalesce(*fallbacks)).otherwise(start)

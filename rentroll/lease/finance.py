@@ -1,5 +1,7 @@
 """Finance reports: origination, accruals, funder extracts, income streams, maintenance profit, residual values."""
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -246,14 +248,38 @@ def contract_sheet(w):
     return finance_latest(w).join(contract_sales_reps(w), "contract_id", "left")
 
 
-CHARGE_NAMES = ["Maintenance Budget", "Tyre Recharge", "Overhead", "Penalty Charge Notice Cost Recharge", "Rental Income", "Damage Recharge"]
+# Charges with a column of their own in the accruals report.
+CHARGE_NAMES = [
+    "Maintenance Cost Budget - Collection & Delivery",
+    "Third Party Fridge Charges",
+    "Maintenance Cost Budget - Crane",
+    "Third Party Ancillary Charges",
+    "Maintenance Cost Budget - RFL",
+    "Third Party Crane Charges",
+    "Maintenance Cost Budget - Overhead",
+    "Third Party Maintenance",
+    "Maintenance Cost Budget - General",
+    "Maintenance Cost Budget - Tyres",
+    "Maintenance Cost Budget - Tail Lift",
+    "Maintenance Cost Budget - Fridge",
+    "Maintenance Cost Budget - Relief Vehicle",
+    "Maintenance Cost Budget - Ancillary",
+]
+
+
+def column_of(charge):
+    """charge name -> snake_case column name"""
+    return "charge_" + re.sub("[^a-z0-9]+", "_", charge.lower())
 
 
 def accruals_pivot(w):
-    """Latest lease of each asset with one column per charge name."""
+    """Latest lease of each asset with one column per listed charge, and one for all other charges together."""
     heads = contract_sheet(w).filter(~F.coalesce("status", F.lit("")).isin("Inactive", "Pending", "InstallingAssets"))
-    names = ["charge_" + c.lower().replace(" ", "_") for c in CHARGE_NAMES]
-    wide = pivot_sum(charges_detail(w), ["contract_id", "asset_id"], "charge_name", CHARGE_NAMES, "charges", names)
+    other = "other"
+    named = F.when(F.col("charge_name").isin(CHARGE_NAMES), F.col("charge_name")).otherwise(other)
+    names = [column_of(c) for c in [*CHARGE_NAMES, other]]
+    charges = charges_detail(w).withColumn("charge_name", named)
+    wide = pivot_sum(charges, ["contract_id", "asset_id"], "charge_name", [*CHARGE_NAMES, other], "charges", names)
     rows = split_join(latest_leases(w).drop("branch_name"), heads.drop("rent_amount"), ["contract_id"]).join(wide, ["contract_id", "asset_id"], "left")
     return as_amounts(
         rows.select(

@@ -12,9 +12,9 @@ def lookup(w, table, key, as_key, **columns):
 
 
 def with_day(w, df, date_key, out, how="left"):
-    """Replace a date key by its day. The calendar has one row per day, so it is broadcast."""
+    """Replace a date key by its day; Spark broadcasts the calendar if it is small."""
     days = w("dim_date").select(F.col("sk_date").alias(date_key), F.col("bk_date").alias(out))
-    return df.join(F.broadcast(days), date_key, how)
+    return df.join(days, date_key, how)
 
 
 def as_amounts(df, *columns):

@@ -4,13 +4,6 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from rentroll.functions.dates import OPEN_END
-
-
-def left_with(df, other, on, keep):
-    """Left join to the rows of ``other`` that meet ``keep``; the filter runs before the join."""
-    return df.join(other.filter(keep), on, "left")
-
 
 def star_join(fact, *dims):
     """Chain of ``(dim, on, how)`` joins; the optimizer picks broadcast by checked size."""
@@ -61,7 +54,3 @@ def interval_join(rows, intervals, keys, at, low, high, horizon, closed=False):
     inside = (F.col(at) >= low) & (F.col(at) <= high if closed else F.col(at) < high)
     marked = rows.withColumn("_month", F.trunc(F.to_date(at), "month"))
     return marked.join(live, [*keys, "_month"]).filter(inside).drop("_month")
-
-
-def open_end_if_null(col):
-    return F.coalesce(F.to_date(col), F.lit(OPEN_END))

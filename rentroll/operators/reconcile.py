@@ -14,14 +14,19 @@ def difference(first, *others):
 
 
 def compare_feeds(ours, theirs, key, our_amount, their_amount):
-    """Every one of our rows with missing and mismatch flags against the other system."""
-    both = ours.join(theirs, key, "left")
-    absent = F.col(their_amount).isNull()
+    """Every row of either system with flags for rows the other one lacks and for amounts that differ.
+
+    A row with a null amount is there; its amount counts as zero.
+    """
+    here, there = F.lit(True).alias("_ours"), F.lit(True).alias("_theirs")
+    both = ours.select("*", here).join(theirs.select("*", there), key, "full")
+    in_ours, in_theirs = F.col("_ours").isNotNull(), F.col("_theirs").isNotNull()
     diff = difference(F.col(our_amount), F.col(their_amount))
-    return both.withColumns(
+    return both.drop("_ours", "_theirs").withColumns(
         {
-            "missing": absent.cast("int"),
-            "mismatch": (~absent & (diff != 0)).cast("int"),
+            "missing": (~in_theirs).cast("int"),
+            "missing_in_ours": (~in_ours).cast("int"),
+            "mismatch": (in_ours & in_theirs & (diff != 0)).cast("int"),
             "difference": diff,
         }
     )

@@ -73,8 +73,28 @@ lease_query("regulatory_report", "V066 D16 D17 T06 M03 J13 K03", finance.regulat
 lease_query("loan_agreements", "V067 S09 F01", finance.loan_agreements, f"""
     SELECT party_number, asset_id, 'LES-' || sequence_number AS account_id, company_name, product_name, yield, customer_term_in_months, {dbl("charge_to_customer")}, payment_frequency, {dbl("bills_due")}, next_due AS next_due_date,
         CAST(nbv_amount AS DOUBLE) AS equipment_nbv FROM v_loans""")
-PIVOT = ", ".join(f"CAST(ROUND(COALESCE(SUM(charges) FILTER (WHERE charge_name = '{c}'), 0), 2) AS DOUBLE) AS charge_{c.lower().replace(' ', '_')}" for c in finance.CHARGE_NAMES)
-NAMES = ", ".join(f"COALESCE(x.charge_{c.lower().replace(' ', '_')}, 0) AS charge_{c.lower().replace(' ', '_')}" for c in finance.CHARGE_NAMES)
+# Written out here: the check must not share the list it checks.
+PIVOTED = {
+    "charge_maintenance_cost_budget_collection_delivery": "Maintenance Cost Budget - Collection & Delivery",
+    "charge_third_party_fridge_charges": "Third Party Fridge Charges",
+    "charge_maintenance_cost_budget_crane": "Maintenance Cost Budget - Crane",
+    "charge_third_party_ancillary_charges": "Third Party Ancillary Charges",
+    "charge_maintenance_cost_budget_rfl": "Maintenance Cost Budget - RFL",
+    "charge_third_party_crane_charges": "Third Party Crane Charges",
+    "charge_maintenance_cost_budget_overhead": "Maintenance Cost Budget - Overhead",
+    "charge_third_party_maintenance": "Third Party Maintenance",
+    "charge_maintenance_cost_budget_general": "Maintenance Cost Budget - General",
+    "charge_maintenance_cost_budget_tyres": "Maintenance Cost Budget - Tyres",
+    "charge_maintenance_cost_budget_tail_lift": "Maintenance Cost Budget - Tail Lift",
+    "charge_maintenance_cost_budget_fridge": "Maintenance Cost Budget - Fridge",
+    "charge_maintenance_cost_budget_relief_vehicle": "Maintenance Cost Budget - Relief Vehicle",
+    "charge_maintenance_cost_budget_ancillary": "Maintenance Cost Budget - Ancillary",
+}
+LISTED = ", ".join(f"'{c}'" for c in PIVOTED.values())
+SUMS = {col: f"SUM(charges) FILTER (WHERE charge_name = '{c}')" for col, c in PIVOTED.items()}
+SUMS |= {"charge_other": f"SUM(charges) FILTER (WHERE charge_name IS NULL OR charge_name NOT IN ({LISTED}))"}
+PIVOT = ", ".join(f"CAST(ROUND(COALESCE({x}, 0), 2) AS DOUBLE) AS {col}" for col, x in SUMS.items())
+NAMES = ", ".join(f"COALESCE(x.{col}, 0) AS {col}" for col in SUMS)
 lease_query("accruals_pivot", "V052 A08 W01 M02 J11", finance.accruals_pivot, f"""
     SELECT l.contract_id, l.asset_id, f.sequence_number, f.status, f.product_name, f.payment_method, r.sales_rep, CAST(ROUND(f.total_yield, 2) AS DOUBLE) AS interest_rate, l.terminated_on, {dbl("rent_amount", "nbv_amount", source="l.")}, {NAMES}
     FROM v_latest_lease l JOIN v_finance_latest f ON f.contract_id = l.contract_id LEFT JOIN v_sales_reps r ON r.contract_id = l.contract_id

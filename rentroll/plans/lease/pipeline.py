@@ -5,9 +5,29 @@ from rentroll.plans.lease.base import DAY
 from rentroll.plans.lease.finance import dbl
 from rentroll.plans.lease.fixture import VIEWS, lease_query
 
-MATRIX = " ".join(
-    f"WHEN n.description = '{c}'" + (f" AND p.transaction_type = '{d}'" if d else "") + f" THEN '{label}'" for c, d, label in pipeline.PRODUCT_MATRIX
-)
+# Written out here: the check must not share the matrix it checks.
+MATRIX = """
+    WHEN n.description = 'Lease Sales' AND p.transaction_type = 'Contract Hire' THEN 'Contract Hire Origination'
+    WHEN n.description = 'Lease Sales' AND p.transaction_type = 'Hire Purchase' THEN 'Hire Purchase Origination'
+    WHEN n.description = 'Lease Sales' AND p.transaction_type = 'Operating Lease' THEN 'Operating Lease Origination'
+    WHEN n.description = 'Lease Sales' AND p.transaction_type = 'Finance Lease' THEN 'Finance Lease Origination'
+    WHEN n.description = 'Lease Sales' AND p.transaction_type = 'Rental' THEN 'Rental - Origination'
+    WHEN n.description = 'Extension -Lease' AND p.transaction_type = 'Contract Hire' THEN 'Contract Hire Extension'
+    WHEN n.description = 'Extension -Lease' AND p.transaction_type = 'Operating Lease' THEN 'Operating Lease Extension'
+    WHEN n.description = 'Extension -Lease' AND p.transaction_type = 'Hire Purchase' THEN 'Hire Purchase Extension'
+    WHEN n.description = 'Lease (Used Asset)' AND p.transaction_type = 'Contract Hire' THEN 'Contract Hire Lease - Used Asset'
+    WHEN n.description = 'Lease (Used Asset)' AND p.transaction_type = 'Hire Purchase' THEN 'Hire Purchase (Used Asset)'
+    WHEN n.description = 'Lease (Used Asset)' AND p.transaction_type = 'Operating Lease' THEN 'Operating Lease (Used Asset)'
+    WHEN n.description = 'Lease (Used Asset)' AND p.transaction_type = 'Finance Lease' THEN 'Finance Lease (Used Asset)'
+    WHEN n.description = 'Lease (Used Asset)' AND p.transaction_type = 'Rental' THEN 'Rental (Used Asset)'
+    WHEN n.description = 'Rental (New Asset)' AND p.transaction_type = 'Rental' THEN 'Rental - Origination'
+    WHEN n.description = 'Rental' AND p.transaction_type = 'Rental' THEN 'Rental - Churn'
+    WHEN n.description = 'Extension - Rental Std' AND p.transaction_type = 'Rental' THEN 'Rental - Extension (Existing Customer)'
+    WHEN n.description = 'Lease (Re-Profile)' THEN 'Lease (Re-Profile)'
+    WHEN n.description = 'Vendor Finance' THEN 'Vendor Finance'
+    WHEN n.description = 'Traffic Managment' THEN 'Traffic Management'
+    WHEN n.description = 'Fleet Management' THEN 'Fleet Management'
+"""
 BOTH = """LEFT JOIN v_people m ON m.customer_id = c.bk_customer_id AND m.role_function = 'Account Manager' LEFT JOIN v_people r ON r.customer_id = c.bk_customer_id AND r.role_function = 'Sales Rep'"""
 VIEWS |= {
     "v_sales": """SELECT s.*, d.bk_asset_sale_detail_id, d.asset_id, d.fair_market_value_amount, d.net_value_amount, d.projected_vat_amount, a.sk_asset, a.manufacturer_name, c.party_name AS buyer, b.branch_name AS depot, u.full_name AS salesperson,

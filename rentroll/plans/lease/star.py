@@ -190,8 +190,8 @@ STAR = {
     "dim_recurring_detail": f"""SELECT {LINE_ID} AS bk_recurring_detail_id, l_orderkey AS sundry_recurring_id, l_partkey AS asset_id, {dec("l_quantity * l_linenumber")} AS amount, {dec("l_quantity * l_linenumber * 0.2")} AS vat_amount, 1 AS current_flag
         FROM lineitem WHERE l_quantity >= 3""",
     "dim_recurring_schedule": f"SELECT {LINE_ID} AS bk_recurring_schedule_id, l_orderkey AS sundry_recurring_id, {SHIPPED} AS due_date, CASE WHEN l_linenumber = 7 THEN 0 ELSE 1 END AS is_active, 1 AS current_flag, {dec('l_quantity')} AS amount FROM lineitem",
-    "dim_receivable_code": """SELECT CAST(n_nationkey AS BIGINT) AS bk_receivable_code_id, 1 AS is_active, 1 AS current_flag, CASE n_nationkey WHEN 0 THEN 'Maintenance Budget' WHEN 1 THEN 'Tyre Recharge' WHEN 2 THEN 'Overhead'
-        WHEN 3 THEN 'Penalty Charge Notice Cost Recharge' WHEN 4 THEN 'Rental Income' ELSE 'Damage Recharge' END AS name FROM nation WHERE n_nationkey < 6""",
+    "dim_receivable_code": """SELECT CAST(n_nationkey AS BIGINT) AS bk_receivable_code_id, 1 AS is_active, 1 AS current_flag, CASE n_nationkey WHEN 0 THEN 'Maintenance Cost Budget - General' WHEN 1 THEN 'Third Party Maintenance' WHEN 2 THEN 'Maintenance Cost Budget - Overhead'
+        WHEN 3 THEN 'Penalty Charge Notice Cost Recharge' WHEN 4 THEN 'Rental Income' ELSE 'Maintenance Cost Budget - Tyres' END AS name FROM nation WHERE n_nationkey < 6""",
     "dim_sundry": f"""SELECT event_id AS bk_sundry_id, user_id AS customer_id, event_id AS contract_id, event_id AS receivable_id, event_id % 6 AS receivable_code_id, event_id % 5 AS payable_code_id,
         CASE WHEN event_type IN ('click', 'error') THEN 'PayableOnly' ELSE 'ReceivableOnly' END AS sundry_type, {dec("value")} AS amount, {dec("value * 0.2")} AS vat_amount,
         {HAPPENED} AS receivable_due_date, {HAPPENED} + 3 AS payable_due_date, {HAPPENED} - 5 AS created_time, 'Approved' AS status, CASE WHEN event_id % 10 = 0 THEN 0 ELSE 1 END AS is_active, 1 AS current_flag FROM events""",

@@ -160,19 +160,20 @@ def dup_keep_remove(t):
     "recon_diff",
     "X08 D12 J02",
     f"""
-    SELECT o_orderkey, CASE WHEN theirs IS NULL THEN 1 ELSE 0 END AS missing,
-           CASE WHEN theirs IS NOT NULL AND ours - theirs <> 0 THEN 1 ELSE 0 END AS mismatch,
-           CAST(ROUND(ours - COALESCE(theirs, 0), 2) AS DOUBLE) AS difference
-    FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,4)) AS ours FROM orders)
-    LEFT JOIN (SELECT l_orderkey, SUM({GROSS}) AS theirs FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+    SELECT COALESCE(o_orderkey, l_orderkey) AS o_orderkey, CASE WHEN l_orderkey IS NULL THEN 1 ELSE 0 END AS missing,
+           CASE WHEN o_orderkey IS NULL THEN 1 ELSE 0 END AS missing_in_ours,
+           CASE WHEN o_orderkey IS NOT NULL AND l_orderkey IS NOT NULL AND ours - theirs <> 0 THEN 1 ELSE 0 END AS mismatch,
+           CAST(ROUND(COALESCE(ours, 0) - COALESCE(theirs, 0), 2) AS DOUBLE) AS difference
+    FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,4)) AS ours FROM orders WHERE o_orderstatus <> 'P')
+    FULL JOIN (SELECT l_orderkey, SUM({GROSS}) AS theirs FROM lineitem WHERE l_tax > 0 GROUP BY l_orderkey) ON l_orderkey = o_orderkey
     """,
 )
 def recon_diff(t):
-    """Order totals of one system against line totals of the other."""
-    ours = t("orders").select("o_orderkey", money(F.col("o_totalprice")).alias("ours"))
-    theirs = open_items(t).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("open").alias("theirs"))
+    """Settled order totals of one system against totals of taxed lines of the other: each lacks some orders."""
+    ours = t("orders").filter("o_orderstatus <> 'P'").select("o_orderkey", money(F.col("o_totalprice")).alias("ours"))
+    theirs = open_items(t, F.col("l_tax") > 0).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("open").alias("theirs"))
     both = reconcile.compare_feeds(ours, theirs, "o_orderkey", "ours", "theirs")
-    return both.select("o_orderkey", "missing", "mismatch", amount(F.col("difference")).alias("difference"))
+    return both.select("o_orderkey", "missing", "missing_in_ours", "mismatch", amount(F.col("difference")).alias("difference"))
 
 
 @query(

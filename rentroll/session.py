@@ -5,6 +5,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+OWN = {}  # folders of local runs, by application
+
 
 def spark_session(cpus=None, app="rentroll", memory="16g"):
     cores = str(cpus or os.cpu_count() or 4)
@@ -17,21 +19,18 @@ def spark_session(cpus=None, app="rentroll", memory="16g"):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.parquet.aggregatePushdown", "false")
         .getOrCreate()
     )
 
 
 def shared_folder(spark):
-    """Folder every executor can reach, as the cluster names it.
+    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local run (where the setting is absent) falls back to a fresh folder of its own.
+    Only a local run where the setting is absent gets a fresh folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="rentroll-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rentroll-"))
