@@ -12,11 +12,13 @@ connected component of links.
    horizon that fills nearly all registers; a document with an empty one goes on to twice the horizon.
 3. Registers are banded. In each band bucket every node is a candidate of the bucket's first node only (a star, not all
    pairs). Candidates are verified on the words; components of the links are found by alternating stars.
-4. Nodes of buckets that still hold several components are compared further, without all pairs: two multisets of that
-   similarity share one of the (1 - least) part of each with the rarest shingles, so only nodes that share a rare shingle
-   and lie in different components are candidates. A few rounds compare each group that shares one with its most common
-   node; the last step takes every pair that is left. Edited copies mostly have rare shingles of their own, so a large
-   group of them leaves few pairs.
+4. Nodes of buckets that still hold several components are compared further, without all pairs. The shingles of every
+   node are put in one order, the rarest first. Two multisets of that similarity share one of the (1 - least) part of each
+   that comes first, and behind the first one they share both have enough left to reach the similarity (the prefix and
+   positional filters of set joins; neither loses a link). Only nodes of different components that meet so are candidates.
+   A few rounds compare each group that shares a shingle with one node that has few shingles of its own, which joins
+   nearly all of a group; the last step takes every pair that is left. Edited copies have rare shingles of their own, so
+   a large group of them leaves few pairs.
 """
 
 import hashlib
@@ -256,7 +258,8 @@ def nodes_of(sketches):
 
 
 def rare_shingles(texts, least):
-    """(node, token, weight, own): the rarest shingles of each node that others share; own: how many none shares.
+    """(node, token, weight, place, own): the rarest shingles of each node that others share, by their place in the
+    common order; own: how many of the rarest no other node has.
 
     A shingle that occurs c times is c tokens, so that a shared part of the multiset is a shared set of tokens.
     """
@@ -279,7 +282,14 @@ def rare_shingles(texts, least):
     prefix = F.floor(F.col("weight") * (1 - least) + 1e-9) + 1
     ranked = tokens.join(common, "token").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= prefix)
     own = F.sum(F.when(F.col("df") == 1, 1).otherwise(0)).over(Window.partitionBy("node"))
-    return ranked.withColumn("own", own).filter("df > 1").select("node", "token", "weight", "own")
+    return ranked.withColumn("own", own).filter("df > 1").select("node", "token", "weight", "place", "own")
+
+
+def may_link(a, b, least):
+    """Whether two nodes that meet at a token can be similar enough if it is the first one they share."""
+    (a_weight, a_place), (b_weight, b_place) = a, b
+    most = 1 + F.least(a_weight - a_place, b_weight - b_place)
+    return most >= (a_weight + b_weight) * (least / (1 + least)) - 1e-9
 
 
 def relabelled(labels, links):
@@ -313,26 +323,30 @@ def further_links(sketches, buckets, labels, compared, least, rounds):
 
     for turn in range(rounds):
         groups = rare.join(inner, "node")
-        rank = F.struct("own", F.xxhash64("node", F.lit(turn)), "node", "label", "weight")
+        # First the node with the fewest shingles of its own, then others like it: each token picks another one.
+        near = F.floor(F.col("own") * 16 / F.col("weight")) + F.pmod(F.xxhash64("node", "token", F.lit(turn)), F.lit(2)) * min(turn, 1)
+        order = F.col("own") if turn == 0 else F.xxhash64("token", "node", F.lit(turn))
+        rank = F.struct(near.alias("near"), order.alias("order"), "node", "label", "weight", "place")
         hubs = groups.groupBy("token").agg(F.min(rank).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y"))
         hubs = hubs.filter("x != y").select("token", "hub")
-        near = (F.col("weight") >= F.col("hub.weight") * least) & (F.col("hub.weight") >= F.col("weight") * least)
-        star = groups.join(hubs, "token").filter((F.col("label") != F.col("hub.label")) & near)
+        apart = F.col("label") != F.col("hub.label")
+        meet = may_link((F.col("weight"), F.col("place")), (F.col("hub.weight"), F.col("hub.place")), least)
+        star = groups.join(hubs, "token").filter(apart & meet)
         check(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")), f"hubs-{turn}")
 
     groups = save(rare.join(inner, "node"), "left-over")
     still = groups.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
     left = groups.join(still.select("token"), "token", "left_semi").select(
-        "token", F.col("node").alias("a"), F.col("label").alias("a_label"), F.col("weight").alias("a_weight")
+        "token", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", "weight", "place")]
     )
-    right = left.select("token", *[F.col(f"a{c}").alias(f"b{c}") for c in ("", "_label", "_weight")])
-    apart = (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label"))
-    sizes = (F.col("a_weight") >= F.col("b_weight") * least) & (F.col("b_weight") >= F.col("a_weight") * least)
-    check(left.join(right, "token").filter(apart & sizes).select("a", "b"), "rest")
+    right = left.select("token", *[F.col(f"a_{c}").alias(f"b_{c}") for c in ("node", "label", "weight", "place")])
+    apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
+    meet = may_link(*[(F.col(f"{x}_weight"), F.col(f"{x}_place")) for x in "ab"], least)
+    check(left.join(right, "token").filter(apart & meet).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "rest")
     return reduce(lambda x, y: x.unionByName(y), found)
 
 
-def classes(documents, least=0.8, bands=BANDS, rows=ROWS, rounds=3):
+def classes(documents, least=0.8, bands=BANDS, rows=ROWS, rounds=4):
     """One row per row of ``documents`` (doc_id, text): doc_id, row, class_id, class_size, kept.
 
     class_id is the smallest doc_id of the class; of each class one row is kept, that with the smallest doc_id (nulls
@@ -356,7 +370,7 @@ def one_per_class(documents, **options):
     return sketches.join(kept, "row", "left_semi").select(*[F.col(f"as_is.{c}") for c in documents.columns])
 
 
-def members_of(sketches, least=0.8, rounds=3):
+def members_of(sketches, least=0.8, rounds=4):
     """Class of every sketched row."""
     nodes = save(nodes_of(sketches), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
