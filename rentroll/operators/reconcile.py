@@ -22,7 +22,7 @@ def compare_feeds(ours, theirs, key, our_amount, their_amount):
     both = ours.select("*", here).join(theirs.select("*", there), key, "full")
     in_ours, in_theirs = F.col("_ours").isNotNull(), F.col("_theirs").isNotNull()
     diff = difference(F.col(our_amount), F.col(their_amount))
-    return both.drop("_ours", "_theirs").withColumns(
+    flagged = both.withColumns(
         {
             "missing": (~in_theirs).cast("int"),
             "missing_in_ours": (~in_ours).cast("int"),
@@ -30,6 +30,7 @@ def compare_feeds(ours, theirs, key, our_amount, their_amount):
             "difference": diff,
         }
     )
+    return flagged.drop("_ours", "_theirs")
 
 
 def keep_or_remove(df, keys, system, trusted):

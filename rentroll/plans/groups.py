@@ -1,7 +1,5 @@
 """Aggregates, set operations, sorts and top-k."""
 
-from datetime import date
-
 from pyspark.sql import functions as F
 
 from rentroll.functions.money import amount, mean, money
@@ -161,12 +159,11 @@ def union_distinct(t):
 @query(
     "multi_key_sort",
     "O01",
-    "SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderdate >= DATE '2001-01-01' ORDER BY o_custkey, o_orderdate, o_orderkey",
+    "SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey",
 )
 def multi_key_sort(t):
     """Sort with a unique last key, so that range partitions stay even."""
-    recent = t("orders").filter(F.col("o_orderdate") >= F.lit(date(2001, 1, 1)))
-    return recent.select("o_orderkey", "o_custkey", "o_orderdate").orderBy("o_custkey", "o_orderdate", "o_orderkey")
+    return t("orders").select("o_orderkey", "o_custkey", "o_orderdate").orderBy("o_custkey", "o_orderdate", "o_orderkey")
 
 
 @query(
@@ -203,9 +200,8 @@ def top100_ties(t):
     "O04 S12",
     "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
 )
-def capped_rows(t):
+def capped_rows(t, cap=25):
     """Row cap given as a parameter; ordered, so that the same rows come back each time."""
-    cap = 25
     return t("orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(cap)
 
 

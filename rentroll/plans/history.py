@@ -155,14 +155,14 @@ def latest_fact_per_business_key(t):
     "D22 J13 W01 J02 V008",
     """
     SELECT c_custkey, c_name, o_orderpriority AS last_priority FROM customer LEFT JOIN (
-        SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus <> 'P'
+        SELECT o_custkey, o_orderpriority FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1
     ) ON c_custkey = o_custkey
     """,
 )
 def latest_child_attribute(t):
     child = versions.first_per_key(
-        t("orders").filter(F.col("o_orderstatus") != "P"),
+        t("orders"),
         ["o_custkey"],
         F.col("o_orderdate").desc(),
         F.col("o_orderkey").desc(),

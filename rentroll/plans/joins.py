@@ -124,17 +124,15 @@ def interval_join_closed(t):
     "J07 T05",
     """
     WITH spans AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS lo, CAST(o_orderdate AS DATE) + 20 AS hi
-                   FROM orders WHERE o_orderdate >= DATE '2001-01-01'),
-    days AS (SELECT CAST(d AS DATE) AS snapshot FROM generate_series(DATE '2001-01-05', DATE '2001-06-30', INTERVAL 7 DAY) g(d))
+                   FROM orders),
+    days AS (SELECT CAST(d AS DATE) AS snapshot FROM generate_series(DATE '1990-01-05', DATE '2001-06-30', INTERVAL 7 DAY) g(d))
     SELECT snapshot, COUNT(*) AS open_orders FROM spans JOIN days ON snapshot BETWEEN lo AND hi GROUP BY snapshot
     """,
 )
 def spine_expansion(t):
     """Range join to a Friday calendar, as one generated list per interval."""
     day = F.to_date("o_orderdate")
-    spans = t("orders").filter(F.col("o_orderdate") >= F.lit(date(2001, 1, 1))).select(
-        day.alias("lo"), F.date_add(day, 20).alias("hi")
-    )
+    spans = t("orders").select(day.alias("lo"), F.date_add(day, 20).alias("hi"))
     weeks = friday_snapshots(spans, F.col("lo"), F.col("hi"), AS_OF)
     return weeks.groupBy("snapshot").agg(F.count(F.lit(1)).alias("open_orders"))
 
@@ -179,7 +177,7 @@ def text_key_join(t):
     SELECT o_orderkey, c.n_name AS customer_nation, s.n_name AS supplier_nation, COUNT(*) AS n_lines
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     JOIN nation c ON c.n_nationkey = c_nationkey JOIN supplier ON l_suppkey = s_suppkey
-    JOIN nation s ON s.n_nationkey = s_nationkey WHERE o_orderstatus = 'P' GROUP BY ALL
+    JOIN nation s ON s.n_nationkey = s_nationkey GROUP BY ALL
     """,
 )
 def self_join_roles(t):
@@ -192,7 +190,7 @@ def self_join_roles(t):
         F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("supplier_nation")
     )
     per_order = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    orders = t("orders").filter(F.col("o_orderstatus") == "P").select("o_orderkey", "o_custkey")
+    orders = t("orders").select("o_orderkey", "o_custkey")
     wide = joins.star_join(
         per_order, (orders, "o_orderkey", "inner"), (buyer, "o_custkey", "inner"), (seller, "l_suppkey", "inner")
     )
@@ -248,11 +246,11 @@ def outer_forced_inner(t):
     f"""
     SELECT o_orderkey, o_orderstatus, n_lines, order_net FROM orders LEFT JOIN (
         SELECT l_orderkey, COUNT(*) AS n_lines, CAST(ROUND(SUM({NET}), 2) AS DOUBLE) AS order_net
-        FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey) ON o_orderkey = l_orderkey
+        FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey
     """,
 )
 def preaggregated_join(t):
-    totals = t("lineitem").filter(F.col("l_returnflag") != "R").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+    totals = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).alias("n_lines"), amount(F.sum(net())).alias("order_net")
     )
     return t("orders").select("o_orderkey", "o_orderstatus").join(totals, "o_orderkey", "left")
@@ -292,3 +290,35 @@ def model_relationships(t):
     return per_customer.join(t("customer"), "c_custkey").groupBy("c_mktsegment").agg(
         F.count("c_custkey").alias("buyers"), F.sum("n").alias("orders_placed")
     )
+
+
+@query(
+    "inactive_link",
+    "J15 J14",
+    """
+    SELECT month_key, COALESCE(ordered, 0) AS ordered, COALESCE(shipped, 0) AS shipped
+    FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month_key, COUNT(*) AS ordered FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+    FULL JOIN (SELECT strftime(l_shipdate, '%Y-%m') AS month_key, COUNT(*) AS shipped FROM lineitem GROUP BY 1) USING (month_key)
+    """,
+)
+def inactive_link(t):
+    """One calendar, two links: lines by the day of their order (active) and, where asked for, by the day they left."""
+    placed = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM").alias("month_key"))
+    per_order = t("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    ordered = per_order.join(placed, "l_orderkey").groupBy("month_key").agg(F.sum("n").alias("ordered"))
+    shipped = t("lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month_key")).agg(F.count(F.lit(1)).alias("shipped"))
+    return ordered.join(shipped, "month_key", "full").na.fill(0)
+
+
+@query(
+    "one_to_one_link",
+    "J15 J13",
+    """
+    SELECT c_custkey, c_name, n_orders FROM customer
+    FULL JOIN (SELECT o_custkey, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey
+    """,
+)
+def one_to_one_link(t):
+    """Two tables with one row per customer each; either side may lack the other."""
+    totals = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return t("customer").select("c_custkey", "c_name").join(totals, "c_custkey", "full")

@@ -188,7 +188,7 @@ STAR = {
     "dim_sundry_recurring": f"""SELECT o_orderkey AS bk_sundry_recurring_id, o_orderkey AS contract_id, o_custkey AS customer_id, o_orderkey % 7 AS receivable_code_id, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS is_asset_based,
         1 AS is_active, 1 AS current_flag, 'ReceivableOnly' AS sundry_type, 'Approved' AS status, {dec("o_orderkey % 50")} AS regular_amount, 'Monthly' AS frequency FROM orders WHERE o_orderkey % 3 <> 1""",
     "dim_recurring_detail": f"""SELECT {LINE_ID} AS bk_recurring_detail_id, l_orderkey AS sundry_recurring_id, l_partkey AS asset_id, {dec("l_quantity * l_linenumber")} AS amount, {dec("l_quantity * l_linenumber * 0.2")} AS vat_amount, 1 AS current_flag
-        FROM lineitem WHERE l_quantity >= 3""",
+        FROM lineitem""",
     "dim_recurring_schedule": f"SELECT {LINE_ID} AS bk_recurring_schedule_id, l_orderkey AS sundry_recurring_id, {SHIPPED} AS due_date, CASE WHEN l_linenumber = 7 THEN 0 ELSE 1 END AS is_active, 1 AS current_flag, {dec('l_quantity')} AS amount FROM lineitem",
     "dim_receivable_code": """SELECT CAST(n_nationkey AS BIGINT) AS bk_receivable_code_id, 1 AS is_active, 1 AS current_flag, CASE n_nationkey WHEN 0 THEN 'Maintenance Cost Budget - General' WHEN 1 THEN 'Third Party Maintenance' WHEN 2 THEN 'Maintenance Cost Budget - Overhead'
         WHEN 3 THEN 'Penalty Charge Notice Cost Recharge' WHEN 4 THEN 'Rental Income' ELSE 'Maintenance Cost Budget - Tyres' END AS name FROM nation WHERE n_nationkey < 6""",
@@ -243,7 +243,7 @@ STAR = {
     "dim_book_depreciation": f"""SELECT {LINE_ID} AS sk_book_depreciation, l_partkey AS asset_id, CASE WHEN l_linenumber = 5 THEN NULL ELSE l_orderkey END AS contract_id, {SHIPPED} AS begin_date, {SHIPPED} + 365 AS end_date,
         CASE WHEN l_returnflag = 'R' THEN {SHIPPED} + 100 END AS terminated_date, {dec("l_quantity * 0.01")} AS per_day_factor, CASE WHEN l_tax > 0 THEN 1 ELSE 0 END AS is_active, 1 AS current_flag FROM lineitem WHERE l_linestatus = 'F'""",
     "fact_payable_invoice_asset": f"""SELECT l_partkey * 2 + 1 AS sk_asset, l_orderkey AS sk_payable_invoice, l_suppkey AS vendor_id, {ymd(SHIPPED)} AS sk_date_record, ((l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey) AS sk_time_record, {dec("l_quantity * 50")} AS acquisition_cost_amount,
-        CASE WHEN l_linenumber = 1 THEN NULL ELSE {dec("l_quantity")} END AS other_cost_amount, {dec("l_quantity * 10")} AS vat_amount FROM lineitem WHERE l_tax > 0.05""",
+        CASE WHEN l_linenumber = 1 THEN NULL ELSE {dec("l_quantity")} END AS other_cost_amount, {dec("l_quantity * 10")} AS vat_amount FROM lineitem""",
     "dim_vendor": "SELECT s_suppkey AS bk_vendor_id, s_name AS company_name FROM supplier",
     "dim_asset_sale": f"""SELECT o_orderkey AS bk_asset_sale_id, {ORDERED} AS transaction_date, 'broker' || CAST(o_custkey % 9 AS STRING) AS attention_to, o_custkey AS buyer_id, 'SQ' || CAST(o_orderkey AS STRING) AS transaction_number,
         CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Submitted' ELSE 'Pending' END AS status, CAST(o_orderkey % 2 AS INT) AS finance_company_funded, o_custkey % 25 AS branch_id, o_orderkey % 6 AS receivable_code_id,
@@ -274,8 +274,8 @@ STAR = {
     "flat_budgets": f"SELECT 'B' || CAST({LINE_ID} AS STRING) AS id, CAST(l_partkey AS STRING) AS asset_id, CAST(l_orderkey AS STRING) AS contract_id, {dec('l_quantity')} AS amount, {SHIPPED} AS invoice_date, CASE l_linenumber WHEN 1 THEN 'Tyre Budget' WHEN 2 THEN 'Fleet Overhead Budget' WHEN 3 THEN 'Utilities' WHEN 4 THEN ' Waiver ' ELSE 'Maintenance Budget' END AS fee_name, 'Cust' || CAST(l_orderkey % 50 AS STRING) AS customer_name, 'current' AS source_system, 'Budget' AS category FROM lineitem WHERE l_returnflag = 'N'",
     "flat_recharges": f"SELECT CAST(event_id AS STRING) AS id, CAST(event_id % 200 AS STRING) AS asset_id, CAST(event_id AS STRING) AS contract_id, {dec('value')} AS amount, {HAPPENED} AS invoice_date, CASE event_type WHEN 'click' THEN 'Penalty Charge Notice Cost Recharge' WHEN 'error' THEN 'TYRE Recharge' WHEN 'signup' THEN 'Penalty Charge Admin Fee Recharge' WHEN 'view' THEN 'Damage' END AS fee_name, CASE WHEN event_id % 15 = 0 THEN 'EOL work' WHEN event_id % 2 = 0 THEN 'work' END AS description, 'Cust' || CAST(user_id AS STRING) AS customer_name, 'current' AS source_system, CASE WHEN event_id % 3 = 0 THEN 'Sundry' ELSE 'Fee' END AS category FROM events",
     "flat_expenses": f"SELECT 'E' || CAST(event_id AS STRING) AS id, CASE WHEN event_id % 20 = 0 THEN NULL ELSE CAST(event_id % 150 AS STRING) END AS asset_id, {dec('value * 0.5')} AS amount, {HAPPENED} AS invoice_date, CASE event_type WHEN 'click' THEN 'Penalty Charge Notice Cost Charge' WHEN 'error' THEN 'Tyre fitting' ELSE 'Workshop' END AS fee_name, 'Vend' || CAST(user_id AS STRING) AS account_name, 'legacy' AS source_system, 'Expense' AS category FROM events WHERE event_id % 4 = 0",
-    "flat_application_documents": "SELECT o_orderkey AS document_id, 'APP' || CAST(o_custkey AS STRING) AS application_name, 'doc ' || CAST(o_orderkey AS STRING) AS title FROM orders WHERE o_orderkey % 10 = 0",
-    "flat_lease_documents": "SELECT o_orderkey AS document_id, 'S' || CAST(o_orderkey AS STRING) AS lease_name, 'lease ' || CAST(o_orderkey AS STRING) AS title FROM orders WHERE o_orderkey % 3 = 0",
+    "flat_application_documents": "SELECT o_orderkey AS document_id, 'APP' || CAST(o_custkey AS STRING) AS application_name, 'doc ' || CAST(o_orderkey AS STRING) AS title FROM orders",
+    "flat_lease_documents": "SELECT o_orderkey AS document_id, 'S' || CAST(o_orderkey AS STRING) AS lease_name, 'lease ' || CAST(o_orderkey AS STRING) AS title FROM orders",
     "dim_date": f"""WITH span AS (SELECT MIN(CAST(o_orderdate AS DATE)) AS lo, MAX(CAST(o_orderdate AS DATE)) + 1500 AS hi FROM orders),
     days AS (SELECT day_expansion AS bk_date FROM span)
     SELECT {ymd("bk_date")} AS sk_date, bk_date, CAST(year(bk_date) AS INT) AS year_num, CAST(month(bk_date) AS INT) AS month_num FROM days

@@ -146,15 +146,15 @@ def date_hierarchy(t):
     "calendar_to_max",
     "X12",
     """
-    WITH b AS (SELECT date_trunc('year', MIN(o_orderdate)) AS lo, MAX(CAST(o_orderdate AS DATE)) AS hi FROM orders WHERE o_orderstatus = 'F')
+    WITH b AS (SELECT date_trunc('year', MIN(o_orderdate)) AS lo, MAX(CAST(o_orderdate AS DATE)) AS hi FROM orders)
     SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b
     """,
 )
 def calendar_to_max(t):
     """Calendar cut at the last origination day."""
-    closed = t("orders").filter(F.col("o_orderstatus") == "F")
-    latest = closed.agg(F.max(F.to_date("o_orderdate"))).scalar()
-    return calendars.calendar_of(closed, "o_orderdate").filter(F.col("day") <= latest)
+    orders = t("orders")
+    latest = orders.agg(F.max(F.to_date("o_orderdate"))).scalar()
+    return calendars.calendar_of(orders, "o_orderdate").filter(F.col("day") <= latest)
 
 
 @query(
@@ -215,10 +215,9 @@ def default_sums(t):
            COUNT(*) AS quantity FROM orders WHERE year(o_orderdate) = 2000 AND month(o_orderdate) IN (3, 4) GROUP BY 1, 2
     """,
 )
-def summarize_month(t):
+def summarize_month(t, year=2000, first=3, last=4):
     """Report with year and month parameters; groups come from the fact, so empty months do not show."""
-    chosen = {"year": 2000, "first": 3, "last": 4}
-    low, high = date(chosen["year"], chosen["first"], 1), date(chosen["year"], chosen["last"] + 1, 1)
+    low, high = date(year, first, 1), date(year + last // 12, last % 12 + 1, 1)
     at = F.col("o_orderdate")
     named = {"total": amount(F.sum(price())), "quantity": F.count(F.lit(1))}
     by = [F.year(at).alias("year_no"), F.month(at).alias("month_no")]
