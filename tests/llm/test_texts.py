@@ -32,6 +32,15 @@ def test_article_of_a_page():
     assert found == ["Tést & more &am", "One two three four", "Five 2 < 3", "six", "seven", "a", "b"]
 
 
+def test_what_an_article_may_lie_in():
+    def main(page):
+        return [t for mark, t in html_extract.blocks_of(page) if mark == html_extract.MAIN]
+
+    assert main('<form><div class="layout-sidebar-left"><article class="post with-comments"><header><h1>T</h1></header>a</article></div></form>') == ["T", "a"]
+    assert main('<main>a<div class="related"><article>b</article></div><div class="notice">c</div>d</main><aside><article>e</article></aside>') == ["a", "d"]
+    assert main('<article class="comment">a</article><nav><article>b</article></nav><main><nav>c</nav><footer>d</footer></main>') == []
+
+
 def test_unmarked_pages_lose_what_their_host_repeats(spark):
     frame = "<div>Welcome to the one and only site about all the birds of this land</div>"
     end = "<p>All rights of all pages here stay with those who wrote them long ago</p>"
