@@ -15,7 +15,7 @@ from rentroll.operators.status import furthest_stage
 def asset_status_latest(w):
     """Latest status fact per asset, over all versions of the asset."""
     return versions.latest_by_business_key(
-        w("fact_asset_status"), w("dim_asset"), "sk_asset", "bk_asset_id", F.col("sk_asset").desc()
+        w("fact_asset_status"), w("dim_asset"), "sk_asset", "bk_asset_id", F.col("sk_asset").desc(), F.col("sk_asset_status").desc()
     ).withColumnRenamed("bk_asset_id", "asset_id")
 
 

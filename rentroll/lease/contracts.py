@@ -209,7 +209,7 @@ def finance_records(w):
         F.col("current_flag").alias("customer_is_current"),
     )
     rows = w("fact_lease_finance_detail").join(contract, "sk_contract").join(finance, "sk_lease_finance").join(customer, "sk_customer")
-    order = F.col("sk_contract").desc(), F.col("sk_date_record").desc(), F.col("sk_time_record").desc()
+    order = [F.col(c).desc() for c in ("sk_contract", "sk_date_record", "sk_time_record", "sk_lease_finance", "sk_customer")]
     return versions.first_per_key(rows, ["contract_id"], *order)
 
 

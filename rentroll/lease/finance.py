@@ -75,7 +75,7 @@ def income_streams(w):
 @view
 def latest_investment(w):
     """Latest remaining net investment per contract."""
-    return versions.first_per_key(w.active("dim_remaining_investment"), ["contract_id"], F.col("income_date").desc())
+    return versions.first_per_key(w.active("dim_remaining_investment"), ["contract_id"], F.col("income_date").desc(), F.col("remaining_amount").desc())
 
 
 @view

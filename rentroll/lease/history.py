@@ -338,7 +338,7 @@ def fleet_in_inventory(w):
     leases = w("fact_lease_asset").join(contract, "sk_contract").join(customer, "sk_customer").join(asset, "sk_asset").join(
         w.current("dim_branch").select("sk_branch"), "sk_branch", "left_semi"
     )
-    order = F.col("contract_id").desc(), F.col("sk_date_record").desc(), F.col("sk_time_record").desc()
+    order = F.col("contract_id").desc(), F.col("sk_date_record").desc(), F.col("sk_time_record").desc(), F.col("sk_lease_asset").desc()
     last = with_day(w, versions.first_per_key(leases, ["asset_id"], *order), "sk_date_termination_date", "termination_date").select(
         "asset_id", "sequence_number", "contract_status", "last_customer", "termination_date"
     )

@@ -174,7 +174,7 @@ def order_book(w):
     """Awaited assets with the dealer of the dearest invoice and the first credit line."""
     vendor = w("dim_vendor").select(F.col("bk_vendor_id").alias("vendor_id"), F.col("company_name").alias("supplying_dealer"))
     invoice = w("fact_payable_invoice_asset").join(current_assets(w).select("asset_id", "sk_asset"), "sk_asset")
-    dearest = versions.first_per_key(invoice, ["asset_id"], F.col("acquisition_cost_amount").desc(), F.col("sk_time_record").desc()).join(vendor, "vendor_id", "left")
+    dearest = versions.first_per_key(invoice, ["asset_id"], F.col("acquisition_cost_amount").desc(), F.col("sk_time_record").desc(), F.col("vendor_id").desc()).join(vendor, "vendor_id", "left")
     owner = current_assets(w).select("asset_id", "customer_id").join(current_customers(w).select("customer_id", F.col("party_name").alias("customer")), "customer_id", "left")
     rows = procured(w).filter((F.col("asset_status") == "AwaitingDelivery") & (F.col("current_flag") == 1))
     rows = (
