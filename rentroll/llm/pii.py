@@ -50,10 +50,14 @@ ALL_GIVEN = [n for ns in GIVEN.values() for n in ns]
 WORD = r"\p{Lu}[\p{L}'’-]+"
 NAME = rf"(?:\b(?:{'|'.join(ALL_TITLES)})\.? {WORD}(?: {WORD}){{0,2}}|\b(?:{'|'.join(ALL_GIVEN)})(?: {WORD}){{1,2}})"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+# Where an address may begin: not inside a run of its characters, so a long run is read once; after another entity, anywhere.
+START = r"(?:(?<![A-Za-z0-9])(?<![A-Za-z0-9][._%+-])|(?<=\G[._%+-]{0,1}))"
+TLD = r"\.(?:[Xx][Nn]--[A-Za-z0-9-]+|[A-Za-z]{2,})"
+KEYWORDS = r"(?i:password|passwd|pwd|secret|token|api_?key)"
 PATTERNS = [
-    r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,3}\.[A-Za-z]{2,12}",
+    rf"{START}[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{0,126}}{TLD}",  # a domain has 127 labels at most
     r"\bAKIA[0-9A-Z]{16}\b",
-    r"(?<=\b(?:password|passwd|pwd|secret|token|api_key|apikey) ?[=:] ?[\"']?)[A-Za-z0-9+/_.!@#-]{6,100}",
+    rf"(?<=[=: \"'])(?<=(?<![A-Za-z]){KEYWORDS} ?[=:] ?[\"']?)[A-Za-z0-9+/_.!@#-]{{6,}}+",
     rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     r"(?<![\d-])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\d-])",
@@ -63,19 +67,19 @@ PATTERNS = [
     NAME,
 ]
 ENTITY = "|".join(PATTERNS)
-HINT = rf"[0-9@]|password|passwd|pwd|secret|token|api_?key|\b(?:{'|'.join(ALL_TITLES + ALL_GIVEN)})\b"
+HINT = rf"[0-9@]|{KEYWORDS}|\b(?:{'|'.join(ALL_TITLES + ALL_GIVEN)})\b"
 
 
 def kind_of(raw):
     """Type of a found entity, by its shape."""
     kinds = [
-        ("email", r"^[^@]+@[^@]+\.[A-Za-z]+$"),
+        ("email", rf"^[^@]+@[^@]+{TLD}$"),
         ("access_key", r"^AKIA[0-9A-Z]{16}$"),
-        ("ip", r"^\d+\.\d+\.\d+\.\d+$"),
-        ("phone", r"^(?:\+|\(?\d{3}\)?[ -]?\d{3}-\d{4}$)"),
+        ("ip", r"^\d{1,3}(?:\.\d{1,3}){3}$"),
+        ("phone", r"^(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4})$"),
         ("ssn", r"^\d{3}-\d{2}-\d{4}$"),
-        ("iban", r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,}$"),
-        ("card", r"^\d[\d -]{10,}\d$"),
+        ("iban", r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$"),
+        ("card", r"^\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}$"),
         ("name", r"^\p{Lu}[\p{L}.'’-]+ \p{Lu}[\p{L}'’ -]*$"),
     ]
     out = F.lit("secret")
@@ -172,8 +176,7 @@ def drawn(entities, key):
     df = entities.withColumn("h", stream)
     h, p, kind = F.col("h"), F.col("plain"), F.col("kind")
     at = F.instr(p, ".")
-    tld = F.regexp_extract(p, r"\.[a-z]+$", 0)
-    email = F.concat(reshaped(h, F.regexp_replace(p, r"\.[a-z]+$", "")), tld)
+    email = F.concat(reshaped(h, F.regexp_replace(p, f"{TLD}$", "")), F.regexp_extract(p, f"{TLD}$", 0))
     octets = F.transform(F.split(p, r"\."), lambda o, i: (
         F.when(F.length(o) == 1, 1 + number(h, i, 9))
         .when(F.length(o) == 2, 10 + number(h, i, 90))

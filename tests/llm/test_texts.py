@@ -150,6 +150,27 @@ def test_surrogates_of_many_stay_distinct(spark):
     assert not set(out) & set(ips + names)
 
 
+def test_entities_are_matched_to_their_end(spark):
+    rng = random.Random(5)
+    token = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-", k=500))
+    mails = ["jane@shop.international", "jane@aa.bb.cc.dd.ee.com", "j" * 90 + ".x@y.org", "jane@" + "ab." * 20 + "xn--p1ai", "jo@x.com_al@y.org"]
+    secrets = [("token=", token), ("Password: ", "hunter22"), ("API_KEY=", token[:203]), ("client_secret='", "s3cr3tvalue"), ("pwd=", "7" * 300),
+               ("secret=", "+aBcDeF123"), ("TOKEN=", "AB12" + "CDEF" * 50)]
+    rows = [(i, f"at {m}. So") for i, m in enumerate(mails)] + [(50 + i, f"my {k}{v} end") for i, (k, v) in enumerate(secrets)]
+    rows.append((90, "-" * 80 + "joe@x.com and 'a.b.c%20d-" + "e.f" * 5000 + "' mytoken=unfound"))
+    got = {r.doc_id: r.text for r in pii.replace(documents(spark, rows), "k").collect()}
+    for i, m in enumerate(mails):
+        out = got[i][3:-4]
+        assert len(out) == len(m) and out.rpartition(".")[2] == m.rpartition(".")[2]
+        assert all(a != b for a, b in zip(re.findall(r"\w{3,}@|@\w{3,}", m), re.findall(r"\w{3,}@|@\w{3,}", out)))
+    assert "al@" not in got[4]
+    for i, (k, v) in enumerate(secrets):
+        out = got[50 + i][3 + len(k) : -4]
+        assert got[50 + i].startswith(f"my {k}") and len(out) == len(v)
+        assert not any(out[j : j + 6] == v[j : j + 6] for j in range(len(v) - 5)), k
+    assert "joe@" not in got[90] and got[90].startswith("-" * 80) and got[90].endswith("mytoken=unfound")
+
+
 # Weights
 
 
