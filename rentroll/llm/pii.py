@@ -169,6 +169,16 @@ def valid_card(digits):
     return F.aggregate(doubled, F.lit(0), lambda s, d: s + F.when(d > 9, d - 9).otherwise(d)) % 10 == 0
 
 
+def remainder(text):
+    """A bank account number in its order of checking, letters as 10 to 35, modulo 97."""
+    moved = F.split(F.concat(F.expr(f"substring({text}, 5)"), F.expr(f"left({text}, 4)")), "")
+
+    def add(s, c):
+        return F.when(c.rlike("[0-9]"), s * 10 + digit(c)).otherwise(s * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(moved, F.lit(0), add)
+
+
 def drawn(entities, key):
     """Entities with ``surrogate`` for their ``attempt``."""
     seed = F.concat_ws("|", F.lit(key), "kind", "plain", F.col("attempt").cast("string"))
@@ -196,17 +206,22 @@ def drawn(entities, key):
         for gender in "mfn":
             names = [n.lower() for (s, g), ns in GIVEN.items() if s == script and gender in (g, "n") for n in ns]
             given = F.when(kind == f"given_{gender}_{script}", F.concat(pick(h, F.lit(9), names), extra)).otherwise(given)
-    hexed = ~p.rlike("[^0-9a-f]")
+    hexed = ~p.rlike("[^0-9a-f]") & p.rlike("[a-f]")
     body = reshaped(h, F.substring(p, 2, 40))
     df = df.withColumn("card", F.concat(F.substring(p, 1, 1), body)).withColumn("card_ok", valid_card(p))
     card = F.when(F.col("card_ok"), with_check_digit("card")).otherwise(F.col("card"))
+    body = F.concat(F.substring(p, 1, 2), F.lit("00"), reshaped(h, F.substring(p, 5, 40)))
+    df = df.withColumn("iban", body).withColumn("iban_ok", remainder("plain") == 1).withColumn("rest", remainder("iban"))
+    checked = F.when(F.col("iban_ok"), F.lpad((98 - F.col("rest")).cast("string"), 2, "0")).otherwise(reshaped(h, F.substring(p, 3, 2)))
+    iban = F.concat(F.substring(p, 1, 2), checked, F.substring("iban", 5, 40))
     surrogate = (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "phone", phone)
         .when(kind == "card", card)
         .when(kind == "access_key", F.concat(F.lit("AKIA"), reshaped(h, F.substring(p, 5, 16))))
-        .when(kind == "iban", F.concat(F.substring(p, 1, 2), reshaped(h, F.substring(p, 3, 40))))
+        .when(kind == "ssn", reshaped(h, p))
+        .when(kind == "iban", iban)
         .when(kind.startswith("family"), family)
         .when(kind.startswith("given"), given)
         .otherwise(reshaped(h, p, hexed))

@@ -171,6 +171,27 @@ def test_entities_are_matched_to_their_end(spark):
     assert "joe@" not in got[90] and got[90].startswith("-" * 80) and got[90].endswith("mytoken=unfound")
 
 
+@pytest.mark.parametrize("key", ["k", "rotate me", "third"])
+def test_numbers_keep_their_type_under_every_key(spark, key):
+    def valid(iban):
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+    rng = random.Random(6)
+    ssns = [f"{rng.randint(100, 999)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}" for _ in range(60)]
+    pins = [str(rng.randint(10**8, 10**9)) for _ in range(60)]
+    bodies = [f"{rng.randint(0, 10**18):018d}" for _ in range(40)] + ["NWBK" + f"{rng.randint(0, 10**14):014d}" for _ in range(40)]
+    ibans = [land + f"{98 - int(''.join(str(int(c, 36)) for c in b + land) + '00') % 97:02d}" + b for b in bodies for land in ("DE" if b[0] < "A" else "GB",)]
+    wrong = [i[:2] + f"{(int(i[2:4]) + 1) % 97:02d}" + i[4:] for i in ibans[:20]]
+    assert all(map(valid, ibans)) and not any(map(valid, wrong))
+    texts = [*(f"no {x}." for x in ssns), *(f"password={x} ." for x in pins), *(f"to {x}." for x in ibans + wrong), "secret=e3b3edaa77 ."]
+    out = [r.text for r in pii.replace(documents(spark, list(enumerate(texts))), key).orderBy("doc_id").collect()]
+    assert all(re.fullmatch(r"no \d{3}-\d\d-\d{4}\.", x) for x in out[:60])
+    assert all(re.fullmatch(r"password=\d{9,10} \.", x) for x in out[60:120])
+    assert all(a[3:5] == b[3:5] and a[7:] != b[7:] and valid(a[3:-1]) for a, b in zip(out[120:200], texts[120:200]))
+    assert all(len(a) == len(b) and a != b for a, b in zip(out, texts))
+    assert re.fullmatch(r"secret=[0-9a-f]{10} \.", out[-1])
+
+
 # Weights
 
 
