@@ -11,7 +11,9 @@ with and without a given name.
 
 Every distinct entity of the corpus is one row of a table. Where two entities got the same surrogate, or one got a
 surrogate that is itself an entity of the corpus, all but the smallest are drawn again with the next attempt, until no
-collision is left; so distinct entities stay distinct. Only column functions run.
+collision is left; so distinct entities stay distinct. A family name is one syllable longer with every attempt, and a late
+attempt lengthens given names, local parts of addresses and secrets too, so their space never ends. Numbers and access
+keys have no more surrogates than their format has values. Only column functions run.
 """
 
 from pyspark.sql import functions as F
@@ -186,27 +188,33 @@ def drawn(entities, key):
     df = entities.withColumn("h", stream)
     h, p, kind = F.col("h"), F.col("plain"), F.col("kind")
     at = F.instr(p, ".")
-    email = F.concat(reshaped(h, F.regexp_replace(p, f"{TLD}$", "")), F.regexp_extract(p, f"{TLD}$", 0))
+    late = F.greatest(F.col("attempt") - 7, F.lit(0))  # their own lengths are used up
+    grown = F.concat(F.repeat(F.lit("a"), late), F.regexp_replace(p, f"{TLD}$", ""))
+    email = F.concat(reshaped(h, grown), F.regexp_extract(p, f"{TLD}$", 0))
     octets = F.transform(F.split(p, r"\."), lambda o, i: (
         F.when(F.length(o) == 1, 1 + number(h, i, 9))
         .when(F.length(o) == 2, 10 + number(h, i, 90))
         .otherwise(100 + number(h, i, 156))
     ).cast("string"))
     wide = F.transform(F.split(p, r"\."), lambda o, i: (100 + number(h, i, 156)).cast("string"))
-    ip = F.array_join(F.when(F.col("attempt") < 8, octets).otherwise(wide), ".")  # too few of that width
+    every = F.transform(F.split(p, r"\."), lambda o, i: number(h, i, 256).cast("string"))
+    ip = F.when(F.col("attempt") < 8, octets).when(F.col("attempt") < 16, wide).otherwise(every)  # too few of that width
+    ip = F.array_join(ip, ".")
     kept = F.when(F.length(p) > 10, F.length(p) - 10).otherwise(0)  # country code
     phone = F.concat(F.expr("left(plain, greatest(length(plain) - 10, 0))"), (2 + number(h, F.lit(100), 8)).cast("string"),
                      reshaped(h, F.substring(p, kept + 2, F.lit(20))))
     family = F.lit(None)
     given = F.lit(None)
     for script, syllables in SYLLABLES.items():
-        made = F.concat(*[pick(h, F.lit(i), syllables) for i in range(4)])
+        made = F.array_join(F.transform(F.sequence(F.lit(0), F.col("attempt") + 3), lambda i: pick(h, i, syllables)), "")
         family = F.when(kind == f"family_{script}", made).otherwise(family)
         extra = F.when(F.col("attempt") < 4, F.lit("")).otherwise(F.concat(F.lit("-"), made))  # the list is used up
         for gender in "mfn":
             names = [n.lower() for (s, g), ns in GIVEN.items() if s == script and gender in (g, "n") for n in ns]
             given = F.when(kind == f"given_{gender}_{script}", F.concat(pick(h, F.lit(9), names), extra)).otherwise(given)
     hexed = ~p.rlike("[^0-9a-f]") & p.rlike("[a-f]")
+    more = F.when(p.rlike("[a-z]"), "a").when(p.rlike("[A-Z]"), "A").when(p.rlike("[0-9]"), "0")
+    secret = F.concat(p, F.when(more.isNull(), F.repeat(F.lit("a"), F.col("attempt"))).otherwise(F.repeat(more, late)))
     body = reshaped(h, F.substring(p, 2, 40))
     df = df.withColumn("card", F.concat(F.substring(p, 1, 1), body)).withColumn("card_ok", valid_card(p))
     card = F.when(F.col("card_ok"), with_check_digit("card")).otherwise(F.col("card"))
@@ -224,7 +232,7 @@ def drawn(entities, key):
         .when(kind == "iban", iban)
         .when(kind.startswith("family"), family)
         .when(kind.startswith("given"), given)
-        .otherwise(reshaped(h, p, hexed))
+        .otherwise(reshaped(h, secret, hexed))
     )
     return df.withColumn("surrogate", surrogate).select("kind", "plain", "attempt", "surrogate")
 

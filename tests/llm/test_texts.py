@@ -192,6 +192,17 @@ def test_numbers_keep_their_type_under_every_key(spark, key):
     assert re.fullmatch(r"secret=[0-9a-f]{10} \.", out[-1])
 
 
+def test_surrogates_outgrow_their_list(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {k: v[:2] for k, v in pii.SYLLABLES.items()})
+    names = [f"Mr X{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]  # 16 surrogates of four syllables
+    mails = [f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz0123456789" for b in "abcdefghijklmnopqrstuvwxyz"]  # every one there is
+    secrets = ["secret=...... x"]  # nothing to draw anew
+    rows = list(enumerate(names + mails + secrets))
+    out = [r.text for r in pii.replace(documents(spark, rows), "k").orderBy("doc_id").collect()]
+    assert len(set(out)) == len(rows) and not set(out) & {t for _, t in rows}
+    assert all(re.fullmatch(r"[a-z0-9]+@[a-z0-9]+\.de", x) for x in out[64:-1])
+
+
 # Weights
 
 
