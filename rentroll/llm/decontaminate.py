@@ -113,6 +113,9 @@ def no_pairs(spark):
 
 
 def clean(documents, benchmark, least=0.8):
-    """The rows of ``documents`` that hold no benchmark item."""
-    held = find(documents, benchmark, least).select(F.col("doc_id").alias("held_id")).distinct()
-    return documents.join(held, documents["doc_id"].eqNullSafe(held["held_id"]), "left_anti")
+    """The rows of ``documents`` that hold no benchmark item, each row judged by its own text, whatever its doc_id."""
+    row = F.struct(*[documents[c] for c in documents.columns]).alias("row")  # its columns may have names used here
+    rows = save(documents.select(F.monotonically_increasing_id().alias("n"), row), "rows")
+    texts = rows.select(F.col("n").alias("doc_id"), F.col("row.text").alias("text"))
+    held = find(texts, benchmark, least).select(F.col("doc_id").alias("n")).distinct()
+    return rows.join(held, "n", "left_anti").select(*[F.col(f"row.{c}") for c in documents.columns])

@@ -137,6 +137,17 @@ def test_benchmark_items_like_a_plain_search(spark):
     assert decontaminate.find(documents(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_rows_are_cleaned_one_by_one(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    halves = "alpha beta gamma delta epsilon zeta eta and more", "then epsilon zeta eta theta iota kappa"  # whole only together
+    rows = [(i, t) for i in (None, 7) for t in (f"x {item} y", "a clean text of the same id", *halves, None)] + [(8, item.upper())]
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = decontaminate.clean(documents(spark, rows, extra=True), benchmark)
+    want = [(i, t) for i, t in rows if item not in (t or "").lower()]
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, want))
+    assert kept.columns == documents(spark, rows, extra=True).columns and {r.row for r in kept.collect()} == {"theirs"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
     sf = "/root/testdata/sf0.001"
