@@ -197,7 +197,8 @@ STAR = {
         {HAPPENED} AS receivable_due_date, {HAPPENED} + 3 AS payable_due_date, {HAPPENED} - 5 AS created_time, 'Approved' AS status, CASE WHEN event_id % 10 = 0 THEN 0 ELSE 1 END AS is_active, 1 AS current_flag FROM events""",
     "dim_sundry_detail": "SELECT event_id AS bk_sundry_detail_id, event_id AS sundry_id, event_id % 200 AS asset_id, 1 AS is_active, 1 AS current_flag FROM events WHERE event_id % 7 <> 0",
     "dim_payable_code": "SELECT CAST(r_regionkey AS BIGINT) AS bk_payable_code_id, r_name || ' cost' AS name, 1 AS current_flag FROM region",
-    "dim_receivable_tax": f"SELECT event_id AS receivable_id, {dec('value * 0.1')} AS balance_amount, CASE WHEN event_id % 9 = 0 THEN 0 ELSE 1 END AS is_active, 1 AS current_flag FROM events WHERE event_id % 2 = 0",
+    # One in ten belongs to no receivable, so left joins to taxes have misses.
+    "dim_receivable_tax": f"SELECT CASE WHEN event_id % 10 = 7 THEN -event_id ELSE event_id END AS receivable_id, {dec('value * 0.1')} AS balance_amount, CASE WHEN event_id % 9 = 0 THEN 0 ELSE 1 END AS is_active, 1 AS current_flag FROM events",
     "dim_lease_finance_charge": "SELECT o_orderkey AS lease_finance_id, o_orderkey % 25 AS additional_charge_id, o_orderkey AS recurring_sundry_id, 1 AS current_flag FROM orders WHERE o_orderkey % 3 <> 1",
     "dim_additional_charge": f"SELECT CAST(n_nationkey AS BIGINT) AS bk_additional_charge_id, {dec('n_nationkey * 10')} AS amount, CAST(n_nationkey % 6 AS BIGINT) AS receivable_code_id, 1 AS current_flag FROM nation",
     "dim_receipt": f"""SELECT event_id AS bk_receipt_id, 'RC' || CAST(event_id AS STRING) AS number, CASE WHEN event_id % 8 = 0 THEN NULL ELSE user_id END AS customer_id, event_id AS contract_id, {dec("value")} AS receipt_amount,
@@ -229,7 +230,7 @@ STAR = {
         {ORDERED} - 40 AS created_time, {ORDERED} - 35 AS submitted_to_credit_date, 1 AS current_flag FROM orders""",
     "dim_application_asset": f"SELECT {LINE_ID} AS bk_application_asset_id, l_orderkey AS credit_application_id, l_partkey AS asset_id, 1 AS current_flag FROM lineitem WHERE l_orderkey % 8 IN (3, 5, 7)",
     "dim_application_structure": f"SELECT o_orderkey AS bk_application_structure_id, o_orderkey AS credit_application_id, 1 AS number, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS transaction_type_id, {ORDERED} + 15 AS expected_disbursement_date, 1 AS is_active, 1 AS current_flag FROM orders WHERE o_orderkey % 8 = 7",
-    "dim_application_structure_asset": f"SELECT {LINE_ID} AS bk_application_structure_asset_id, l_orderkey AS application_structure_id, l_partkey AS asset_id, 1 AS is_active, 1 AS current_flag FROM lineitem WHERE l_orderkey % 8 = 7 AND l_linenumber < 4",
+    "dim_application_structure_asset": f"SELECT {LINE_ID} AS bk_application_structure_asset_id, l_orderkey AS application_structure_id, l_partkey AS asset_id, 1 AS is_active, 1 AS current_flag FROM lineitem WHERE l_orderkey % 8 = 7",
     "dim_approved_structure": f"""SELECT o_orderkey AS bk_approved_structure_id, o_orderkey AS credit_profile_id, 1 AS number, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS deal_product_type_id, {ORDERED} + 5 AS expected_commencement_date,
         CAST(12 + o_orderkey % 48 AS INT) AS customer_term, {dec("o_orderkey % 321")} AS balloon_amount, 1 AS is_active, 1 AS current_flag FROM orders WHERE o_orderkey % 4 <> 3""",
     "dim_approved_structure_asset": f"SELECT {LINE_ID} AS bk_approved_structure_asset_id, l_orderkey AS approved_structure_id, l_partkey AS asset_id, 1 AS is_active, 1 AS current_flag FROM lineitem WHERE l_orderkey % 4 <> 3",
@@ -241,15 +242,15 @@ STAR = {
         1 AS is_lessor_owned, CASE WHEN l_linenumber < 6 THEN 1 ELSE 0 END AS is_schedule, 1 AS is_accounted, CASE WHEN l_tax > 0 THEN 1 ELSE 0 END AS is_cleared, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_orderkey END AS gl_journal_id,
         CASE WHEN l_linenumber = 2 THEN 'AssetValueAdjustment' ELSE 'Depreciation' END AS source_module, 1 AS current_flag FROM lineitem""",
     "dim_book_depreciation": f"""SELECT {LINE_ID} AS sk_book_depreciation, l_partkey AS asset_id, CASE WHEN l_linenumber = 5 THEN NULL ELSE l_orderkey END AS contract_id, {SHIPPED} AS begin_date, {SHIPPED} + 365 AS end_date,
-        CASE WHEN l_returnflag = 'R' THEN {SHIPPED} + 100 END AS terminated_date, {dec("l_quantity * 0.01")} AS per_day_factor, CASE WHEN l_tax > 0 THEN 1 ELSE 0 END AS is_active, 1 AS current_flag FROM lineitem WHERE l_linestatus = 'F'""",
+        CASE WHEN l_returnflag = 'R' THEN {SHIPPED} + 100 END AS terminated_date, {dec("l_quantity * 0.01")} AS per_day_factor, CASE WHEN l_tax > 0 THEN 1 ELSE 0 END AS is_active, 1 AS current_flag FROM lineitem""",
     "fact_payable_invoice_asset": f"""SELECT l_partkey * 2 + 1 AS sk_asset, l_orderkey AS sk_payable_invoice, l_suppkey AS vendor_id, {ymd(SHIPPED)} AS sk_date_record, ((l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey) AS sk_time_record, {dec("l_quantity * 50")} AS acquisition_cost_amount,
         CASE WHEN l_linenumber = 1 THEN NULL ELSE {dec("l_quantity")} END AS other_cost_amount, {dec("l_quantity * 10")} AS vat_amount FROM lineitem""",
     "dim_vendor": "SELECT s_suppkey AS bk_vendor_id, s_name AS company_name FROM supplier",
     "dim_asset_sale": f"""SELECT o_orderkey AS bk_asset_sale_id, {ORDERED} AS transaction_date, 'broker' || CAST(o_custkey % 9 AS STRING) AS attention_to, o_custkey AS buyer_id, 'SQ' || CAST(o_orderkey AS STRING) AS transaction_number,
         CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Submitted' ELSE 'Pending' END AS status, CAST(o_orderkey % 2 AS INT) AS finance_company_funded, o_custkey % 25 AS branch_id, o_orderkey % 6 AS receivable_code_id,
-        o_orderkey AS first_receivable_invoice_id, 1 AS current_flag FROM orders WHERE o_orderkey % 5 = 0""",
-    "dim_asset_sale_detail": f"SELECT {LINE_ID} AS bk_asset_sale_detail_id, l_orderkey AS asset_sale_id, l_partkey AS asset_id, {NET} AS fair_market_value_amount, {dec('l_quantity * 1000')} AS net_value_amount, {dec('l_quantity * 5')} AS projected_vat_amount, 1 AS is_active, 1 AS current_flag FROM lineitem WHERE l_orderkey % 5 = 0",
-    "dim_asset_sale_employee": "SELECT o_orderkey AS asset_sale_id, o_orderkey % 10 AS employee_id, 1 AS is_primary, 1 AS is_active, 1 AS current_flag FROM orders WHERE o_orderkey % 5 = 0",
+        o_orderkey AS first_receivable_invoice_id, 1 AS current_flag FROM orders""",
+    "dim_asset_sale_detail": f"SELECT {LINE_ID} AS bk_asset_sale_detail_id, l_orderkey AS asset_sale_id, l_partkey AS asset_id, {NET} AS fair_market_value_amount, {dec('l_quantity * 1000')} AS net_value_amount, {dec('l_quantity * 5')} AS projected_vat_amount, 1 AS is_active, 1 AS current_flag FROM lineitem",
+    "dim_asset_sale_employee": "SELECT o_orderkey AS asset_sale_id, o_orderkey % 10 AS employee_id, 1 AS is_primary, 1 AS is_active, 1 AS current_flag FROM orders",
     "fact_receivable_invoice": f"SELECT o_orderkey * 2 + 1 AS sk_receivable_invoice, CASE WHEN o_orderkey % 3 = 0 THEN {dec('0')} ELSE {dec('o_totalprice')} END AS balance_amount, {dec('0')} AS tax_balance_amount FROM orders",
     "dim_insurance_policy": "SELECT c_custkey AS bk_insurance_policy_id, c_custkey AS customer_id, DATE '2001-06-30' + CAST(c_custkey % 100 - 50 AS INT) AS expiration_date, DATE '2000-01-01' + CAST(c_custkey % 30 AS INT) AS activation_date, 'POL' || CAST(c_custkey AS STRING) AS policy_number, 'Fleet' AS type, c_custkey % 5 AS insurance_company_id, CAST(c_custkey % 2 AS INT) AS is_self_insured, 1 AS is_active, 1 AS current_flag FROM customer WHERE c_custkey % 6 <> 5",
     "dim_insurance_company": "SELECT CAST(r_regionkey AS BIGINT) AS bk_insurance_company_id, r_name || ' Mutual' AS name, 1 AS is_active, 1 AS current_flag FROM region",
@@ -271,9 +272,9 @@ STAR = {
         CASE o_custkey % 3 WHEN 0 THEN 'Bus and Coach' WHEN 1 THEN 'Contract Hire Leasing and Rental' ELSE 'Vans' END AS line_of_business, 'bdm' || CAST(o_custkey % 8 AS STRING) AS bdm, {ORDERED} AS created_date, {ORDERED} + 20 AS commencement_date, {ORDERED} + 750 AS maturity_date,
         {dec("o_totalprice")} AS financed_amount, {dec("o_orderkey % 100")} AS vat_on_asset, {dec("o_orderkey % 70")} AS down_payment_amount, {dec("o_orderkey % 30")} AS tax_deferral_amount, CAST(CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS INT) AS was_migrated, CAST(36 AS INT) AS term FROM orders""",
     "flat_equipment": f"SELECT CAST(l_orderkey AS STRING) AS contract_id, CAST(l_partkey AS STRING) AS asset_id, CAST(l_orderkey % 30 AS STRING) AS customer_id, CASE WHEN l_returnflag = 'R' THEN {SHIPPED} END AS terminated_on, l_linestatus AS status, CAST(l_quantity * 100 AS INT) AS contract_mileage FROM lineitem",
-    "flat_budgets": f"SELECT 'B' || CAST({LINE_ID} AS STRING) AS id, CAST(l_partkey AS STRING) AS asset_id, CAST(l_orderkey AS STRING) AS contract_id, {dec('l_quantity')} AS amount, {SHIPPED} AS invoice_date, CASE l_linenumber WHEN 1 THEN 'Tyre Budget' WHEN 2 THEN 'Fleet Overhead Budget' WHEN 3 THEN 'Utilities' WHEN 4 THEN ' Waiver ' ELSE 'Maintenance Budget' END AS fee_name, 'Cust' || CAST(l_orderkey % 50 AS STRING) AS customer_name, 'current' AS source_system, 'Budget' AS category FROM lineitem WHERE l_returnflag = 'N'",
+    "flat_budgets": f"SELECT 'B' || CAST({LINE_ID} AS STRING) AS id, CAST(l_partkey AS STRING) AS asset_id, CAST(l_orderkey AS STRING) AS contract_id, {dec('l_quantity')} AS amount, {SHIPPED} AS invoice_date, CASE l_linenumber WHEN 1 THEN 'Tyre Budget' WHEN 2 THEN 'Fleet Overhead Budget' WHEN 3 THEN 'Utilities' WHEN 4 THEN ' Waiver ' ELSE 'Maintenance Budget' END AS fee_name, 'Cust' || CAST(l_orderkey % 50 AS STRING) AS customer_name, 'current' AS source_system, 'Budget' AS category FROM lineitem",
     "flat_recharges": f"SELECT CAST(event_id AS STRING) AS id, CAST(event_id % 200 AS STRING) AS asset_id, CAST(event_id AS STRING) AS contract_id, {dec('value')} AS amount, {HAPPENED} AS invoice_date, CASE event_type WHEN 'click' THEN 'Penalty Charge Notice Cost Recharge' WHEN 'error' THEN 'TYRE Recharge' WHEN 'signup' THEN 'Penalty Charge Admin Fee Recharge' WHEN 'view' THEN 'Damage' END AS fee_name, CASE WHEN event_id % 15 = 0 THEN 'EOL work' WHEN event_id % 2 = 0 THEN 'work' END AS description, 'Cust' || CAST(user_id AS STRING) AS customer_name, 'current' AS source_system, CASE WHEN event_id % 3 = 0 THEN 'Sundry' ELSE 'Fee' END AS category FROM events",
-    "flat_expenses": f"SELECT 'E' || CAST(event_id AS STRING) AS id, CASE WHEN event_id % 20 = 0 THEN NULL ELSE CAST(event_id % 150 AS STRING) END AS asset_id, {dec('value * 0.5')} AS amount, {HAPPENED} AS invoice_date, CASE event_type WHEN 'click' THEN 'Penalty Charge Notice Cost Charge' WHEN 'error' THEN 'Tyre fitting' ELSE 'Workshop' END AS fee_name, 'Vend' || CAST(user_id AS STRING) AS account_name, 'legacy' AS source_system, 'Expense' AS category FROM events WHERE event_id % 4 = 0",
+    "flat_expenses": f"SELECT 'E' || CAST(event_id AS STRING) AS id, CASE WHEN event_id % 20 = 0 THEN NULL ELSE CAST(event_id % 150 AS STRING) END AS asset_id, {dec('value * 0.5')} AS amount, {HAPPENED} AS invoice_date, CASE event_type WHEN 'click' THEN 'Penalty Charge Notice Cost Charge' WHEN 'error' THEN 'Tyre fitting' ELSE 'Workshop' END AS fee_name, 'Vend' || CAST(user_id AS STRING) AS account_name, 'legacy' AS source_system, 'Expense' AS category FROM events",
     "flat_application_documents": "SELECT o_orderkey AS document_id, 'APP' || CAST(o_custkey AS STRING) AS application_name, 'doc ' || CAST(o_orderkey AS STRING) AS title FROM orders",
     "flat_lease_documents": "SELECT o_orderkey AS document_id, 'S' || CAST(o_orderkey AS STRING) AS lease_name, 'lease ' || CAST(o_orderkey AS STRING) AS title FROM orders",
     "dim_date": f"""WITH span AS (SELECT MIN(CAST(o_orderdate AS DATE)) AS lo, MAX(CAST(o_orderdate AS DATE)) + 1500 AS hi FROM orders),

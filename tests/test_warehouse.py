@@ -2,11 +2,14 @@
 
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
+from check import duck
 from rentroll.lease import debt
 from rentroll.lease.parts import registrations
 from rentroll.lease.warehouse import Settings, Warehouse
+from rentroll.plans.lease.star import STAR
 from rentroll.session import shared_folder
 from rentroll.sources.tables import materialise
 
@@ -37,3 +40,17 @@ def test_snapshots_go_to_the_named_folder(spark):
     kept = materialise(spark.range(5), "five")
     assert kept.count() == 5
     assert all(f.split("file:")[-1].lstrip("/").startswith(folder.lstrip("/")) for f in kept.inputFiles())
+
+
+WHOLE = {
+    "dim_receivable_tax": "events", "flat_expenses": "events", "dim_asset_sale": "orders", "dim_asset_sale_employee": "orders",
+    "dim_asset_sale_detail": "lineitem", "dim_book_depreciation": "lineitem", "flat_budgets": "lineitem",
+    "dim_application_structure_asset": "lineitem WHERE l_orderkey % 8 = 7",  # the orders that have a structure
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_derived_tables_have_a_row_for_every_source_row(name):
+    con = duck("/root/testdata/sf0.001")
+    rows = con.sql(f"SELECT count(*) FROM ({STAR[name]})").fetchall()
+    assert rows == con.sql(f"SELECT count(*) FROM {WHOLE[name]}").fetchall() and rows[0][0] > 0
