@@ -3,9 +3,10 @@
 Every document lies in a cell (source, language, topic) and weighs its tokens. Raking finds one factor per source, per
 language and per topic, so that tokens times factors have the target shares of all three margins. Languages and topics
 are few, so their factors and the language x topic totals are numbers of the driver; sources may be many, so each is a
-row that holds its own cells, and its factor is computed in place: one pass over the sources per iteration. The factors
-of a cell, scaled to the token budget and cut at 1, are the probability of each of its documents; a document is kept when
-a hash of it falls below its probability, so a rerun keeps the same ones. Only column functions run.
+row that holds its own cells, and its factor is computed in place: one pass over the sources per iteration. The weights
+are that raking. Probabilities rake the expected tokens of the budget again, where no cell gives more than it has: full
+cells stay at 1 and the others take up what those lack. A document is kept when a hash of it falls below its cell's
+probability, so a rerun keeps the same ones. Only column functions run.
 
 Topics come from a list of patterns (the first that matches; ``prose`` else), as the corpus has no topic column; give
 ``topic`` to use another expression.
@@ -116,19 +117,102 @@ def rake(cells, source_power=0.5, lang_targets=None, topic_targets=None, power=0
     )
 
 
-def probabilities(raked, budget):
-    """``probability`` per cell, so that the expected tokens are the share ``budget`` of all tokens."""
-    raked = save(raked, "raked")
-    top = raked.agg(F.sum("tokens").cast("double"), F.min(F.when(F.col("factor") > 0, F.col("factor"))), F.max("factor")).first()
-    if not top[0] or not top[2]:
-        return raked.withColumn("probability", F.lit(1.0))
-    low, high = math.log(1e-3 / top[2]), math.log(1.0 / top[1])  # from next to nothing to every cell whole
-    for _ in range(4):
+def cut(wanted, there, amount):
+    """Shares of an amount; what a key hasn't got goes to the others in proportion."""
+    out, free = {}, dict(wanted)
+    while free:
+        scale = max(0.0, amount - sum(out.values())) / sum(free.values())
+        full = {k: float(there[k]) for k, x in free.items() if x * scale >= there[k]}
+        if not full:
+            return out | {k: x * scale for k, x in free.items()}
+        out |= full
+        free = {k: x for k, x in free.items() if k not in full}
+    return out
+
+
+def probabilities(cells, budget, source_power=0.5, lang_targets=None, topic_targets=None, power=0.7, tolerance=1e-4, most=40):
+    """(source, lang, topic, probability) of the cells with tokens: raking of the expected tokens with cells taken whole.
+
+    The expected tokens are the share ``budget`` of all. A source, language or topic that has fewer than its target is
+    taken whole and the others share the rest of the budget by their targets. A pass finds each source's factor with its
+    full cells at 1, then moves the languages' and topics' factors by what their other cells lack. It ends when both margins
+    are within ``tolerance`` of what was to be reached, or after ``most`` passes; then the sources still hold.
+    """
+    def totals(column):
+        return {r[0]: r[1] for r in cells.groupBy(column).agg(F.sum("tokens").cast("double")).collect()}
+
+    amount = sum(totals("lang").values()) * budget
+    langs = {k: x for k, x in (lang_targets or tempered(totals("lang"), power)).items() if x}
+    topics = {k: x for k, x in (topic_targets or tempered(totals("topic"), power)).items() if x}
+    cells = cells.filter(F.col("tokens") > 0).filter(F.col("lang").isin(list(langs)) & F.col("topic").isin(list(topics)))
+    in_lang, in_topic = totals("lang"), totals("topic")
+    langs = cut({k: x for k, x in langs.items() if k in in_lang}, in_lang, amount)
+    topics = cut({k: x for k, x in topics.items() if k in in_topic}, in_topic, amount)
+    sources = save(
+        cells.groupBy("source").agg(
+            F.sum("tokens").cast("double").alias("n"), F.collect_list(F.struct("lang", "topic", "tokens")).alias("cells")
+        ),
+        "bounded-sources",
+    )
+    share = F.pow("n", F.lit(source_power))
+    ends = sources.agg(F.min(F.col("n") / share), F.max(F.col("n") / share)).first()
+    if ends[0] is None:
+        return cells.select("source", "lang", "topic", F.lit(1.0).alias("probability"))
+    low, high = math.log(ends[0]) - 30, math.log(ends[1])  # from next to nothing to every source whole
+    for _ in range(6):
         grid = [low + (high - low) * i / 32 for i in range(33)]
-        expected = raked.agg(*[F.sum(F.least(F.lit(1.0), F.col("factor") * math.exp(x)) * F.col("tokens")) for x in grid]).first()
-        at = next((i for i, e in enumerate(expected) if e >= budget * top[0]), 32)
+        reached = sources.agg(*[F.sum(F.least("n", share * math.exp(x))) for x in grid]).first()
+        at = next((i for i, e in enumerate(reached) if e >= amount), 32)
         low, high = grid[max(0, at - 1)], grid[at]
-    return raked.withColumn("probability", F.least(F.lit(1.0), F.col("factor") * math.exp(high)))
+    sources = sources.withColumn("wanted", F.least("n", share * math.exp(high)))
+    v, w = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0)
+
+    def by_cell():
+        g = F.transform("cells", lambda c: F.struct(
+            c["lang"].alias("lang"), c["topic"].alias("topic"), c["tokens"].cast("double").alias("tokens"),
+            (numbers(v, c["lang"]) * numbers(w, c["topic"])).alias("g"),
+        ))
+
+        def next_u(u, _):
+            full = F.aggregate("g", F.lit(0.0), lambda s, c: s + F.when(u * c["g"] >= 1, c["tokens"]).otherwise(0.0))
+            free = F.aggregate("g", F.lit(0.0), lambda s, c: s + F.when(u * c["g"] < 1, c["tokens"] * c["g"]).otherwise(0.0))
+            return F.when(free > 0, F.greatest(u, (F.col("wanted") - full) / free)).otherwise(u)
+
+        # a step makes at least one more cell full or ends
+        steps = F.sequence(F.lit(0), F.size("cells"))
+        found = sources.withColumn("g", g).withColumn("u", F.aggregate(steps, F.lit(0.0), next_u))
+        return found.select("source", "u", F.inline("g")).withColumn("p", F.least(F.lit(1.0), F.col("u") * F.col("g")))
+
+    for _ in range(most):
+        held = by_cell().groupBy("lang", "topic").agg(
+            F.sum(F.when(F.col("p") >= 1, F.col("tokens")).otherwise(0.0)).alias("full"),
+            F.sum(F.when(F.col("p") < 1, F.col("tokens") * F.col("p")).otherwise(0.0)).alias("free"),
+        ).collect()
+        off = [abs(sum(r.full + r.free for r in held if r[i] == k) / x - 1) for i, to in ((0, langs), (1, topics)) for k, x in to.items()]
+        if max(off) <= tolerance:
+            break
+        by = dict.fromkeys(v, 1.0), dict.fromkeys(w, 1.0)
+        for _ in range(20):  # both small margins in turn, on the totals of this pass
+            for i, to in ((0, langs), (1, topics)):
+                for k, x in to.items():
+                    lacks = x - sum(r.full for r in held if r[i] == k)
+                    free = sum(r.free * by[1 - i][r[1 - i]] for r in held if r[i] == k)
+                    by[i][k] = min(5.0, max(0.2, lacks / free)) if free else 1.0 if lacks >= -tolerance * x else 0.5
+        v, w = {k: min(1e12, x * by[0][k]) for k, x in v.items()}, {k: min(1e12, x * by[1][k]) for k, x in w.items()}
+    return by_cell().select("source", "lang", "topic", F.col("p").alias("probability"))
+
+
+def margins(weights):
+    """(margin, value, target, reached): target share of each source, language and topic, and its expected share when kept."""
+    sums = [F.sum(F.col("tokens") * F.col(c)) for c in ("weight", "probability")]
+    weight, kept = weights.agg(*sums).first()
+    of = [
+        weights.groupBy(F.lit(c).alias("margin"), F.col(c).alias("value")).agg(
+            (sums[0] / F.lit(weight or 1.0)).alias("target"), (sums[1] / F.lit(kept or 1.0)).alias("reached")
+        )
+        for c in ("source", "lang", "topic")
+    ]
+    return of[0].union(of[1]).union(of[2])
 
 
 def weigh(features, budget, **targets):
@@ -142,8 +226,10 @@ def weigh(features, budget, **targets):
     )
     cells = save(cells, "cells")
     all_tokens = cells.agg(F.sum("tokens")).scalar()
-    known = probabilities(rake(cells, **targets), budget).select(
-        "source", "lang", "topic", "tokens", (F.col("factor") * all_tokens).alias("weight"), "probability"
+    chances = save(probabilities(cells, budget, **targets), "probabilities")
+    known = rake(cells, **targets).join(chances, ["source", "lang", "topic"], "left").select(
+        "source", "lang", "topic", "tokens", (F.col("factor") * all_tokens).alias("weight"),
+        F.coalesce("probability", F.lit(0.0)).alias("probability"),
     )
     empty = cells.filter("tokens = 0").select("source", "lang", "topic", "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("probability"))
     return save(known.unionByName(empty), "weights")

@@ -242,6 +242,33 @@ def test_mix_of_edge_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.sample(df.limit(0)).count() == 0
 
 
+def test_kept_tokens_meet_the_targets(spark):
+    docs = shared.table(spark, "/root/testdata/sf0.1", "documents")
+    rows = mixing.mix(docs).collect()
+    there, kept, weighed = Counter(), Counter(), Counter()
+    for r in rows:
+        for k in ("source", "lang", "topic"):
+            there[k, r[k]] += r.n_tokens
+            kept[k, r[k]] += r.n_tokens * r.kept
+            weighed[k, r[k]] += r.n_tokens * r.weight
+    total = sum(r.n_tokens for r in rows)
+    for k in ("source", "lang", "topic"):
+        mine = {x: weighed[k, x] for j, x in there if j == k}
+        full, amount = set(), total * 0.5
+        while True:  # what a value hasn't got goes to the others
+            left = amount - sum(there[k, x] for x in full)
+            want = {x: n * left / sum(m for y, m in mine.items() if y not in full) for x, n in mine.items() if x not in full}
+            more = {x for x, n in want.items() if n > there[k, x]}
+            if not more:
+                break
+            full |= more
+        want |= {x: there[k, x] for x in full}
+        for x, n in want.items():
+            assert abs(kept[k, x] - n) < 0.01 * amount, (k, x, kept[k, x] / amount, n / amount)
+            if k != "source":
+                assert abs(kept[k, x] / n - 1) < 0.05, (k, x, kept[k, x] / amount, n / amount)
+
+
 # Toxicity
 
 
