@@ -47,7 +47,7 @@ DEFAULT = (-3.0, 1.0, 1.0, 1.0)  # curve without both kinds of labels
 
 
 def fold_table():
-    """Translation of every character below U+2100 that isn't a plain letter."""
+    """Translation of every character below U+2100 that isn't a plain letter, and of styled letters and digits above."""
     table = {}
     for code in range(0x2100):
         char = chr(code)
@@ -60,6 +60,11 @@ def fold_table():
             table[code] = " "
     table |= {ord(k): v for k, v in (LOOKALIKES | DIGITS).items()}
     table |= {c: chr(c - 0xFF21 + 97) for c in range(0xFF21, 0xFF3B)} | {c: chr(c - 0xFF41 + 97) for c in range(0xFF41, 0xFF5B)}
+    for code in range(0x2100, 0x20000):  # beyond are ideographs
+        if unicodedata.decomposition(chr(code)):
+            letters = "".join((LOOKALIKES | DIGITS).get(c, c) for c in unicodedata.normalize("NFKD", chr(code)).lower())
+            if re.fullmatch("[a-z]+", letters):
+                table[code] = letters
     return table
 
 

@@ -280,6 +280,11 @@ def test_folding():
     assert reader.read("idio ")[0] == 0 and reader.read("IDIOT")[0] == 6
 
 
+@pytest.mark.parametrize("word", ["𝐢𝐝𝐢𝐨𝐭", "𝓘𝓓𝓘𝓞𝓣", "𝕚𝕕𝕚𝕠𝕥", "ⓘⓓⓘⓞⓣ", "ⒾⒹⒾⓄⓉ", "ℐ𝒟ℐ𝒪𝒯", "ｉ𝖉ℹ𝛐𝚝", "𝟏𝐝𝟏𝟎𝐭"])
+def test_styled_letters_are_folded(word):
+    assert toxicity.fold(f"you {word}!").split() == ["you", "idiot"]
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (shared.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     rows = toxicity.judged(docs, labels).join(labels, "doc_id").filter("held_out").collect()
