@@ -10,6 +10,8 @@ from rentroll.llm import (
     license_scan,
     mixing,
     near_dedup,
+    periodic_runs,
+    piece_codec,
     pii,
     shared,
     token_files,
@@ -146,6 +148,19 @@ def op1_html_extract(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op12_piece_codec(spark, sf_dir):
+    """Digests of the pieces of every document and of the text they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_codec.digests(piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+
+
+def op13_periodic_runs(spark, sf_dir):
+    """Periodic runs of words in every document, some of them with a repeated tail, and the texts without repetitions."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find(documents, rewritten=periodic_runs.repeated_tails, keep_text=False)
+    return periodic_runs.summary(found)
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
@@ -157,6 +172,8 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op12_piece_codec": op12_piece_codec,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
