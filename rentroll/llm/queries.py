@@ -4,6 +4,7 @@ import public_tokenizers
 
 import corpus_pipeline
 from rentroll.llm import (
+    collocations,
     decontaminate,
     exact_dedup,
     html_extract,
@@ -148,6 +149,45 @@ def op1_html_extract(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_collocations(spark, sf_dir):
+    """Collocations of every language."""
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), split AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sized AS (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM split, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
+), counted AS (
+    SELECT lang, w[i:i + k - 1] AS p, k, count(*) AS a FROM sized GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang
+), candidates AS (
+    SELECT * FROM counted WHERE k > 1 AND a >= 30
+), inside AS (
+    SELECT lang, p[i:i + m - 1] AS p, max(a) AS longer
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM candidates, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL
+), cuts AS (
+    SELECT c.lang, c.p, c.a, c.k, unnest(range(1, c.k)) AS cut
+    FROM candidates c LEFT JOIN inside USING (lang, p) WHERE longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(c.a AS HUGEINT) * 80
+), scored AS (
+    SELECT x.lang, x.p, x.a, x.cut, f.a AS l, r.a AS r, CAST(CAST(x.a AS HUGEINT) * 2000000 // (f.a + r.a) AS BIGINT) AS score
+    FROM cuts x JOIN counted f ON f.lang = x.lang AND f.p = x.p[1:x.cut] JOIN counted r ON r.lang = x.lang AND r.p = x.p[x.cut + 1:x.k]
+), lowest AS (
+    SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM scored
+    QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_piece_codec(spark, sf_dir):
     """Digests of the pieces of every document and of the text they decode to."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -172,6 +212,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op11_collocations": op11_collocations,
     "op12_piece_codec": op12_piece_codec,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
@@ -180,4 +221,5 @@ ORACLES = {
     "op3_exact_dedup": OP3_SQL,
     "op7_url_filters": OP7_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_collocations": OP11_SQL,
 }
