@@ -195,6 +195,7 @@ class Coder:
         plain = bytes([3 << 3 | 2, 8, 2 << 3 | 2, 0, 3 << 3, 0, 4 << 3, 0, 5 << 3, 0])
         self.library = sentencepiece.SentencePieceProcessor()
         self.library.LoadFromSerializedProto(model + plain)
+        self.whole = sentencepiece.SentencePieceProcessor(model_file=path)
         self.end_id = self.library.eos_id()
         self.entries, self.size, self.longest = entries, size, longest
         self.store, self.held = {}, 0
@@ -205,17 +206,17 @@ class Coder:
         return MARK in piece.decode().lstrip(MARK.decode()).encode()
 
     def known(self, cuts):
-        """Ids of each of the distinct cuts."""
-        found = [self.store.get(c) for c in cuts]
+        """Packed ids of each of the distinct cuts."""
+        found = list(map(self.store.get, cuts))
         new = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(new, self.library.encode([cuts[i].decode() for i in new], num_threads=1, return_type="numpy")):
-            found[i] = ids
+            found[i] = ids = ids.astype("<i4").tobytes()
             if len(cuts[i]) <= self.longest and len(self.store) < self.entries and self.held < self.size:
                 self.store[cuts[i]] = ids
-                self.held += len(cuts[i]) + ids.nbytes
+                self.held += len(cuts[i]) + len(ids)
         if len(self.store) >= self.entries or self.held >= self.size:  # the cuts met last make room
             for c in list(islice(reversed(self.store), len(self.store) // 4)):
-                self.held -= len(c) + self.store.pop(c).nbytes
+                self.held -= len(c) + len(self.store.pop(c))
         return found
 
     def encode(self, raw, at):
@@ -233,9 +234,9 @@ class Coder:
             pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(text))]
         ).dictionary_encode()
         cuts = array.dictionary.to_pylist()
-        ids = self.known(cuts) + [np.array([self.end_id], np.int32)]
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        pool = np.concatenate(ids)
+        ids = self.known(cuts) + [np.array([self.end_id], "<i4").tobytes()]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<i4")
         widths = self.widths[pool]
         widths[-1] = 0
         begin = np.cumsum(sizes, dtype=np.int32) - sizes
@@ -258,6 +259,11 @@ class Coder:
         return pool[at_pool], tokens, *spans
 
 
+    def text(self, ids, at):
+        """The library's decoding of the ids from ``at[i]`` to ``at[i + 1]``."""
+        return self.whole.decode([ids[a:b].tolist() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], num_threads=1)
+
+
 CODERS = {}
 
 
@@ -279,10 +285,11 @@ def parts_of(batch, column, rows, size):
         row = to
 
 
-def encode(documents, model, rows=4000, size=4 << 20):
+def encode(documents, model, decoded=False, rows=4000, size=1 << 20):
     """Pieces of every whole text: doc_id, ids (with the end id last), and the source bytes [begin, end) of each id.
 
-    Byte pieces of one character lie at its begin, the last of them holds it. Null and empty texts have the end id only,
+    With ``decoded`` also the text that the library's decoder makes of the ids, as ``decode`` would add it. Byte pieces of one
+    character lie at its begin, the last of them holds it. Null and empty texts have the end id only,
     at [0, 0). Rows without doc_id, rows that repeat one and other columns don't matter: each row is encoded alone. A task
     holds texts of about ``size`` bytes at once, or one longer text.
     """
@@ -293,33 +300,37 @@ def encode(documents, model, rows=4000, size=4 << 20):
             for some in parts_of(batch, "text", rows, size):
                 ids, tokens, begins, ends = here.encode(*buffer_of(some.column("text")))
                 offsets = pa.array(tokens, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (ids, begins, ends)]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *lists], ["doc_id", "ids", "begins", "ends"])
+                columns = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (ids, begins, ends)]
+                if decoded:
+                    columns.append(pa.array(here.text(ids, tokens), pa.string()))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *columns], names)
 
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    schema = PIECES + ", decoded string" if decoded else PIECES
+    names = [field.split()[0] for field in schema.split(", ")]
+    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def decode(encoded, model, rows=1000):
-    """``encoded`` (doc_id, ids) with the text that its ids stand for, by the library."""
+    """``encoded`` (doc_id, ids) with the text that its ids stand for, by the library. Null ids give an empty text."""
 
     def run(batches):
-        import sentencepiece
-
-        library = sentencepiece.SentencePieceProcessor(model_file=model)
+        here = coder(model)
         for batch in batches:
             for row in range(0, batch.num_rows, rows):
                 some = batch.slice(row, rows)
-                texts = library.decode([ids.tolist() for ids in some.column("ids").to_numpy(zero_copy_only=False)], num_threads=1)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                lists = some.column("ids")
+                tokens = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
+                texts = pa.array(here.text(lists.flatten().to_numpy(zero_copy_only=False), tokens), pa.string())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists, texts], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 
 
-def digests(encoded, model):
+def digests(decoded):
     """Per document the number of ids, and the sha256 of the decimal ids (joined by a space) and of the decoded text."""
-    return decode(encoded, model).select(
+    return decoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -190,8 +190,8 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 
 def op12_piece_codec(spark, sf_dir):
     """Digests of the pieces of every document and of the text they decode to."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return piece_codec.digests(piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_codec.digests(piece_codec.encode(documents, public_tokenizers.path("piece_bpe_32k.model"), decoded=True))
 
 
 def op13_periodic_runs(spark, sf_dir):
