@@ -15,7 +15,8 @@ A part of a frequent phrase is at least as frequent, so leaving out rarer phrase
 makes a shorter one redundant, then so does one that is longer by one word.
 
 In streams the words are separated by a zero byte, which sorts before all others; the control characters below the tab are
-moved up by one to make room (no word holds a tab).
+moved up by one to make room (no word holds a tab). A window is one binary key: the language, then four words, empty ones
+after the end of the piece.
 """
 
 import numpy as np
@@ -38,7 +39,7 @@ KIND = np.zeros(256, np.uint8)
 KIND[[9, 32]] = BLANK
 KIND[[10, 11, 12, 13, *b".,;:!?"]] = END
 PLAIN = bytes([32, *range(9), *range(10, 256)])  # a stream's byte -> the text's
-WINDOWS = "lang string, window binary, n bigint"
+WINDOWS = "window binary, n bigint"
 COUNTS = "lang string, phrase string, size int, n bigint"
 STREAM = (
     "part int, kind string, lang string, phrase string, said string, size int, n bigint, head1 bigint, head2 bigint,"
@@ -56,8 +57,17 @@ def ragged(pool, begins, sizes, pads):
     return out, ends
 
 
+def escaped(lang):
+    """A language as bytes without a zero byte, in the same order."""
+    return lang.encode().replace(b"\1", b"\1\2").replace(b"\0", b"\1\1")
+
+
+def unescaped(data):
+    return data.replace(b"\1\1", b"\0").replace(b"\1\2", b"\1").decode()
+
+
 def windows_of(texts, langs):
-    """Distinct windows of some texts as a record batch (lang, window, n), sorted by language and words."""
+    """Distinct windows of some texts as a record batch (window, n), sorted by language and words."""
     raw, starts = buffer_of(texts)
     kind = KIND[raw]
     inside = np.concatenate([[False], kind == WORD, [False]])
@@ -97,21 +107,29 @@ def windows_of(texts, langs):
     _, chosen, n = np.unique(front << int(len(back_values)).bit_length() | back, return_index=True, return_counts=True)
 
     words = left[chosen]
-    data, offsets = ragged(spaced, at[chosen], at[chosen + words] - at[chosen] - 1, LONGEST - words)
-    window = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chosen), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
-    lang = named.dictionary.take(pa.array(of[chosen]))
-    return pa.RecordBatch.from_arrays([lang, window.cast(pa.binary()), pa.array(n, pa.int64())], ["lang", "window", "n"])
+    heads = [escaped(x) + b"\0" for x in named.dictionary.to_pylist()]
+    sizes = np.array([len(x) for x in heads])
+    begins = len(spaced) + np.cumsum(sizes) - sizes
+    pool = np.concatenate([spaced, np.frombuffer(b"".join(heads), np.uint8)])
+    said = of[chosen]
+    begin = np.column_stack([begins[said], at[chosen]]).ravel()
+    size = np.column_stack([sizes[said], at[chosen + words] - at[chosen] - 1]).ravel()
+    pads = np.column_stack([np.zeros(len(chosen), np.int64), LONGEST - words]).ravel()
+    data, offsets = ragged(pool, begin, size, pads)
+    window = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chosen), [None, pa.py_buffer(offsets[::2].astype(np.int64)), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([window.cast(pa.binary()), pa.array(n, pa.int64())], ["window", "n"])
 
 
 def word_arrays(windows):
-    """The four words of every window (each with its separator), as one array in row order, and the windows' bounds."""
+    """Language and words of every window (each with its separator) as one array in row order, where they begin, and the
+    bytes."""
     _, offsets, data = windows.buffers()
     bounds = np.frombuffer(offsets, np.int32)[windows.offset : windows.offset + len(windows) + 1]
     data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
-    cuts = (np.flatnonzero(data == 0) + 1).reshape(len(windows), LONGEST - 1)
+    cuts = (np.flatnonzero(data == 0) + 1).reshape(len(windows), LONGEST)
     edges = np.concatenate([np.column_stack([bounds[:-1] - bounds[0], cuts]).ravel(), [len(data)]])
     array = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
-    return array, edges.reshape(-1)[:-1].reshape(len(windows), LONGEST), data
+    return array, edges[:-1].reshape(len(windows), LONGEST + 1), data
 
 
 def count_runs(least):
@@ -130,45 +148,44 @@ def count_runs(least):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lang, window, n = (batch.column(c) for c in ("lang", "window", "n"))
+            window, n = batch.column("window"), batch.column("n").to_numpy(zero_copy_only=False)
             if held is not None:  # the last row before, with no count of its own
-                lang, window = pa.concat_arrays([held[0], lang]), pa.concat_arrays([held[1], window])
-                n = pa.concat_arrays([pa.array([0], pa.int64()), n])
-            n = n.to_numpy(zero_copy_only=False)
-            size = len(n)
+                window, n = pa.concat_arrays([held, window]), np.append(0, n)
+            size, wide = len(n), LONGEST + 1
             array, edges, data = word_arrays(window)
-            same = pc.equal(array[LONGEST:], array[:-LONGEST]).to_numpy(zero_copy_only=False).reshape(-1, LONGEST)
-            alike = pc.equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False).astype(bool)
-            after = np.concatenate([edges[:, 1:] - 1, edges[1:, :1].tolist() + [[len(data)]]], 1)  # where each word ends
-            filled = np.column_stack([np.ones(size, bool), after > edges])
+            same = pc.equal(array[wide:], array[:-wide]).to_numpy(zero_copy_only=False).reshape(-1, wide).astype(bool)
+            after = np.append(edges.ravel()[1:] - 1, len(data)).reshape(size, wide)  # where each word ends
+            after[:-1, -1] += 1  # no separator after the last word
+            alike = np.ones(size - 1, bool)
             found = []
-            for k in range(LONGEST + 1):
-                if k:
-                    alike = alike & same[:, k - 1].astype(bool)
-                begins = np.flatnonzero(np.concatenate([[True], ~alike]))
+            for k in range(wide):
+                alike = alike & same[:, k]
+                begins = np.flatnonzero(np.append(True, ~alike))
                 total = np.add.reduceat(n, begins)
                 total[0] += open_[k]
-                keep = filled[begins, k] & ((total >= least) | (k == 0))
-                keep[0] |= filled[begins[0], k] and opening[k]
+                filled = (after[begins, k] > edges[begins, k]) | (k == 0)
+                keep = filled & ((total >= least) | (k == 0))
+                keep[0] |= filled[0] and opening[k]
                 keep[-1] = False
                 for i in np.flatnonzero(keep).tolist():
                     row = begins[i]
-                    said = data[edges[row, 0] : after[row, k - 1]].tobytes().decode() if k else ""
-                    found.append((lang[int(row)].as_py(), said, k, int(total[i])))
+                    lang = data[edges[row, 0] : after[row, 0]].tobytes()
+                    said = data[edges[row, 1] : after[row, k]].tobytes().decode() if k else ""
+                    found.append((unescaped(lang), said, k, int(total[i])))
                 opening[k] = opening[k] and len(begins) == 1
                 open_[k] = total[-1]
-            held = (lang[size - 1 :], window[size - 1 :])
+            held = window[size - 1 :]
             if found:
                 yield rows(found)
         if held is not None:
-            words = held[1][0].as_py().split(b"\0")
-            words = words[: next((i for i, w in enumerate(words) if not w), LONGEST)]
-            yield rows([(held[0][0].as_py(), b"\0".join(words[:k]).decode(), k, int(open_[k])) for k in range(len(words) + 1)])
+            lang, *words = held[0].as_py().split(b"\0")
+            words = [w for w in words if w]
+            yield rows([(unescaped(lang), b"\0".join(words[:k]).decode(), k, int(open_[k])) for k in range(len(words) + 1)])
 
     return run
 
 
-def counts(documents, least, rows=4000, size=4 << 20):
+def counts(documents, least, rows=20_000, size=16 << 20):
     """(lang, phrase, size, n): phrases that occur at least ``least`` times, and the words of each language (size 0)."""
 
     def run(batches):
@@ -180,7 +197,7 @@ def counts(documents, least, rows=4000, size=4 << 20):
 
     texts = documents.select(F.col("lang").cast("string"), F.col("text").cast("string"))
     windows = save(texts.mapInArrow(run, WINDOWS), "windows")  # dealing by range reads its rows twice
-    dealt = windows.repartitionByRange("lang", "window").sortWithinPartitions("lang", "window")
+    dealt = windows.repartitionByRange("window").sortWithinPartitions("window")
     found = dealt.mapInArrow(count_runs(least), COUNTS).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
     return save(found.filter((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
 
@@ -258,7 +275,7 @@ def mine(documents, least=30, best=2000, redundant=80):
     ``redundant`` percent as often. Order: score, then a, both falling, then the phrase by its bytes.
 
     Null text counts as empty, null lang as ``und``; doc_id isn't read, so repeated rows count each time; columns of other
-    names don't matter. No documents, or no frequent phrase, give no rows. A task holds the words of about 4 MB of text at
+    names don't matter. No documents, or no frequent phrase, give no rows. A task holds the words of about 16 MB of text at
     once, or of one longer text.
     """
     found = counts(documents, least)

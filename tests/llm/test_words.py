@@ -67,7 +67,7 @@ def test_collocations_over_many_cuts(spark, least, best, redundant):
     for i in range(300):
         words = rng.choices(vocabulary, weights=range(len(vocabulary), 0, -1), k=rng.randint(0, 30))
         text = "".join(w + rng.choice(ends[:3] if rng.random() < 0.9 else ends) for w in words)
-        rows.append((rng.choice(["en", "en", "de", None, "und", ""]), text))
+        rows.append((rng.choice(["en", "en", "de", None, "und", "", "e\x00", "e\x01", "e\x01\x02"]), text))
     rows += [("en", None), ("en", ""), ("fr", " . , "), ("en", "new york " * 50), ("en", "the " * 3000)]
     frame = spark.createDataFrame(rows, "lang string, text string").withColumn("n", F.lit("theirs")).withColumn("phrase", F.lit(1))
     names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold"]
