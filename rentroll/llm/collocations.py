@@ -1,9 +1,10 @@
 """Collocations from sorted streams of phrase counts.
 
 Every word opens a window of up to four words of its piece. A task sorts the windows of a few megabytes of text and sends
-each distinct one once with its count; Spark deals them by range and sorts them in **prefix order**. There every phrase is
-a run of neighbouring rows, so one pass reads off the counts of all phrases of one to four words, with no table of phrases
-in memory. Phrases that a cut between two tasks divides (at most four at either end of a task) are added up afterwards.
+each distinct one once with its count to the part whose range of windows it lies in; there Spark sorts them in **prefix
+order**. A phrase is a run of neighbouring rows, so one pass reads off the counts of all phrases of one to four words, with
+no table of phrases in memory. Phrases that a cut between two parts divides (at most five at either end of a part) are added
+up afterwards. The ranges come from a sample of the documents; they decide how even the parts are, not what is counted.
 
 The phrases that are frequent enough make two streams, one in prefix order and one in **suffix order** (words reversed).
 A phrase comes after its own beginnings and before its own extensions: a pass that keeps the open phrases (at most three)
@@ -19,6 +20,8 @@ moved up by one to make room (no word holds a tab). A window is one binary key:
 after the end of the piece.
 """
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,7 +42,7 @@ KIND = np.zeros(256, np.uint8)
 KIND[[9, 32]] = BLANK
 KIND[[10, 11, 12, 13, *b".,;:!?"]] = END
 PLAIN = bytes([32, *range(9), *range(10, 256)])  # a stream's byte -> the text's
-WINDOWS = "window binary, n bigint"
+WINDOWS = "part int, window binary, n bigint"
 COUNTS = "lang string, phrase string, size int, n bigint"
 STREAM = (
     "part int, kind string, lang string, phrase string, said string, size int, n bigint, head1 bigint, head2 bigint,"
@@ -100,14 +103,17 @@ def windows_of(texts, langs):
     number = np.concatenate([rank[coded.indices.to_numpy(zero_copy_only=False)], np.zeros(LONGEST, np.int64)])
     bits = int(len(order)).bit_length()
     named = langs.fill_null("und").dictionary_encode()
-    of = np.repeat(named.indices.to_numpy(zero_copy_only=False), np.diff(first)).astype(np.int64)
+    said = [escaped(x) + b"\0" for x in named.dictionary.to_pylist()]
+    heads = sorted(said)
+    place = {x: i for i, x in enumerate(heads)}
+    of = np.array([place[x] for x in said], np.int64)
+    of = np.repeat(of[named.indices.to_numpy(zero_copy_only=False)], np.diff(first))
     along = [np.where(left > k, number[k : k + count], 0) for k in range(LONGEST)]
     _, front = np.unique(of << 2 * bits | along[0] << bits | along[1], return_inverse=True)
     back_values, back = np.unique(along[2] << bits | along[3], return_inverse=True)
     _, chosen, n = np.unique(front << int(len(back_values)).bit_length() | back, return_index=True, return_counts=True)
 
     words = left[chosen]
-    heads = [escaped(x) + b"\0" for x in named.dictionary.to_pylist()]
     sizes = np.array([len(x) for x in heads])
     begins = len(spaced) + np.cumsum(sizes) - sizes
     pool = np.concatenate([spaced, np.frombuffer(b"".join(heads), np.uint8)])
@@ -132,72 +138,112 @@ def word_arrays(windows):
     return array, edges[:-1].reshape(len(windows), LONGEST + 1), data
 
 
-def count_runs(least):
-    """Pass over windows in prefix order: phrases with a count of at least ``least``, those cut by a task's ends, and per
-    language the number of windows (size 0)."""
+class Runs:
+    """Reads the windows of one part in prefix order: phrases with a count of at least ``least``, those that the ends of the
+    part may cut, and per language the number of windows (size 0)."""
+
+    def __init__(self, least):
+        self.least, self.held = least, None
+        self.open = np.zeros(LONGEST + 1, np.int64)
+        self.opening = [True] * (LONGEST + 1)  # the first phrase of each size may have begun in the part before
+
+    def read(self, window, n):
+        """Phrases (lang, phrase, size, n) that end in these rows."""
+        if self.held is not None:  # the last row before, with no count of its own
+            window, n = pa.concat_arrays([self.held, window]), np.append(0, n)
+        size, wide = len(n), LONGEST + 1
+        array, edges, data = word_arrays(window)
+        same = pc.equal(array[wide:], array[:-wide]).to_numpy(zero_copy_only=False).reshape(-1, wide).astype(bool)
+        after = np.append(edges.ravel()[1:] - 1, len(data)).reshape(size, wide)  # where each word ends
+        after[:-1, -1] += 1  # no separator after the last word
+        alike = np.ones(size - 1, bool)
+        found = []
+        for k in range(wide):
+            alike = alike & same[:, k]
+            begins = np.flatnonzero(np.append(True, ~alike))
+            total = np.add.reduceat(n, begins)
+            total[0] += self.open[k]
+            filled = (after[begins, k] > edges[begins, k]) | (k == 0)
+            keep = filled & ((total >= self.least) | (k == 0))
+            keep[0] |= filled[0] and self.opening[k]
+            keep[-1] = False
+            for i in np.flatnonzero(keep).tolist():
+                row = begins[i]
+                lang = data[edges[row, 0] : after[row, 0]].tobytes()
+                said = data[edges[row, 1] : after[row, k]].tobytes().decode() if k else ""
+                found.append((unescaped(lang), said, k, int(total[i])))
+            self.opening[k] = self.opening[k] and len(begins) == 1
+            self.open[k] = total[-1]
+        self.held = window[size - 1 :]
+        return found
+
+    def rest(self):
+        """The phrases still open."""
+        lang, *words = self.held[0].as_py().split(b"\0")
+        words = [w for w in words if w]
+        return [(unescaped(lang), b"\0".join(words[:k]).decode(), k, int(self.open[k])) for k in range(len(words) + 1)]
 
-    def run(batches):
-        held, open_ = None, np.zeros(LONGEST + 1, np.int64)
-        opening = [True] * (LONGEST + 1)  # the first phrase of each size may have begun in the task before
 
-        def rows(found):
-            columns = list(zip(*found)) or [()] * 4
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "phrase", "size", "n"])
+def count_runs(least):
+    """Pass over parts and windows in order."""
 
+    def run(batches):
+        part, reader = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            window, n = batch.column("window"), batch.column("n").to_numpy(zero_copy_only=False)
-            if held is not None:  # the last row before, with no count of its own
-                window, n = pa.concat_arrays([held, window]), np.append(0, n)
-            size, wide = len(n), LONGEST + 1
-            array, edges, data = word_arrays(window)
-            same = pc.equal(array[wide:], array[:-wide]).to_numpy(zero_copy_only=False).reshape(-1, wide).astype(bool)
-            after = np.append(edges.ravel()[1:] - 1, len(data)).reshape(size, wide)  # where each word ends
-            after[:-1, -1] += 1  # no separator after the last word
-            alike = np.ones(size - 1, bool)
+            parts = batch.column("part").to_numpy(zero_copy_only=False)
+            n = batch.column("n").to_numpy(zero_copy_only=False)
             found = []
-            for k in range(wide):
-                alike = alike & same[:, k]
-                begins = np.flatnonzero(np.append(True, ~alike))
-                total = np.add.reduceat(n, begins)
-                total[0] += open_[k]
-                filled = (after[begins, k] > edges[begins, k]) | (k == 0)
-                keep = filled & ((total >= least) | (k == 0))
-                keep[0] |= filled[0] and opening[k]
-                keep[-1] = False
-                for i in np.flatnonzero(keep).tolist():
-                    row = begins[i]
-                    lang = data[edges[row, 0] : after[row, 0]].tobytes()
-                    said = data[edges[row, 1] : after[row, k]].tobytes().decode() if k else ""
-                    found.append((unescaped(lang), said, k, int(total[i])))
-                opening[k] = opening[k] and len(begins) == 1
-                open_[k] = total[-1]
-            held = window[size - 1 :]
-            if found:
-                yield rows(found)
-        if held is not None:
-            lang, *words = held[0].as_py().split(b"\0")
-            words = [w for w in words if w]
-            yield rows([(unescaped(lang), b"\0".join(words[:k]).decode(), k, int(open_[k])) for k in range(len(words) + 1)])
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)] if len(parts) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if parts[a] != part:
+                    found += reader.rest() if reader else []
+                    part, reader = parts[a], Runs(least)
+                found += reader.read(batch.column("window")[a:b], n[a:b])
+            yield rows(found)
+        if reader:
+            yield rows(reader.rest())
+
+    def rows(found):
+        columns = list(zip(*found)) or [()] * 4
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "phrase", "size", "n"])
 
     return run
 
 
-def counts(documents, least, rows=20_000, size=16 << 20):
-    """(lang, phrase, size, n): phrases that occur at least ``least`` times, and the words of each language (size 0)."""
+def places(spark, n):
+    """One integer per partition that Spark deals to it among ``n``."""
+    dealt = spark.range(64 * n).select(F.col("id").cast("int").alias("id")).groupBy(F.expr(f"pmod(hash(id), {n})").alias("p"))
+    found = dealt.agg(F.min("id").alias("id")).collect()  # n rows
+    chosen = {r.p: r.id for r in found}
+    return sorted(chosen.get(p, p) for p in range(n))
 
-    def run(batches):
-        for batch in batches:
-            for some in parts_of(batch, "text", rows, size):
-                found = windows_of(some.column("text"), some.column("lang"))
-                if found is not None:
-                    yield found
 
+def counts(documents, least, rows=4000, size=2 << 20):
+    """(lang, phrase, size, n): phrases that occur at least ``least`` times, and the words of each language (size 0)."""
+    spark = documents.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = documents.select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    windows = save(texts.mapInArrow(run, WINDOWS), "windows")  # dealing by range reads its rows twice
-    dealt = windows.repartitionByRange("window").sortWithinPartitions("window")
+
+    def windows(cuts, names):
+        def run(batches):
+            for batch in batches:
+                for some in parts_of(batch, "text", rows, size):
+                    found = windows_of(some.column("text"), some.column("lang"))
+                    if found is not None:
+                        window = found.column("window")
+                        edges = [bisect_left(range(len(window)), cut, key=lambda i: window[i].as_py()) for cut in cuts]
+                        part = np.repeat(np.array(names[: len(cuts) + 1], np.int32), np.diff([0, *edges, len(window)]))
+                        yield pa.RecordBatch.from_arrays([pa.array(part), *found.columns], ["part", *found.schema.names])
+
+        return run
+
+    # A sample of 32 documents per part and of 32 of their windows per part, whatever the size of the table.
+    share = min(1.0, 32 * n / max(1, texts.count()))
+    some = texts.sample(share, seed=1).mapInArrow(windows([], [0]), WINDOWS)
+    some = sorted(bytes(r.window) for r in some.orderBy(F.xxhash64("window"), "window").limit(32 * n).collect())
+    cuts = sorted({some[i * len(some) // n] for i in range(1, n)}) if some else []
+    dealt = texts.mapInArrow(windows(cuts, places(spark, n)), WINDOWS).repartition(n, "part").sortWithinPartitions("part", "window")
     found = dealt.mapInArrow(count_runs(least), COUNTS).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
     return save(found.filter((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
 
@@ -275,7 +321,7 @@ def mine(documents, least=30, best=2000, redundant=80):
     ``redundant`` percent as often. Order: score, then a, both falling, then the phrase by its bytes.
 
     Null text counts as empty, null lang as ``und``; doc_id isn't read, so repeated rows count each time; columns of other
-    names don't matter. No documents, or no frequent phrase, give no rows. A task holds the words of about 16 MB of text at
+    names don't matter. No documents, or no frequent phrase, give no rows. A task holds the words of about 2 MB of text at
     once, or of one longer text.
     """
     found = counts(documents, least)
