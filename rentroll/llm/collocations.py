@@ -29,9 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rentroll.llm.piece_codec import parts_of
 from rentroll.llm.shared import save
-from rentroll.llm.words import buffer_of
+from rentroll.llm.words import buffer_of, parts_of
 
 LONGEST = 4
 FORM = np.arange(256, dtype=np.uint8)

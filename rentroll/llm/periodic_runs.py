@@ -22,10 +22,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from rentroll.llm.words import buffer_of, mix
+from rentroll.llm.words import buffer_of, mix, parts_of
 
 LAGS = 64
 SPACE = np.zeros(256, bool)
@@ -297,15 +296,8 @@ def find(documents, shortest=12, rewritten=None, keep_text=True, rows=2000, size
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text")
-            sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
-            row = 0
-            while row < batch.num_rows:
-                before = int(sizes[row - 1]) if row else 0
-                to = min(row + rows, max(row + 1, int(np.searchsorted(sizes, before + size, "right"))))
-                some = batch.slice(row, to - row)
+            for some in parts_of(batch, "text", rows, size):
                 yield judged(some.column("doc_id").to_pylist(), some.column("text"))
-                row = to
 
     return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, FOUND)
 

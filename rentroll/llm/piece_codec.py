@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from rentroll.llm.words import buffer_of
+from rentroll.llm.words import buffer_of, parts_of
 
 MARK = "▁".encode()
 PIECES = "doc_id bigint, ids array<int>, begins array<int>, ends array<int>"
@@ -274,17 +274,6 @@ def coder(path):
     return CODERS[path]
 
 
-def parts_of(batch, column, rows, size):
-    """Runs of whole rows of about ``size`` bytes of text."""
-    sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    row = 0
-    while row < batch.num_rows:
-        before = int(sizes[row - 1]) if row else 0
-        to = min(row + rows, max(row + 1, int(np.searchsorted(sizes, before + size, "right"))))
-        yield batch.slice(row, to - row)
-        row = to
-
-
 def encode(documents, model, decoded=False, rows=4000, size=1 << 20):
     """Pieces of every whole text: doc_id, ids (with the end id last), and the source bytes [begin, end) of each id.
 

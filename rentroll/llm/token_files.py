@@ -10,12 +10,13 @@ any store Spark writes to and a lost task is simply written again:
     doc_ids     Elias-Fano of the doc_ids less the smallest
     ids         16 bits each while the vocabulary allows, else 32
 
-The tokenizer never joins across a space that follows a visible character, so texts are cut there and each piece is
-looked up in a store of at most ``keep`` pieces. A new piece is cut into the words that the tokenizer's own pattern
-gives, and the library encodes those not met before; the ids are those of the whole text.
+A byte-level tokenizer with the usual pattern never joins across a space that follows a visible character, so texts are cut
+there, equal pieces are found once per batch, and a store (bounded by pieces and by bytes) keeps those met before. Pieces
+not met before go to the library as one text, in which they again can't be joined; the lengths of its tokens tell where
+each piece ends. The ids are those of the whole text.
 """
 
-import re
+import os
 import struct
 import zlib
 from itertools import islice
@@ -28,79 +29,123 @@ from pyspark.sql import functions as F
 
 from rentroll.llm import elias_fano
 from rentroll.llm.shared import place
+from rentroll.llm.words import buffer_of, parts_of
 
 HEADER = struct.Struct("<4sBQQQq")
 MAGIC = b"RTID"
 SEGMENTS = "part int, segment int, n_docs bigint, n_ids bigint, data binary"
 DOCUMENTS = "part int, segment int, doc_id bigint, in_segment bigint, n_tokens bigint, ids_crc32 bigint"
-SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-CUT = re.compile(r"(?<=\S)(?= )")
+VISIBLE = np.zeros(256, bool)
+VISIBLE[0x21:0x7F] = True
+VISIBLE[0x80:] = True
+# The last two bytes of white space beyond ASCII.
+WIDE = [(0xC2, 0x85), (0xC2, 0xA0), (0x9A, 0x80), *[(0x80, b) for b in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)], (0x81, 0x9F)]
+WHITE = np.zeros(1 << 16, bool)
+WHITE[[a << 8 | b for a, b in WIDE]] = True
+
+
+def after_visible(raw):
+    """For every byte whether it ends a visible character; some characters that end like white space count as such."""
+    seen = VISIBLE[raw]
+    if len(raw) > 1:
+        seen[1:] &= ~WHITE[raw[:-1].astype(np.uint16) << 8 | raw[1:]]
+    return seen
 
 
 class Encoder:
     """Ids of texts as packed bytes, with a bounded store of the pieces seen before."""
 
-    def __init__(self, path, keep=1_000_000):
-        import public_tokenizers
-        import regex
+    def __init__(self, path, keep=400_000, size=16_000_000, longest=100):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.form = "H" if self.kind.itemsize == 2 else "I"
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words_of = regex.compile(public_tokenizers.PATTERN).findall
-        self.keep = keep
-        self.store = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int32)  # a byte-level token has a character for each byte
+        self.widths[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        self.keep, self.size, self.longest = keep, size, longest
+        self.store, self.held = {}, 0
 
     def packed(self, texts):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(x.ids)}{self.form}", *x.ids) for x in found]
-
-    def learn(self, wanted):
-        """Make sure that every piece is in the store; an overfull store loses the pieces it met last."""
-        store = self.store
-        if len(store) > self.keep:
-            for piece in list(islice(reversed(store), self.keep // 4)):
-                del store[piece]
-        new = wanted.difference(store)
-        words, cut = set(), {}
-        for piece in new:
-            if piece.isalpha() or piece[1:].isalpha() and piece[0] == " ":
-                words.add(piece)
-            else:
-                cut[piece] = self.words_of(piece)
-        words.update(*cut.values())
-        words = list(words.difference(store))
-        store.update(zip(words, self.packed(words)))
-        for piece, parts in cut.items():
-            store[piece] = b"".join([store[w] for w in parts])
+        return [np.array(x.ids, self.kind).tobytes() for x in found]
+
+    def joined(self, pieces):
+        """Packed ids of pieces that begin with a space and end with a visible character."""
+        text = b"".join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        reached = np.cumsum(self.widths[ids])
+        at = np.searchsorted(reached, ends)
+        if not np.array_equal(reached[at], ends):
+            raise ValueError("a token lies across two pieces: no byte-level tokenizer with the usual pattern")
+        data = ids.tobytes()
+        bounds = [0, *((at + 1) * self.kind.itemsize).tolist()]
+        return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+    def known(self, pieces, free):
+        """Packed ids of each of the distinct pieces; ``free``: those that can be joined."""
+        found = list(map(self.store.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        apart = [i for i in new if not free[i]]
+        for i, ids in zip(apart, self.packed([pieces[i].decode() for i in apart])):
+            found[i] = ids
+        together = [i for i in new if free[i]]
+        for row in range(0, len(together), 20_000):
+            some = together[row : row + 20_000]
+            for i, ids in zip(some, self.joined([pieces[i] for i in some])):
+                found[i] = ids
+        for i in new:
+            if len(pieces[i]) <= self.longest and len(self.store) < self.keep and self.held < self.size:
+                self.store[pieces[i]] = found[i]
+                self.held += len(pieces[i]) + len(found[i])
+        if len(self.store) >= self.keep or self.held >= self.size:  # the pieces met last make room
+            for piece in list(islice(reversed(self.store), len(self.store) // 4)):
+                self.held -= len(piece) + len(self.store.pop(piece))
+        return found
 
     def encode(self, texts):
-        """Packed ids of each text."""
-        out = [None] * len(texts)
-        cut, whole = [], []
-        for i, t in enumerate(texts):
-            if any(s in t for s in self.special):
-                whole.append(i)
-            elif "\0" in t or any(s + " " in t for s in SPACES):
-                cut.append((i, CUT.split(t)))
-            else:
-                cut.append((i, t.replace(" ", "\0 ").split("\0")))
-        for i, ids in zip(whole, self.packed([texts[i] for i in whole])):
-            out[i] = ids
-        self.learn(set().union(*[pieces for _, pieces in cut]))
-        known = self.store.__getitem__
-        for i, pieces in cut:
-            out[i] = b"".join(map(known, pieces))
-        return out
+        """Packed ids of each text of an Arrow string array."""
+        raw, at = buffer_of(texts)
+        seen = after_visible(raw)
+        opens = np.zeros(len(raw) + 1, bool)
+        opens[1:-1] = (raw[1:] == 32) & seen[:-1]
+        opens[at] = True
+        data = raw.tobytes()
+        for special in self.special:  # a text that holds one stays whole
+            found = data.find(special)
+            while found >= 0:
+                i = int(np.searchsorted(at, found, "right")) - 1
+                opens[at[i] + 1 : at[i + 1]] = False
+                found = data.find(special, int(at[i + 1]))
+        edges = np.flatnonzero(opens)
+        array = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]
+        ).dictionary_encode()
+        pieces = array.dictionary.to_pylist()
+        which = array.indices.to_numpy(zero_copy_only=False)
+        free = np.zeros(len(pieces), bool)  # equal pieces begin and end alike
+        free[which] = (raw[edges[:-1]] == 32) & seen[edges[1:] - 1] if len(which) else False
+        held = [i for i in np.flatnonzero(free).tolist() if any(s in pieces[i] for s in self.special)]
+        free[held] = False
+        ids = self.known(pieces, free)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        pool = np.frombuffer(b"".join(ids), self.kind)
+        begin = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        to = np.concatenate([[0], np.cumsum(n)])
+        out = pool[np.arange(to[-1], dtype=np.int32) + np.repeat((begin[which] - to[:-1]).astype(np.int32), n)].tobytes()
+        bounds = (to[np.searchsorted(edges[:-1], at)] * self.kind.itemsize).tolist()
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 ENCODERS = {}
 
 
 def encoder(path, keep):
-    """This worker's encoder: its stores last from task to task."""
+    """This worker's encoder: its store lasts from task to task."""
     if (path, keep) not in ENCODERS:
         ENCODERS[path, keep] = Encoder(path, keep)
     return ENCODERS[path, keep]
@@ -135,7 +180,7 @@ class Segment:
         return self.array[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
-def write(documents, path, tokenizer, end_id=2, segment_ids=2_000_000, keep=1_000_000):
+def write(documents, path, tokenizer, end_id=2, segment_ids=2_000_000, keep=400_000):
     """Write ``documents`` (doc_id, text) as segments below ``path``, in ascending doc_id, those without one first."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     end = {"<u2": struct.pack("<H", end_id), "<u4": struct.pack("<I", end_id)}
@@ -154,10 +199,8 @@ def write(documents, path, tokenizer, end_id=2, segment_ids=2_000_000, keep=1_00
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], fields)
 
         for batch in batches:
-            for row in range(0, batch.num_rows, 200):
-                some = batch.slice(row, 200)
-                texts = some.column("text").fill_null("").to_pylist()
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), coder.encode(texts)):
+            for some in parts_of(batch, "text", rows=4000, size=1 << 20):
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), coder.encode(some.column("text"))):
                     names.append(doc_id)
                     packed.append(ids + stop)
                     size += len(ids) + len(stop)

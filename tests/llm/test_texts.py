@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import EDGES, bag, documents
 from pyspark.sql import functions as F
@@ -78,9 +79,13 @@ def test_pieces_give_the_ids_of_the_whole():
     rng = random.Random(1)
     alphabet = list("ab é'sll  \n\t\r.,!19　\xa0ñ漢😀\x1c\x85\x00") + ["<|endoftext|>", " the", " don't", "'s "]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(5000)]
-    coder = token_files.Encoder(TOKENIZER, keep=500)  # overflows again and again
-    for at in range(0, len(texts), 100):
-        assert coder.encode(texts[at : at + 100]) == coder.packed(texts[at : at + 100])
+    texts += ["x" * 5000 + " y", None, "", " ", "a ", "\u3000 a\u3000 b \u2028 c\xa0 d\x85 e", "\u5000 \u4080 z"]
+    for coder in (token_files.Encoder(TOKENIZER, keep=500), token_files.Encoder(TOKENIZER, size=3000)):  # overflow again and again
+        for at in range(0, len(texts), 100):
+            some = texts[at : at + 100]
+            assert coder.encode(pa.array(some, pa.string())) == coder.packed([t or "" for t in some])
+        assert len(coder.store) <= 500 or coder.held <= 3300
+        assert coder.held == sum(len(p) + len(v) for p, v in coder.store.items()) and max(map(len, coder.store)) <= 100
 
 
 def test_files_hold_every_document_in_order(spark):
