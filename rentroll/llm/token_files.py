@@ -55,7 +55,7 @@ def after_visible(raw):
 class Encoder:
     """Ids of texts as packed bytes, with a bounded store of the pieces seen before."""
 
-    def __init__(self, path, keep=400_000, size=16_000_000, longest=100):
+    def __init__(self, path, keep=1_000_000, size=32_000_000, longest=100):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
@@ -113,12 +113,13 @@ class Encoder:
         opens = np.zeros(len(raw) + 1, bool)
         opens[1:-1] = (raw[1:] == 32) & seen[:-1]
         opens[at] = True
-        data = raw.tobytes()
+        data, whole = raw.tobytes(), []
         for special in self.special:  # a text that holds one stays whole
             found = data.find(special)
             while found >= 0:
                 i = int(np.searchsorted(at, found, "right")) - 1
                 opens[at[i] + 1 : at[i + 1]] = False
+                whole.append(int(at[i]))
                 found = data.find(special, int(at[i + 1]))
         edges = np.flatnonzero(opens)
         array = pa.LargeBinaryArray.from_buffers(
@@ -128,8 +129,7 @@ class Encoder:
         which = array.indices.to_numpy(zero_copy_only=False)
         free = np.zeros(len(pieces), bool)  # equal pieces begin and end alike
         free[which] = (raw[edges[:-1]] == 32) & seen[edges[1:] - 1] if len(which) else False
-        held = [i for i in np.flatnonzero(free).tolist() if any(s in pieces[i] for s in self.special)]
-        free[held] = False
+        free[which[np.searchsorted(edges[:-1], whole)]] = False
         ids = self.known(pieces, free)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
         pool = np.frombuffer(b"".join(ids), self.kind)
@@ -180,7 +180,7 @@ class Segment:
         return self.array[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
-def write(documents, path, tokenizer, end_id=2, segment_ids=2_000_000, keep=400_000):
+def write(documents, path, tokenizer, end_id=2, segment_ids=2_000_000, keep=1_000_000):
     """Write ``documents`` (doc_id, text) as segments below ``path``, in ascending doc_id, those without one first."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     end = {"<u2": struct.pack("<H", end_id), "<u4": struct.pack("<I", end_id)}
@@ -199,7 +199,7 @@ def write(documents, path, tokenizer, end_id=2, segment_ids=2_000_000, keep=400_
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], fields)
 
         for batch in batches:
-            for some in parts_of(batch, "text", rows=4000, size=1 << 20):
+            for some in parts_of(batch, "text", rows=4000, size=2 << 20):
                 for doc_id, ids in zip(some.column("doc_id").to_pylist(), coder.encode(some.column("text"))):
                     names.append(doc_id)
                     packed.append(ids + stop)
