@@ -395,12 +395,22 @@ def maintenance_moves(w):
 
 
 def _running_profit(monthly, keys, owner, month="month_key"):
-    """Monthly sums with running totals along the months of each registration."""
-    so_far = Window.partitionBy(owner).orderBy(month).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    """Monthly sums with running totals along the months of each registration.
+
+    Rows are summed per registration and month before the window, so it holds no more rows than there are months, also where
+    many assets have no registration and so share one running total.
+    """
+    so_far = Window.partitionBy("_owner", "_unknown").orderBy(month)
+    monthly = monthly.withColumns({"_owner": F.coalesce(owner, F.lit("")), "_unknown": F.col(owner).isNull()})
+    months = monthly.groupBy("_owner", "_unknown", month).agg(*[F.sum(c).alias(f"_sum_{c}") for c in ("budget", "recharge", "expense")])
+    months = months.select("_owner", "_unknown", month, *[F.sum(f"_sum_{c}").over(so_far).alias(f"_run_{c}") for c in ("budget", "recharge", "expense")])
+    monthly = split_join(monthly, months, ["_owner", "_unknown", month])
     income = F.col("budget") + F.col("recharge")
     parts = {"budget": F.col("budget"), "recharge": F.col("recharge"), "income": income, "expense": F.col("expense"), "net": income - F.col("expense")}
     out = [amount(c, 4).alias(n) for n, c in parts.items()]
-    out += [amount(F.sum(c).over(so_far), 4).alias(f"cumulative_{n}") for n, c in parts.items()]
+    run_income = F.col("_run_budget") + F.col("_run_recharge")
+    runs = {"budget": F.col("_run_budget"), "recharge": F.col("_run_recharge"), "income": run_income, "expense": F.col("_run_expense"), "net": run_income - F.col("_run_expense")}
+    out += [amount(c, 4).alias(f"cumulative_{n}") for n, c in runs.items()]
     return monthly.select(*keys, month, *out)
 
 

@@ -2,16 +2,16 @@
 
 A group that holds a large share of all rows must not reach a single task. The tools:
 
-* ``ordered_columns`` - ordinals, running sums and neighbours inside a group. Groups are cut along their order into
-  pieces of about ``ROWS`` rows, each piece is worked on alone, and the totals of pieces supply the offsets.
+* ``ordered_columns`` - ordinals, running sums and neighbours inside a group. Rows of hot groups are dealt by range into
+  pieces of about ``ROWS`` rows, each piece is scanned alone, and one row per piece supplies what the others carry.
 * ``spread_join`` - join rows to one row per key. A key gets one salt for every ``ROWS`` rows.
 * ``split_join`` - the same without counts, for a right side that was grouped or ranked by the key; it leaves the
   splitting to adaptive execution.
 * ``attach_many`` - left join of one row per key to many, where the many may be hot.
 
 The number of pieces of a key is its rows over ``ROWS``, whatever the data volume: a piece never grows with the data.
-Keys of more than one piece and their cut points are broadcast; there is at most one cut point for every ``ROWS`` rows of
-the table, so a table of 10^9 rows sends about a thousand.
+The list of hot keys is broadcast while it has at most ``BROADCAST_KEYS`` rows, else Spark joins it like any table. Where no
+key is hot the plans are the plain ones.
 """
 
 from functools import reduce
@@ -20,42 +20,52 @@ from operator import and_
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rentroll.sources.tables import materialise
+
 ROWS = 1_000_000  # per piece
-SAMPLES = 16  # per piece, to find its cut point
+BROADCAST_KEYS = 50_000
+
 
+def hot_keys(counts, keys, rows=ROWS):
+    """Keys of more than ``rows`` rows with their number of pieces, and the rows they hold together.
 
-def pieces_of(counts, keys, rows=ROWS):
-    """Keys with more than one piece, and how many; ``counts`` has one row per key and its row count in ``n``."""
-    pieces = F.ceil(F.col("n") / rows).cast("int")
-    return counts.filter(F.col("n") > rows).select(*keys, pieces.alias("_pieces"))
+    ``counts`` has one row per key and its row count in ``n``. None and 0 when no key is hot: one job tells, so that
+    ordinary tables get an ordinary plan.
+    """
+    hot = counts.filter(F.col("n") > rows).select(*keys, "n", F.ceil(F.col("n") / rows).cast("int").alias("_pieces"))
+    found = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")).first()
+    if not found["keys"]:
+        return None, 0
+    hot = hot.drop("n")
+    return (F.broadcast(hot) if found["keys"] <= BROADCAST_KEYS else hot), found["rows"]
 
 
 def _null_safe(left, right, keys):
     return reduce(and_, [left[k].eqNullSafe(right[f"_hot_{k}"]) for k in keys])
 
 
-def mark_hot(df, hot, keys):
-    """Left-join the columns of the bounded list of hot keys; they are null for ordinary keys."""
+def mark_hot(df, hot, keys, how="left"):
+    """Join the list of hot keys; in a left join its columns are null for ordinary keys."""
     added = [c for c in hot.columns if c not in keys]
     small = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], *added)
-    return df.join(F.broadcast(small), _null_safe(df, small, keys), "left").drop(*[f"_hot_{k}" for k in keys])
+    return df.join(small, _null_safe(df, small, keys), how).drop(*[f"_hot_{k}" for k in keys])
 
 
 def spread_join(rows, per_key, keys, how="left", per_piece=ROWS):
     """Join ``rows`` to ``per_key`` (one row per key, row count in ``n``) without a hot task."""
-    hot = pieces_of(per_key, keys, per_piece)
+    renamed = {k: f"_hot_{k}" for k in keys}
+    hot, _ = hot_keys(per_key, keys, per_piece)
+    if hot is None:
+        right = per_key.withColumnsRenamed(renamed)
+        return rows.join(right, _null_safe(rows, right, keys), how).drop(*renamed.values())
     # A running number: equal rows get different salts. Any salt finds its key, so a rerun may deal them otherwise.
     salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_pieces")).cast("int"), F.lit(0))
     left = mark_hot(rows, hot, keys).withColumn("_salt", salt).drop("_pieces")
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
-    right = (
-        mark_hot(per_key, hot, keys)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        .drop("_pieces")
-    )
-    renamed = right.withColumnsRenamed({k: f"_hot_{k}" for k in keys} | {"_salt": "_right_salt"})
-    on = _null_safe(left, renamed, keys) & (F.col("_salt") == F.col("_right_salt"))
-    return left.join(renamed, on, how).drop("_salt", "_right_salt", *[f"_hot_{k}" for k in keys])
+    right = mark_hot(per_key, hot, keys).withColumn("_right_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    right = right.drop("_pieces").withColumnsRenamed(renamed)
+    on = _null_safe(left, right, keys) & (F.col("_salt") == F.col("_right_salt"))
+    return left.join(right, on, how).drop("_salt", "_right_salt", *renamed.values())
 
 
 def split_join(rows, per_key, keys, how="inner"):
@@ -90,32 +100,28 @@ def distinct_per_key(df, keys, value, out="n_distinct"):
     return spread_join(df, per_key, keys).drop("n")
 
 
-def cut_points(df, keys, order, rows=ROWS):
-    """Hot keys with their cut points along ``order``: about one for every ``rows`` rows, from an even sample.
-
-    The sample is taken by a hash of the order columns, so every run finds the same points.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = pieces_of(counts, keys, rows)
-    step = max(1, rows // SAMPLES)
-    some = df.select(*keys, F.struct(*order).alias("_at")).filter(F.pmod(F.xxhash64(*[F.col(f"_at.{c}") for c in order]), F.lit(step)) == 0)
-    found = mark_hot(some, hot, keys).filter(F.col("_pieces").isNotNull())
-    sorted_ = found.groupBy(*keys, "_pieces").agg(F.sort_array(F.collect_list("_at")).alias("_sample"))
-    n, pieces = F.size("_sample"), F.col("_pieces")
-    points = F.transform(F.sequence(F.lit(1), pieces - 1), lambda i: F.get("_sample", F.floor(i * n / pieces).cast("int")))
-    return sorted_.select(*keys, F.array_distinct(points).alias("_points"))
+def dealt_by_range(df, keys, order, parts):
+    """Rows dealt by ranges of key and order, with the number of their range in ``_slot``: later ranges hold later rows."""
+    return df.repartitionByRange(parts, *keys, *order).withColumn("_slot", F.spark_partition_id())
 
 
 def in_groups(df, keys, order, rows=ROWS, source=None):
-    """Add ``_group``: the key and the number of the piece, null where the key is one piece.
+    """(frame, columns): the rows, and the columns by which windows over them are partitioned.
 
-    ``source``: rows to count keys and find cut points on, where doing it on ``df`` would repeat costly work.
+    Without a hot key these are ``df`` and its keys. Rows of hot keys are dealt by range into pieces of about ``rows`` rows
+    and stored with the number of their piece, so that every later step finds the same pieces; then windows go by
+    ``_group``, the key and the number of the piece, null where the key is one piece. A row's work doesn't depend on the
+    size of its key. ``source``: a cheaper frame of the same rows to count keys on.
     """
-    tagged = mark_hot(df, cut_points(df if source is None else source, keys, order, rows), keys)
-    here = F.struct(*order)
-    piece = F.size(F.filter("_points", lambda p: p <= here))
-    slot = F.when(F.col("_points").isNotNull(), piece)
-    return tagged.withColumn("_group", F.struct(*keys, slot.alias("_slot"))).drop("_points")
+    counts = (df if source is None else source).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot, total = hot_keys(counts, keys, rows)
+    if hot is None:
+        return df, list(keys)
+    held = mark_hot(df, hot.select(*keys), keys, "left_semi")
+    held = materialise(dealt_by_range(held, keys, order, -(-total // rows)), "hot_rows")
+    rest = mark_hot(df, hot.select(*keys), keys, "left_anti").withColumn("_slot", F.lit(None).cast("int"))
+    both = rest.unionByName(held).withColumn("_group", F.struct(*keys, "_slot")).drop("_slot")
+    return both, ["_group"]
 
 
 def along_slots(keys):
@@ -142,16 +148,17 @@ def ordered_columns(
     ``order``: ascending column names that identify a row within its key (nulls come first).
     ``running``/``previous``/``following``/``first``/``last``: ``{new name: column name}``.
     Running sums expect exact types (integer or decimal).
-    ``source``: a cheaper frame of the same rows (before joins or earlier ordinals); cut points and the
-    totals of pieces are then taken from it, and ``df`` itself is read once.
+    ``source``: a cheaper frame of the same rows (before joins or earlier ordinals) on which keys are counted.
+
+    Ordinary keys take one shuffle and one sort. Of a hot key each piece is scanned alone; a piece sends one row with its
+    totals and ends, these are scanned in order, and what a piece carries from those before and after it is added back.
     """
     running, previous, following = running or {}, previous or {}, following or {}
     first, last = first or {}, last or {}
-    tagged = in_groups(df, keys, order, per_piece, source)
-    origin = tagged if source is None else in_groups(source, keys, order, per_piece)
+    tagged, by = in_groups(df, keys, order, per_piece, source)
 
     # Inside one piece (for an ordinary key: the whole key).
-    asc = Window.partitionBy("_group").orderBy(*order)
+    asc = Window.partitionBy(*by).orderBy(*order)
     so_far = asc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = asc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     near = {}
@@ -166,13 +173,26 @@ def ordered_columns(
     near |= {f"_last_{o}": F.last(F.struct(c)).over(whole) for o, c in last.items()}
     local = tagged.withColumns(near)
 
+    if by == list(keys):
+        out = {}
+        if ordinal:
+            out[ordinal] = F.col("_rn").cast("bigint")
+        if reverse_ordinal:
+            out[reverse_ordinal] = (F.col("_n") - F.col("_rn") + 1).cast("bigint")
+        out |= {o: F.col(f"_run_{o}") for o in running}
+        out |= {o: F.col(f"_prev_{o}")[c] for o, c in previous.items()}
+        out |= {o: F.col(f"_next_{o}")[c] for o, c in following.items()}
+        out |= {o: F.col(f"_first_{o}")[c] for o, c in first.items()}
+        out |= {o: F.col(f"_last_{o}")[c] for o, c in last.items()}
+        return local.withColumns(out).select(*df.columns, *out)
+
     # Across the pieces of a hot key: one row per piece.
     rank = F.struct(*order)
     edges = {"_slot_n": F.count(F.lit(1))}
     edges |= {f"_slot_sum_{o}": F.sum(c) for o, c in running.items()}
     edges |= {f"_slot_last_{o}": F.max_by(F.struct(c), rank) for o, c in (previous | last).items()}
     edges |= {f"_slot_first_{o}": F.min_by(F.struct(c), rank) for o, c in (following | first).items()}
-    slots = origin.filter(F.col("_group._slot").isNotNull()).groupBy("_group").agg(
+    slots = tagged.filter(F.col("_group._slot").isNotNull()).groupBy("_group").agg(
         *[e.alias(n) for n, e in edges.items()]
     )
     along = along_slots(keys)

@@ -28,7 +28,8 @@ def state_intervals(versions, keys, order, state, at, ends, last=None, unset=Non
     """
     last = last or {}
     tail = F.struct(ends, *dict.fromkeys(c for c in last.values() if c != ends))
-    asc = Window.partitionBy("_group").orderBy(*order)
+    groups, by = in_groups(versions, keys, order, **hot)
+    asc = Window.partitionBy(*by).orderBy(*order)
     whole = asc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     now, opens = F.struct(state), F.col("_rn") == 1
 
@@ -36,12 +37,21 @@ def state_intervals(versions, keys, order, state, at, ends, last=None, unset=Non
         differs = changed(value, before)
         return differs if unset is None else differs | unset(before[state])
 
-    seen = in_groups(versions, keys, order, **hot).withColumns(
+    seen = groups.withColumns(
         {"_rn": F.row_number().over(asc), "_before": F.lag(now).over(asc), "_tail": F.last(tail).over(whole)}
     )
     # A candidate opens a group or differs from the row before it.
     steps = seen.filter(opens | is_new(now, F.col("_before"))).withColumn("_next", F.lead(at).over(asc))
 
+    if by == list(keys):  # no hot key: a candidate opens its key or differs from the row before
+        return steps.select(
+            *keys,
+            state,
+            F.col(at).alias("valid_from"),
+            F.least(F.coalesce(F.to_date("_next"), F.lit(OPEN_END)), F.coalesce(F.to_date(F.col("_tail")[ends]), F.lit(OPEN_END))).alias("valid_to"),
+            *[F.col("_tail")[c].alias(out) for out, c in last.items()],
+        )
+
     rank = F.struct(*order)
     slots = seen.filter(F.col("_group._slot").isNotNull()).groupBy("_group").agg(
         F.min_by(now, rank).alias("_opening"),

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from rentroll.functions.money import amount, mean, money
-from rentroll.operators import measures, rollup
+from rentroll.operators import distinct_sets, measures, rollup
 from rentroll.plans.base import NET, customer_place, net, order_owner
 from rentroll.plans.registry import query
+from rentroll.sources.tables import materialise
 
 
 @query(
@@ -245,3 +246,51 @@ def table_with_totals(t):
         F.sum("n").alias("n_orders"),
         amount(F.sum("price")).alias("total_price"),
     )
+
+
+@query(
+    "totals_of_states",
+    "X18 A07 A03",
+    """
+    SELECT r_name, c_mktsegment, CAST(GROUPING(r_name) * 2 + GROUPING(c_mktsegment) AS BIGINT) AS level,
+           COUNT(*) AS n_orders, COUNT(DISTINCT o_custkey) AS n_customers,
+           CAST(SUM(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) / COUNT(*) AS mean_price
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, c_mktsegment)
+    """,
+)
+def totals_of_states(t):
+    """Averages and distinct customers in groups, subtotals and the total: measures that don't add up."""
+    place = customer_place(t).select(F.col("c_custkey").alias("o_custkey"), "r_name", "c_mktsegment")
+    orders = t("orders").select("o_custkey", money(F.col("o_totalprice")).alias("price"))
+    told = rollup.totals_of_states(orders.join(place, "o_custkey"), ["r_name", "c_mktsegment"], "o_custkey", "n_customers", price="price")
+    mean_price = F.col("price").cast("double") / F.col("n_rows")
+    return told.select("r_name", "c_mktsegment", "level", F.col("n_rows").alias("n_orders"), "n_customers", mean_price.alias("mean_price"))
+
+
+@query(
+    "distinct_by_period",
+    "A03 W10 U01",
+    """
+    WITH seen AS (SELECT CAST(o_orderdate AS DATE) AS day, o_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT 'day' AS period, day AS start, COUNT(DISTINCT c_name) AS n_customers, COUNT(*) AS n_orders FROM seen GROUP BY day
+    UNION ALL
+    SELECT 'month', CAST(date_trunc('month', day) AS DATE) AS start, COUNT(DISTINCT c_name), COUNT(*) FROM seen GROUP BY start
+    UNION ALL
+    SELECT 'year', CAST(date_trunc('year', day) AS DATE) AS start, COUNT(DISTINCT c_name), COUNT(*) FROM seen GROUP BY start
+    """,
+)
+def distinct_by_period(t):
+    """Customers by day, month and year from one stored set per day; names get dense ids first."""
+    names = t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    ids = distinct_sets.dense_ids(names, "c_name", "member")
+    seen = t("orders").select("o_custkey", F.to_date("o_orderdate").alias("day")).join(names, "o_custkey").join(ids, "c_name")
+    days = materialise(distinct_sets.member_sets(seen, ["day"], "member"), "customers_of_day")
+    out = None
+    for period in ("day", "month", "year"):
+        start = F.col("day") if period == "day" else F.trunc("day", period)
+        sets = distinct_sets.merged(days, [start.alias("start")])
+        told = distinct_sets.counted(sets, ["start"], "n_customers")
+        told = told.select(F.lit(period).alias("period"), "start", "n_customers", F.col("n_rows").alias("n_orders"))
+        out = told if out is None else out.unionByName(told)
+    return out

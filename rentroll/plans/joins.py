@@ -4,6 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from rentroll.functions.dates import OPEN_END
 from rentroll.functions.money import amount
 from rentroll.operators import joins
 from rentroll.operators.calendars import calendar_of, with_parts
@@ -11,6 +12,7 @@ from rentroll.operators.timeline import friday_snapshots
 from rentroll.plans.base import AS_OF, NET, customer_place, net
 from rentroll.plans.registry import query
 
+LAST_DAY = date(2099, 12, 31)  # on or after every day in the tables
 
 @query(
     "inner_join_dims",
@@ -119,6 +121,38 @@ def interval_join_closed(t):
     )
 
 
+@query(
+    "interval_join_decades",
+    "J06 T05",
+    """
+    WITH terms AS (
+        SELECT s_suppkey, CAST(s_suppkey % 3 AS INTEGER) AS term,
+               DATE '1975-01-01' + CAST(s_suppkey * 37 % 9000 AS INTEGER) AS from_day,
+               CASE WHEN s_suppkey % 11 = 0 THEN DATE '9999-12-31'
+                    ELSE DATE '1975-01-01' + CAST(s_suppkey * 37 % 9000 + s_suppkey * 53 % 14000 AS INTEGER) END AS to_day
+        FROM supplier)
+    SELECT s_suppkey, term, from_day, to_day, COUNT(*) AS n_lines, MIN(CAST(l_shipdate AS DATE)) AS first_day
+    FROM lineitem JOIN terms ON l_suppkey = s_suppkey
+        AND CAST(l_shipdate AS DATE) >= from_day AND CAST(l_shipdate AS DATE) < to_day
+    GROUP BY s_suppkey, term, from_day, to_day
+    """,
+)
+def interval_join_decades(t):
+    """Lines shipped inside a supplier's term: terms of days, of decades and without an end."""
+    start, key = F.lit("1975-01-01").cast("date"), F.col("s_suppkey")
+    terms = t("supplier").select(
+        "s_suppkey",
+        (key % 3).cast("int").alias("term"),
+        F.date_add(start, (key * 37 % 9000).cast("int")).alias("from_day"),
+        F.when(key % 11 == 0, F.lit(OPEN_END)).otherwise(F.date_add(start, (key * 37 % 9000 + key * 53 % 14000).cast("int"))).alias("to_day"),
+    )
+    lines = t("lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.to_date("l_shipdate").alias("ship_day"))
+    inside = joins.interval_join(lines, terms, ["s_suppkey"], "ship_day", F.col("from_day"), F.col("to_day"), LAST_DAY)
+    return inside.groupBy("s_suppkey", "term", "from_day", "to_day").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.min("ship_day").alias("first_day")
+    )
+
+
 @query(
     "spine_expansion",
     "J07 T05",

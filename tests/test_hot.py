@@ -29,11 +29,27 @@ def same(a, b):
 
 def test_pieces_are_bounded_whatever_a_key_holds(spark, rows):
     for frame in (rows, rows.withColumn("at", F.lit(0))):  # also when all rows fall on one day
-        sizes = hot.in_groups(frame, ["k"], ["at", "id"], 8).groupBy("_group").count().collect()
-        assert max(r["count"] for r in sizes) <= 10
+        pieces, by = hot.in_groups(frame, ["k"], ["at", "id"], 8)
+        sizes = pieces.groupBy("_group").count().collect()
+        assert by == ["_group"]
+        assert max(r["count"] for r in sizes) <= 12
         assert {r._group.k for r in sizes if r._group._slot is not None} >= {0, 7, None}
-    points = hot.cut_points(rows, ["k"], ["at", "id"], 8).select(F.explode("_points")).count()
-    assert 20 < points <= 600 / 8
+        ends = pieces.filter("_group._slot is not null").groupBy("_group").agg(F.min(F.struct("at", "id")), F.max(F.struct("at", "id")))
+        ordered = sorted(ends.collect(), key=lambda r: (repr(r._group.k), r._group._slot))
+        assert all(a[2] < b[1] for a, b in zip(ordered, ordered[1:]) if a._group.k == b._group.k)
+
+
+def test_hot_keys_cost_no_more_per_row(spark, rows):
+    """No list of cut points reaches the rows: they are dealt by range, and the pieces are stored."""
+    dealt = hot.dealt_by_range(rows, ["k"], ["at", "id"], 7)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(k" in dealt and "Broadcast" not in dealt and "transform" not in dealt
+    small = hot.ordered_columns(rows, ["k"], ["at", "id"], ordinal="n", per_piece=5)
+    large = hot.ordered_columns(rows, ["k"], ["at", "id"], ordinal="n", per_piece=90)
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (small, large)]
+    assert [p.count("Join") for p in plans][0] == [p.count("Join") for p in plans][1]
+    assert all("lambda" not in p and "array" not in p for p in plans)
+    plain = hot.ordered_columns(rows, ["k"], ["at", "id"], ordinal="n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plain and plain.count("Window") == 1
 
 
 def test_equal_rows_get_many_salts(spark):
