@@ -7,7 +7,8 @@ from rentroll.operators import sales
 from rentroll.plans.base import NET, net
 from rentroll.plans.registry import query
 from rentroll.plans.sales import RAW_SQL, raw_sales
-from rentroll.sources.tables import materialise, overwrite, read_csv, scratch_path
+from rentroll.sources import published
+from rentroll.sources.tables import materialise, overwrite, read_csv, read_csv_checked, scratch_path
 
 
 @query("table_scan", "S01 S06", "SELECT * FROM orders")
@@ -79,6 +80,81 @@ def snapshot_of_wide_view(t):
     return wide.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_lines"), amount(F.sum("net")).alias("revenue"))
 
 
+@query(
+    "refreshed_wide_view",
+    "S10 S09 V002",
+    f"""
+    SELECT p_brand, COUNT(*) AS n_lines, CAST(ROUND(SUM({NET}), 2) AS DOUBLE) AS revenue
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand
+    """,
+)
+def refreshed_wide_view(t):
+    """The wide join kept up to date by months: first an older state of the lines, then all; only later months are built."""
+    root = scratch_path(t.spark, "wide_by_month")
+    part = t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    lines = t("lineitem").select("l_partkey", "l_shipdate", net().alias("net"))
+    month = F.date_format("l_shipdate", "yyyy-MM")
+
+    def build(rows):
+        return rows.join(part, "l_partkey")
+
+    published.refresh(lines.filter(F.col("l_shipdate") < F.lit("2001-01-01")), month, build, root, others=[part])
+    published.refresh(lines, month, build, root, others=[part])
+    wide = published.read_refreshed(t.spark, root)
+    return wide.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_lines"), amount(F.sum("net")).alias("revenue"))
+
+
+@query(
+    "published_sink",
+    "S03 N02 N04",
+    f"""
+    SELECT region, CAST(ROUND(SUM(CAST(amount AS DECIMAL(18,4))), 2) AS DOUBLE) AS total_sales,
+           (SELECT COUNT(*) FROM ({RAW_SQL})) AS checked_rows, (SELECT COUNT(*) FROM ({RAW_SQL}) WHERE amount IS NULL) AS null_rows
+    FROM ({RAW_SQL}) GROUP BY region
+    """,
+)
+def published_sink(t):
+    """Raw sales published with numbers observed by the write; a second version, out of bounds, is refused and never read."""
+    root = scratch_path(t.spark, "raw_sales")
+    numbers = {"rows": F.count(F.lit(1)), "nulls": F.count_if(F.col("amount").isNull()), "sold": F.count("amount")}
+    published.publish(raw_sales(t).select("region", "amount"), root, numbers, {"rows": (1, None), "sold": (1, None)})
+    try:
+        emptied = published.read(t.spark, root).withColumn("amount", F.lit(None).cast("double"))
+        published.publish(emptied, root, numbers, {"sold": (1, None)})
+    except published.Rejected:
+        pass  # as it should be
+    numbers = published.log(t.spark, root).select(
+        F.col("metrics")["rows"].cast("bigint").alias("checked_rows"), F.col("metrics")["nulls"].cast("bigint").alias("null_rows")
+    )
+    per_region = published.read(t.spark, root).groupBy("region").agg(amount(F.sum(money(F.col("amount")))).alias("total_sales"))
+    return per_region.withColumns({c: numbers.select(c).scalar() for c in numbers.columns})
+
+
+@query(
+    "csv_rejects",
+    "S02 N01 N04",
+    """
+    SELECT CASE WHEN l_linenumber = 1 THEN 'amount: no double' WHEN l_linenumber = 2 THEN 'number of fields'
+                WHEN l_linenumber = 3 THEN 'sold: no date' ELSE 'good' END AS reason,
+           COUNT(*) AS n_lines, COUNT(DISTINCT l_orderkey) AS n_orders
+    FROM lineitem GROUP BY reason
+    """,
+)
+def csv_rejects(t):
+    """Order lines as text, some of them broken, split into good rows and rejects with their reason."""
+    path = scratch_path(t.spark, "lines_csv")
+    kind = F.col("l_linenumber")
+    amount_ = F.when(kind == 1, F.concat(F.lit("x"), "l_extendedprice")).otherwise(F.col("l_extendedprice").cast("string"))
+    day = F.when(kind == 3, F.lit("yesterday")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    line = F.concat_ws(",", "l_orderkey", amount_, day, F.when(kind == 2, F.lit("one too many")))
+    t("lineitem").select(line.alias("value")).write.text(path)
+    good, rejects = read_csv_checked(t.spark, path, "id bigint, amount double, sold date", header=False)
+    both = good.select(F.lit("good").alias("reason"), "id").unionByName(
+        rejects.select("reason", F.substring_index("line", ",", 1).cast("bigint").alias("id"))
+    )
+    return both.groupBy("reason").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("id").alias("n_orders"))
+
+
 @query(
     "lookup_rows",
     "S04 J02",
