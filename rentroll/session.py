@@ -33,4 +33,7 @@ def shared_folder(spark):
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rentroll-"))
+    app = spark.sparkContext.applicationId
+    if app not in OWN:
+        OWN[app] = tempfile.mkdtemp(prefix="rentroll-")
+    return OWN[app]
