@@ -17,7 +17,9 @@ def folder(spark):
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
-    return LOCAL.setdefault(app, tempfile.mkdtemp(prefix="rentroll-"))
+    if app not in LOCAL:
+        LOCAL[app] = tempfile.mkdtemp(prefix="rentroll-")
+    return LOCAL[app]
 
 
 def place(spark, name):
