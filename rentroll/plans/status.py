@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rentroll.functions.money import amount, gain, loss, money
 from rentroll.operators import reconcile, status
+from rentroll.operators.rules import longest_prefix
 from rentroll.plans.base import AS_OF, DAY, GROSS, NET, net, open_items
 from rentroll.plans.registry import query
 
@@ -176,6 +177,64 @@ def recon_diff(t):
     return both.select("o_orderkey", "missing", "missing_in_ours", "mismatch", amount(F.col("difference")).alias("difference"))
 
 
+@query(
+    "recon_by_ranges",
+    "D12 X08",
+    f"""
+    WITH a AS (SELECT l_orderkey AS k, SUM({NET}) AS ours FROM lineitem GROUP BY l_orderkey),
+    b AS (SELECT k, CASE WHEN k BETWEEN 3000 AND 3050 THEN ours + 1 ELSE ours END AS theirs FROM a WHERE k NOT BETWEEN 1000 AND 1200
+          UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey NOT IN (SELECT k FROM a))
+    SELECT COALESCE(a.k, b.k) AS l_orderkey, CASE WHEN b.k IS NULL THEN 1 ELSE 0 END AS missing, CASE WHEN a.k IS NULL THEN 1 ELSE 0 END AS missing_in_ours,
+           CAST(ROUND(COALESCE(ours, 0) - COALESCE(theirs, 0), 2) AS DOUBLE) AS difference
+    FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR ours <> COALESCE(theirs, 0)
+    """,
+)
+def recon_by_ranges(t):
+    """Order totals against a copy of them that lacks some orders, has others of its own and other amounts: only key ranges
+    whose digests differ are joined."""
+    ours = t("lineitem").select("l_orderkey", net().alias("ours")).groupBy("l_orderkey").agg(F.sum("ours").alias("ours"))
+    key = F.col("l_orderkey")
+    theirs = ours.filter(~key.between(1000, 1200)).select("l_orderkey", F.when(key.between(3000, 3050), F.col("ours") + 1).otherwise(F.col("ours")).alias("theirs"))
+    unknown = t("orders").select(F.col("o_orderkey").alias("l_orderkey")).join(t("lineitem"), "l_orderkey", "left_anti")
+    theirs = theirs.unionByName(unknown.withColumn("theirs", F.lit(None).cast("decimal(28,4)")))
+    found = reconcile.differences(ours, theirs, "l_orderkey", "ours", "theirs", leaf=1000)
+    return found.select("l_orderkey", "missing", "missing_in_ours", amount(F.col("difference")).alias("difference"))
+
+
+@query(
+    "prefix_rules",
+    "D19 C04",
+    """
+    WITH rules AS (
+        SELECT DISTINCT p_name AS prefix, 'name of ' || p_type AS label, 2 AS priority FROM part WHERE p_size < 4
+        UNION ALL SELECT DISTINCT substr(p_name, 1, 3), 'three of ' || p_type, 1 FROM part WHERE p_type IN ('PROMO', 'SMALL')
+        UNION ALL SELECT DISTINCT split_part(p_name, ' ', 1), 'word', 3 FROM part
+        UNION ALL SELECT '', 'any', 9),
+    best AS (SELECT prefix, label FROM rules QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY priority, label) = 1),
+    names AS (SELECT DISTINCT p_name FROM part),
+    told AS (SELECT p_name, label FROM names JOIN best ON starts_with(p_name, prefix)
+             QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY length(prefix) DESC) = 1)
+    SELECT label, COUNT(*) AS n_lines FROM lineitem JOIN part ON l_partkey = p_partkey JOIN told USING (p_name) GROUP BY label
+    """,
+)
+def prefix_rules(t):
+    """Families of part names from a table of nested prefixes."""
+    part = t("part")
+    kind, name = F.col("p_type"), F.col("p_name")
+
+    def rule(rows, prefix, label, priority):
+        return rows.select(prefix.alias("prefix"), label.alias("label"), F.lit(priority).alias("priority")).distinct()
+
+    rules = (
+        rule(part.filter("p_size < 4"), name, F.concat(F.lit("name of "), kind), 2)
+        .unionByName(rule(part.filter(kind.isin("PROMO", "SMALL")), F.substring(name, 1, 3), F.concat(F.lit("three of "), kind), 1))
+        .unionByName(rule(part, F.substring_index(name, " ", 1), F.lit("word"), 3))
+        .unionByName(rule(part, F.lit(""), F.lit("any"), 9))
+    )
+    lines = t("lineitem").select(F.col("l_partkey").alias("p_partkey")).join(part.select("p_partkey", "p_name"), "p_partkey")
+    return longest_prefix(lines, rules, "p_name").groupBy("label").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @query(
     "recon_three_way",
     "X08 C03",

@@ -7,7 +7,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from rentroll.operators import distinct_sets, joins, rollup
+from rentroll.operators import distinct_sets, joins, reconcile, rollup
+from rentroll.operators.rules import longest_prefix
 from rentroll.sources import published
 from rentroll.sources.tables import read_csv_checked
 
@@ -146,3 +147,42 @@ def test_sets_merge_to_any_level(spark):
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
     assert rollup.totals_of_states(frame.limit(0), ["g"], "m", "members").filter("level = 0").count() == 0
+
+
+def test_a_checksum_tree_finds_the_rows_that_differ(spark):
+    rng = random.Random(4)
+    ours = [(rng.randrange(-5000, 200_000), rng.choice([None, rng.randrange(50)])) for _ in range(4000)]
+    ours = list(dict(ours).items())
+    theirs = [(k, 0 if v is None else v) for k, v in ours if not 1000 <= k < 1100] + [(300_000, 5)]
+    theirs = [(k, v + (150_000 <= k < 150_400)) for k, v in theirs]
+    a, b = spark.createDataFrame(ours, "k bigint, ours int"), spark.createDataFrame(theirs, "k bigint, theirs int")
+    for leaf in (1, 50, 10**9):
+        got = reconcile.differences(a, b, "k", "ours", "theirs", fanout=16, leaf=leaf)
+        want = reconcile.compare_feeds(a, b, "k", "ours", "theirs").filter("missing + missing_in_ours + mismatch > 0")
+        assert rows_of(got) == rows_of(want) and want.count() > 3
+    ranges = reconcile.differing_ranges(a, b, "k", "ours", "theirs", fanout=16, leaf=50)
+    joined = sum(reconcile.within(s, "k", ranges).count() for s in (a, b))
+    assert joined < 300  # of 8,000 rows
+    assert reconcile.differences(a, a.withColumnRenamed("ours", "theirs"), "k", "ours", "theirs").count() == 0
+    assert reconcile.differences(a.limit(0), b, "k", "ours", "theirs").count() == b.count()
+    assert reconcile.differing_ranges(a.limit(0), b.limit(0), "k", "ours", "theirs") == []
+
+
+def test_ten_thousand_nested_rules_in_one_plan(spark):
+    rng = random.Random(6)
+    pool = [("".join(rng.choices("abc", k=rng.randint(0, 9))), rng.randrange(3), f"r{i}") for i in range(10_000)]
+    texts = ["".join(rng.choices("abcd", k=rng.randint(0, 12))) for _ in range(400)] + [None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+
+    def plain(text, rules):
+        fits = [(len(p), -q, l) for p, q, l in rules if text is not None and text.startswith(p)]
+        longest = max((n for n, _, _ in fits), default=None)
+        return min(((-q, l) for n, q, l in fits if n == longest), default=(0, None))[1]
+
+    sizes = []
+    for rules in (pool, [r for r in pool if r[0]][:20]):
+        got = longest_prefix(rows, spark.createDataFrame(rules, "prefix string, priority int, label string"), "t")
+        assert sorted(map(tuple, got.select("i", "label").collect())) == [(i, plain(t, rules)) for i, t in enumerate(texts)]
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append((plan.count("Join"), plan.count("Aggregate")))
+    assert sizes[0] == sizes[1]
