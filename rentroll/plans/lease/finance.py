@@ -73,7 +73,7 @@ lease_query("regulatory_report", "V066 D16 D17 T06 M03 J13 K03", finance.regulat
 lease_query("loan_agreements", "V067 S09 F01", finance.loan_agreements, f"""
     SELECT party_number, asset_id, 'LES-' || sequence_number AS account_id, company_name, product_name, yield, customer_term_in_months, {dbl("charge_to_customer")}, payment_frequency, {dbl("bills_due")}, next_due AS next_due_date,
         CAST(nbv_amount AS DOUBLE) AS equipment_nbv FROM v_loans""")
-# Written out here: the check must not share the list it checks.
+# Charges by report column. Written out here: the check must not share the list it checks.
 PIVOTED = {
     "charge_maintenance_cost_budget_collection_delivery": "Maintenance Cost Budget - Collection & Delivery",
     "charge_third_party_fridge_charges": "Third Party Fridge Charges",

@@ -6,6 +6,36 @@ from rentroll.plans.lease.finance import dbl
 from rentroll.plans.lease.fixture import VIEWS, lease_query
 from rentroll.plans.lease.pipeline import MATRIX  # noqa: F401  (its base views come first)
 
+# Fees that are no spend, and fees that maintenance provisions leave out. Written out here: the check must not
+# share the lists it checks.
+NO_SPEND = [
+    'Arrears Letter', 'Asset Sales Cost Charge', 'Asset Sales Cost Recharge', 'Backed off Other Charge', 'Balloon Payment (FL)',
+    'Balloon Payment (HP)', 'Billing Expense (FL)', 'Billing Expense (HP)', 'Brokerage Income', 'Brokerage Income - Credit',
+    'Brokerage Income - Credit NO VAT', 'Brokerage Income NO VAT', 'Collection and Delivery Rental Charge',
+    'Collection and Delivery Rental Recharge', 'Contract Hire Income - Credit V2', 'Contract Hire Income - V2', 'Deposit - HP', 'Document Fee',
+    'Document Fee (No VAT)', 'Documentation Fee', 'Documentation Fee (Expense)', 'Funder Deposit (FL)', 'Funder Deposit (HP)',
+    'Insufficient Funds to meet a Direct Debit', 'Hire Purchase Income - Credit', 'Late Payment Interest', 'Operating Lease  Income - Credit',
+    'Option to Purchase', 'Overdue Payment', 'Refurb Cost Charge', 'Refurb Cost Recharge', 'Rent Receivable', 'Rent Receivable - Credit',
+    'Rental Income', 'Rental Income - Credit', 'Rental_Lease_Mid-Period_Payoff', 'Repossession Charges', 'Utilities', 'Waiver',
+]
+NO_PROVISION = [
+    'Arrears Letter', 'Asset Sales Cost Charge', 'Asset Sales Cost Recharge', 'Backed off Other Charge', 'Balloon Payment (FL)',
+    'Balloon Payment (HP)', 'Billing Expense (FL)', 'Billing Expense (HP)', 'Brokerage Income', 'Brokerage Income - Credit NO VAT',
+    'Brokerage Income NO VAT', 'Collection & Delivery (Not Budgeted) Charge', 'Collection & Delivery (Not Budgeted) Recharge',
+    'Collection and Delivery Rental Charge', 'Collection and Delivery Rental Recharge', 'Contract Hire Income - Credit V2',
+    'Contract Hire Income - V2', 'Deposit - HP', 'Document Fee', 'Document Fee (No VAT)', 'Documentation Fee', 'Documentation Fee (Expense)',
+    'End of Life Charge', 'End of life Recharge', 'Excess Mileage Cost Charge', 'Excess Mileage Cost Recharge', 'Funder Deposit (FL)',
+    'Funder Deposit (HP)', 'Insufficient Funds to meet a Direct Debit', 'Late Payment Interest', 'Maintenance Cost Budget - Overhead',
+    'Option to Purchase', 'Overdue Payment', 'Penalty Charge Admin Fee Charge', 'Penalty Charge Admin Fee Recharge',
+    'Penalty Charge Notice Cost Charge', 'Penalty Charge Notice Cost Recharge', 'Refurb Cost Charge', 'Refurb Cost Recharge', 'Rent Receivable',
+    'Rent Receivable - Credit', 'Rental Income', 'Rental Income - Credit', 'Rental_Lease_Mid-Period_Payoff', 'Repossession Charges', 'Utilities',
+    'VOR Recharge', 'Waiver',
+]
+
+
+def listed(names):
+    return ", ".join(f"'{n}'" for n in names)
+
 
 def kind(allocated, available, day):
     return f"""CASE WHEN COALESCE({allocated}, '') NOT IN ('VOF Signed', 'Yes', 'TTS Allocation') AND {available} <= {day} THEN 'Physical Assets'
@@ -42,30 +72,11 @@ VIEWS |= {
 }
 lease_query("spend_with_history", "V097 U02 P04 J02", history.spend_with_history, f"""
     SELECT h.id, h.asset_id, {dbl("amount", source="h.")}, h.invoice_date, h.fee_name, h.account_name, h.type, h.source_system, a.registration_number, a.vehicle_category
-    FROM v_history h LEFT JOIN flat_assets a ON a.id = h.asset_id WHERE h.fee_name NOT IN (
-        'Arrears Letter', 'Asset Sales Cost Charge', 'Asset Sales Cost Recharge', 'Backed off Other Charge', 'Balloon Payment (FL)',
-        'Balloon Payment (HP)', 'Billing Expense (FL)', 'Billing Expense (HP)', 'Brokerage Income', 'Brokerage Income - Credit',
-        'Brokerage Income - Credit NO VAT', 'Brokerage Income NO VAT', 'Collection and Delivery Rental Charge',
-        'Collection and Delivery Rental Recharge', 'Contract Hire Income - Credit V2', 'Contract Hire Income - V2', 'Deposit - HP', 'Document Fee',
-        'Document Fee (No VAT)', 'Documentation Fee', 'Documentation Fee (Expense)', 'Funder Deposit (FL)', 'Funder Deposit (HP)',
-        'Insufficient Funds to meet a Direct Debit', 'Hire Purchase Income - Credit', 'Late Payment Interest', 'Operating Lease  Income - Credit',
-        'Option to Purchase', 'Overdue Payment', 'Refurb Cost Charge', 'Refurb Cost Recharge', 'Rent Receivable', 'Rent Receivable - Credit',
-        'Rental Income', 'Rental Income - Credit', 'Rental_Lease_Mid-Period_Payoff', 'Repossession Charges', 'Utilities', 'Waiver')""")
+    FROM v_history h LEFT JOIN flat_assets a ON a.id = h.asset_id WHERE h.fee_name NOT IN ({listed(NO_SPEND)})""")
 lease_query("maintenance_provision", "V104 U02 P04 F06 J09 T04", history.maintenance_provision, f"""
     SELECT h.id, h.asset_id, {dbl("amount", source="h.")}, h.invoice_date, h.fee_name, h.type, h.category, s.created_time, CASE WHEN h.category = 'Sundry' THEN s.created_time ELSE h.invoice_date END AS report_date
     FROM v_history h LEFT JOIN dim_sundry s ON CAST(s.bk_sundry_id AS VARCHAR) = h.id AND s.is_active = 1
-    WHERE (h.fee_name IS NULL OR trim(h.fee_name) NOT IN (
-        'Arrears Letter', 'Asset Sales Cost Charge', 'Asset Sales Cost Recharge', 'Backed off Other Charge', 'Balloon Payment (FL)',
-        'Balloon Payment (HP)', 'Billing Expense (FL)', 'Billing Expense (HP)', 'Brokerage Income', 'Brokerage Income - Credit NO VAT',
-        'Brokerage Income NO VAT', 'Collection & Delivery (Not Budgeted) Charge', 'Collection & Delivery (Not Budgeted) Recharge',
-        'Collection and Delivery Rental Charge', 'Collection and Delivery Rental Recharge', 'Contract Hire Income - Credit V2',
-        'Contract Hire Income - V2', 'Deposit - HP', 'Document Fee', 'Document Fee (No VAT)', 'Documentation Fee', 'Documentation Fee (Expense)',
-        'End of Life Charge', 'End of life Recharge', 'Excess Mileage Cost Charge', 'Excess Mileage Cost Recharge', 'Funder Deposit (FL)',
-        'Funder Deposit (HP)', 'Insufficient Funds to meet a Direct Debit', 'Late Payment Interest', 'Maintenance Cost Budget - Overhead',
-        'Option to Purchase', 'Overdue Payment', 'Penalty Charge Admin Fee Charge', 'Penalty Charge Admin Fee Recharge',
-        'Penalty Charge Notice Cost Charge', 'Penalty Charge Notice Cost Recharge', 'Refurb Cost Charge', 'Refurb Cost Recharge', 'Rent Receivable',
-        'Rent Receivable - Credit', 'Rental Income', 'Rental Income - Credit', 'Rental_Lease_Mid-Period_Payoff', 'Repossession Charges', 'Utilities',
-        'VOR Recharge', 'Waiver')) AND (h.description IS NULL OR lower(h.description) NOT LIKE '%eol%') AND h.asset_id IS NOT NULL""")
+    WHERE (h.fee_name IS NULL OR trim(h.fee_name) NOT IN ({listed(NO_PROVISION)})) AND (h.description IS NULL OR lower(h.description) NOT LIKE '%eol%') AND h.asset_id IS NOT NULL""")
 lease_query("tyre_spend", "V119 U02 F04 F03 J02", history.tyre_spend, f"""
     SELECT h.id, h.asset_id, {dbl("amount", source="h.")}, h.invoice_date, h.fee_name, h.type, a.registration_number, a.equipment_id, a.parent_asset_id, c.sequence_number, c.commencement_date, c.status AS contract_status
     FROM v_history h LEFT JOIN flat_assets a ON a.id = h.asset_id LEFT JOIN flat_contracts c ON c.id = h.contract_id WHERE lower(h.fee_name) LIKE '%tyre%'""")
