@@ -5,7 +5,6 @@ from rentroll.plans.lease.base import DAY
 from rentroll.plans.lease.finance import dbl
 from rentroll.plans.lease.fixture import VIEWS, lease_query
 
-# Written out here: the check must not share the matrix it checks.
 # Report products by cost center and deal product. Written out here: the check must not share the list it checks.
 MATRIX = """
     WHEN n.description = 'Lease Sales' AND p.transaction_type = 'Contract Hire' THEN 'Contract Hire Origination'
