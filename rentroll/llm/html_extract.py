@@ -1,20 +1,28 @@
 """Main text of web pages.
 
-A page's own marks come first: elements and class, id and role words that name menus, headers, footers, sidebars, notices,
-adverts, forms or comments make their text a frame; article and main elements make it the article. What a page leaves
-unmarked is decided by its host: the token streams of all frames and unmarked blocks of a host are taken together, and
-its suffixes, cut at ``run`` tokens, are sorted into groups of equal beginnings - the intervals of the host's suffix
-array whose common prefix is at least that long. A group that occurs on ``pages`` pages or more that aren't all the same
-is a repeated run. Unmarked text that lies in such runs is boilerplate and goes; the rest stays. A page that has an
-article needs no such decision, so only pages without one read the groups; a page whose unmarked text is repeated whole
-is a copy of other pages, not their frame, and keeps it.
+A page's own marks are a prior: elements and class, id and role words that name menus, headers, footers, sidebars, notices,
+adverts, forms or comments make their text a frame; article and main elements make it the article; names that say it only
+in part (``related-work``, ``notice-period``) make it doubtful inside an article. What the host repeats is the evidence:
+the token streams of all text outside the articles of a host are taken together, and its suffixes, cut at ``run`` tokens,
+are sorted into groups of equal beginnings - the intervals of the host's suffix array whose common prefix is at least that
+long. A group that occurs on ``least`` pages or more that aren't all the same is a repeated run. Every page is decided by both:
+
+* article blocks stay, unless every suffix of ``run`` tokens in them is a repeated run: the host has them as a frame;
+* doubtful blocks stay, unless a token of theirs lies in a repeated run;
+* unmarked blocks beside an article or doubtful block that stays are kept if they hold ``run`` tokens or more, none of them
+  in a repeated run, and the page's frame is known (some repeated run lies on it);
+* unmarked blocks of other pages lose the tokens in repeated runs; a page whose unmarked text is repeated whole is a copy
+  of other pages, not their frame, and keeps it;
+* frame blocks go. Where a page would be left empty and its frame is known, frame blocks that only have the name of a form
+  or layout (not firm ones: menus, footers, comments, adverts, hidden text) stay under the rule of unmarked ones.
 
 The array of a host is never in one place: a suffix is a hash of host and tokens, a group is a sum that is made partly
-before the shuffle, and the text of pages that have an article is never shuffled.
+before the shuffle. An article block sends its first suffix only; all of them are looked up where that one is repeated.
 """
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -44,23 +52,52 @@ FIRM_WORDS = """ad ads advert adverts advertisement advertising sponsor sponsore
 respond related recommended""".split()
 ARTICLE_WORDS = ["articlebody"]
 
+# Words beside a frame word that say how a page is set up, words for a place or kind of box, and words that
+# make a header the title of an article.
+STATE_WORDS = "has with without no not is open closed enabled disabled".split()
+PART_WORDS = """list area box wrapper wrap container section block slot unit zone item items body text inner outer thread author
+user reader content post posts article articles story stories news link links reading topics products top bottom left right inline
+site page main global primary secondary mobile desktop small large row col column group count meta title icon button layout bar
+holder panel message policy info by google""".split()
+TITLE_WORDS = "entry post article story content".split()
+
 _ENDLESS = {"li", "dt", "dd", "td", "th", "tr", "option"}
 _FRAMES, _FIRM_FRAMES, _BLOCKS, _VOIDS = set(FRAME), set(FIRM_FRAME), set(BLOCK), set(VOID)
 _FRAME_WORDS, _FIRM_WORDS, _ARTICLE_WORDS = set(FRAME_WORDS), set(FIRM_WORDS), set(ARTICLE_WORDS)
+_STATES, _PARTS, _TITLES = set(STATE_WORDS), set(PART_WORDS), set(TITLE_WORDS)
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|</?[a-zA-Z][^<>]*\Z",
+    r"|</?[a-zA-Z][^<>]*+(?:>|(?=<)|\Z)",  # a tag that breaks off
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-OPEN, FRAMED, MAIN, FIRM = 0, 1, 2, 3
-PARSED = "page_id bigint, url string, text string, blocks array<struct<open:boolean,text:string>>, host bigint, runs array<bigint>, stream bigint"
+OPEN, FRAMED, MAIN, FIRM, DOUBT = range(5)
+PARSED = """page_id bigint, url string, blocks array<struct<mark:int,text:string>>, host string, runs array<bigint>,
+firsts array<struct<block:int,run:bigint>>, stream bigint"""
+
+
+def named(name):
+    """What one class, id or role says: None, FRAMED, FIRM or DOUBT."""
+    whole = name.lower()
+    if whole in _FIRM_WORDS:
+        return FIRM
+    if whole in _FRAME_WORDS:
+        return FRAMED
+    words = {w.lower() for w in NAME_WORD.findall(name)}
+    found = words & _FRAME_WORDS
+    if not found or words & _STATES:  # "has-ad-banner" is said of all the page
+        return None
+    if "header" in words and words & _TITLES:
+        return None
+    if words - found - _PARTS:
+        return DOUBT
+    return FIRM if found & _FIRM_WORDS else FRAMED
 
 
 def marked(name, rest):
@@ -82,14 +119,18 @@ def marked(name, rest):
                 if attribute == "hidden" or value.lower() == "true":
                     return FIRM
             elif name not in ("html", "body"):
-                parts = {w.lower() for w in NAME_WORD.findall(value)}
                 whole = {w.lower() for w in value.split()}
-                found = whole if name in ARTICLE else parts | whole  # an article may be named "with-comments"
-                if found & _FIRM_WORDS:
+                if name in ARTICLE:  # an article may be named "with-comments"
+                    found = {FIRM if whole & _FIRM_WORDS else FRAMED if whole & _FRAME_WORDS else None}
+                else:
+                    found = {named(w) for w in value.split()}
+                if FIRM in found:
                     return FIRM
-                if found & _FRAME_WORDS:
+                if FRAMED in found:
                     said = FRAMED
-                elif found & _ARTICLE_WORDS or attribute == "role" and value.lower() == "main":
+                elif DOUBT in found and said is None:
+                    said = DOUBT
+                elif whole & _ARTICLE_WORDS or attribute == "role" and value.lower() == "main":
                     said = MAIN
     return said
 
@@ -100,13 +141,16 @@ def inside_of(mark, said, name):
         return FIRM
     if said == MAIN or mark == MAIN and (said is None or name == "header"):  # the header of an article holds its title
         return MAIN
-    return FRAMED if FRAMED in (mark, said) else OPEN
+    if mark in (MAIN, DOUBT) and said in (None, DOUBT):
+        return DOUBT
+    return FRAMED if {FRAMED, DOUBT} & {mark, said} else OPEN
 
 
 def blocks_of(page):
     """(mark, text) of every block with text, in page order."""
     out, piece = [], []
     stack = []  # (element, mark of the text inside)
+    inner = Counter()  # elements of the stack by name
     mark, at = OPEN, 0
 
     def close():
@@ -133,19 +177,24 @@ def blocks_of(page):
         elif name == "br":
             piece.append(" ")
         if found["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if quiet is not None and i < quiet and name in _BLOCKS:
-                        close()
-                    del stack[i:]
-                    mark = stack[-1][1] if stack else OPEN
-                    quiet = quiet if quiet is not None and len(stack) > quiet else None
-                    break
+            if not inner[name]:
+                continue
+            i = len(stack) - 1
+            while stack[i][0] != name:
+                i -= 1
+            if quiet is not None and i < quiet and name in _BLOCKS:
+                close()
+            inner.subtract(n for n, _ in stack[i:])
+            del stack[i:]
+            mark = stack[-1][1] if stack else OPEN
+            quiet = quiet if quiet is not None and len(stack) > quiet else None
         elif name not in _VOIDS and not found["rest"].endswith("/"):
             if stack and (stack[-1][0] == "p" and name in _BLOCKS or stack[-1][0] == name and name in _ENDLESS):
-                stack.pop()  # ends where the next one begins
+                inner[stack.pop()[0]] -= 1  # ends where the next one begins
                 mark = stack[-1][1] if stack else OPEN
             said = marked(name, found["rest"])
+            if said == DOUBT and name not in _BLOCKS:
+                said = None
             if said is not None or name in _BLOCKS:
                 inside = inside_of(mark, said, name)
                 if inside != mark and name not in _BLOCKS and quiet is None:
@@ -154,6 +203,7 @@ def blocks_of(page):
                     else:
                         close()
                 stack.append((name, inside))
+                inner[name] += 1
                 mark = inside if quiet is None else mark
     if quiet is None:
         piece.append(page[at:])
@@ -165,25 +215,32 @@ def host_of(url):
     return (url or "").partition("://")[2].lower().replace("?", "/").replace("#", "/").partition("/")[0]
 
 
+def suffixes(host, tokens, run):
+    """Hashes of the suffixes of a token stream, cut at ``run`` tokens."""
+    return [signed(f"{host}\0{' '.join(tokens[i : i + run])}") for i in range(len(tokens) - run + 1)]
+
+
 def parse(pages, run=RUN):
-    """One row per page: its article, or else the frames and unmarked blocks; suffixes of these cut at ``run`` tokens."""
+    """One row per page: its blocks; suffixes of the text outside its article; first suffix of each article block."""
 
     def one(page_id, url, page):
-        found = blocks_of(page or "")
-        article = [t for m, t in found if m == MAIN]
-        rest = [{"open": m == OPEN, "text": t} for m, t in found if m != MAIN]
+        blocks = [{"mark": m, "text": t} for m, t in blocks_of(page or "")]
         host = host_of(url)
-        tokens = [t for b in rest for t in b["text"].split()]
-        runs = [signed(f"{host}\0{' '.join(tokens[i : i + run])}") for i in range(len(tokens) - run + 1)]
-        stream = signed(" ".join(tokens))
-        if article or not any(b["open"] for b in rest):
-            return page_id, url, "\n\n".join(article), None, None, runs, stream
-        return page_id, url, None, rest, signed(host), runs, stream
+        around, everything, firsts = [], xxhash.xxh3_64(), []
+        for i, b in enumerate(blocks):
+            everything.update(b["text"] + " ")
+            tokens = b["text"].split()
+            if b["mark"] != MAIN:
+                around += tokens
+            elif len(tokens) >= run:
+                firsts.append({"block": i, "run": suffixes(host, tokens[:run], run)[0]})
+        return page_id, url, blocks, host, suffixes(host, around, run), firsts, signed_of(everything.intdigest())
 
     def work(batches):
-        block = pa.list_(pa.struct([("open", pa.bool_()), ("text", pa.string())]))
-        kinds = [pa.int64(), pa.string(), pa.string(), block, pa.int64(), pa.list_(pa.int64()), pa.int64()]
-        names = ["page_id", "url", "text", "blocks", "host", "runs", "stream"]
+        block = pa.list_(pa.struct([("mark", pa.int32()), ("text", pa.string())]))
+        first = pa.list_(pa.struct([("block", pa.int32()), ("run", pa.int64())]))
+        kinds = [pa.int64(), pa.string(), block, pa.string(), pa.list_(pa.int64()), first, pa.int64()]
+        names = ["page_id", "url", "blocks", "host", "runs", "firsts", "stream"]
         for batch in batches:
             for row in range(0, batch.num_rows, 500):
                 some = batch.slice(row, 500)
@@ -194,11 +251,14 @@ def parse(pages, run=RUN):
     return plain.mapInArrow(work, PARSED)
 
 
-def signed(text):
-    value = xxhash.xxh3_64_intdigest(text)
+def signed_of(value):
     return value - (1 << 64) if value >> 63 else value
 
 
+def signed(text):
+    return signed_of(xxhash.xxh3_64_intdigest(text))
+
+
 def repeated(parsed, pages=PAGES):
     """Hashes of the runs that occur on enough pages of one host, not all of them the same."""
     each = parsed.select("stream", F.explode(F.array_distinct("runs")).alias("run"))
@@ -206,30 +266,87 @@ def repeated(parsed, pages=PAGES):
     return seen.filter((F.col("n") >= pages) & (F.col("a") != F.col("b"))).select("run")
 
 
-def unique_runs(rows, run=RUN):
-    """Text of pages without an article: unmarked blocks less the tokens in repeated runs (``at``: their places)."""
+def decide(marks, tokens, at, gone, run=RUN):
+    """The text of each block that stays, in page order; None for one that goes.
+
+    ``at``: places of the repeated runs in the text outside the article; ``gone``: article blocks that are a frame.
+    """
+    covered, ends, place = [], 0, 0
+    known = bool(at)
+    starts = set(at)
+    out = [None] * len(marks)
+
+    def unmarked(kind):
+        rows = [(i, [t for t, c in zip(tokens[i], covered[i]) if not c]) for i, m in enumerate(marks) if m == kind]
+        if main:
+            for i, left in rows:
+                if known and len(left) == len(tokens[i]) >= run:
+                    out[i] = " ".join(left)
+        elif any(left for _, left in rows):
+            for i, left in rows:
+                out[i] = " ".join(left) or None
+        else:
+            for i, _ in rows:
+                out[i] = " ".join(tokens[i])
+
+    for m, words in zip(marks, tokens):
+        inside = []
+        if m != MAIN:
+            for j in range(place, place + len(words)):
+                ends = j + run if j in starts else ends
+                inside.append(j < ends)
+            place += len(words)
+        covered.append(inside)
+    for i, m in enumerate(marks):
+        if m == MAIN and i not in gone or m == DOUBT and not any(covered[i]):
+            out[i] = " ".join(tokens[i])
+    main = any(out)
+    unmarked(OPEN)
+    if known and not any(out):
+        main = True  # a frame word alone: whole blocks only
+        unmarked(FRAMED)
+    return out
 
-    def one(blocks, at):
-        covered, place, kept, everything = set(), 0, [], []
-        for i in at or []:
-            covered.update(range(i, i + run))
-        for b in blocks:
-            tokens = b["text"].split()
-            if b["open"]:
-                everything.append(b["text"])
-                left = [t for j, t in enumerate(tokens, place) if j not in covered]
-                if left:
-                    kept.append(" ".join(left))
-            place += len(tokens)
-        return "\n\n".join(kept or everything)
+
+def main_text(rows, run=RUN):
+    """Text of every page by its marks and the repeated runs on it."""
+
+    def one(blocks, at, gone):
+        blocks = blocks or []
+        kept = decide([b["mark"] for b in blocks], [b["text"].split() for b in blocks], at or [], set(gone or []), run)
+        return "\n\n".join(t for t in kept if t)
 
     def work(batches):
         for batch in batches:
-            texts = [one(b, a) for b, a in zip(batch.column("blocks").to_pylist(), batch.column("at").to_pylist())]
-            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])
+            for row in range(0, batch.num_rows, 500):
+                some = batch.slice(row, 500)
+                texts = [one(*x) for x in zip(*(some.column(c).to_pylist() for c in ("blocks", "at", "gone")))]
+                columns = [some.column("page_id"), some.column("url"), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])
+
+    return rows.select("page_id", "url", "blocks", "at", "gone").mapInArrow(work, "page_id bigint, url string, text string")
+
 
-    return rows.select("page_id", "url", "blocks", "at").mapInArrow(work, "page_id bigint, url string, text string")
+def framed_blocks(parsed, runs, run=RUN):
+    """Article blocks (row, block) of which every suffix is a repeated run of the host."""
+
+    def work(batches):
+        for batch in batches:
+            rows, blocks, each = [], [], []
+            for row, block, host, text in zip(*(batch.column(c).to_pylist() for c in ("row", "block", "host", "text"))):
+                found = suffixes(host, text.split(), run)
+                rows += [row] * len(found)
+                blocks += [block] * len(found)
+                each += found
+            columns = [pa.array(c, k) for c, k in ((rows, pa.int64()), (blocks, pa.int32()), (each, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "block", "run"])
+
+    first = parsed.select("row", F.explode("firsts").alias("first")).select("row", "first.block", "first.run")
+    asked = first.join(runs, "run", "left_semi").select("row", "block")
+    texts = parsed.join(asked, "row").select("row", "block", "host", F.expr("blocks[block].text").alias("text"))
+    every = texts.mapInArrow(work, "row bigint, block int, run bigint")
+    known = every.join(runs.withColumn("known", F.lit(1)), "run", "left")
+    return known.groupBy("row", "block").agg(F.count("*").alias("n"), F.count("known").alias("found")).filter("n = found")
 
 
 def extract(pages, run=RUN, least=PAGES):
@@ -240,13 +357,13 @@ def extract(pages, run=RUN, least=PAGES):
     the empty host. Repeated rows are pages of their own; an empty table gives an empty result; further columns are ignored.
     """
     parsed = save(parse(pages, run).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    settled = parsed.filter("text is not null").select("page_id", "url", "text")
-    asking = parsed.filter("text is null").select("row", "page_id", "url", "blocks", "runs")
+    runs = save(repeated(parsed, least), "repeated")
     places = (
-        asking.select("row", F.posexplode("runs").alias("place", "run"))
-        .join(repeated(parsed, least), "run")
+        parsed.select("row", F.posexplode("runs").alias("place", "run"))
+        .join(runs, "run")
         .groupBy("row")
         .agg(F.collect_list("place").alias("at"))
     )
-    decided = unique_runs(asking.drop("runs").join(places, "row", "left"), run)
-    return settled.unionByName(decided).withColumn("n_chars", F.length("text").cast("bigint"))
+    gone = framed_blocks(parsed, runs, run).groupBy("row").agg(F.collect_list("block").alias("gone"))
+    rows = parsed.select("row", "page_id", "url", "blocks").join(places, "row", "left").join(gone, "row", "left")
+    return main_text(rows, run).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -1,6 +1,8 @@
 """Pages, token files, surrogates, weights, toxicity and the pipeline, with edge rows."""
 
+import itertools
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -61,6 +63,93 @@ def test_unmarked_pages_lose_what_their_host_repeats(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    '<div class="has-ad-banner"><article><p>real text</article></div>',
+    '<div class="comments-open single-post"><main><p>real text</main></div>',
+    '<article><div class="entry-header"><h1>real text</h1></div></article>',
+    '<article><section class="related-work">real text</section></article>',
+    '<article><div class="notice-period">real text</div><div class="comment-list">no</div><div class="cookie-notice">no</div></article>',
+])
+def test_words_that_name_a_frame_in_part(spark, page):
+    pages = spark.createDataFrame([(1, "http://h.com/1", page)], "page_id bigint, url string, html string")
+    assert [r.text for r in html_extract.extract(pages).collect()] == ["real text"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "</span>" * 100_000, '<a "' * 250_000, "<b '<a \"" * 100_000 + ">", "<p x=" * 200_000])
+def test_malformed_pages_take_linear_time(page):
+    start = time.process_time()
+    html_extract.blocks_of(page)
+    assert time.process_time() - start < 2
+
+
+def test_broken_tags_are_no_text():
+    assert html_extract.blocks_of("<p>a <i title=don't>b</i> it's <a href=x <b>c</b> 1 < 2") == [(html_extract.OPEN, "a b it's c 1 < 2")]
+
+
+def plain_main_texts(rows, run, least):
+    """Sorts every suffix of each host and reads neighbours; decides blocks by the rules of the module's text."""
+    hosts, out = {}, {}
+    for page_id, url, page in rows:
+        blocks = [(m, t.split()) for m, t in html_extract.blocks_of(page)]
+        hosts.setdefault(html_extract.host_of(url), {})[page_id] = blocks
+    for pages in hosts.values():
+        streams = {i: [w for m, t in blocks if m != html_extract.MAIN for w in t] for i, blocks in pages.items()}
+        array = sorted((s[at : at + run], i, at) for i, s in streams.items() for at in range(len(s) - run + 1))
+        places, known = {i: set() for i in pages}, set()
+        for head, group in itertools.groupby(array, key=lambda x: x[0]):
+            group = list(group)
+            on = {i for _, i, _ in group}
+            if len(on) >= least and len({str([t for _, t in pages[i]]) for i in on}) > 1:
+                known.add(tuple(head))
+                for _, i, at in group:
+                    places[i].update(range(at, at + run))
+        for i, blocks in pages.items():
+            at, seen = 0, []
+            for m, words in blocks:
+                if m == html_extract.MAIN:
+                    heads = [tuple(words[j : j + run]) for j in range(len(words) - run + 1)]
+                    seen.append("frame" if heads and all(h in known for h in heads) else "article")
+                else:
+                    seen.append([at + j in places[i] for j in range(len(words))])
+                    at += len(words)
+            article = any(s == "article" or m == html_extract.DOUBT and not any(s) for (m, _), s in zip(blocks, seen))
+            kept = []
+            for (m, words), s in zip(blocks, seen):
+                if s == "article" or m == html_extract.DOUBT and not any(s):
+                    kept.append(words)
+                elif m == html_extract.OPEN and article:
+                    kept.append(words if places[i] and not any(s) and len(words) >= run else [])
+                elif m == html_extract.OPEN:
+                    kept.append([w for w, c in zip(words, s) if not c])
+            if not article and not any(kept):
+                kept = [w for m, w in blocks if m == html_extract.OPEN]
+            if places[i] and not any(kept):
+                kept = [w for (m, w), s in zip(blocks, seen) if m == html_extract.FRAMED and len(w) >= run and not any(s)]
+            out[i] = "\n\n".join(" ".join(w) for w in kept if w)
+    return out
+
+
+@pytest.mark.parametrize("run,least", [(4, 2), (5, 3)])
+def test_marked_and_unmarked_pages_like_a_suffix_sort(spark, run, least):
+    rng = random.Random(run)
+    fixed = [" ".join(rng.choices("abcdefgh", k=rng.randint(2, 14))) for _ in range(6)]
+    kinds = ["<div>{}</div>", "<p>{}</p>", "<nav>{}</nav>", '<div class="header">{}</div>', "<article><p>{}</p></article>",
+             '<main><div class="related-work">{}</div></main>', '<article>{}<div class="ad">x</div></article>']
+    rows = []
+    for i in range(300):
+        page = ""
+        for _ in range(rng.randint(0, 5)):
+            text = rng.choice(fixed) if rng.random() < 0.6 else " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randint(1, 9)))
+            page += rng.choice(kinds if i % 3 else kinds[:4]).format(text)
+        rows.append((i, f"http://h{rng.choice([0, 0, 0, 1, 2, i])}.com/{i}", page))
+    rows += [(300 + i, "http://h0.com/copy", rows[7][2]) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages, run, least).collect()}
+    want = plain_main_texts(rows, run, least)
+    assert got == want
+    assert len(got) == len(rows) and len(set(want.values())) > 100
+
+
 # Token files
 
 
