@@ -7,7 +7,7 @@ the token streams of all text outside the articles of a host are taken together,
 are sorted into groups of equal beginnings - the intervals of the host's suffix array whose common prefix is at least that
 long. A group that occurs on ``least`` pages or more that aren't all the same is a repeated run. Every page is decided by both:
 
-* article blocks stay, unless every suffix of ``run`` tokens in them is a repeated run: the host has them as a frame;
+* article blocks stay, also where a frame of the host says the same: an advert may quote a line of the articles;
 * doubtful blocks stay, unless a token of theirs lies in a repeated run;
 * unmarked blocks beside an article or doubtful block that stays are kept if they hold ``run`` tokens or more, none of them
   in a repeated run, and the page's frame is known (some repeated run lies on it);
@@ -17,7 +17,7 @@ long. A group that occurs on ``least`` pages or more that aren't all the same is
   or layout (not firm ones: menus, footers, comments, adverts, hidden text) stay under the rule of unmarked ones.
 
 The array of a host is never in one place: a suffix is a hash of host and tokens, a group is a sum that is made partly
-before the shuffle. An article block sends its first suffix only; all of them are looked up where that one is repeated.
+before the shuffle. Only text outside articles is hashed.
 """
 
 import html
@@ -78,8 +78,7 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 OPEN, FRAMED, MAIN, FIRM, DOUBT = range(5)
-PARSED = """page_id bigint, url string, blocks array<struct<mark:int,text:string>>, host string, runs array<bigint>,
-firsts array<struct<block:int,run:bigint>>, stream bigint"""
+PARSED = "page_id bigint, url string, blocks array<struct<mark:int,text:string>>, runs array<bigint>, stream bigint"
 
 
 def named(name):
@@ -221,26 +220,18 @@ def suffixes(host, tokens, run):
 
 
 def parse(pages, run=RUN):
-    """One row per page: its blocks; suffixes of the text outside its article; first suffix of each article block."""
+    """One row per page: its blocks, the suffixes of the text outside its article, a digest of all its text."""
 
     def one(page_id, url, page):
         blocks = [{"mark": m, "text": t} for m, t in blocks_of(page or "")]
         host = host_of(url)
-        around, everything, firsts = [], xxhash.xxh3_64(), []
-        for i, b in enumerate(blocks):
-            everything.update(b["text"] + " ")
-            tokens = b["text"].split()
-            if b["mark"] != MAIN:
-                around += tokens
-            elif len(tokens) >= run:
-                firsts.append({"block": i, "run": suffixes(host, tokens[:run], run)[0]})
-        return page_id, url, blocks, host, suffixes(host, around, run), firsts, signed_of(everything.intdigest())
+        around = [t for b in blocks if b["mark"] != MAIN for t in b["text"].split()]
+        return page_id, url, blocks, suffixes(host, around, run), signed(" ".join(b["text"] for b in blocks))
 
     def work(batches):
         block = pa.list_(pa.struct([("mark", pa.int32()), ("text", pa.string())]))
-        first = pa.list_(pa.struct([("block", pa.int32()), ("run", pa.int64())]))
-        kinds = [pa.int64(), pa.string(), block, pa.string(), pa.list_(pa.int64()), first, pa.int64()]
-        names = ["page_id", "url", "blocks", "host", "runs", "firsts", "stream"]
+        kinds = [pa.int64(), pa.string(), block, pa.list_(pa.int64()), pa.int64()]
+        names = ["page_id", "url", "blocks", "runs", "stream"]
         for batch in batches:
             for row in range(0, batch.num_rows, 500):
                 some = batch.slice(row, 500)
@@ -251,12 +242,9 @@ def parse(pages, run=RUN):
     return plain.mapInArrow(work, PARSED)
 
 
-def signed_of(value):
-    return value - (1 << 64) if value >> 63 else value
-
-
 def signed(text):
-    return signed_of(xxhash.xxh3_64_intdigest(text))
+    value = xxhash.xxh3_64_intdigest(text)
+    return value - (1 << 64) if value >> 63 else value
 
 
 def repeated(parsed, pages=PAGES):
@@ -266,10 +254,10 @@ def repeated(parsed, pages=PAGES):
     return seen.filter((F.col("n") >= pages) & (F.col("a") != F.col("b"))).select("run")
 
 
-def decide(marks, tokens, at, gone, run=RUN):
+def decide(marks, tokens, at, run=RUN):
     """The text of each block that stays, in page order; None for one that goes.
 
-    ``at``: places of the repeated runs in the text outside the article; ``gone``: article blocks that are a frame.
+    ``at``: places of the repeated runs in the text outside the article.
     """
     covered, ends, place = [], 0, 0
     known = bool(at)
@@ -298,7 +286,7 @@ def decide(marks, tokens, at, gone, run=RUN):
             place += len(words)
         covered.append(inside)
     for i, m in enumerate(marks):
-        if m == MAIN and i not in gone or m == DOUBT and not any(covered[i]):
+        if m == MAIN or m == DOUBT and not any(covered[i]):
             out[i] = " ".join(tokens[i])
     main = any(out)
     unmarked(OPEN)
@@ -311,42 +299,20 @@ def decide(marks, tokens, at, gone, run=RUN):
 def main_text(rows, run=RUN):
     """Text of every page by its marks and the repeated runs on it."""
 
-    def one(blocks, at, gone):
+    def one(blocks, at):
         blocks = blocks or []
-        kept = decide([b["mark"] for b in blocks], [b["text"].split() for b in blocks], at or [], set(gone or []), run)
+        kept = decide([b["mark"] for b in blocks], [b["text"].split() for b in blocks], at or [], run)
         return "\n\n".join(t for t in kept if t)
 
     def work(batches):
         for batch in batches:
             for row in range(0, batch.num_rows, 500):
                 some = batch.slice(row, 500)
-                texts = [one(*x) for x in zip(*(some.column(c).to_pylist() for c in ("blocks", "at", "gone")))]
+                texts = [one(*x) for x in zip(*(some.column(c).to_pylist() for c in ("blocks", "at")))]
                 columns = [some.column("page_id"), some.column("url"), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])
 
-    return rows.select("page_id", "url", "blocks", "at", "gone").mapInArrow(work, "page_id bigint, url string, text string")
-
-
-def framed_blocks(parsed, runs, run=RUN):
-    """Article blocks (row, block) of which every suffix is a repeated run of the host."""
-
-    def work(batches):
-        for batch in batches:
-            rows, blocks, each = [], [], []
-            for row, block, host, text in zip(*(batch.column(c).to_pylist() for c in ("row", "block", "host", "text"))):
-                found = suffixes(host, text.split(), run)
-                rows += [row] * len(found)
-                blocks += [block] * len(found)
-                each += found
-            columns = [pa.array(c, k) for c, k in ((rows, pa.int64()), (blocks, pa.int32()), (each, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "block", "run"])
-
-    first = parsed.select("row", F.explode("firsts").alias("first")).select("row", "first.block", "first.run")
-    asked = first.join(runs, "run", "left_semi").select("row", "block")
-    texts = parsed.join(asked, "row").select("row", "block", "host", F.expr("blocks[block].text").alias("text"))
-    every = texts.mapInArrow(work, "row bigint, block int, run bigint")
-    known = every.join(runs.withColumn("known", F.lit(1)), "run", "left")
-    return known.groupBy("row", "block").agg(F.count("*").alias("n"), F.count("known").alias("found")).filter("n = found")
+    return rows.select("page_id", "url", "blocks", "at").mapInArrow(work, "page_id bigint, url string, text string")
 
 
 def extract(pages, run=RUN, least=PAGES):
@@ -357,13 +323,11 @@ def extract(pages, run=RUN, least=PAGES):
     the empty host. Repeated rows are pages of their own; an empty table gives an empty result; further columns are ignored.
     """
     parsed = save(parse(pages, run).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    runs = save(repeated(parsed, least), "repeated")
     places = (
         parsed.select("row", F.posexplode("runs").alias("place", "run"))
-        .join(runs, "run")
+        .join(repeated(parsed, least), "run")
         .groupBy("row")
         .agg(F.collect_list("place").alias("at"))
     )
-    gone = framed_blocks(parsed, runs, run).groupBy("row").agg(F.collect_list("block").alias("gone"))
-    rows = parsed.select("row", "page_id", "url", "blocks").join(places, "row", "left").join(gone, "row", "left")
+    rows = parsed.select("row", "page_id", "url", "blocks").join(places, "row", "left")
     return main_text(rows, run).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -95,20 +95,18 @@ def plain_main_texts(rows, run, least):
     for pages in hosts.values():
         streams = {i: [w for m, t in blocks if m != html_extract.MAIN for w in t] for i, blocks in pages.items()}
         array = sorted((s[at : at + run], i, at) for i, s in streams.items() for at in range(len(s) - run + 1))
-        places, known = {i: set() for i in pages}, set()
-        for head, group in itertools.groupby(array, key=lambda x: x[0]):
+        places = {i: set() for i in pages}
+        for _, group in itertools.groupby(array, key=lambda x: x[0]):
             group = list(group)
             on = {i for _, i, _ in group}
             if len(on) >= least and len({str([t for _, t in pages[i]]) for i in on}) > 1:
-                known.add(tuple(head))
                 for _, i, at in group:
                     places[i].update(range(at, at + run))
         for i, blocks in pages.items():
             at, seen = 0, []
             for m, words in blocks:
                 if m == html_extract.MAIN:
-                    heads = [tuple(words[j : j + run]) for j in range(len(words) - run + 1)]
-                    seen.append("frame" if heads and all(h in known for h in heads) else "article")
+                    seen.append("article")
                 else:
                     seen.append([at + j in places[i] for j in range(len(words))])
                     at += len(words)
