@@ -17,7 +17,8 @@ long. A group that occurs on ``least`` pages or more that aren't all the same is
   or layout (not firm ones: menus, footers, comments, adverts, hidden text) stay under the rule of unmarked ones.
 
 The array of a host is never in one place: a suffix is a hash of host and tokens, a group is a sum that is made partly
-before the shuffle. Only text outside articles is hashed.
+before the shuffle. Only text outside articles is hashed. Texts meet the places of their runs compressed, as no step between
+reads them.
 """
 
 import html
@@ -26,6 +27,7 @@ from collections import Counter
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from rentroll.llm.shared import save
@@ -78,7 +80,7 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 OPEN, FRAMED, MAIN, FIRM, DOUBT = range(5)
-PARSED = "page_id bigint, url string, blocks array<struct<mark:int,text:string>>, runs array<bigint>, stream bigint"
+PARSED = "page_id bigint, url string, marks binary, texts binary, runs array<bigint>, stream bigint"
 
 
 def named(name):
@@ -220,22 +222,26 @@ def suffixes(host, tokens, run):
 
 
 def parse(pages, run=RUN):
-    """One row per page: its blocks, the suffixes of the text outside its article, a digest of all its text."""
+    """One row per page: its blocks, the suffixes of the text outside its article, a digest of all its text.
 
-    def one(page_id, url, page):
-        blocks = [{"mark": m, "text": t} for m, t in blocks_of(page or "")]
-        host = host_of(url)
-        around = [t for b in blocks if b["mark"] != MAIN for t in b["text"].split()]
-        return page_id, url, blocks, suffixes(host, around, run), signed(" ".join(b["text"] for b in blocks))
+    ``marks`` has a byte for each block, ``texts`` a line (white space in a block is spaces), compressed.
+    """
+
+    def one(packer, page_id, url, page):
+        blocks = blocks_of(page or "")
+        around = [w for m, t in blocks if m != MAIN for w in t.split()]
+        lines = "\n".join(t for _, t in blocks)
+        packed = packer.compress(lines.encode())
+        return page_id, url, bytes(m for m, _ in blocks), packed, suffixes(host_of(url), around, run), signed(lines)
 
     def work(batches):
-        block = pa.list_(pa.struct([("mark", pa.int32()), ("text", pa.string())]))
-        kinds = [pa.int64(), pa.string(), block, pa.list_(pa.int64()), pa.int64()]
-        names = ["page_id", "url", "blocks", "runs", "stream"]
+        packer = zstandard.ZstdCompressor()
+        kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+        names = ["page_id", "url", "marks", "texts", "runs", "stream"]
         for batch in batches:
             for row in range(0, batch.num_rows, 500):
                 some = batch.slice(row, 500)
-                rows = [one(*x) for x in zip(*(some.column(c).to_pylist() for c in ("page_id", "url", "html")))]
+                rows = [one(packer, *x) for x in zip(*(some.column(c).to_pylist() for c in ("page_id", "url", "html")))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     plain = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
@@ -299,20 +305,21 @@ def decide(marks, tokens, at, run=RUN):
 def main_text(rows, run=RUN):
     """Text of every page by its marks and the repeated runs on it."""
 
-    def one(blocks, at):
-        blocks = blocks or []
-        kept = decide([b["mark"] for b in blocks], [b["text"].split() for b in blocks], at or [], run)
+    def one(unpacker, marks, texts, at):
+        lines = unpacker.decompress(texts).decode().split("\n")
+        kept = decide(marks, [t.split() for t in lines], at or [], run)
         return "\n\n".join(t for t in kept if t)
 
     def work(batches):
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for row in range(0, batch.num_rows, 500):
                 some = batch.slice(row, 500)
-                texts = [one(*x) for x in zip(*(some.column(c).to_pylist() for c in ("blocks", "at")))]
+                texts = [one(unpacker, *x) for x in zip(*(some.column(c).to_pylist() for c in ("marks", "texts", "at")))]
                 columns = [some.column("page_id"), some.column("url"), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])
 
-    return rows.select("page_id", "url", "blocks", "at").mapInArrow(work, "page_id bigint, url string, text string")
+    return rows.select("page_id", "url", "marks", "texts", "at").mapInArrow(work, "page_id bigint, url string, text string")
 
 
 def extract(pages, run=RUN, least=PAGES):
@@ -329,5 +336,5 @@ def extract(pages, run=RUN, least=PAGES):
         .groupBy("row")
         .agg(F.collect_list("place").alias("at"))
     )
-    rows = parsed.select("row", "page_id", "url", "blocks").join(places, "row", "left")
+    rows = parsed.select("row", "page_id", "url", "marks", "texts").join(places, "row", "left")
     return main_text(rows, run).withColumn("n_chars", F.length("text").cast("bigint"))
