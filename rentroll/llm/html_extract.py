@@ -17,8 +17,8 @@ long. A group that occurs on ``least`` pages or more that aren't all the same is
   or layout (not firm ones: menus, footers, comments, adverts, hidden text) stay under the rule of unmarked ones.
 
 The array of a host is never in one place: a suffix is a hash of host and tokens, a group is a sum that is made partly
-before the shuffle. Only text outside articles is hashed. Texts meet the places of their runs compressed, as no step between
-reads them.
+before the shuffle. Only text outside articles is hashed and shuffled; the blocks of it that stay are stored, and join the
+articles again by a broadcast while Spark knows them to be small.
 """
 
 import html
@@ -80,7 +80,7 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 OPEN, FRAMED, MAIN, FIRM, DOUBT = range(5)
-PARSED = "page_id bigint, url string, marks binary, texts binary, runs array<bigint>, stream bigint"
+PARSED = "page_id bigint, url string, marks binary, article binary, around binary, runs array<bigint>, stream bigint"
 
 
 def named(name):
@@ -224,28 +224,26 @@ def suffixes(host, tokens, run):
 def parse(pages, run=RUN):
     """One row per page: its blocks, the suffixes of the text outside its article, a digest of all its text.
 
-    ``marks`` has a byte for each block, ``texts`` a line (white space in a block is spaces), compressed.
+    ``marks`` has a byte for each block; ``article`` has a line for each block of it, ``around`` for each other one,
+    compressed (white space in a block is spaces).
     """
 
     def one(packer, page_id, url, page):
         blocks = blocks_of(page or "")
-        around = [w for m, t in blocks if m != MAIN for w in t.split()]
-        lines = "\n".join(t for _, t in blocks)
-        packed = packer.compress(lines.encode())
-        return page_id, url, bytes(m for m, _ in blocks), packed, suffixes(host_of(url), around, run), signed(lines)
+        article, around = ("\n".join(t for m, t in blocks if (m == MAIN) == side) for side in (True, False))
+        packed = (packer.compress(t.encode()) for t in (article, around))
+        runs = suffixes(host_of(url), around.split(), run)
+        return page_id, url, bytes(m for m, _ in blocks), *packed, runs, signed(f"{article}\0{around}")
 
-    def work(batches):
+    def work(*columns):
         packer = zstandard.ZstdCompressor()
-        kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
-        names = ["page_id", "url", "marks", "texts", "runs", "stream"]
-        for batch in batches:
-            for row in range(0, batch.num_rows, 500):
-                some = batch.slice(row, 500)
-                rows = [one(packer, *x) for x in zip(*(some.column(c).to_pylist() for c in ("page_id", "url", "html")))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        rows = [one(packer, *x) for x in zip(*columns)]
+        return zip(*rows)
 
+    numbers, packed = pa.list_(pa.int64()), pa.binary()
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "marks": packed, "article": packed, "around": packed, "runs": numbers, "stream": pa.int64()}
     plain = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return plain.mapInArrow(work, PARSED)
+    return plain.mapInArrow(in_batches(work, plain.columns, kinds), PARSED)
 
 
 def signed(text):
@@ -260,66 +258,83 @@ def repeated(parsed, pages=PAGES):
     return seen.filter((F.col("n") >= pages) & (F.col("a") != F.col("b"))).select("run")
 
 
-def decide(marks, tokens, at, run=RUN):
-    """The text of each block that stays, in page order; None for one that goes.
+def decide(marks, around, at, run=RUN):
+    """{block: text} of the blocks outside the article that stay.
 
-    ``at``: places of the repeated runs in the text outside the article.
+    ``around``: their tokens, in page order; ``at``: places of the repeated runs in all of them.
     """
-    covered, ends, place = [], 0, 0
-    known = bool(at)
-    starts = set(at)
-    out = [None] * len(marks)
-
-    def unmarked(kind):
-        rows = [(i, [t for t, c in zip(tokens[i], covered[i]) if not c]) for i, m in enumerate(marks) if m == kind]
-        if main:
-            for i, left in rows:
-                if known and len(left) == len(tokens[i]) >= run:
-                    out[i] = " ".join(left)
-        elif any(left for _, left in rows):
-            for i, left in rows:
-                out[i] = " ".join(left) or None
-        else:
-            for i, _ in rows:
-                out[i] = " ".join(tokens[i])
-
-    for m, words in zip(marks, tokens):
-        inside = []
-        if m != MAIN:
-            for j in range(place, place + len(words)):
-                ends = j + run if j in starts else ends
-                inside.append(j < ends)
-            place += len(words)
-        covered.append(inside)
-    for i, m in enumerate(marks):
-        if m == MAIN or m == DOUBT and not any(covered[i]):
-            out[i] = " ".join(tokens[i])
-    main = any(out)
-    unmarked(OPEN)
-    if known and not any(out):
-        main = True  # a frame word alone: whole blocks only
-        unmarked(FRAMED)
-    return out
+    places = [i for i, m in enumerate(marks) if m != MAIN]
+    starts, ends, place = set(at), 0, 0
+    left = {}  # tokens outside the repeated runs
+    for i, tokens in zip(places, around):
+        left[i] = []
+        for place, token in enumerate(tokens, place):
+            ends = place + run if place in starts else ends
+            if place >= ends:
+                left[i].append(token)
+        place += 1
+    whole = {i: tokens for i, tokens in zip(places, around) if len(left[i]) == len(tokens)}
+
+    def long(mark):
+        return {i: t for i, t in whole.items() if marks[i] == mark and starts and len(t) >= run}
+
+    out = {i: t for i, t in whole.items() if marks[i] == DOUBT}
+    if out or MAIN in marks:
+        out |= long(OPEN)
+    else:
+        out = {i: t for i, t in left.items() if marks[i] == OPEN and t}
+        out = out or {i: t for i, t in zip(places, around) if marks[i] == OPEN} or long(FRAMED)
+    return {i: " ".join(t) for i, t in out.items()}
+
+
+def in_batches(work, names, kinds, size=500):
+    """A function for mapInArrow that calls ``work`` with the columns ``names`` of ``size`` rows, as lists; it gives columns."""
+
+    def mapped(batches):
+        for batch in batches:
+            for row in range(0, batch.num_rows, size):
+                some = batch.slice(row, size)
+                columns = work(*(some.column(c).to_pylist() for c in names))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
+    return mapped
 
-def main_text(rows, run=RUN):
-    """Text of every page by its marks and the repeated runs on it."""
 
-    def one(unpacker, marks, texts, at):
-        lines = unpacker.decompress(texts).decode().split("\n")
-        kept = decide(marks, [t.split() for t in lines], at or [], run)
-        return "\n\n".join(t for t in kept if t)
+def lines_of(unpacker, packed):
+    text = unpacker.decompress(packed).decode()
+    return text.split("\n") if text else []
 
-    def work(batches):
-        unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for row in range(0, batch.num_rows, 500):
-                some = batch.slice(row, 500)
-                texts = [one(unpacker, *x) for x in zip(*(some.column(c).to_pylist() for c in ("marks", "texts", "at")))]
-                columns = [some.column("page_id"), some.column("url"), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])
 
-    return rows.select("page_id", "url", "marks", "texts", "at").mapInArrow(work, "page_id bigint, url string, text string")
+def kept_around(rows, run=RUN):
+    """(row, kept) of the pages on which text outside the article stays."""
+
+    def work(ids, marks, around, at):
+        unpacker, out = zstandard.ZstdDecompressor(), {}
+        for i, m, packed, places in zip(ids, marks, around, at):
+            kept = decide(m, [t.split() for t in lines_of(unpacker, packed)], places or [], run)
+            if kept:
+                out[i] = [{"block": b, "text": t} for b, t in kept.items()]
+        return list(out), list(out.values())
+
+    kinds = {"row": pa.int64(), "kept": pa.list_(pa.struct([("block", pa.int32()), ("text", pa.string())]))}
+    names = ["row", "marks", "around", "at"]
+    return rows.select(*names).mapInArrow(in_batches(work, names, kinds), "row bigint, kept array<struct<block:int,text:string>>")
+
+
+def main_text(rows):
+    """Text of every page: its article and what else stays, in page order."""
+
+    def work(ids, urls, marks, articles, kept):
+        unpacker, texts = zstandard.ZstdDecompressor(), []
+        for m, packed, more in zip(marks, articles, kept):
+            article = [i for i, mark in enumerate(m) if mark == MAIN]
+            blocks = dict(zip(article, lines_of(unpacker, packed))) | {k["block"]: k["text"] for k in more or []}
+            texts.append("\n\n".join(blocks[i] for i in sorted(blocks)))
+        return ids, urls, texts
+
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "text": pa.string()}
+    names = ["page_id", "url", "marks", "article", "kept"]
+    return rows.select(*names).mapInArrow(in_batches(work, names, kinds), "page_id bigint, url string, text string")
 
 
 def extract(pages, run=RUN, least=PAGES):
@@ -336,5 +351,6 @@ def extract(pages, run=RUN, least=PAGES):
         .groupBy("row")
         .agg(F.collect_list("place").alias("at"))
     )
-    rows = parsed.select("row", "page_id", "url", "marks", "texts").join(places, "row", "left")
-    return main_text(rows, run).withColumn("n_chars", F.length("text").cast("bigint"))
+    around = parsed.select("row", "marks", "around")
+    kept = save(kept_around(around.join(places, "row", "left"), run), "kept")
+    return main_text(parsed.join(kept, "row", "left")).withColumn("n_chars", F.length("text").cast("bigint"))
