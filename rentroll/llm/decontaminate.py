@@ -7,7 +7,7 @@ Items are partitioned by size. The MinHash sketch of an item is its k shingles w
 one more than the largest number of shingles that an item of that partition may lack. So a document that holds enough of
 an item holds a shingle of its sketch, whatever the document's length: the search loses nothing. Spark joins the hashed
 shingles of all documents to the sketches; documents with a hit are candidates for the item, and only their texts are
-read again and compared on the shingles themselves.
+read again and compared on the shingles themselves. Each pass reads the documents once, for shingles of all widths in use.
 
 Sketches are stored before they are joined, so Spark knows their size: it broadcasts them while they are below
 ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise. Only column functions run.
@@ -66,41 +66,34 @@ def find(documents, benchmark, least=0.8):
     """Pairs (doc_id, item_id, n_shingles, n_found, containment) with a containment of at least ``least``.
 
     ``documents`` has doc_id and text, ``benchmark`` item_id and text; further columns are ignored. Null and wordless
-    texts hold nothing and are found nowhere. Items that repeat a text are all reported; repeated rows of ``documents``
-    count as one document, and rows that share a doc_id with different texts hold what any of them holds. Documents
-    without a doc_id are searched as one document with a null doc_id. Empty tables give an empty result.
+    texts hold nothing and are found nowhere. Items that repeat a text are all reported. Every row of ``documents`` is judged
+    by its own text; of rows that share a doc_id, or have none, the one that holds most of an item is reported for it.
+    Empty tables give an empty result.
     """
     shingles = save(item_shingles(benchmark), "item-shingles")
     widths = [r.width for r in shingles.select("width").distinct().collect()]  # at most five numbers
     index = save(sketches(shingles, least), "item-sketches")
-    inside = shingles.select("item", "width", "shingle").distinct()
+    inside = shingles.select("item", "shingle").distinct()
     sizes = inside.groupBy("item").agg(F.count(F.lit(1)).alias("n_shingles"))
 
-    texts = documents.select("doc_id", words_of("text").alias("words"))
-    hits = [
-        texts.select("doc_id", F.explode(hashed(w)).alias("hash")).join(index.filter(F.col("width") == w), "hash")
-        .select("doc_id").distinct()
-        for w in widths
-    ]
-    if not hits:
+    if not widths:
         return no_pairs(documents.sparkSession)
-    candidates = hits[0]
-    for more in hits[1:]:
-        candidates = candidates.union(more)
-    candidates = save(candidates.distinct(), "candidate-documents")
-
-    again = documents.select("doc_id", "text").join(candidates.withColumnRenamed("doc_id", "c"), F.col("doc_id").eqNullSafe(F.col("c")), "left_semi")
-    again = again.select("doc_id", words_of("text").alias("words"))
-    found = [
-        again.select("doc_id", F.explode(spelled(w)).alias("shingle")).join(inside.filter(F.col("width") == w), "shingle")
-        .select("doc_id", "item", "shingle").distinct()
-        for w in widths
-    ]
-    held = found[0]
-    for more in found[1:]:
-        held = held.union(more)
-    held = held.groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("n_found")).join(sizes, "item")
-    kept = held.filter(F.col("n_found") >= F.col("n_shingles") * least - 1e-9)
+    # A row is known by its doc_id and two hashes of its text: rows that agree in them hold the same.
+    digests = F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")
+    texts = documents.select("doc_id", "text", *digests)
+    grams = F.concat(*[hashed(w) for w in widths])
+    worded = texts.select("doc_id", "a", "b", words_of("text").alias("words"))
+    hits = worded.select("doc_id", "a", "b", F.explode(grams).alias("hash")).join(index.select("hash").distinct(), "hash")
+    candidates = save(hits.select(F.col("doc_id").alias("c"), "a", "b").distinct(), "candidate-documents")
+
+    same = [texts.a == candidates.a, texts.b == candidates.b, texts.doc_id.eqNullSafe(candidates.c)]
+    again = texts.join(candidates, same, "left_semi").select("doc_id", "a", "b", words_of("text").alias("words"))
+    spelt = F.concat(*[spelled(w) for w in widths])  # its spaces tell the width of a shingle
+    found = again.select("doc_id", "a", "b", F.explode(F.array_distinct(spelt)).alias("shingle")).join(inside, "shingle")
+    held = found.select("doc_id", "a", "b", "item", "shingle").distinct()
+    held = held.groupBy("doc_id", "a", "b", "item").agg(F.count(F.lit(1)).alias("n_found"))
+    best = held.groupBy("doc_id", "item").agg(F.max("n_found").alias("n_found")).join(sizes, "item")
+    kept = best.filter(F.col("n_found") >= F.col("n_shingles") * least - 1e-9)
     names = shingles.select("item", "item_id").distinct()
     return kept.join(names, "item").select(
         "doc_id", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment")

@@ -106,7 +106,8 @@ def op10_decontaminate(spark, sf_dir):
 
 OP10_SQL = r"""
 WITH doc_words AS (
-    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
 ), item_words AS (
     SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), item_shingles AS (
@@ -116,16 +117,18 @@ WITH doc_words AS (
 ), widths AS (
     SELECT DISTINCT width FROM item_shingles
 ), doc_shingles AS (
-    SELECT DISTINCT doc_id, width,
+    SELECT DISTINCT n, doc_id, width,
         unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS shingle
     FROM doc_words, widths WHERE len(w) >= width
 ), sizes AS (
     SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id
 ), held AS (
-    SELECT doc_id, item_id, count(*) AS n_found FROM doc_shingles JOIN item_shingles USING (width, shingle) GROUP BY ALL
+    SELECT n, doc_id, item_id, count(*) AS n_found FROM doc_shingles JOIN item_shingles USING (width, shingle) GROUP BY ALL
+), best AS (
+    SELECT doc_id, item_id, max(n_found) AS n_found FROM held GROUP BY ALL
 )
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
-FROM held JOIN sizes USING (item_id) WHERE n_found >= 0.8 * n_shingles
+FROM best JOIN sizes USING (item_id) WHERE n_found >= 0.8 * n_shingles
 """
 
 
