@@ -1,7 +1,9 @@
 """Personal data replaced by surrogates.
 
 Found are e-mail and IPv4 addresses, phone, card, social security and bank account numbers, access keys, passwords and
-tokens in assignments, and names of people (after a title, or a known given name with a family name).
+tokens in assignments, and names of people: after a title, a known given name with a family name, two or three
+capitalised words after a word like "contact" or "signed by", and such words after a name and "and". Once a name is found
+in a row, each of its words is replaced wherever the row has it alone, with the surrogate that it has in the name.
 
 A surrogate comes from a keyed hash of the entity in its plain form (digits only, lower case, ...), so the same entity
 gets the same surrogate in every document and in every spelling. It keeps type and format: letters stay letters, digits
@@ -12,8 +14,8 @@ with and without a given name.
 Every distinct entity of the corpus is one row of a table. Where two entities got the same surrogate, or one got a
 surrogate that is itself an entity of the corpus, all but the smallest are drawn again with the next attempt, until no
 collision is left; so distinct entities stay distinct. A family name is one syllable longer with every attempt, and a late
-attempt lengthens given names, local parts of addresses and secrets too, so their space never ends. Numbers and access
-keys have no more surrogates than their format has values. Only column functions run.
+attempt lengthens given names, local parts of addresses and secrets too, and a later one numbers and access keys (an IPv4
+address becomes a private IPv6 address), so no format is used up. Only column functions run.
 """
 
 from pyspark.sql import functions as F
@@ -45,12 +47,35 @@ SYLLABLES = {
     "cyrillic": "бар бел вер гор дан кор лан лор мар мел нов пал рос сал тар яр".split(),
     "greek": "βαρ γαλ δελ θεο καλ λαμ μαρ νικ παν ροσ σταθ τζα φιλ χατ".split(),
 }
+FULL = 24  # from this attempt on a number is longer than the one it stands for
 SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
 
 ALL_TITLES = [t for ts in TITLES.values() for t in ts]
 ALL_GIVEN = [n for ns in GIVEN.values() for n in ns]
-WORD = r"\p{Lu}[\p{L}'’-]+"
-NAME = rf"(?:\b(?:{'|'.join(ALL_TITLES)})\.? {WORD}(?: {WORD}){{0,2}}|\b(?:{'|'.join(ALL_GIVEN)})(?: {WORD}){{1,2}})"
+# Words before a name.
+CUES = [
+    "contact", "attn", "attention", "dear", "regards", "sincerely", "signature", "signed", "signed by", "written by", "reported by",
+    "sent by", "on behalf of", "name", "name is", "ask for", "speak to", "c/o",
+]
+# Words before a phone number without its country code.
+PHONE_CUES = "tel telephone phone ph call mobile mob cell fax".split()
+# Capitalised words that stand where a family name may.
+NO_NAMES = (
+    "The This That These Those It We You They He She And Or But If When Please Thank Thanks Sir Madam All Team Customer Customers"
+    " Us Me Your Our My Info Support Service Services Sales Office Department Company Board Committee Street Road Avenue University Hospital License"
+    " Foundation Inc Ltd Corp Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July"
+    " August September October November December"
+).split()
+WORD = r"\p{Lu}(?=\p{L}|['’-]\p{L})\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++){0,9}+"  # not the s of a genitive
+AFTER = rf"(?!(?:{'|'.join(ALL_TITLES)})(?!\p{{L}})){WORD}"
+LIKELY = rf"(?!(?:{'|'.join(NO_NAMES + ALL_TITLES)})(?!\p{{L}})){WORD}"
+CUE = rf"(?<=(?<!\p{{L}})(?i:{'|'.join(CUES)})[:,]?\s{{1,3}})"
+ALSO = r"(?<=\G(?: and | & | or ))(?<=\p{L}(?: and | & | or ))"  # what was found last ended just before, with a letter
+NAME = (
+    rf"(?:\b(?:{'|'.join(ALL_TITLES)})\.? {AFTER}(?: {AFTER}){{0,2}}|\b(?:{'|'.join(ALL_GIVEN)})(?: {AFTER}){{1,2}}"
+    rf"|(?=\p{{Lu}})(?:{CUE}|{ALSO}){LIKELY}(?: {LIKELY}){{1,2}})"
+)
+NEAR_PHONE = rf"(?<=(?<!\p{{L}})(?i:{'|'.join(PHONE_CUES)})(?!\p{{L}})[^\p{{L}}\n]{{1,40}})"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Where an address may begin: not inside a run of its characters, so a long run is read once; after another entity, anywhere.
 START = r"(?:(?<![A-Za-z0-9])(?<![A-Za-z0-9][._%+-])|(?<=\G[._%+-]{0,1}))"
@@ -63,13 +88,18 @@ PATTERNS = [
     rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     r"(?<![\d-])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\d-])",
+    r"(?<![\d.,/+-])(?:0\d{2} \d{4} \d{4}|0\d{3} \d{3} ?\d{4}|0\d{4}[ -]\d{6}|0\d{4} \d{3} \d{3}|0[1-9](?:[ .]\d\d){4})(?![\d-])",
+    rf"(?<![\d.,/+-])(?=\d{{3}}[-. ]\d|0\d)(?:{NEAR_PHONE}(?:\d{{3}}-\d{{4}}|\d{{3}}[ .]\d{{3}}[ .]\d{{4}}|0\d{{1,4}}[ /-]\d{{3,8}}|0\d{{8,11}}))(?![\d-])",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     r"(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])",
     NAME,
 ]
 ENTITY = "|".join(PATTERNS)
-HINT = rf"[0-9@]|{KEYWORDS}|\b(?:{'|'.join(ALL_TITLES + ALL_GIVEN)})\b"
+HINT = rf"[0-9@]|{KEYWORDS}|\b(?:{'|'.join(ALL_TITLES + ALL_GIVEN)})\b|(?<!\p{{L}})(?i:{'|'.join(CUES)})[:,]?\s{{1,3}}\p{{Lu}}"
+# Marks around what was found and before a typed word of a name; a text that has such characters carries them escaped.
+FOUND, TYPED, ESCAPE = "\x01", "\x02", "\x03"
+ESCAPED = {ESCAPE: "\x03\x06", FOUND: "\x03\x04", TYPED: "\x03\x05"}
 
 
 def kind_of(raw):
@@ -78,7 +108,8 @@ def kind_of(raw):
         ("email", rf"^[^@]+@[^@]+{TLD}$"),
         ("access_key", r"^AKIA[0-9A-Z]{16}$"),
         ("ip", r"^\d{1,3}(?:\.\d{1,3}){3}$"),
-        ("phone", r"^(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4})$"),
+        ("phone", r"^(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}"
+         r"|0\d[\d ./-]{6,14}|\d{3}-\d{4}|\d{3}[ .]\d{3}[ .]\d{4})$"),
         ("ssn", r"^\d{3}-\d{2}-\d{4}$"),
         ("iban", r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$"),
         ("card", r"^\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}$"),
@@ -108,8 +139,8 @@ def script_of(word):
     return out
 
 
-def parts_of(kind, raw):
-    """The entity as (kind, raw, lead): names word by word, all else whole; ``lead`` stands before it."""
+def name_words(raw):
+    """A name word by word as (kind, raw, lead); ``lead`` stands before the word."""
     words_ = F.split(raw, " ")
     title = F.regexp_replace(words_[0], r"\.", "")
     titled = title.isin(ALL_TITLES)
@@ -124,8 +155,87 @@ def parts_of(kind, raw):
         what = F.when(titled & (i == 0), F.lit("title")).otherwise(F.concat(what, F.lit("_"), script_of(word)))
         return F.struct(what.alias("kind"), word.alias("raw"), F.when(i == 0, "").otherwise(" ").alias("lead"))
 
-    whole_ = F.array(F.struct(kind.alias("kind"), raw.alias("raw"), F.lit("").alias("lead")))
-    return F.when(kind == "name", F.transform(words_, one)).otherwise(whole_)
+    return F.transform(words_, one)
+
+
+def escaped(text):
+    for char, code in ESCAPED.items():
+        text = F.replace(text, F.lit(char), F.lit(code))
+    return text
+
+
+def unescaped(text):
+    for char, code in reversed(ESCAPED.items()):
+        text = F.replace(text, F.lit(code), F.lit(char))
+    return text
+
+
+def is_name(entity):
+    return entity.rlike(r"^\p{Lu}[\p{L}.'’-]+ \p{Lu}")
+
+
+def let(value, use):
+    """``use`` of a value that is evaluated once, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def odd(parts):
+    return F.filter(parts, lambda _, i: i % 2 == 1)
+
+
+def known_words(entities):
+    """Word in lower case -> kind of the words of these entities' names; a given name of known gender comes first."""
+    words_ = F.flatten(F.transform(F.filter(entities, is_name), name_words))
+    words_ = F.filter(words_, lambda w: w["kind"] != "title")
+    ranked = F.transform(words_, lambda w: F.struct(
+        F.lower(w["raw"]).alias("word"),
+        F.when(w["kind"].rlike("^given_[mf]"), 0).when(w["kind"].startswith("given"), 1).otherwise(2).alias("rank"),
+        w["kind"].alias("kind"),
+    ))
+
+    def first_of_each(sorted_):
+        first = F.filter(sorted_, lambda w, i: (i == 0) | (F.get(sorted_, i - 1)["word"] != w["word"]))
+        return F.map_from_entries(F.transform(first, lambda w: F.struct(w["word"], w["kind"])))
+
+    return let(F.array_sort(F.array_distinct(ranked)), first_of_each)
+
+
+def with_lone_words(parts, known):
+    """Texts and entities by turns -> the same with names as typed words, those that stand alone in the texts too."""
+
+    def typed(kind, lead, raw):
+        return F.concat(F.lit(TYPED), kind, F.lit("|"), lead, raw)
+
+    def named(entity):
+        words_ = F.transform(name_words(entity), lambda w: typed(
+            F.when(w["kind"] == "title", "title").otherwise(F.coalesce(F.try_element_at(known, F.lower(w["raw"])), w["kind"])),
+            w["lead"], w["raw"],
+        ))
+        return F.array_join(words_, "")
+
+    def lone(word):
+        kind = F.try_element_at(known, F.lower(word))
+        return F.coalesce(F.concat(F.lit(FOUND), typed(kind, F.lit(""), word), F.lit(FOUND)), word)
+
+    def in_text(text):
+        pieces = F.split(F.regexp_replace(text, WORD, f"{FOUND}$0{FOUND}"), FOUND, -1)
+        return F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, lone(x)).otherwise(x)), "")
+
+    def one(x, i):
+        return F.when(i % 2 == 0, in_text(x)).otherwise(F.concat(F.lit(FOUND), F.when(is_name(x), named(x)).otherwise(x), F.lit(FOUND)))
+
+    return F.split(F.array_join(F.transform(parts, one), ""), FOUND, -1)
+
+
+def parts_of(entity):
+    """The entity as (kind, raw, lead): names word by word, all else whole."""
+    words_ = F.transform(F.split(F.substring(entity, 2, 2**31 - 1), TYPED, -1), lambda w: F.struct(
+        F.substring_index(w, "|", 1).alias("kind"),
+        F.regexp_replace(w, r"^[^|]*\| ?", "").alias("raw"),
+        F.when(w.contains("| "), " ").otherwise("").alias("lead"),
+    ))
+    whole_ = F.array(F.struct(kind_of(entity).alias("kind"), entity.alias("raw"), F.lit("").alias("lead")))
+    return F.when(entity.startswith(TYPED), words_).otherwise(whole_)
 
 
 def number(hash_, i, n):
@@ -189,6 +299,8 @@ def drawn(entities, key):
     h, p, kind = F.col("h"), F.col("plain"), F.col("kind")
     at = F.instr(p, ".")
     late = F.greatest(F.col("attempt") - 7, F.lit(0))  # their own lengths are used up
+    zeros = F.repeat(F.lit("0"), F.greatest(F.col("attempt") - (FULL - 1), F.lit(0)))
+    longer = F.concat(p, zeros)
     grown = F.concat(F.repeat(F.lit("a"), late), F.regexp_replace(p, f"{TLD}$", ""))
     email = F.concat(reshaped(h, grown), F.regexp_extract(p, f"{TLD}$", 0))
     octets = F.transform(F.split(p, r"\."), lambda o, i: (
@@ -199,10 +311,11 @@ def drawn(entities, key):
     wide = F.transform(F.split(p, r"\."), lambda o, i: (100 + number(h, i, 156)).cast("string"))
     every = F.transform(F.split(p, r"\."), lambda o, i: number(h, i, 256).cast("string"))
     ip = F.when(F.col("attempt") < 8, octets).when(F.col("attempt") < 16, wide).otherwise(every)  # too few of that width
-    ip = F.array_join(ip, ".")
-    kept = F.when(F.length(p) > 10, F.length(p) - 10).otherwise(0)  # country code
-    phone = F.concat(F.expr("left(plain, greatest(length(plain) - 10, 0))"), (2 + number(h, F.lit(100), 8)).cast("string"),
-                     reshaped(h, F.substring(p, kept + 2, F.lit(20))))
+    other = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.substring(h, i * 4 + 1, F.lit(4))), ":")
+    ip = F.when(F.col("attempt") < FULL, F.array_join(ip, ".")).otherwise(F.concat(F.lit("fd00::"), other))
+    kept = F.greatest(F.length(p) - 10, F.when(p.startswith("0"), 1).otherwise(0))  # country code or the zero of a trunk call
+    phone = F.concat(F.left(p, kept), (2 + number(h, F.lit(100), 8)).cast("string"),
+                     reshaped(h, F.substring(longer, kept + 2, F.length(longer))))
     family = F.lit(None)
     given = F.lit(None)
     for script, syllables in SYLLABLES.items():
@@ -215,20 +328,20 @@ def drawn(entities, key):
     hexed = ~p.rlike("[^0-9a-f]") & p.rlike("[a-f]")
     more = F.when(p.rlike("[a-z]"), "a").when(p.rlike("[A-Z]"), "A").when(p.rlike("[0-9]"), "0")
     secret = F.concat(p, F.when(more.isNull(), F.repeat(F.lit("a"), F.col("attempt"))).otherwise(F.repeat(more, late)))
-    body = reshaped(h, F.substring(p, 2, 40))
+    body = reshaped(h, F.substring(longer, 2, 100))
     df = df.withColumn("card", F.concat(F.substring(p, 1, 1), body)).withColumn("card_ok", valid_card(p))
     card = F.when(F.col("card_ok"), with_check_digit("card")).otherwise(F.col("card"))
-    body = F.concat(F.substring(p, 1, 2), F.lit("00"), reshaped(h, F.substring(p, 5, 40)))
+    body = F.concat(F.substring(p, 1, 2), F.lit("00"), reshaped(h, F.substring(longer, 5, 100)))
     df = df.withColumn("iban", body).withColumn("iban_ok", remainder("plain") == 1).withColumn("rest", remainder("iban"))
     checked = F.when(F.col("iban_ok"), F.lpad((98 - F.col("rest")).cast("string"), 2, "0")).otherwise(reshaped(h, F.substring(p, 3, 2)))
-    iban = F.concat(F.substring(p, 1, 2), checked, F.substring("iban", 5, 40))
+    iban = F.concat(F.substring(p, 1, 2), checked, F.substring("iban", 5, 100))
     surrogate = (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "phone", phone)
         .when(kind == "card", card)
-        .when(kind == "access_key", F.concat(F.lit("AKIA"), reshaped(h, F.substring(p, 5, 16))))
-        .when(kind == "ssn", reshaped(h, p))
+        .when(kind == "access_key", F.concat(F.lit("AKIA"), reshaped(h, F.substring(longer, 5, 100))))
+        .when(kind == "ssn", reshaped(h, longer))
         .when(kind == "iban", iban)
         .when(kind.startswith("family"), family)
         .when(kind.startswith("given"), given)
@@ -266,11 +379,14 @@ def rendered(kind, raw, surrogate):
             F.struct(F.concat(s["text"], c).alias("text"), s["at"].alias("at"))
         )
 
-    in_digits = F.aggregate(F.split(raw, ""), none, lambda s, c: fill(s, c, c.rlike("[0-9]")), lambda s: s["text"])
-    spaced = F.aggregate(F.split(raw, ""), none, lambda s, c: fill(s, c, c != " "), lambda s: s["text"])
+    def filled(s):  # and what is longer than the entity
+        return F.concat(s["text"], F.substring(surrogate, s["at"] + 1, F.length(surrogate)))
+
+    in_digits = F.aggregate(F.split(raw, ""), none, lambda s, c: fill(s, c, c.rlike("[0-9]")), filled)
+    spaced = F.aggregate(F.split(raw, ""), none, lambda s, c: fill(s, c, c != " "), filled)
     cased = F.array_join(F.zip_with(F.split(raw, ""), digits, lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
     named = F.when(raw == F.upper(raw), F.upper(surrogate)).when(raw == F.lower(raw), surrogate).otherwise(
-        F.concat(F.upper(F.substring(surrogate, 1, 1)), F.expr("substring(surrogate, 2)"))
+        F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate)))
     )
     return (
         F.when(surrogate.isNull(), raw)
@@ -290,18 +406,19 @@ def replace(documents, key):
     ignored. Surrogates depend on the key and on which entities the corpus holds.
     """
     rows = documents.select("doc_id", whole("text").alias("text"))
-    may = F.col("text").rlike(HINT) & F.col("text").rlike(ENTITY)
-    found = save(
-        rows.filter(may).select(
-            F.monotonically_increasing_id().alias("row"),
-            "doc_id",
-            F.split("text", ENTITY, -1).alias("between"),
-            F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)).alias("entities"),
-        ),
-        "found",
-    )
-    each = found.select("row", F.posexplode("entities").alias("place", "entity")).withColumn("type", kind_of(F.col("entity")))
-    parts = each.select("row", "place", "type", F.posexplode(parts_of(F.col("type"), F.col("entity"))).alias("part", "x"))
+    may = F.col("text").rlike(HINT)
+    found = rows.filter(may).select("doc_id", F.split(F.regexp_replace(escaped(F.col("text")), ENTITY, f"{FOUND}$0{FOUND}"), FOUND, -1).alias("p"))
+    names = F.exists(odd(F.col("p")), is_name)
+    found = found.withColumn("p", F.when(names, let(known_words(odd(F.col("p"))), lambda known: with_lone_words(F.col("p"), known))).otherwise(F.col("p")))
+    found = save(found.select(
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id",
+        F.transform(F.filter("p", lambda _, i: i % 2 == 0), unescaped).alias("between"),
+        odd(F.col("p")).alias("entities"),
+    ), "found")
+    each = found.select("row", F.posexplode("entities").alias("place", "entity"))
+    type_ = F.when(F.col("entity").startswith(TYPED), F.lit("name")).otherwise(kind_of(F.col("entity")))
+    parts = each.withColumn("type", type_).select("row", "place", "type", F.posexplode(parts_of(F.col("entity"))).alias("part", "x"))
     parts = parts.select("row", "place", "part", "type", "x.*").withColumn("plain", plain(F.col("kind"), F.col("raw")))
     drawn_ = surrogates(parts.filter("kind != 'title'").select("kind", "plain").distinct(), key)
     spoken = parts.join(drawn_, ["kind", "plain"], "left").withColumn(
@@ -314,6 +431,11 @@ def replace(documents, key):
         F.array_join(F.sort_array(F.collect_set("type")), ",").alias("kinds"),
     )
     filled = F.zip_with("between", F.col("said.said"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    changed = found.join(per_row, "row").select("doc_id", F.array_join(filled, "").alias("text"), "n_entities", "kinds")
+    changed = found.filter(F.size("entities") > 0).join(per_row, "row").select(
+        "doc_id", F.array_join(filled, "").alias("text"), "n_entities", "kinds"
+    )
+    none = found.filter(F.size("entities") == 0).select(
+        "doc_id", F.array_join("between", "").alias("text"), F.lit(0).cast("bigint").alias("n_entities"), F.lit("").alias("kinds")
+    )
     same = rows.filter(~may).select("doc_id", "text", F.lit(0).cast("bigint").alias("n_entities"), F.lit("").alias("kinds"))
-    return same.unionByName(changed)
+    return same.unionByName(none).unionByName(changed)

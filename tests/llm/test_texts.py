@@ -295,6 +295,69 @@ def test_surrogates_outgrow_their_list(spark, monkeypatch):
     assert all(re.fullmatch(r"[a-z0-9]+@[a-z0-9]+\.de", x) for x in out[64:-1])
 
 
+def test_words_of_a_name_are_replaced_alone_too(spark):
+    said = "Mr John Smith called. John said hi. Smith's car left, SMITH! Contact Li Wei and Ahmed Hassan. tel 07700 900123; 555-0100"
+    rows = [
+        (1, said), (2, "Regards,\nJane O'Neil-Roe\nJane wrote 555-0199 of 2020-0101. O'Neil-Roe's"), (3, "John and Smith, no name here"),
+        (4, "Dear Customer Service, contact us. Contact Us Today, 020 7946 0018"), (5, "\x01\x02\x03 12 \x03\x04Dr Who \x01Who\x02"),
+        (6, "Signed by Wei Zhang; password: Zhang123 Zhang"), (7, "Mr Ahmed Hassan, contact Ahmed Hassan"),
+    ]
+    got = {r.doc_id: r for r in pii.replace(documents(spark, rows), "k").collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) called\. (\w+) said hi\. (\w+)'s car left, (\w+)! Contact (\w+) (\w+) and (\w+) (\w+)\. tel 0\d{4} \d{6}; \d{3}-\d{4}", got[1].text)
+    assert m[1] == m[3] and m[2] == m[4] == m[5].capitalize() and m[5].isupper() and m[1] in pii.GIVEN["latin", "m"]
+    assert len({m[i] for i in (2, 6, 7, 8, 9)}) == 5 and got[1].kinds == "name,phone" and got[1].n_entities == 8
+    assert not any(w in got[1].text for w in ("John", "Smith", "SMITH", "Wei", "Ahmed", "Hassan", "900123", "0100"))
+    m = re.fullmatch(r"Regards,\n(\w+) (\w+)\n(\w+) wrote 555-0199 of 2020-0101\. (\w+)'s", got[2].text)
+    assert m[1] == m[3] != "Jane" and m[2] == m[4]
+    assert got[3].text == rows[2][1] and got[4].text.startswith("Dear Customer Service, contact us. Contact Us Today, 0")
+    assert re.fullmatch("\x01\x02\x03 12 \x03\x04Dr (\\w+) \x01\\1\x02", got[5].text) and "Who" not in got[5].text
+    assert re.fullmatch(r"Signed by \w+ (\w+); password: [A-Z][a-z]{4}\d{3} \1", got[6].text)
+    assert re.fullmatch(r"Mr (\w+) (\w+), contact \1 \2", got[7].text)
+
+
+def test_names_of_random_rows_like_a_plain_reader(spark):
+    rng = random.Random(9)
+    given, family = ["Zed", "Quill", "Ömer", "Jean-Luc"], ["Stone", "O'Hara", "Reed-Fox", "Иванов"]
+    fillers = ["so", "Stone", "Zed", "it", "Quill's", "O'Hara,", "Reed", "Иванов.", "STONE", "ZED-", "x1"]
+    rows, want = [], {}
+    for i in range(300):
+        names = [(rng.choice(given), rng.choice(family)) for _ in range(rng.randint(0, 2))]
+        known = {w for n in names for w in n}
+        out, masked = [], []
+        for n in names:
+            out.append(f"{rng.choice(['Mr', 'contact', 'signed by'])} {' '.join(n)};")
+            masked.append(out[-1].replace(" ".join(n), "# #"))
+        for w in rng.choices(fillers, k=8):
+            out.append(w)
+            bare = re.match(r"[\w'-]*?(?=(?:'s)?[,.-]*$)", w)[0]
+            masked.append(w.replace(bare, "#") if bare.lower() in {k.lower() for k in known} else w)
+        rows.append((i, " | ".join(out)))
+        want[i] = " | ".join(masked)
+    got = {r.doc_id: r.text for r in pii.replace(documents(spark, rows), "k").collect()}
+    spoken = {}
+    for i, text in rows:
+        parts = re.split("#", want[i])
+        m = re.fullmatch(r"([\w-]+)".join(map(re.escape, parts)), got[i])
+        assert m, (text, want[i], got[i])
+        was = re.fullmatch(r"([\w'-]+?)".join(map(re.escape, parts)), text)
+        for a, b in zip(was.groups(), m.groups()):
+            assert a != b
+            spoken.setdefault(i, {}).setdefault(a.lower(), set()).add(b.lower())
+    assert all(len(b) == 1 for d in spoken.values() for b in d.values())  # one surrogate per word of a row
+    assert len(spoken) > 150
+
+
+def test_numbers_outgrow_their_format(spark, monkeypatch):
+    monkeypatch.setattr(pii, "FULL", 2)
+    kinds = {"phone": [f"{n:02d}" for n in range(100)], "ssn": [f"{n:02d}" for n in range(100)], "card": [f"1{n:02d}" for n in range(100)],
+             "iban": [f"DE00{n}" for n in range(10)], "ip": [f"{n}.0.0.0" for n in range(10)]}
+    rows = [(k, p) for k, ps in kinds.items() for p in ps]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, plain string"), "k").collect()
+    assert len({(r.kind, r.surrogate) for r in got}) == len(rows) and not {(r.kind, r.surrogate) for r in got} & set(rows)
+    long = spark.createDataFrame([("phone", "(1) 2", "34567")], "kind string, raw string, s string")
+    assert long.select(pii.rendered(*[long[c] for c in long.columns])).first()[0] == "(3) 4567"
+
+
 # Weights
 
 
