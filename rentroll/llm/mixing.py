@@ -9,10 +9,11 @@ cells stay at 1 and the others take up what those lack. A document is kept when
 probability, so a rerun keeps the same ones. Only column functions run.
 
 Topics come from a list of patterns (the first that matches; ``prose`` else), as the corpus has no topic column; give
-``topic`` to use another expression.
+``topic``, a column expression of the documents, to use another. Null topics are ``unknown``, as null sources and languages.
 """
 
 import math
+import warnings
 
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def featured(documents, topic=None, seed=7):
     return documents.withColumns({
         "mix_source": F.coalesce(F.col("source"), F.lit(UNKNOWN)),
         "mix_lang": F.coalesce(F.col("lang"), F.lit(UNKNOWN)),
-        "mix_topic": topic_of(whole("text")) if topic is None else topic,
+        "mix_topic": topic_of(whole("text")) if topic is None else F.coalesce(topic, F.lit(UNKNOWN)),
         "mix_tokens": F.regexp_count(whole("text"), F.lit(r"\S+")).cast("bigint"),
         "mix_draw": draw,
     })
@@ -68,7 +69,7 @@ def rake(cells, source_power=0.5, lang_targets=None, topic_targets=None, power=0
 
     Source targets are in proportion to present tokens to ``source_power``; the other targets are given as shares or
     tempered by ``power``. Ends when a pass changes no language or topic factor by more than ``tolerance``, or after
-    ``most`` passes. Margins that no cells can meet (a target for what has no tokens) are left out.
+    ``most`` passes, with a warning. Margins that no cells can meet (a target for what has no tokens) are left out.
     """
     def totals(column):
         return {r[0]: r[1] for r in cells.groupBy(column).agg(F.sum("tokens").cast("double")).collect()}
@@ -112,6 +113,9 @@ def rake(cells, source_power=0.5, lang_targets=None, topic_targets=None, power=0
         after = {**{("l", k): x for k, x in v.items()}, **{("t", k): x for k, x in w.items()}}
         if all(math.isclose(before[k], x, rel_tol=tolerance) for k, x in after.items()):
             break
+    else:
+        moved = max((abs(x / (before[k] or 1.0) - 1) for k, x in after.items()), default=0.0)
+        warnings.warn(f"raking stopped after {most} passes, the last moved a factor by {moved:.2g} of itself", stacklevel=2)
     return with_factor().select("source", "u", F.inline("cells")).select(
         "source", "lang", "topic", "tokens", (F.col("u") * numbers(v, F.col("lang")) * numbers(w, F.col("topic"))).alias("factor")
     )
@@ -136,7 +140,7 @@ def probabilities(cells, budget, source_power=0.5, lang_targets=None, topic_targ
     The expected tokens are the share ``budget`` of all. A source, language or topic that has fewer than its target is
     taken whole and the others share the rest of the budget by their targets. A pass finds each source's factor with its
     full cells at 1, then moves the languages' and topics' factors by what their other cells lack. It ends when both margins
-    are within ``tolerance`` of what was to be reached, or after ``most`` passes; then the sources still hold.
+    are within ``tolerance`` of what was to be reached, or after ``most`` passes, with a warning; then the sources still hold.
     """
     def totals(column):
         return {r[0]: r[1] for r in cells.groupBy(column).agg(F.sum("tokens").cast("double")).collect()}
@@ -199,6 +203,8 @@ def probabilities(cells, budget, source_power=0.5, lang_targets=None, topic_targ
                     free = sum(r.free * by[1 - i][r[1 - i]] for r in held if r[i] == k)
                     by[i][k] = min(5.0, max(0.2, lacks / free)) if free else 1.0 if lacks >= -tolerance * x else 0.5
         v, w = {k: min(1e12, x * by[0][k]) for k, x in v.items()}, {k: min(1e12, x * by[1][k]) for k, x in w.items()}
+    else:
+        warnings.warn(f"probabilities stopped after {most} passes, a margin was off by {max(off):.2g} of itself", stacklevel=2)
     return by_cell().select("source", "lang", "topic", F.col("p").alias("probability"))
 
 
@@ -241,14 +247,20 @@ def with_weights(features, weights):
     return features.join(per_cell, list(names.values())).withColumn("kept", F.col("mix_draw") < F.col("probability"))
 
 
-def mix(documents, budget=0.5, **targets):
+def selected(documents, topic, *more):
+    """The featured rows of documents whose other columns may have any names."""
+    given = [] if topic is None else [topic.alias("topic")]
+    return featured(documents.select("doc_id", "text", "lang", "source", *given, *more), topic if topic is None else F.col("topic"))
+
+
+def mix(documents, budget=0.5, topic=None, **targets):
     """One row per row of ``documents`` (doc_id, text, lang, source): its cell, weight, probability and ``kept``.
 
-    Null source, lang or text count as unknown and empty. Repeated rows share their draw, so all or none are kept. An
+    ``topic`` is a column expression of the documents' columns (default: ``topic_of`` the text). Null source, lang, topic or
+    text count as unknown and empty. Repeated rows share their draw, so all or none are kept. An
     empty table gives an empty result.
     """
-    features = featured(documents.select("doc_id", "text", "lang", "source"))
-    features = save(features.select("doc_id", *FEATURES), "features")
+    features = save(selected(documents, topic).select("doc_id", *FEATURES), "features")
     found = with_weights(features, weigh(features, budget, **targets))
     return found.select(
         "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
@@ -256,9 +268,9 @@ def mix(documents, budget=0.5, **targets):
     )
 
 
-def sample(documents, budget=0.5, **targets):
+def sample(documents, budget=0.5, topic=None, **targets):
     """The rows of ``documents`` that the mix keeps, with their columns as they are."""
     row = F.struct(*[documents[c] for c in documents.columns]).alias("row")  # its columns may have names used here
-    features = featured(documents.select("doc_id", "text", "lang", "source", row)).select("row", *FEATURES)
+    features = selected(documents, topic, row).select("row", *FEATURES)
     found = with_weights(features, weigh(features, budget, **targets))
     return found.filter("kept").select(*[F.col(f"row.{c}") for c in documents.columns])

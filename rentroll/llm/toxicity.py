@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rentroll.llm.shared import whole
+from rentroll.llm.shared import save, whole
 
 # Common insults in the languages of the corpus.
 SEEDS = """
@@ -119,7 +119,8 @@ class Lexicon:
 
 
 def training_rows(documents, labels, train_rows):
-    """doc_id, text, toxic and fold half of the labelled documents to learn from."""
+    """doc_id, text, toxic and fold half of at most ``train_rows`` labelled documents; rows that share a doc_id count once,
+    with their smallest text."""
     given = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
         .filter(~held_out("doc_id"))
@@ -130,7 +131,8 @@ def training_rows(documents, labels, train_rows):
     )
     half = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).cast("int")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole("text").alias("text"))
-    return texts.join(F.broadcast(given), "doc_id").withColumn("half", half)  # at most train_rows small rows
+    found = texts.join(F.broadcast(given), "doc_id")  # at most train_rows small rows
+    return save(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("half", half), "training")
 
 
 def held_out(column):
@@ -195,17 +197,29 @@ def curve(features, toxic):
     return tuple(b.tolist())
 
 
-def learn(documents, labels, train_rows=20_000, entries=5_000):
-    """(weights, curve): the model, of at most ``entries`` learned entries, from at most ``train_rows`` documents."""
+def may_count(totals, certain=3.2, least=5):
+    """Condition on entries: seeds, and those in more toxic documents than others that ``weights_from`` can choose on a half
+    or on both."""
+    either = F.lit(False)
+    for halves in ("0", "1", "01"):
+        p, n = (sum([F.col(c + h) for h in halves], F.lit(0)) for c in "pn")
+        n_pos, n_neg = (sum([totals[c + h] for h in halves]) for c in "pn")
+        weight = F.log((p + 0.5) / (n_pos + 1)) - F.log((n + 0.5) / (n_neg + 1))
+        either |= (p >= least) & (weight / F.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)) >= certain - 1e-9)
+    return F.col("entry").isin(SEED_ENTRIES) | ((F.col("p0") + F.col("p1") > F.col("n0") + F.col("n1")) & either)
+
+
+def learn(documents, labels, train_rows=20_000):
+    """(weights, curve): the model, learned from at most ``train_rows`` documents.
+
+    Spark counts the entries and leaves out those that are too rare or too uncertain to enter the lexicon; every other
+    entry is weighed.
+    """
     rows = training_rows(documents, labels, train_rows)
-    counts = counted(rows)
-    sure = F.col("p0") + F.col("p1")
-    lift = F.log((sure + 0.5) / (F.col("n0") + F.col("n1") + 0.5))
-    table = counts.filter("entry = ''").unionByName(
-        counts.filter(((sure >= 3) & (lift > 0)) | F.col("entry").isin(SEED_ENTRIES))
-        .orderBy(F.desc(lift * F.sqrt(sure)), "entry")
-        .limit(entries)
-    ).toPandas()
+    counts = save(counted(rows), "entry-counts")
+    names = ["p0", "p1", "n0", "n1"]
+    totals = counts.filter("entry = ''").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first().asDict()
+    table = counts.filter((F.col("entry") == "") | may_count(totals)).toPandas()
     halves = [weights_from(table, f"p{h}", f"n{h}") for h in (0, 1)]
     table["p"], table["n"] = table["p0"] + table["p1"], table["n0"] + table["n1"]
     other = F.pandas_udf(reader_of(halves), "heaviest double, log double, density double")

@@ -397,6 +397,20 @@ def test_mix_of_edge_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.sample(df.limit(0)).count() == 0
 
 
+def test_topics_may_be_given(spark):
+    rows = [(i, "de" if i % 2 else None, "s", f"w{i} x", [None, "a", "b"][i % 3], "theirs") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string, subject string, row string")
+    got = mixing.mix(df, topic=F.col("subject"), topic_targets={"unknown": 0.2, "a": 0.5, "b": 0.3}).collect()
+    assert Counter(r.topic for r in got) == {"unknown": 20, "a": 20, "b": 20}
+    assert abs(sum(r.n_tokens * r.weight for r in got if r.topic == "a") / 120 - 0.5) < 1e-4
+    kept = mixing.sample(df, topic=F.col("subject"))
+    assert kept.columns == df.columns and {r.row for r in kept.collect()} == {"theirs"}
+    cells = df.groupBy("source", "lang", F.col("subject").alias("topic")).agg(F.lit(5).cast("bigint").alias("tokens")).fillna("unknown")
+    cells = cells.withColumn("tokens", F.when(F.col("lang") == "de", F.length("topic") ** 2).otherwise(3).cast("bigint"))
+    with pytest.warns(UserWarning, match="raking stopped after 1 passes"):
+        mixing.rake(cells, most=1)
+
+
 def test_kept_tokens_meet_the_targets(spark):
     docs = shared.table(spark, "/root/testdata/sf0.1", "documents")
     rows = mixing.mix(docs).collect()
@@ -440,6 +454,31 @@ def test_styled_letters_are_folded(word):
     assert toxicity.fold(f"you {word}!").split() == ["you", "idiot"]
 
 
+def test_lexicon_like_a_plain_scan():
+    rng = random.Random(3)
+    for _ in range(300):
+        lexicon = {f" {''.join(rng.choices('abc', k=rng.randint(2, 4)))}{rng.choice([' ', ''])}": rng.randint(1, 9) for _ in range(6)}
+        phrases = [" ".join("".join(rng.choices("abc", k=rng.randint(1, 3))) for _ in range(2)) for _ in range(2)]
+        text = " ".join("".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 30)))
+        folded = toxicity.fold(text)
+        excused = {i for p in phrases for at in range(len(folded)) if folded.startswith(f" {p} ", at) for i in range(at, at + len(p) + 1)}
+        weights = []
+        for at in range(len(folded)):
+            found = [w for e, w in lexicon.items() if folded.startswith(e, at) and (e[-1] == " " or folded[at + len(e)] != " ")]
+            if found and at not in excused:
+                weights.append(max(found))
+        total = sum(weights)
+        want = max(weights, default=0.0), np.log1p(total), total / np.sqrt(1 + folded.count(" "))
+        assert toxicity.Lexicon(lexicon, phrases).read(text) == want, (lexicon, phrases, text)
+
+
+def test_training_rows_are_bounded(spark):
+    df = documents(spark, [(i % 3 + 1, f"text {i}") for i in range(3000)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 4)], "doc_id bigint, quality int, toxic int")
+    rows = toxicity.training_rows(df, labels, 2).collect()
+    assert len(rows) <= 2 and {r.text for r in rows} <= {"text 0", "text 1", "text 10"}
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (shared.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     rows = toxicity.judged(docs, labels).join(labels, "doc_id").filter("held_out").collect()
@@ -473,9 +512,22 @@ def test_pipeline_stages_against_brute_force(spark):
         if name != "token_files":
             assert docs.columns == first.columns
             assert set(seen[name][1]) <= set(rows)
-    toxic = {r.doc_id for r in shared.table(spark, SF, "labels").filter("toxic = 1").collect()}
-    before, after = ([r.doc_id for r in x] for x in seen["toxicity"])
-    assert len(set(before) - set(after) - toxic) < 0.1 * len(before)
+    labels = shared.table(spark, SF, "labels")
+    weights, (base, *by) = toxicity.learn(first, labels)
+    lexicon = toxicity.Lexicon(weights, toxicity.EXCEPTIONS)
+    before, after = seen["toxicity"]
+    assert {r.doc_id for r in after} == {r.doc_id for r in before if base + np.dot(lexicon.read(r.text or ""), by) < 0}
+    marked = {r.doc_id: r.toxic for r in labels.collect()}
+    gone = {r.doc_id for r in before} - {r.doc_id for r in after}
+    clean, toxic = ({r.doc_id for r in before if marked.get(r.doc_id) == t} for t in (0, 1))
+    assert len(gone & clean) < 0.02 * len(clean) and len(gone & toxic) > 0.7 * len(toxic)
+    before, after = seen["mixing"]
+    given = spark.createDataFrame(before, first.schema)
+    chances = {r.doc_id: r.probability for r in mixing.mix(given).collect()}
+    assert sum(r.doc_id in chances for r in after) == len(after) and all(chances[r.doc_id] > 0 for r in after)
+    n = {r.doc_id: len(re.findall(r"\S+", r.text or "")) for r in before}
+    spread = sum(n[i] ** 2 * p * (1 - p) for i, p in chances.items()) ** 0.5
+    assert abs(sum(n[r.doc_id] for r in after) - sum(n[i] * p for i, p in chances.items())) <= 4 * spread + 1
     before, after = seen["near_dedup"]
     ordered = sorted(before, key=lambda r: r.doc_id)
     classes = plain_with_index(ordered)
