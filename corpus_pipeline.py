@@ -45,7 +45,7 @@ STAGES = [
     ("token_files", encoded),
 ]
 
-#: No SQL: the first two stages learn a model and sketch texts. tests/llm/test_pipeline.py holds run() against brute force.
+#: No SQL: the first two stages learn a model and sketch texts. tests/llm/test_texts.py holds run() against brute force.
 ORACLE_SQL = None
 
 
