@@ -85,18 +85,18 @@ PATTERNS = [
     rf"{START}[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{0,126}}{TLD}",  # a domain has 127 labels at most
     r"\bAKIA[0-9A-Z]{16}\b",
     rf"(?<=[=: \"'])(?<=(?<![A-Za-z]){KEYWORDS} ?[=:] ?[\"']?)[A-Za-z0-9+/_.!@#-]{{6,}}+",
-    rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
-    r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
-    r"(?<![\d-])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\d-])",
-    r"(?<![\d.,/+-])(?:0\d{2} \d{4} \d{4}|0\d{3} \d{3} ?\d{4}|0\d{4}[ -]\d{6}|0\d{4} \d{3} \d{3}|0[1-9](?:[ .]\d\d){4})(?![\d-])",
-    rf"(?<![\d.,/+-])(?=\d{{3}}[-. ]\d|0\d)(?:{NEAR_PHONE}(?:\d{{3}}-\d{{4}}|\d{{3}}[ .]\d{{3}}[ .]\d{{4}}|0\d{{1,4}}[ /-]\d{{3,8}}|0\d{{8,11}}))(?![\d-])",
-    r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    rf"(?=[\d(+])(?:(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"  # numbers, looked for only where one may begin
+    r"|(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+    r"|(?<![\d-])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\d-])"
+    r"|(?<![\d.,/+-])(?:0\d{2} \d{4} \d{4}|0\d{3} \d{3} ?\d{4}|0\d{4}[ -]\d{6}|0\d{4} \d{3} \d{3}|0[1-9](?:[ .]\d\d){4})(?![\d-])"
+    rf"|(?<![\d.,/+-])(?=\d{{3}}[-. ]\d|0\d)(?:{NEAR_PHONE}(?:\d{{3}}-\d{{4}}|\d{{3}}[ .]\d{{3}}[ .]\d{{4}}|0\d{{1,4}}[ /-]\d{{3,8}}|0\d{{8,11}}))(?![\d-])"
+    r"|(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
     r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     r"(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])",
     NAME,
 ]
 ENTITY = "|".join(PATTERNS)
-HINT = rf"[0-9@]|{KEYWORDS}|\b(?:{'|'.join(ALL_TITLES + ALL_GIVEN)})\b|(?<!\p{{L}})(?i:{'|'.join(CUES)})[:,]?\s{{1,3}}\p{{Lu}}"
+HINT = rf"[0-9@]|{KEYWORDS}|\b(?:{'|'.join(ALL_TITLES + ALL_GIVEN)})\b|(?=\p{{Lu}}){CUE}"  # the capital first: few places look back
 # Marks around what was found and before a typed word of a name; a text that has such characters carries them escaped.
 FOUND, TYPED, ESCAPE = "\x01", "\x02", "\x03"
 ESCAPED = {ESCAPE: "\x03\x06", FOUND: "\x03\x04", TYPED: "\x03\x05"}
