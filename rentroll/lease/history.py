@@ -192,12 +192,20 @@ def fleet_overheads(w):
 
 
 def _documents(w, documents, key, contract_key):
+    """Documents with the contracts of their key and those contracts' assets, each row once.
+
+    Every column of both sides is in the result, so rows are told apart before documents and contracts meet: their pairs are
+    many times the contracts, and are neither shuffled nor sorted again. What a join has put together by the asset or the
+    contract needs no shuffle to be told apart.
+    """
     contract = w("flat_contracts").select(
         F.col(contract_key).alias("_key"), F.col("id").alias("contract_id"), "sequence_number", "customer_name", F.col("status").alias("contract_status"), "product", "commencement_date"
     )
     link = w("flat_equipment").select("contract_id", "asset_id", "terminated_on", "contract_mileage")
     asset = w("flat_assets").select(F.col("id").alias("asset_id"), "registration_number")
-    return documents.join(contract, documents[key] == F.col("_key")).join(link, "contract_id").join(asset, "asset_id").drop("_key").distinct()
+    held = contract.join(link.join(asset, "asset_id").distinct(), "contract_id").distinct()
+    documents = documents.distinct()
+    return documents.join(held, documents[key] == F.col("_key")).drop("_key")
 
 
 def application_documents(w):

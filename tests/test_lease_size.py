@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from rentroll.lease import finance
+from rentroll.lease import finance, history
 from rentroll.plans.lease.fixture import warehouse
 from rentroll.sources.tables import Tables
 
@@ -38,3 +38,20 @@ def test_moves_meet_leases_by_asset_alone(w, monkeypatch):
     assert "_level" not in plan_of(stored[0])
     top = plan_of(stored[0]).split("SortMergeJoin")[0]
     assert "Exchange" not in top  # months are summed where the asset's moves are
+
+
+def test_pairs_of_documents_and_contracts_stay_where_they_are(w):
+    plan = plan_of(history.application_documents(w))
+    assert "Exchange" not in plan.split("SortMergeJoin")[0]
+    assert "Aggregate" not in plan.split("SortMergeJoin")[0]
+
+
+def test_rows_of_documents_come_once(spark):
+    """Repeated rows of any part, as the distinct over all pairs told them apart."""
+    frames = {
+        "flat_contracts": spark.createDataFrame([("1", "L1", "n", "s", "p", "2001-01-01", "APP")] * 2, "id string, sequence_number string, customer_name string, status string, product string, commencement_date string, application_name string"),
+        "flat_equipment": spark.createDataFrame([("1", "7", None, 3)] * 3 + [("1", "7", "2001-01-01", 3)], "contract_id string, asset_id string, terminated_on string, contract_mileage int"),
+        "flat_assets": spark.createDataFrame([("7", "R7")] * 2, "id string, registration_number string"),
+        "flat_application_documents": spark.createDataFrame([(5, "APP", "doc")] * 2 + [(6, "APP", "doc")], "document_id long, application_name string, title string"),
+    }
+    assert history.application_documents(frames.__getitem__).count() == 4
