@@ -10,6 +10,7 @@ from rentroll.lease.parts import as_amounts, config, current_assets, current_cus
 from rentroll.lease.warehouse import view
 from rentroll.operators import timeline, versions
 from rentroll.operators.hot import split_join
+from rentroll.operators.joins import large
 from rentroll.operators.status import funding_status
 
 # Allocation texts that decide the kind of an order.
@@ -39,12 +40,12 @@ def order_versions(w):
     details = w("dim_additional_details").select(
         "sk_additional_details", "allocated_status_id", "available_from", F.col("start_date").alias("details_start"), F.col("end_date").alias("details_end"), F.col("created_time").alias("details_created")
     )
-    asset = w("dim_asset").withColumnRenamed("bk_asset_id", "asset_id").join(procured(w).select("asset_id"), "asset_id", "left_semi")
+    asset = w("dim_asset").withColumnRenamed("bk_asset_id", "asset_id").join(large(procured(w).select("asset_id")), "asset_id", "left_semi")
     rows = (
         w("fact_asset_status").select("sk_asset", "sk_asset_status", "sk_additional_details")
         .join(status, "sk_asset_status", "left_semi")
-        .join(asset, "sk_asset")
-        .join(details, "sk_additional_details")
+        .join(large(asset), "sk_asset")
+        .join(large(details), "sk_additional_details")
         .join(config(w, "allocated_status_id", "allocated_status"), "allocated_status_id", "left")
     )
     unset = F.lit(UNKNOWN_START)
@@ -78,7 +79,7 @@ def funded(w):
     """What has been invoiced for each asset, less tax, per invoice row."""
     zero = F.lit(0)
     paid = F.coalesce("acquisition_cost_amount", zero) + F.coalesce("other_cost_amount", zero) - F.coalesce("vat_amount", zero)
-    rows = w("fact_payable_invoice_asset").join(current_assets(w).select("asset_id", "sk_asset"), "sk_asset").withColumn("funded", paid)
+    rows = w("fact_payable_invoice_asset").join(large(current_assets(w).select("asset_id", "sk_asset")), "sk_asset").withColumn("funded", paid)
     return with_day(w, rows, "sk_date_record", "invoice_date").select("asset_id", "invoice_date", "funded")
 
 
@@ -89,12 +90,12 @@ def migrated_assets(w):
     full = first.filter(F.col("funding_status") == "FullyFunded").select("asset_id")
     own = w("flat_assets").filter(F.col("source_system") == w.settings.new_system).select("id", "equipment_id")
     old = w("flat_assets").filter(F.col("source_system") == w.settings.old_system).select("equipment_id")
-    both = own.join(old, "equipment_id", "left_semi").select("id")
+    both = own.join(large(old), "equipment_id", "left_semi").select("id")
     value = versions.first_per_key(order_versions(w), ["asset_id"], F.col("recorded_from"), F.col("sk_asset")).select(
         "asset_id", F.col("book_value_amount").alias("migrated_amount")
     )
-    named = full.withColumn("id", F.col("asset_id").cast("string")).join(both, "id", "left_semi").select("asset_id")
-    return named.join(value, "asset_id")
+    named = full.withColumn("id", F.col("asset_id").cast("string")).join(large(both), "id", "left_semi").select("asset_id")
+    return named.join(large(value), "asset_id")
 
 
 def asset_funding(w):
@@ -103,9 +104,9 @@ def asset_funding(w):
     zero = F.lit(0)
     rows = (
         order_versions(w).select("asset_id").distinct()
-        .join(asset_sheet(w).select("asset_id", "adjusted_book_value"), "asset_id")
-        .join(totals, "asset_id", "left")
-        .join(migrated_assets(w), "asset_id", "left")
+        .join(large(asset_sheet(w).select("asset_id", "adjusted_book_value")), "asset_id")
+        .join(large(totals), "asset_id", "left")
+        .join(large(migrated_assets(w)), "asset_id", "left")
         .withColumn("total_funded", F.coalesce("funded", zero) + F.coalesce("migrated_amount", zero))
     )
     migrated_on = F.when(F.col("migrated_amount").isNotNull(), F.lit(w.settings.migration_day))

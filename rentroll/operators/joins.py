@@ -12,6 +12,15 @@ def star_join(fact, *dims):
     return fact
 
 
+def large(df):
+    """A join side with a row for every asset, customer or line: sorted and merged, never broadcast.
+
+    Spark takes a side for small by the compressed size of its files. Dense keys and repeated texts of a million rows take a
+    few MB there and a hundred in the driver that builds the broadcast.
+    """
+    return df.hint("merge")
+
+
 def either_key_join(left, right, first, second):
     """Inner join on ``first OR second`` as two hash joins.
 

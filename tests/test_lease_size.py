@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from rentroll.lease import finance, history
+from rentroll.lease import finance, history, procurement
 from rentroll.plans.lease.fixture import warehouse
 from rentroll.sources.tables import Tables
 
@@ -55,3 +55,11 @@ def test_rows_of_documents_come_once(spark):
         "flat_application_documents": spark.createDataFrame([(5, "APP", "doc")] * 2 + [(6, "APP", "doc")], "document_id long, application_name string, title string"),
     }
     assert history.application_documents(frames.__getitem__).count() == 4
+
+
+def test_assets_are_never_broadcast(w, spark):
+    """Spark takes a million dense keys for small by their files; the driver would build them as broadcasts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    plan = plan_of(procurement.asset_funding(w))
+    sides = re.findall(r"BroadcastExchange[^\n]*\n(.*?)FileScan parquet \[(\w+)", plan, re.S)
+    assert {first for _, first in sides} <= {"sk_asset_status", "bk_detail_config_id", "sk_date"}
