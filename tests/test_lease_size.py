@@ -63,3 +63,7 @@ def test_assets_are_never_broadcast(w, spark):
     plan = plan_of(procurement.asset_funding(w))
     sides = re.findall(r"BroadcastExchange[^\n]*\n(.*?)FileScan parquet \[(\w+)", plan, re.S)
     assert {first for _, first in sides} <= {"sk_asset_status", "bk_detail_config_id", "sk_date"}
+
+
+def test_leases_are_numbered_once_and_stored(w):
+    assert "Window" not in plan_of(history.fleet_with_leases(w))
