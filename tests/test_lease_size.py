@@ -1,10 +1,12 @@
 """What the lease reports shuffle: plans that keep it in proportion to the tables."""
 
 import re
+from datetime import date
 
 import pytest
 
-from rentroll.lease import finance, history, procurement
+from rentroll.lease import contracts, finance, history, procurement, receivables
+from rentroll.lease.warehouse import Settings, Warehouse
 from rentroll.plans.lease.fixture import warehouse
 from rentroll.sources.tables import Tables
 
@@ -67,3 +69,37 @@ def test_assets_are_never_broadcast(w, spark):
 
 def test_leases_are_numbered_once_and_stored(w):
     assert "Window" not in plan_of(history.fleet_with_leases(w))
+
+
+def test_sums_and_next_day_come_from_one_pass(w):
+    plan = plan_of(receivables.customer_receivables(w))
+    assert len(re.findall(r"FileScan parquet [^\n]*sk_invoice_run_date", plan)) == 1
+
+
+def test_next_day_counts_over_all_rows_of_a_contract(spark, monkeypatch):
+    """Two customers on one contract: both rows show its soonest day; a contract without a coming day is left out."""
+    sums = ", ".join(f"cast(1 as decimal(18,4)) {c}" for c in receivables.SUMS)
+    rows = spark.sql(f"""SELECT *, {sums}, 1 days_late_count, 1 days_since_due FROM VALUES
+        (1L, 's', 1L, 'a', 'p', DATE '2001-08-01'), (1L, 's', 2L, 'b', 'p', DATE '2001-07-01'), (1L, 's', 2L, 'b', 'p', DATE '2001-01-01'),
+        (2L, 't', 1L, 'a', 'p', DATE '2001-06-30'), (NULL, 'u', 1L, 'a', 'p', DATE '2001-09-01')
+        AS v(contract_id, sequence_number, customer_id, customer_name, product_name, due_date)""")
+    monkeypatch.setattr(receivables, "invoice_details", lambda w: rows)
+    got = receivables.lease_receivables(Warehouse(spark, None, Settings(as_of=date(2001, 6, 30)))).collect()
+    assert {(r.contract_id, r.customer_id, str(r.next_due), int(r.invoice_amount)) for r in got} == {(1, 1, "2001-07-01", 1), (1, 2, "2001-07-01", 2)}
+    assert len(got) == 2
+
+
+def test_parts_of_one_key_take_one_shuffle(w):
+    mixed = contracts.contracts_with(w, "migrated", "sales_rep", "balloon")
+    grouped = contracts.contracts_with(w, "sales_rep", "migrated", "balloon")
+    assert len(shuffles(mixed)) == len(shuffles(grouped))
+
+
+def test_facts_of_leased_assets_are_shuffled_for_asset_marks_and_heads_alone(w):
+    """Not once for each of contract, finance and customer."""
+    wide = [line for line in plan_of(contracts.leased_now(w)).splitlines() if "SortMergeJoin" in line and "sk_customer" in line]
+    assert any("sk_contract" in line and "sk_lease_finance" in line for line in wide)
+
+
+def test_charges_are_summed_once(w):
+    assert plan_of(contracts.charges_by_asset(w)).count("HashAggregate") == 2
