@@ -7,13 +7,14 @@ from rentroll.functions.nulls import default_to
 from rentroll.functions.text import concat_strict, varchar
 from rentroll.lease.assets import asset_features, asset_sheet
 from rentroll.lease.contracts import (
-    asset_rentals,
     assets_in_application_latest,
     charges_detail,
     contracts_with,
     credit_applications,
     lease_assets_all,
     lease_assets_live,
+    rental_fleet,
+    rentals_of,
 )
 from rentroll.lease.parts import as_amounts
 from rentroll.lease.receivables import customers
@@ -88,11 +89,11 @@ def stock_assets(w):
 
 def rental_availability(w):
     """Commercial rental vehicles not on hire; the next test is due a year after the last one passed."""
-    free = asset_rentals(w).filter(
-        (F.col("category_name") == "Commercial Vehicles")
-        & F.col("utilised").isin("In Application", "No")
-        & F.col("asset_status").isin("Inventory", "Leased")
-    )
+    sheet = rental_fleet(w).filter(
+        (F.col("category_name") == "Commercial Vehicles") & F.col("asset_status").isin("Inventory", "Leased")
+    ).select("asset_id", "registration_number", "mot_passed_date", "asset_status")
+    contract = contracts_with(w, "product").select("contract_id", "product_name", "status")
+    free = rentals_of(w, sheet, contract).filter(F.col("utilised").isin("In Application", "No"))
     return free.select(
         "asset_id",
         "registration_number",

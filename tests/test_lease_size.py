@@ -5,9 +5,10 @@ from datetime import date
 
 import pytest
 
-from rentroll.lease import contracts, finance, history, procurement, receivables
-from rentroll.lease.warehouse import Settings, Warehouse
-from rentroll.plans.lease.fixture import warehouse
+from rentroll.lease import assets, contracts, finance, fleet, history, procurement, receivables
+from rentroll.lease.warehouse import Settings, Warehouse, of_assets
+from rentroll.operators import hot
+from rentroll.plans.lease.fixture import STORED, warehouse
 from rentroll.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +104,40 @@ def test_facts_of_leased_assets_are_shuffled_for_asset_marks_and_heads_alone(w):
 
 def test_charges_are_summed_once(w):
     assert plan_of(contracts.charges_by_asset(w)).count("HashAggregate") == 2
+
+
+def same(a, b):
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_a_part_of_the_fleet_has_the_rows_of_the_whole(w):
+    chosen = contracts.rental_fleet(w).filter("asset_id % 3 = 0").select("asset_id")
+    own = of_assets(w, chosen)
+    columns = "contract_id", "asset_id", "total_charge", "termination_date"
+    for view, names in ((contracts.lease_assets_all, columns), (assets.in_application, ("asset_id", "stage", "opp_number")), (finance.latest_leases, columns[:2])):
+        whole = view(w).select(*names).join(chosen, "asset_id", "left_semi")
+        assert not whole.isEmpty() and same(view(own).select(*names), whole.select(*names))
+
+
+def test_rental_reports_copy_no_star_table(w, monkeypatch):
+    """Facts meet the assets of the report before anything else, and no more columns than it shows are stored."""
+    stored = {}
+    monkeypatch.setattr(hot, "materialise", lambda df, name: stored.setdefault(name, df))
+    fleet.rental_availability(w)
+    assert not {name for app, root, name in STORED} & {"fact_lease_asset", "dim_lease_asset", "dim_contract", "dim_asset", "asset_sheet"}
+    assert len(stored["base"].columns) == 6
+    first = [line for line in plan_of(stored["many"]).splitlines() if "sk_asset" in line and "Join" in line][-1]
+    assert "LeftSemi" in first
+
+
+def test_old_contract_versions_leave_first(w):
+    joins = [line for line in plan_of(contracts.finance_rows(w)).splitlines() if "SortMergeJoin" in line]
+    place = {key: max(i for i, line in enumerate(joins) if key in line) for key in ("sk_contract", "sk_lease_finance", "sk_customer")}
+    assert place["sk_contract"] > max(place["sk_lease_finance"], place["sk_customer"])
+
+
+def test_leased_assets_go_on_with_their_contract_alone(w):
+    """The asset and its mark are looked up after version, finance and customer have become one contract."""
+    rows = contracts.leased_now(w).select("contract_id", "asset_id", "rent_amount")
+    marks = [s for s in re.findall(r"Exchange hashpartitioning\(sk_lease_asset[^\n]*\n[^\n]*Project \[([^\n]*)\]", plan_of(rows)) if "rent_amount" in s]
+    assert marks and not any("sk_customer" in s or "sk_lease_finance" in s for s in marks)
