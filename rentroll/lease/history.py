@@ -16,7 +16,7 @@ from rentroll.lease.finance import (
 from rentroll.lease.parts import as_amounts, config, current_assets, current_contracts, current_customers, lookup, products, registrations, serials, with_day
 from rentroll.lease.pipeline import contract_events
 from rentroll.lease.receivables import sundry_details
-from rentroll.lease.warehouse import view
+from rentroll.lease.warehouse import of_assets, view
 from rentroll.operators import versions
 from rentroll.operators.hot import attach_many, ordered_columns, split_join
 from rentroll.operators.joins import either_key_join, text_key_join
@@ -478,10 +478,12 @@ def rental_utilisation(w):
         "asset_id", "registration_number", "asset_status", "asset_sub_type", "depreciation_value", "rv_maturity_date"
     )
     heads = contract_sheet(w).select("contract_id", "sequence_number", F.col("status").alias("booking_status"), "commencement_date", "maturity_date", "party_name", "product_name", "payment_method", "sales_rep")
-    app = in_application_once(w).select("asset_id", F.col("stage").alias("application_stage"), "opp_number")
-    charges = charges_by_asset(w).select("contract_id", "asset_id", "charges")
-    value = asset_value(w).select("asset_id", F.col("last_book_value").alias("equipment_nbv"))
-    rows = sheet.join(latest_leases(w), "asset_id", "left").join(app, "asset_id", "left").join(value, "asset_id", "left")
+    # All but the contract is read for these assets alone.
+    own = of_assets(w, sheet)
+    app = in_application_once(own).select("asset_id", F.col("stage").alias("application_stage"), "opp_number")
+    charges = charges_by_asset(own).select("contract_id", "asset_id", "charges")
+    value = asset_value(own).select("asset_id", F.col("last_book_value").alias("equipment_nbv"))
+    rows = sheet.join(latest_leases(own), "asset_id", "left").join(app, "asset_id", "left").join(value, "asset_id", "left")
     rows = split_join(rows, heads, ["contract_id"], "left").join(charges, ["contract_id", "asset_id"], "left")
     charge = F.coalesce("charges", F.lit(0)) + F.coalesce("rent_amount", F.lit(0))
     status = F.col("asset_status")
