@@ -4,6 +4,7 @@ import re
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from rentroll.lease import assets, contracts, finance, fleet, history, procurement, receivables
 from rentroll.lease.warehouse import Settings, Warehouse, of_assets
@@ -102,6 +103,35 @@ def test_facts_of_leased_assets_are_shuffled_for_asset_marks_and_heads_alone(w):
     assert any("sk_contract" in line and "sk_lease_finance" in line for line in wide)
 
 
+def test_bills_due_read_the_invoice_facts_at_their_source(w):
+    assert "FileScan parquet [sk_invoice_detail" not in plan_of(finance.bills_due(w))
+
+
+def test_charge_lines_meet_the_charges_due_before_they_are_summed(w):
+    assert plan_of(finance.month_charges(w)).count("HashAggregate") == 6
+
+
+def test_facts_of_other_contracts_leave_first(w):
+    joins = [line for line in plan_of(finance.leased_assets_open(w)).splitlines() if "SortMergeJoin" in line]
+    place = {key: max(i for i, line in enumerate(joins) if key in line) for key in ("sk_contract", "sk_lease_finance", "sk_lease_asset", "sk_customer")}
+    assert place["sk_contract"] == max(place.values())
+
+
+def test_finance_of_some_contracts_is_that_of_all(w):
+    """Also where a contract has two current versions and only the one without the latest record has the status."""
+    def commenced(status):
+        return status == "Commenced"
+
+    both = w("dim_contract").filter("bk_contract_id % 3 = 0 AND status = 'InstallingAssets'").withColumn("current_flag", F.lit(1))
+    odd = w("dim_contract").filter("NOT (bk_contract_id % 3 = 0 AND status = 'InstallingAssets')").unionByName(both)
+    facts = w("fact_lease_finance_detail")
+    late = facts.filter("sk_contract % 12 = 3").withColumn("sk_contract", F.col("sk_contract") - 1)
+    made = Warehouse(w.spark, lambda name: {"dim_contract": odd, "fact_lease_finance_detail": facts.unionByName(late)}.get(name) or w(name), w.settings)
+    names = "contract_id", "sk_contract", "status", "total_yield", "maturity_date"
+    whole = contracts.finance_latest(made).filter(commenced(F.col("status"))).select(*names)
+    assert not whole.isEmpty() and same(contracts.finance_latest_of(made, commenced).select(*names), whole)
+
+
 def test_charges_are_summed_once(w):
     assert plan_of(contracts.charges_by_asset(w)).count("HashAggregate") == 2
 
