@@ -17,12 +17,10 @@ def roll_up(df, levels, *values):
 
 
 def pivot_sum(df, keys, by, values, value, names=None):
-    """One summed column per fixed value; absent combinations are zero."""
+    """One summed column per fixed value; absent combinations are zero. Rows are shuffled once, already summed."""
     names = names or [str(v) for v in values]
-    wide = df.groupBy(*keys).pivot(by, list(values)).agg(F.sum(value))
-    return wide.select(
-        *keys, *[amount(F.coalesce(F.col(f"`{v}`"), F.lit(0))).alias(n) for v, n in zip(values, names)]
-    )
+    sums = [F.sum(F.when(F.col(by) == F.lit(v), F.col(value))) for v in values]
+    return df.groupBy(*keys).agg(*[amount(F.coalesce(s, F.lit(0))).alias(n) for s, n in zip(sums, names)])
 
 
 def with_totals(df, keys, *aggs):

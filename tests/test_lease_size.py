@@ -132,6 +132,12 @@ def test_finance_of_some_contracts_is_that_of_all(w):
     assert not whole.isEmpty() and same(contracts.finance_latest_of(made, commenced).select(*names), whole)
 
 
+def test_pivoted_charges_are_shuffled_once(w):
+    plan = plan_of(finance.accruals_pivot(w))
+    assert "pivotfirst" not in plan and "sk_branch" not in plan
+    assert len(re.findall(r"HashAggregate\(keys=\[contract_id#\d+L, asset_id#\d+L", plan)) == 2
+
+
 def test_charges_are_summed_once(w):
     assert plan_of(contracts.charges_by_asset(w)).count("HashAggregate") == 2
 
