@@ -138,6 +138,14 @@ def test_pivoted_charges_are_shuffled_once(w):
     assert len(re.findall(r"HashAggregate\(keys=\[contract_id#\d+L, asset_id#\d+L", plan)) == 2
 
 
+def test_originations_read_leases_of_their_contracts_alone(w):
+    chosen = w("dim_contract").filter("bk_contract_id % 3 = 1").select(F.col("bk_contract_id").alias("contract_id"))
+    names = "contract_id", "asset_id", "nbv_amount"
+    whole = contracts.leased_now(w, inactive=False).join(chosen, "contract_id", "left_semi").select(*names)
+    assert not whole.isEmpty() and same(contracts.leased_now(w, inactive=False, chosen=chosen).select(*names), whole)
+    assert "_split" not in plan_of(history.originations(w))
+
+
 def test_charges_are_summed_once(w):
     assert plan_of(contracts.charges_by_asset(w)).count("HashAggregate") == 2
 
