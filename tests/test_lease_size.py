@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from rentroll.lease import assets, contracts, finance, fleet, history, procurement, receivables
+from rentroll.lease import assets, contracts, debt, finance, fleet, history, procurement, receivables
 from rentroll.lease.warehouse import Settings, Warehouse, of_assets
 from rentroll.operators import hot
 from rentroll.plans.lease.fixture import STORED, warehouse
@@ -146,6 +146,21 @@ def test_originations_read_leases_of_their_contracts_alone(w):
     assert "_split" not in plan_of(history.originations(w))
 
 
+def test_items_leave_with_their_invoice_and_are_read_at_their_source(w):
+    plan = plan_of(debt.open_items(w))
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    place = {key: max(i for i, line in enumerate(joins) if key in line) for key in ("sk_receivable_invoice", "[sk_receivable#", "sk_invoice_detail", "sk_customer")}
+    assert place["sk_receivable_invoice"] == max(place.values())
+    assert "FileScan parquet [sk_invoice_detail" not in plan
+
+
+def test_finance_of_chosen_contracts_is_that_of_all(w):
+    chosen = w("dim_contract").filter("bk_contract_id % 5 = 0").select(F.col("bk_contract_id").alias("contract_id"))
+    names = "contract_id", "customer_id", "sk_lease_finance", "total_yield"
+    whole = contracts.finance_detail(w).join(chosen, "contract_id", "left_semi").select(*names)
+    assert not whole.isEmpty() and same(contracts.finance_detail_of(w, chosen).select(*names), whole)
+
+
 def test_charges_are_summed_once(w):
     assert plan_of(contracts.charges_by_asset(w)).count("HashAggregate") == 2
 
