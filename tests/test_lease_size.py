@@ -161,6 +161,13 @@ def test_finance_of_chosen_contracts_is_that_of_all(w):
     assert not whole.isEmpty() and same(contracts.finance_detail_of(w, chosen).select(*names), whole)
 
 
+def test_invoices_meet_their_contract_once_the_latest_row_is_known(w):
+    plan = plan_of(debt.outstanding_invoices(w))
+    assert "FileScan parquet [sk_invoice_detail" not in plan
+    sent = [s for s in re.findall(r"Exchange hashpartitioning\(contract_id[^\n]*\n[^\n]*Project \[([^\n]*)\]", plan) if "invoice_amount" in s]
+    assert sent and all("_split" in s for s in sent)
+
+
 def test_charges_are_summed_once(w):
     assert plan_of(contracts.charges_by_asset(w)).count("HashAggregate") == 2
 
