@@ -2,7 +2,8 @@
 
 Each round every node hands its larger neighbours, then its smaller ones, to the smallest node it knows. The table stays
 about as large as the links, a hub is a partial minimum and a join that adaptive execution can split, and the number of
-rounds grows with the logarithm of the longest chain.
+rounds grows with the logarithm of the longest chain. Rounds end when the links are stars around their smallest nodes, so
+links that come as stars, or none at all, take no round.
 """
 
 from pyspark.sql import functions as F
@@ -28,8 +29,13 @@ def small_star(links):
     return handed.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct()
 
 
-def state(links):
-    return links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+def apart(links):
+    """Whether ``links`` (larger end first) are anything but stars around their smallest nodes."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("hub")).union(
+        links.select("b", F.lit(0), F.lit(1))
+    )
+    seen = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("hub").alias("hub"))
+    return seen.agg(F.max(F.when(F.col("leaf") + F.col("hub") > 1, 1))).first()[0] is not None
 
 
 def components(links):
@@ -37,10 +43,9 @@ def components(links):
 
     ``links`` has a and b, in any order, any number of times; loops and links with a null are ignored.
     """
-    now = save(links.select("a", "b").na.drop().filter("a != b").distinct(), "links")
-    seen = None
-    while (found := state(now)) != seen:
-        seen = found
+    turned = links.select("a", "b").na.drop().filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = save(turned.distinct(), "links")
+    while apart(now):
         now = save(small_star(large_star(now)), "stars")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()

@@ -18,11 +18,11 @@ connected component of links.
    positional filters of set joins; neither loses a link). Only nodes of different components that meet so are candidates.
    A few rounds compare each group that shares a shingle with one node that has few shingles of its own, which joins
    nearly all of a group; the last step takes every pair that is left. Edited copies have rare shingles of their own, so
-   a large group of them leaves few pairs.
+   a large group of them leaves few pairs. Rounds only save pairs, so when the groups that hold several components have
+   few pairs from the start, the last step follows at once; when no group does, nothing is left to compare.
 """
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ from rentroll.llm.shared import save
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
+FEW = 4  # pairs a row that are compared at once rather than thinned out by rounds
 SKETCHED = [
     StructField("doc_id", LongType()),
     StructField("node", BinaryType()),
@@ -297,53 +298,70 @@ def relabelled(labels, links):
     ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("a", "b")]
     between = links.join(ends[0], "a").join(ends[1], "b")
     joined_ = components(between.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
-    new = joined_.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return renamed(labels, joined_.select(F.col("node").alias("label"), F.col("label").alias("new")))
+
+
+def renamed(labels, new):
+    """Labels with the new ones of (label, new) put in."""
     return save(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
-def further_links(sketches, buckets, labels, compared, least, rounds):
-    """Links between components that the first stars left apart."""
+def further_labels(sketches, buckets, labels, compared, least, rounds):
+    """Labels after the links between components that the first stars left apart."""
     sides = buckets.join(labels, "node")
     open_ = sides.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"))
     nodes = sides.join(open_.filter("x != y and n > 2").select("bucket"), "bucket", "left_semi").select("node").distinct()
     nodes = save(nodes, "open-nodes")
+    if not nodes.count():
+        return labels
     texts = save(texts_of(sketches, nodes), "open-texts")
     rare = save(rare_shingles(texts, least), "rare")
-    tried, found = compared.select("a", "b"), []
+    tried, linked = compared.select("a", "b"), False
     inner = labels.join(nodes, "node", "left_semi")
 
     def check(pairs, name):
-        nonlocal tried, inner
+        nonlocal tried, linked, inner
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         sims = save(verified(ordered.join(tried, ["a", "b"], "left_anti"), texts), name)
         tried = tried.unionByName(sims.select("a", "b"))
         links = sims.filter(F.col("sim") >= least).select("a", "b")
-        found.append(links)
-        inner = relabelled(inner, links)
-
-    for turn in range(rounds):
+        if links.count():
+            linked, inner = True, relabelled(inner, links)
+
+    def every_pair(groups):
+        columns = ("node", "label", "weight", "place")
+        left = save(groups.select("token", *[F.col(c).alias(f"a_{c}") for c in columns]), "left-over")
+        right = left.select("token", *[F.col(f"a_{c}").alias(f"b_{c}") for c in columns])
+        apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
+        meet = may_link(*[(F.col(f"{x}_weight"), F.col(f"{x}_place")) for x in "ab"], least)
+        pairs = left.join(right, "token").filter(apart & meet)
+        check(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "rest")
+
+    for turn in range(rounds + 1):
         groups = rare.join(inner, "node")
         # First the node with the fewest shingles of its own, then others like it: each token picks another one.
         near = F.floor(F.col("own") * 16 / F.col("weight")) + F.pmod(F.xxhash64("node", "token", F.lit(turn)), F.lit(2)) * min(turn, 1)
         order = F.col("own") if turn == 0 else F.xxhash64("token", "node", F.lit(turn))
         rank = F.struct(near.alias("near"), order.alias("order"), "node", "label", "weight", "place")
-        hubs = groups.groupBy("token").agg(F.min(rank).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y"))
-        hubs = hubs.filter("x != y").select("token", "hub")
+        hubs = groups.groupBy("token").agg(
+            F.min(rank).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).cast("double").alias("n")
+        )
+        hubs = save(hubs.filter("x != y").select("token", "hub", "n"), f"apart-{turn}")
+        size = hubs.agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()
+        if size.rows is None:
+            break
+        if turn == rounds or size.pairs <= FEW * size.rows:
+            every_pair(groups.join(hubs.select("token"), "token", "left_semi"))
+            break
         apart = F.col("label") != F.col("hub.label")
         meet = may_link((F.col("weight"), F.col("place")), (F.col("hub.weight"), F.col("hub.place")), least)
-        star = groups.join(hubs, "token").filter(apart & meet)
+        star = groups.join(hubs.select("token", "hub"), "token").filter(apart & meet)
         check(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")), f"hubs-{turn}")
-
-    groups = save(rare.join(inner, "node"), "left-over")
-    still = groups.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
-    left = groups.join(still.select("token"), "token", "left_semi").select(
-        "token", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", "weight", "place")]
-    )
-    right = left.select("token", *[F.col(f"a_{c}").alias(f"b_{c}") for c in ("node", "label", "weight", "place")])
-    apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
-    meet = may_link(*[(F.col(f"{x}_weight"), F.col(f"{x}_place")) for x in "ab"], least)
-    check(left.join(right, "token").filter(apart & meet).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "rest")
-    return reduce(lambda x, y: x.unionByName(y), found)
+    if not linked:
+        return labels
+    # Every link found joins open nodes, so these tell what has become of each label.
+    moved = labels.join(inner.select("node", F.col("label").alias("new")), "node").filter("label != new").select("label", "new")
+    return renamed(labels, moved.distinct())
 
 
 def classes(documents, least=0.8, bands=BANDS, rows=ROWS, rounds=4):
@@ -378,10 +396,9 @@ def members_of(sketches, least=0.8, rounds=4):
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sims = save(verified(pairs, save(texts_of(sketches, ends), "texts")), "similarities")
     links = sims.filter(F.col("sim") >= least).select("a", "b")
-    first = save(components(links), "components")
+    first = components(links)
     labels = save(nodes.select("node").join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-    more = further_links(sketches, buckets, labels, sims, least, rounds)
-    labels = relabelled(labels, more)
+    labels = further_labels(sketches, buckets, labels, sims, least, rounds)
 
     alone = F.concat(F.lit("row "), F.col("row").cast("string")).cast("binary")
     members = sketches.select("doc_id", "row", "node", (F.size("bands") > 0).alias("worded")).join(labels, "node", "left")

@@ -7,6 +7,7 @@ import pyarrow as pa
 from cases import EDGES, bag, documents
 from cases import words as plain_words
 
+from rentroll.llm import components as component_steps
 from rentroll.llm import near_dedup, words
 from rentroll.llm.components import components
 
@@ -106,6 +107,33 @@ def test_components_of_chain_star_and_loop(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def saved_by(monkeypatch, *modules):
+    """Names of the tables that these modules store from now on."""
+    names = []
+    for m in modules:
+        monkeypatch.setattr(m, "save", lambda df, name, f=m.save: names.append(name) or f(df, name))
+    return names
+
+
+def test_steps_end_when_nothing_is_apart(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=80)) for _ in range(6)]
+    names = saved_by(monkeypatch, near_dedup, component_steps)
+    rows = list(enumerate([*texts, texts[0] + " end", texts[1] + " end"], 1))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(documents(spark, rows)).collect()}
+    assert got == {i: i for i in range(1, 7)} | {7: 1, 8: 2}
+    assert names.count("links") == 1 and "stars" not in names  # two links that are stars already
+    assert not [x for x in names if x.startswith(("hubs", "rest", "left-over"))]
+
+
+def test_labels_after_rounds_like_all_pairs(spark, monkeypatch):
+    names = saved_by(monkeypatch, near_dedup)
+    rows = corpus(random.Random(11))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(documents(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == [rows[w][0] for w in plain_classes(rows)]
+    assert "hubs-0" in names  # a large group around the threshold is left to the rounds
+
+
 def test_words_of_a_batch():
     rng = random.Random(6)
     texts = ["".join(rng.choices(" aZ9.é漢\n", k=rng.randint(0, 30))) for _ in range(200)] + [None, ""]
