@@ -1,6 +1,6 @@
 """Collocations from sorted streams of phrase counts.
 
-Every word opens a window of up to four words of its piece. A task sorts the windows of a few megabytes of text and sends
+Every word opens a window of up to four words of its piece. A task sorts the windows of half a megabyte of text and sends
 each distinct one once with its count to the part whose range of windows it lies in; there Spark sorts them in **prefix
 order**. A phrase is a run of neighbouring rows, so one pass reads off the counts of all phrases of one to four words, with
 no table of phrases in memory. Phrases that a cut between two parts divides (at most five at either end of a part) are added
@@ -218,7 +218,7 @@ def places(spark, n):
     return sorted(chosen.get(p, p) for p in range(n))
 
 
-def counts(documents, least, rows=4000, size=2 << 20):
+def counts(documents, least, rows=4000, size=1 << 19):
     """(lang, phrase, size, n): phrases that occur at least ``least`` times, and the words of each language (size 0)."""
     spark = documents.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -320,8 +320,8 @@ def mine(documents, least=30, best=2000, redundant=80):
     ``redundant`` percent as often. Order: score, then a, both falling, then the phrase by its bytes.
 
     Null text counts as empty, null lang as ``und``; doc_id isn't read, so repeated rows count each time; columns of other
-    names don't matter. No documents, or no frequent phrase, give no rows. A task holds the words of about 2 MB of text at
-    once, or of one longer text.
+    names don't matter. No documents, or no frequent phrase, give no rows. A task holds the words of about 0.5 MB of text
+    at once, or of one longer text.
     """
     found = counts(documents, least)
     phrases = found.filter(F.col("size") > 0)

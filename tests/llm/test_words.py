@@ -1,8 +1,10 @@
 """Collocations, pieces and periodic runs against plain readings."""
 
 import hashlib
+import inspect
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -15,7 +17,7 @@ from cases import EDGES, documents
 from pyspark.sql import functions as F
 
 from rentroll.llm import collocations, periodic_runs, piece_codec
-from rentroll.llm.words import buffer_of
+from rentroll.llm.words import buffer_of, parts_of
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -58,6 +60,20 @@ def plain_collocations(rows, least, best, redundant):
     return sorted(out)
 
 
+def test_windows_of_a_task_stay_small():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(vocabulary, k=700)) for _ in range(1000)]  # 4 MB
+    batch = pa.record_batch({"text": pa.array(texts), "lang": pa.array(["en"] * 1000)})
+    given = inspect.signature(collocations.counts).parameters
+    tracemalloc.start()
+    for some in parts_of(batch, "text", given["rows"].default, given["size"].default):
+        collocations.windows_of(some.column("text"), some.column("lang"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20, peak
+
+
 @pytest.mark.parametrize("least,best,redundant", [(2, 2000, 80), (3, 25, 100), (4, 7, 60)])
 def test_collocations_over_many_cuts(spark, least, best, redundant):
     rng = random.Random(least)
