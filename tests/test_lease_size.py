@@ -78,6 +78,27 @@ def test_sums_and_next_day_come_from_one_pass(w):
     assert len(re.findall(r"FileScan parquet [^\n]*sk_invoice_run_date", plan)) == 1
 
 
+def test_an_invoice_version_sends_its_latest_row_before_it_meets_its_invoice(w):
+    """The facts are read at their source, and texts of the invoice are in no shuffle of all facts."""
+    plan = plan_of(receivables.invoices(w))
+    assert "WindowGroupLimit [sk_receivable_invoice" in plan
+    assert "fact_receivable_invoice_detail" not in {name for app, root, name in STORED}
+    sent = [s for s in re.findall(r"Exchange hashpartitioning\((?:sk_invoice_detail|sk_receivable)#[^\n]*\n[^\n]*Project \[([^\n]*)\]", plan) if "invoice_amount" in s]
+    assert sent and not any("invoice_number" in s for s in sent)
+
+
+def test_the_latest_row_of_an_invoice_counts_over_its_versions(w):
+    """The latest row of all versions, also where it is a row of the old one or where the very latest has no receivable."""
+    plain = {(r.bk_receivable_invoice_id, r.balance_amount) for r in receivables.invoice_details(w).select("bk_receivable_invoice_id", "balance_amount").collect()}
+    facts = w("fact_receivable_invoice_detail")
+    lost = facts.withColumns({"sk_date_record": F.lit(99991231).cast("long"), "sk_receivable": F.lit(-5).cast("long"), "balance_amount": F.lit(-1).cast("decimal(18,4)")})
+    late = facts.filter("sk_receivable_invoice % 20 = 0").withColumns({"sk_date_record": F.lit(99991230).cast("long"), "balance_amount": F.lit(-2).cast("decimal(18,4)")})
+    made = Warehouse(w.spark, lambda name: facts.unionByName(lost).unionByName(late) if name == "fact_receivable_invoice_detail" else w(name), w.settings)
+    got = {(r.bk_receivable_invoice_id, r.balance_amount) for r in receivables.invoice_details(made).select("bk_receivable_invoice_id", "balance_amount").collect()}
+    assert plain and {b for b, _ in got} == {b for b, _ in plain}
+    assert all((b, a) in plain or (a == -2 and b % 10 == 0) for b, a in got) and any(a == -2 for _, a in got)
+
+
 def test_next_day_counts_over_all_rows_of_a_contract(spark, monkeypatch):
     """Two customers on one contract: both rows show its soonest day; a contract without a coming day is left out."""
     sums = ", ".join(f"cast(1 as decimal(18,4)) {c}" for c in receivables.SUMS)
