@@ -228,3 +228,77 @@ def test_leased_assets_go_on_with_their_contract_alone(w):
     rows = contracts.leased_now(w).select("contract_id", "asset_id", "rent_amount")
     marks = [s for s in re.findall(r"Exchange hashpartitioning\(sk_lease_asset[^\n]*\n[^\n]*Project \[([^\n]*)\]", plan_of(rows)) if "rent_amount" in s]
     assert marks and not any("sk_customer" in s or "sk_lease_finance" in s for s in marks)
+
+
+def test_moves_are_summed_where_their_asset_is(w):
+    assert "Exchange" not in plan_of(finance.maintenance_moves(w)).split("SortMergeJoin")[0]
+
+
+def test_months_of_maintenance_are_built_once(w, monkeypatch):
+    stored = []
+    monkeypatch.setattr(finance, "materialise", lambda df, name: stored.append(name) or df)
+    finance.maintenance_costs(w)
+    assert len(stored) == 1
+
+
+def test_leases_of_chosen_contracts_are_those_of_all(w):
+    """Waiting contracts alone, as the report on contracts not yet active reads them."""
+    chosen = w("dim_contract").filter("current_flag = 1 AND status IN ('Pending', 'InstallingAssets')").select(F.col("bk_contract_id").alias("contract_id"))
+    parts = (
+        (contracts.lease_assets_live, contracts.lease_assets_live_of, ("contract_id", "asset_id", "total_charge", "rent_amount")),
+        (contracts.charges_detail, contracts.charges_detail_of, ("contract_id", "asset_id", "charge_name", "charges")),
+        (finance.latest_fact_of_asset, finance.latest_fact_of, ("contract_id", "asset_id", "lease_finance_id", "terminated_on")),
+    )
+    for view, of, names in parts:
+        whole = view(w).join(chosen, "contract_id", "left_semi").select(*names)
+        assert not whole.isEmpty() and same(of(w, chosen).select(*names), whole)
+    many = contracts.lease_assets_live_of(w, chosen, few=False).select("contract_id", "asset_id")
+    assert same(many, contracts.lease_assets_live(w).join(chosen, "contract_id", "left_semi").select("contract_id", "asset_id"))
+
+
+def test_reports_on_some_contracts_read_leases_of_these_alone(w):
+    for report in (fleet.contracts_not_activated, fleet.open_lease_file, finance.hire_maintenance_provision):
+        monthless = plan_of(report(w)) if report is not finance.hire_maintenance_provision else plan_of(finance.latest_fact_of(w, contracts.contracts_to_keep(w, lambda s: s != "Inactive", "Contract Hire")))
+        joins = [line for line in monthless.splitlines() if "SortMergeJoin" in line]
+        place = {key: max((i for i, line in enumerate(joins) if key in line), default=-1) for key in ("sk_contract", "[sk_asset")}
+        assert place["sk_contract"] > place["[sk_asset"]
+
+
+def test_finance_of_one_product_is_that_of_all(w):
+    def started(status):
+        return ~status.isin("Inactive", "Pending")
+
+    names = "contract_id", "status", "product_name", "maturity_date"
+    whole = contracts.finance_latest(w).filter(started(F.col("status")) & (F.col("product_name") == "Contract Hire")).select(*names)
+    assert not whole.isEmpty() and same(contracts.finance_latest_of(w, started, "Contract Hire").select(*names), whole)
+
+
+def test_first_payments_need_no_second_finance_detail(w):
+    plan = plan_of(contracts.contract_origination(w))
+    assert len(re.findall(r"WindowGroupLimit \[contract_id#\d+L\], \[sk_contract#\d+L DESC NULLS LAST, sk_customer[^\n]*Partial", plan)) == 1
+
+
+def test_charges_meet_leases_of_reported_assets(w):
+    plan = plan_of(fleet.accruals_by_charge(w))
+    first = [line for line in plan.splitlines() if "Join" in line and "sk_asset" in line][-1]
+    assert "LeftSemi" in first
+
+
+def test_structures_meet_their_profile_before_their_assets(w):
+    sent = re.findall(r"Exchange hashpartitioning\((?:credit_profile_id|customer_id)#[^\n]*\n[^\n]*Project \[([^\n]*)\]", plan_of(assets.credit_lines(w)))
+    assert sent and not any("asset_id" in s for s in sent)
+
+
+def test_tracked_tests_are_told_apart_before_leases_join(w, monkeypatch):
+    monkeypatch.setattr(hot, "materialise", lambda df, name: df)
+    plan = plan_of(history.test_tracker(w))
+    assert "Aggregate" not in plan.split("Join")[0]
+
+
+def test_distinct_counts_are_built_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(hot, "materialise", lambda df, name: stored.append(name) or df)
+    rows = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (None, 3), (2, None)], "k int, v int")
+    got = sorted((str(r.k), str(r.v), r.n_distinct) for r in hot.distinct_per_key(rows, ["k"], "v").collect())
+    assert got == [("1", "1", 2), ("1", "1", 2), ("1", "2", 2), ("2", "None", 0), ("None", "3", 1)]
+    assert stored == ["counts"]
